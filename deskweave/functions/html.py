@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # The entities resolved natively; a text holding any other one is left to the exact form.
 NATIVE_ENTITIES = (("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&copy;", "©"),
@@ -50,7 +51,7 @@ def _page_text(page: str | None) -> str:
     return re.sub(r"\s+", " ", " ".join(parser.nodes)).strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_text_exact(pages: pd.Series) -> pd.Series:
     """Arrow form over the standard-library parser, for pages the native form does not cover."""
     return pages.map(_page_text)

@@ -85,36 +85,38 @@ def confusion(scored: DataFrame, field: str) -> DataFrame:
     )
 
 
-def class_metrics(scored: DataFrame, field: str) -> DataFrame:
-    """Precision, recall and F1 per class, from the confusion rows (classes squared, not tickets)."""
+def _class_counts(scored: DataFrame, field: str) -> DataFrame:
+    """Hits, support and claims per label, from the confusion rows (classes squared, not tickets)."""
     cells = confusion(scored, field)
-    hit = F.col("expected") == F.col("predicted")
-    both = cells.select(
-        F.explode(F.array(
-            F.struct(F.col("expected").alias("label"), F.when(hit, F.col("tickets")).otherwise(0).alias("hits"),
-                     F.col("tickets").alias("support"), F.lit(0).cast("bigint").alias("claimed")),
-            F.struct(F.col("predicted").alias("label"), F.lit(0).cast("bigint").alias("hits"),
-                     F.lit(0).cast("bigint").alias("support"), F.col("tickets").alias("claimed")),
-        )).alias("m")
-    ).select("m.*")
-    grouped = both.where(F.col("label") != NO_VALUE).groupBy("label").agg(
+    hits = F.when(F.col("expected") == F.col("predicted"), F.col("tickets")).otherwise(0)
+    none = F.lit(0).cast("bigint")
+    as_truth = F.struct(F.col("expected").alias("label"), hits.alias("hits"), F.col("tickets").alias("support"), none.alias("claimed"))
+    as_claim = F.struct(F.col("predicted").alias("label"), none.alias("hits"), none.alias("support"), F.col("tickets").alias("claimed"))
+    return cells.select(F.inline(F.array(as_truth, as_claim))).groupBy("label").agg(
         F.sum("hits").alias("hits"), F.sum("support").alias("support"), F.sum("claimed").alias("claimed")
-    )
-    precision = F.coalesce(F.try_divide("hits", "claimed"), F.lit(0.0))
-    recall = F.coalesce(F.try_divide("hits", "support"), F.lit(0.0))
-    f1 = F.coalesce(F.try_divide(F.lit(2) * F.col("hits"), F.col("support") + F.col("claimed")), F.lit(0.0))
-    return grouped.select(
-        "label", "support", F.round(precision, 6).alias("precision"), F.round(recall, 6).alias("recall"),
-        F.round(f1, 6).alias("f1"),
+    ).withColumn("f1", F.coalesce(F.try_divide(F.lit(2) * F.col("hits"), F.col("support") + F.col("claimed")), F.lit(0.0)))
+
+
+def class_metrics(scored: DataFrame, field: str) -> DataFrame:
+    """Precision, recall and F1 per class."""
+    return _class_counts(scored, field).where(F.col("label") != NO_VALUE).select(
+        "label",
+        "support",
+        F.round(F.coalesce(F.try_divide("hits", "claimed"), F.lit(0.0)), 6).alias("precision"),
+        F.round(F.coalesce(F.try_divide("hits", "support"), F.lit(0.0)), 6).alias("recall"),
+        F.round("f1", 6).alias("f1"),
     )
 
 
 def macro_f1(scored: DataFrame, field: str) -> DataFrame:
-    classes = class_metrics(scored, field).agg(
-        F.count(F.lit(1)).alias("classes"), F.round(F.avg("f1"), 5).alias("macro_f1")
+    """Unweighted mean F1 over classes, and the share of tickets without a usable prediction."""
+    named = F.col("label") != NO_VALUE
+    return _class_counts(scored, field).agg(
+        F.lit(field).alias("field"),
+        F.count_if(named).alias("classes"),
+        F.round(F.avg(F.when(named, F.col("f1"))), 5).alias("macro_f1"),
+        F.round(F.sum(F.when(named, 0).otherwise(F.col("claimed"))) / F.sum("claimed"), 6).alias("invalid_rate"),
     )
-    invalid = scored.agg(F.round(F.avg(F.col(f"predicted_{field}").isNull().cast("int")), 6).alias("v"))
-    return classes.select(F.lit(field).alias("field"), "classes", "macro_f1", invalid.scalar().alias("invalid_rate"))
 
 
 def failures(scored: DataFrame, limit: int, order: str = "seq", scenario: str = SCENARIO_FIELD) -> DataFrame:

@@ -63,11 +63,11 @@ _CELLS = """SELECT coalesce(expected_quality, 'Missing') AS expected, coalesce(p
 SQL["eval_confusion"] = _scored() + _CELLS
 _CLASSES = f"""SELECT label, support, round(CASE WHEN claimed = 0 THEN 0.0 ELSE hits / claimed END, 6) AS precision,
   round(CASE WHEN support = 0 THEN 0.0 ELSE hits / support END, 6) AS recall,
-  round(CASE WHEN support + claimed = 0 THEN 0.0 ELSE 2.0 * hits / (support + claimed) END, 6) AS f1
+  CASE WHEN support + claimed = 0 THEN 0.0 ELSE 2.0 * hits / (support + claimed) END AS f1
   FROM (SELECT label, CAST(sum(hits) AS DOUBLE) AS hits, CAST(sum(support) AS BIGINT) AS support, CAST(sum(claimed) AS BIGINT) AS claimed FROM (
     SELECT expected AS label, CASE WHEN expected = predicted THEN tickets ELSE 0 END AS hits, tickets AS support, 0 AS claimed FROM ({_CELLS}) a
     UNION ALL SELECT predicted, 0, 0, tickets FROM ({_CELLS}) b) u WHERE label <> 'Missing' GROUP BY label) g"""
-SQL["eval_class_metrics"] = _scored() + _CLASSES
+SQL["eval_class_metrics"] = _scored() + f"SELECT label, support, precision, recall, round(f1, 6) AS f1 FROM ({_CLASSES}) c"
 SQL["eval_macro_f1"] = _scored() + f"""SELECT 'quality' AS field, count(*) AS classes, round(avg(f1), 5) AS macro_f1,
   (SELECT round(avg(CASE WHEN predicted_quality IS NULL THEN 1.0 ELSE 0.0 END), 6) FROM scored) AS invalid_rate FROM ({_CLASSES}) c"""
 SQL["eval_failures"] = _scored() + """SELECT number, _test_scenario, prediction_received, expected_quality, predicted_quality, correct_quality,
@@ -90,3 +90,118 @@ SQL["prediction_semi"] = _ctes("v_truth", "v_pred") + f"SELECT number, _test_sce
 SQL["prediction_missing"] = _ctes("v_truth", "v_pred") + f"SELECT number, _test_scenario FROM v_truth WHERE number NOT IN {_PREDICTED}"
 SQL["first_prediction_wins"] = _ctes("v_truth", "v_pred") + "SELECT * FROM v_pred QUALIFY row_number() OVER (PARTITION BY number ORDER BY seq) = 1"
 SQL["last_prediction_wins"] = _ctes("v_truth", "v_pred") + "SELECT * FROM v_pred QUALIFY row_number() OVER (PARTITION BY number ORDER BY seq DESC) = 1"
+
+# --- Text and retrieval -----------------------------------------------------------------------
+
+from deskweave.functions import text as X  # noqa: E402
+from deskweave.functions.html import MARKUP_PATTERN, NATIVE_ENTITIES  # noqa: E402
+
+_STOP = "[" + ", ".join(f"'{w}'" for w in X.STOP_WORDS) + "]"
+
+
+def _tokens(text: str) -> str:
+    return f"list_filter(regexp_extract_all(lower({text}), '{X.TOKEN_PATTERN}'), lambda t: NOT list_contains({_STOP}, t))"
+
+
+def _clean(text: str, limit: int = X.DOCUMENT_LIMIT) -> str:
+    return f"substring(trim(regexp_replace({text}, '\\s+', ' ', 'g')), 1, {limit})"
+
+
+SQL["section_chunks"] = f"""
+WITH marked AS (SELECT doc_id, regexp_replace(regexp_replace(text, '\\n{{3,}}', chr(1), 'g'), '(^|\\n|\\x01)(#{{1,3}}\\s)', '\\1' || chr(1) || '\\2', 'g') AS t, text FROM documents),
+parts AS (SELECT doc_id, list_filter(list_transform(string_split(t, chr(1)), lambda p: trim(p, chr(9) || chr(10) || chr(13) || ' ')), lambda p: p <> '') AS ps FROM marked)
+SELECT doc_id, i AS section, concat('doc-', CAST(doc_id AS string), ' section ', CAST(i AS string)) AS title, {_clean('ps[i]')} AS content
+FROM (SELECT doc_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM parts) x"""
+SQL["record_documents"] = f"""SELECT CAST(doc_id AS string) AS title, 'incident' AS kind,
+  concat('description: ', {_clean('text', 4000)}, chr(10), 'number: ', CAST(doc_id AS string), chr(10), 'source: ', source, chr(10), 'lang: ', lang) AS content FROM documents"""
+SQL["token_df"] = f"SELECT term, count(*) AS documents FROM (SELECT unnest(list_distinct({_tokens('text')})) AS term FROM documents) t GROUP BY term"
+SQL["term_frequency"] = f"SELECT doc_id, term, count(*) AS frequency FROM (SELECT doc_id, unnest({_tokens('text')}) AS term FROM documents) t GROUP BY ALL"
+SQL["corpus_statistics"] = f"""SELECT count(*) AS documents, CAST(sum(n) AS BIGINT) AS tokens, round(avg(n), 6) AS mean_length
+  FROM (SELECT len({_tokens('text')}) AS n FROM documents) t"""
+_DOC = "concat('doc ', CAST(doc_id AS string), ' ', text)"
+_RANKED = f"""
+docs AS (SELECT doc_id, lower({_DOC}) AS body, {_tokens(_DOC)} AS toks FROM documents),
+stats AS (SELECT count(*) AS n, greatest(avg(len(toks)), 1.0) AS mean FROM docs),
+tf AS (SELECT doc_id, length_, term, count(*) AS f FROM (SELECT doc_id, len(toks) AS length_, unnest(toks) AS term FROM docs) x GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+q AS (SELECT item_id, term, count(*) AS w FROM (SELECT item_id, unnest({_tokens('text')}) AS term FROM benchmark) x GROUP BY ALL),
+phrases AS (SELECT item_id, array_to_string({_tokens('text')}, ' ') AS phrase FROM benchmark),
+parts AS (
+  SELECT item_id, doc_id, w * ln(1.0 + (n - df + 0.5) / (df + 0.5)) * (f * 2.2 / (f + 1.2 * (0.25 + 0.75 * length_ / mean))) AS part
+  FROM q JOIN tf USING (term) JOIN df USING (term), stats
+  UNION ALL SELECT item_id, doc_id, 2.0 FROM phrases JOIN docs ON phrase <> '' AND contains(body, phrase)),
+pairs AS (SELECT item_id, doc_id, round(sum(part), 4) AS score FROM parts GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM pairs WHERE score > 0)
+"""
+SQL["bm25_topk"] = f"WITH {_RANKED} SELECT item_id, doc_id, score, rank FROM ranked WHERE rank <= 5"
+_HEAD = "concat('[S', CAST(rank AS string), '] doc ', CAST(doc_id AS string), ' | source=documents')"
+SQL["evidence_budget"] = f"""WITH {_RANKED},
+heads AS (SELECT item_id, rank, {_HEAD} AS heading, d.text AS content FROM ranked JOIN documents d USING (doc_id) WHERE rank <= 5),
+rooms AS (SELECT *, 6000 - coalesce(sum(length(heading) + 1 + length(content)) OVER (PARTITION BY item_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+  - length(heading) - 2 AS room FROM heads)
+SELECT item_id, concat('S', CAST(rank AS string)) AS citation, heading, length(substring(content, 1, CAST(room AS INT))) AS used,
+  md5(substring(content, 1, CAST(room AS INT))) AS digest FROM rooms WHERE room > 0"""
+SQL["retrieved_sources"] = f"""WITH {_RANKED} SELECT item_id, concat('S', CAST(rank AS string)) AS citation, concat('doc ', CAST(doc_id AS string)) AS title,
+  'documents' AS source, 'incident' AS kind, score, '' AS url, md5(d.text) AS content FROM ranked JOIN documents d USING (doc_id) WHERE rank <= 3"""
+SQL["literal_passages"] = f"""SELECT item_id, doc_id FROM (SELECT item_id, array_to_string({_tokens('text')}, ' ') AS phrase FROM benchmark) p
+  JOIN documents d ON phrase <> '' AND contains(lower(d.text), phrase)"""
+
+
+def _html(text: str) -> str:
+    for name, plain in NATIVE_ENTITIES:
+        text = f"replace({text}, '{name}', '{plain.replace(chr(39), chr(39) * 2)}')"
+    piece = (
+        "CASE WHEN regexp_matches(p, '(?is)^<(script|style)') THEN regexp_replace(p, '(?is)^<(?:script|style)\\b[^>]*>|</(?:script|style)\\s*>$', '', 'g') "
+        "WHEN p LIKE '<_%' THEN ' ' ELSE p END"
+    )
+    return f"trim(regexp_replace(array_to_string(list_transform(regexp_extract_all({text}, '{MARKUP_PATTERN}'), lambda p: {piece}), ''), '\\s+', ' ', 'g'))"
+
+
+SQL["html_text"] = f"SELECT page_id, {_html('html')} AS content FROM pages"
+SQL["page_documents"] = f"""SELECT page_id AS id, CAST(page_id AS string) AS title, {_clean(_html('html'))} AS content, 'Pages' AS source,
+  concat('https://kb.example.test/wiki/x/', CAST(page_id AS string)) AS url, 'confluence' AS kind FROM pages"""
+SQL["page_phrase_search"] = "SELECT page_id, url FROM pages WHERE contains(lower(html), 'home about') ORDER BY page_id LIMIT 10"
+SQL["recent_history"] = f"""SELECT conv_id, turn, CASE WHEN lower(role) IN ('machine', 'ai', 'assistant') THEN 'assistant' ELSE 'user' END AS role,
+  {_clean('text', 3000)} AS content FROM (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 6) t WHERE {_clean('text', 3000)} <> ''"""
+SQL["sources_union"] = """SELECT concat('doc ', CAST(doc_id AS string)) AS title, 'incident' AS kind, length(text) AS size, 0.0 AS score FROM documents
+  UNION ALL SELECT url, 'confluence', length(html), NULL FROM pages"""
+
+# --- Ingest -----------------------------------------------------------------------------------
+
+from deskweave.sources.tables import KEY_REPAIR_INPUT  # noqa: E402
+
+SQL["response_records"] = """SELECT min(arrival) AS arrival, source, lang, number FROM (
+  SELECT doc_id * 100 AS arrival, source, lang, CAST(NULL AS BIGINT) AS number FROM documents
+  UNION ALL SELECT doc_id * 100 + 1, NULL, NULL, doc_id FROM documents) t GROUP BY source, lang, number"""
+SQL["exact_distinct"] = "SELECT doc_id, lang, length(text) AS size FROM documents QUALIFY row_number() OVER (PARTITION BY text, lang ORDER BY doc_id) = 1"
+SQL["key_repair"] = f"""WITH rows_ AS (SELECT *, row_number() OVER (ORDER BY seq) AS position FROM ({KEY_REPAIR_INPUT}) t),
+marked AS (SELECT *, coalesce(number, '') <> '' AND row_number() OVER (PARTITION BY number ORDER BY seq) = 1 AS keeps FROM rows_),
+used AS (SELECT DISTINCT CAST(substring(number, 4) AS BIGINT) AS v FROM marked WHERE keeps AND number LIKE 'INC%'),
+broken AS (SELECT seq, 1000000 + position AS home, row_number() OVER (ORDER BY seq) AS i FROM marked WHERE NOT keeps),
+free_ AS (SELECT v, row_number() OVER (ORDER BY v) AS idx FROM (SELECT unnest(range(1000001, 1000001 + 3 * (SELECT count(*) FROM rows_))) AS v) r WHERE v NOT IN (SELECT v FROM used)),
+own AS (SELECT b.seq, b.i, min(f.idx) AS idx FROM broken b JOIN free_ f ON f.v >= b.home GROUP BY b.seq, b.i),
+placed AS (SELECT seq, i + max(idx - i) OVER (ORDER BY i) AS idx FROM own)
+SELECT m.seq, m.position, CASE WHEN m.keeps THEN m.number ELSE concat('INC', CAST(f.v AS string)) END AS number
+FROM marked m LEFT JOIN placed p ON m.seq = p.seq LEFT JOIN free_ f ON f.idx = p.idx"""
+SQL["sys_id_repair"] = """SELECT seq, CASE WHEN sys_id IS NOT NULL AND row_number() OVER (PARTITION BY sys_id ORDER BY seq) = 1 THEN sys_id
+  ELSE substring(sha256(concat('signature:', CAST(seq AS string), ':', fp)), 1, 32) END AS sys_id
+  FROM (SELECT doc_id AS seq, md5(text) AS fp, CASE WHEN length(text) % 2 = 0 THEN NULL ELSE md5(text) END AS sys_id FROM documents) t"""
+SQL["resume_union"] = """SELECT doc_id, lang FROM (SELECT d.doc_id, d.lang, d.text, CASE WHEN l.doc_id IS NULL THEN 1 ELSE 0 END AS fresh
+  FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id) t
+  QUALIFY row_number() OVER (PARTITION BY text, lang ORDER BY fresh, doc_id) = 1"""
+SQL["redact_email"] = r"""SELECT doc_id, regexp_replace(text, '(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b', '[REDACTED_EMAIL]', 'g') AS text FROM documents"""
+SQL["redact_fields"] = "SELECT c_custkey, '[REDACTED_C_NAME]' AS c_name, '[REDACTED_C_NAME]' AS inner_name, c_mktsegment AS segment FROM customer"
+SQL["field_distribution_top12"] = """SELECT * FROM (SELECT field, label, count(*) AS records, row_number() OVER (PARTITION BY field ORDER BY count(*) DESC, label) AS rank
+  FROM (SELECT 'lang' AS field, lang AS label FROM documents UNION ALL SELECT 'source', source FROM documents
+        UNION ALL SELECT 'n_chars', CAST(n_chars AS string) FROM documents) u WHERE label IS NOT NULL GROUP BY field, label) t WHERE rank <= 12"""
+SQL["continuity_summary"] = """SELECT count(*) AS generated_so_far, arg_min(lang, doc_id) FILTER (lang <> 'fr') AS first_record_number,
+  arg_max(lang, doc_id) FILTER (lang <> 'fr') AS latest_record_number FROM documents"""
+SQL["recent_profile"] = "SELECT doc_id AS number, lang AS category, substring(text, 1, 160) AS state FROM documents ORDER BY doc_id DESC LIMIT 10"
+SQL["rotating_examples"] = """SELECT batch_no, place, item_id FROM (SELECT doc_id + 1 AS batch_no, unnest([0, 1, 2]) AS place FROM documents) b
+  JOIN (SELECT item_id, row_number() OVER (ORDER BY item_id) - 1 AS pos, count(*) OVER () AS n FROM benchmark) e ON ((batch_no - 1) * 3 + place) % n = pos"""
+_DIAG = """(SELECT event_id AS seq, event_type AS finish_reason, user_id % 5 + 1 AS requested,
+  least(user_id % 5 + 1, CAST(floor(value) AS BIGINT)) AS returned, value AS completion_tokens FROM events) d"""
+SQL["response_diagnostics"] = f"""SELECT finish_reason, count(*) AS responses, CAST(sum(requested) AS BIGINT) AS requested, CAST(sum(returned) AS BIGINT) AS returned,
+  CAST(sum(CASE WHEN returned < requested THEN 1 ELSE 0 END) AS BIGINT) AS short_responses, round(avg(completion_tokens), 4) AS mean_tokens FROM {_DIAG} GROUP BY finish_reason"""
+SQL["last_diagnostics"] = f"SELECT * FROM {_DIAG} ORDER BY seq DESC LIMIT 100"
+SQL["uncached_rows"] = _ctes("v_truth", "v_pred") + f"SELECT number, priority FROM v_truth WHERE number NOT IN {_PREDICTED}"

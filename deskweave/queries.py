@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from deskweave.functions import text as X
+from deskweave.functions.html import html_text as html_native
+from deskweave.functions.html import html_text_exact as html_exact
+from deskweave.operators import documents as D
 from deskweave.operators import evaluate as E
 from deskweave.operators import holdout as H
+from deskweave.operators import ingest as I
+from deskweave.operators import ordering as O
 from deskweave.operators import report as P
-from deskweave.sources.tables import predictions_view, relation, table, view
+from deskweave.operators import retrieve as T
+from deskweave.sources import stores as S
+from deskweave.sources.tables import KEY_REPAIR_INPUT, predictions_view, relation, table, view
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -140,3 +148,211 @@ def first_prediction_wins(spark, sf):
 @query
 def last_prediction_wins(spark, sf):
     return E.latest_by(view(spark, sf, "v_pred"), ["number"], "seq")
+
+
+# --- Text and retrieval -----------------------------------------------------------------------
+
+
+@query
+def section_chunks(spark, sf):
+    files = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("file"), "text")
+    return D.section_documents(files, keep=("doc_id",)).select("doc_id", "section", "title", "content")
+
+
+@query
+def record_documents(spark, sf):
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("number"), "source", "lang", F.col("text").alias("description"))
+    return D.record_documents(docs, "records").select("title", "content", "kind")
+
+
+@query
+def token_df(spark, sf):
+    return T.document_frequency(table(spark, sf, "documents"), "doc_id", F.col("text"))
+
+
+@query
+def term_frequency(spark, sf):
+    return T.term_frequency(table(spark, sf, "documents"), "doc_id", F.col("text"))
+
+
+@query
+def corpus_statistics(spark, sf):
+    stats = T.corpus_statistics(table(spark, sf, "documents"), F.col("text"))
+    return stats.select("documents", "tokens", F.round("mean_length", 6).alias("mean_length"))
+
+
+def _documents(spark, sf):
+    return view(spark, sf, "v_sources").where("source_priority = 0").select(
+        F.col("source_id").alias("doc_id"), "title", "content", "kind",
+        F.lit("documents").alias("source"), F.lit("").alias("url"),
+    )
+
+
+def _ranked(spark, sf, k=5):
+    return T.top_k(T.scored_pairs(_documents(spark, sf), table(spark, sf, "benchmark")), k)
+
+
+@query
+def bm25_topk(spark, sf):
+    return _ranked(spark, sf).select("item_id", "doc_id", "score", "rank")
+
+
+@query
+def evidence_budget(spark, sf):
+    """Ranked documents joined back to their texts, cited and cut to the evidence budget."""
+    ranked = _ranked(spark, sf).join(_documents(spark, sf), "doc_id")
+    fitted = T.evidence_budget(T.cited_sources(ranked), 6000)
+    return fitted.select("item_id", "citation", "heading", F.length("evidence").alias("used"), F.md5("evidence").alias("digest"))
+
+
+@query
+def retrieved_sources(spark, sf):
+    ranked = _ranked(spark, sf, 3).join(_documents(spark, sf), "doc_id")
+    return T.retrieved_sources(T.cited_sources(ranked)).withColumn("content", F.md5("content"))
+
+
+@query
+def literal_passages(spark, sf):
+    """Documents that contain a benchmark text's words as one literal phrase."""
+    docs, asked = table(spark, sf, "documents"), table(spark, sf, "benchmark")
+    return T.phrase_hits(docs, "doc_id", F.col("text"), asked, "item_id", "text", T._small(asked))
+
+
+@query
+def html_text(spark, sf):
+    return table(spark, sf, "pages").select("page_id", html_native("html").alias("content"))
+
+
+@query
+def html_text_exact(spark, sf):
+    return table(spark, sf, "pages").select("page_id", html_exact("html").alias("content"))
+
+
+@query
+def page_documents(spark, sf):
+    pages = table(spark, sf, "pages").select(
+        F.col("page_id").alias("id"), F.lit(None).cast("string").alias("title"), "html", F.concat(F.lit("/x/"), F.col("page_id").cast("string")).alias("webui")
+    )
+    return D.page_documents(pages, html_native("html"), "https://kb.example.test/wiki/", "Pages", keep=("id",))
+
+
+@query
+def page_phrase_search(spark, sf):
+    return D.phrase_filter(table(spark, sf, "pages"), "The home about", "html", 10).select("page_id", "url")
+
+
+@query
+def recent_history(spark, sf):
+    return T.recent_history(table(spark, sf, "conversations"), 6)
+
+
+@query
+def sources_union(spark, sf):
+    docs = _documents(spark, sf).select("title", "kind", F.length("content").alias("size"), F.lit(0.0).alias("score"))
+    pages = table(spark, sf, "pages").select(F.col("url").alias("title"), F.lit("confluence").alias("kind"), F.length("html").alias("size"))
+    return D.all_documents(docs, pages)
+
+
+# --- Ingest -----------------------------------------------------------------------------------
+
+
+@query
+def response_records(spark, sf):
+    """Records of generated responses: at most as many as requested, exact copies dropped."""
+    raw = relation(spark, sf, """
+        SELECT doc_id AS seq, 2 AS requested, concat('```json', chr(10), '{"records":[{"source":"', source, '","lang":"', lang,
+          '"},{"number":', CAST(doc_id AS string), '},"junk",{"number":-1}]}', chr(10), '```') AS response FROM documents""")
+    records = I.response_records(raw).select(
+        "seq", "place", F.try_variant_get("record", "$.source", "string").alias("source"),
+        F.try_variant_get("record", "$.lang", "string").alias("lang"), F.try_variant_get("record", "$.number", "bigint").alias("number"),
+    ).withColumn("arrival", F.col("seq") * 100 + F.col("place"))
+    return I.exact_distinct(records, "arrival", ["source", "lang", "number"]).select("arrival", "source", "lang", "number")
+
+
+@query
+def exact_distinct(spark, sf):
+    return I.exact_distinct(table(spark, sf, "documents"), "doc_id", ["text", "lang"]).select("doc_id", "lang", F.length("text").alias("size"))
+
+
+@query
+def key_repair(spark, sf):
+    rows = relation(spark, sf, KEY_REPAIR_INPUT)
+    return I.repaired_numbers(rows, "incident").select("seq", "number", "position")
+
+
+@query
+def sys_id_repair(spark, sf):
+    rows = relation(spark, sf, """
+        SELECT doc_id AS seq, doc_id + 1 AS position, md5(text) AS fingerprint, CASE WHEN length(text) % 2 = 0 THEN NULL ELSE md5(text) END AS sys_id
+        FROM documents""")
+    return I.repaired_sys_ids(rows, "signature").select("seq", "sys_id")
+
+
+@query
+def resume_union(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    stored = docs.join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
+    return I.resume_union(stored, docs, "doc_id").select("doc_id", "lang")
+
+
+@query
+def redact_email(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", X.redact_email("text").alias("text"))
+
+
+@query
+def redact_fields(spark, sf):
+    customers = table(spark, sf, "customer").select("c_custkey", "c_name", F.struct("c_mktsegment", "c_name").alias("about"))
+    return I.redacted(customers, ["C_NAME"]).select(
+        "c_custkey", "c_name", F.col("about.c_name").alias("inner_name"), F.col("about.c_mktsegment").alias("segment")
+    )
+
+
+@query
+def field_distribution_top12(spark, sf):
+    fields = ("lang", "source", "n_chars")
+    return I.field_distribution(table(spark, sf, "documents"), fields)
+
+
+@query
+def continuity_summary(spark, sf):
+    return I.continuity_summary(table(spark, sf, "documents").select(F.col("doc_id").alias("seq"), F.nullif("lang", F.lit("fr")).alias("number")))
+
+
+@query
+def recent_profile(spark, sf):
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("seq"), F.col("doc_id").alias("number"), F.col("lang").alias("category"), F.col("text").alias("state"))
+    return I.recent_records(docs, 10)
+
+
+@query
+def rotating_examples(spark, sf):
+    examples = O.numbered(table(spark, sf, "benchmark"), ["item_id"])
+    batches = table(spark, sf, "documents").select((F.col("doc_id") + 1).alias("batch_no"))
+    return I.rotating_examples(batches, examples, 3).select("batch_no", "place", "item_id")
+
+
+def _diagnostics(spark, sf):
+    return table(spark, sf, "events").select(
+        F.col("event_id").alias("seq"), F.col("event_type").alias("finish_reason"), (F.col("user_id") % 5 + 1).alias("requested"),
+        F.least(F.col("user_id") % 5 + 1, F.floor(F.col("value")).cast("bigint")).alias("returned"), F.col("value").alias("completion_tokens"),
+    )
+
+
+@query
+def response_diagnostics(spark, sf):
+    return P.response_diagnostics(_diagnostics(spark, sf))
+
+
+@query
+def last_diagnostics(spark, sf):
+    return P.last_diagnostics(_diagnostics(spark, sf))
+
+
+@query
+def uncached_rows(spark, sf):
+    truth = view(spark, sf, "v_truth").select("number", "short_description", "priority")
+    answered = E.with_prediction(truth, view(spark, sf, "v_pred"))
+    columns = ["number", "short_description", "priority"]
+    cache = answered.select(S.row_key(columns, "rules-v1").alias("cache_key"))
+    return S.uncached(truth, cache, columns, "rules-v1").select("number", "priority")

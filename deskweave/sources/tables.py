@@ -110,3 +110,9 @@ def relation(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
         if name in text:
             table(spark, sf_dir, name).createOrReplaceTempView(name)
     return spark.sql(text)
+
+# Records with missing, repeated and clashing numbers, for key repair.
+KEY_REPAIR_INPUT = """
+    SELECT doc_id AS seq, CASE WHEN n_chars % 4 = 0 THEN NULL WHEN n_chars % 4 = 1 THEN concat('INC', CAST(1000000 + doc_id + n_chars % 37 AS string))
+      WHEN n_chars % 4 = 2 THEN '' ELSE concat('OLD', lang, CAST(n_chars AS string)) END AS number
+    FROM documents"""

@@ -57,10 +57,16 @@ def compare(spark, con, sf_dir, fn, sql):
         return f"rows {len(mine)} != {len(theirs)}"
     for a, b in zip(mine, theirs):
         if a != b and not (len(a) == len(b) and all(x == y and type(x) is type(y) or _close(x, y) for x, y in zip(a, b))):
-            return f"first difference\n   spark  {str(a)[:600]}\n   oracle {str(b)[:600]}"
+            return "first difference " + "; ".join(_gap(n, x, y) for n, x, y in zip(names, a, b) if x != y) + f" in {str(a)[:300]}"
     return None
 
 
+def _gap(name, x, y):
+    x, y = repr(x), repr(y)
+    at = next((i for i, (c, d) in enumerate(zip(x, y)) if c != d), min(len(x), len(y)))
+    return f"{name}@{at}: {x[max(0, at - 40):at + 80]} <> {y[max(0, at - 40):at + 80]}"
+
+
 def _close(x, y):
     if isinstance(x, bool) != isinstance(y, bool):
         return False
