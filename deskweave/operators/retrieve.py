@@ -70,25 +70,35 @@ def matched_terms(docs: DataFrame, doc_id: str, text: Column, vocabulary: DataFr
 
 
 def phrase_hits(
-    docs: DataFrame, doc_id: str, text: Column, questions: DataFrame, question_id: str, question: str, small: bool
+    docs: DataFrame,
+    doc_id: str,
+    text: Column,
+    questions: DataFrame,
+    question_id: str,
+    question: str,
+    small: bool,
+    phrase: Column | None = None,
 ) -> DataFrame:
     """(question, document) where the question's words, joined by blanks, occur literally in the text.
 
-    In a phrase of three or more words the second one stands between two blanks, hence is a word of
-    the document too: an equi-join on that word finds every candidate. Shorter phrases may begin or
-    end inside a longer word, so for them the document's words are cut into pieces of the lengths in
-    question and joined on those. Only candidates are searched for the phrase.
+    ``phrase`` may name another lower-case text that holds the same words in order. In a phrase of
+    three or more words an inner one has a non-word character on both sides, hence is a word of the
+    document too: an equi-join on the longest inner word finds every candidate. Shorter phrases may
+    begin or end inside a longer word, so for them the document's words are cut into pieces of the
+    lengths in question and joined on those. Only candidates are searched for the phrase.
     """
-    asked = questions.select(question_id, X.tokens(question).alias("_q")).where(F.size("_q") > 0)
+    needle = (F.array_join("_q", " ") if phrase is None else phrase).alias("_phrase")
+    asked = questions.select(question_id, X.tokens(question).alias("_q"), F.col(question)).where(F.size("_q") > 0)
     lowered = docs.select(doc_id, F.lower(text).alias("_text"), F.array_distinct(X.tokens(text)).alias("_words"))
-    phrase = F.array_join("_q", " ").alias("_phrase")
 
-    long = asked.where(F.size("_q") >= 3).select(question_id, F.element_at("_q", 2).alias("_anchor"), phrase)
+    def longest(words: Column) -> Column:
+        return F.array_max(F.transform(words, lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"].alias("_anchor")
+
+    long = asked.where(F.size("_q") >= 3).select(question_id, longest(F.slice("_q", F.lit(2), F.size("_q") - 2)), needle)
     by_word = lowered.select(doc_id, "_text", F.explode("_words").alias("_anchor")).join(_hint(long, small), "_anchor")
     hits = by_word.where(F.contains("_text", "_phrase")).select(question_id, doc_id)
 
-    short = asked.where(F.size("_q") < 3).select(question_id, F.array_max(F.transform("_q", lambda t: F.struct(
-        F.length(t).alias("n"), t.alias("t"))))["t"].alias("_anchor"), phrase)
+    short = asked.where(F.size("_q") < 3).select(question_id, longest(F.col("_q")), needle)
     if not short.isEmpty():
         lengths = short.agg(F.collect_set(F.length("_anchor"))).scalar()
         pieces = lowered.select(doc_id, "_text", F.explode("_words").alias("_word")).select(

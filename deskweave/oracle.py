@@ -205,3 +205,289 @@ SQL["response_diagnostics"] = f"""SELECT finish_reason, count(*) AS responses, C
   CAST(sum(CASE WHEN returned < requested THEN 1 ELSE 0 END) AS BIGINT) AS short_responses, round(avg(completion_tokens), 4) AS mean_tokens FROM {_DIAG} GROUP BY finish_reason"""
 SQL["last_diagnostics"] = f"SELECT * FROM {_DIAG} ORDER BY seq DESC LIMIT 100"
 SQL["uncached_rows"] = _ctes("v_truth", "v_pred") + f"SELECT number, priority FROM v_truth WHERE number NOT IN {_PREDICTED}"
+
+# --- Vulnerability policy ---------------------------------------------------------------------
+
+from deskweave.plans import vulnerability as V  # noqa: E402
+
+_ASSESSED = """
+matched AS (SELECT f.*, a.asset_id, a.environment, a.region, a.internet_facing, a.business_criticality, a.regulated_data
+  FROM v_findings f LEFT JOIN v_assets a ON f.asset_ref = a.hostname OR f.asset_ref = a.ip_address),
+scored AS (SELECT *, CASE WHEN observed_at <> 'not-a-timestamp' AND asset_id IS NOT NULL
+    THEN concat('VF-', CAST(asset_id AS string), '-', vulnerability_id, '-', component, '-', installed_version) END AS canonical_finding_id,
+  CASE WHEN observed_at <> 'not-a-timestamp' AND asset_id IS NOT NULL THEN CAST(least(100, greatest(0, round(cvss_score * 6)
+    + CASE WHEN known_exploited THEN 15 ELSE 0 END + CASE WHEN active_exploitation THEN 10 ELSE 0 END + CASE WHEN internet_facing THEN 10 ELSE 0 END
+    + CASE WHEN environment = 'prod' THEN 5 ELSE 0 END + CASE business_criticality WHEN 'critical' THEN 10 WHEN 'high' THEN 7 WHEN 'medium' THEN 3 ELSE 0 END
+    + CASE WHEN regulated_data THEN 5 ELSE 0 END - CASE WHEN validated_compensating_control THEN 15 ELSE 0 END)) AS INT) END AS risk_score FROM matched),
+assessed AS (SELECT *, received_at + INTERVAL 1 HOUR * sla_hours AS due_at FROM (SELECT *,
+  CASE WHEN risk_score >= 85 THEN 'P1' WHEN risk_score >= 70 THEN 'P2' WHEN risk_score >= 40 THEN 'P3' WHEN risk_score >= 0 THEN 'P4' END AS priority,
+  CASE WHEN risk_score >= 85 THEN 24 WHEN risk_score >= 70 THEN 168 WHEN risk_score >= 40 THEN 720 WHEN risk_score >= 0 THEN 2160 END AS sla_hours FROM scored) s)
+"""
+_EXCEPTED = """
+scope AS (SELECT asset_id, vulnerability_id, max(CASE WHEN status = 'approved' THEN expires_at END) AS until_ FROM v_exceptions GROUP BY ALL),
+excepted AS (SELECT a.*, coalesce(a.received_at < s.until_, false) AS valid_exception,
+  s.asset_id IS NOT NULL AND NOT coalesce(a.received_at < s.until_, false) AS expired_exception
+  FROM assessed a LEFT JOIN scope s ON a.asset_id = s.asset_id AND a.vulnerability_id = s.vulnerability_id)
+"""
+
+
+def _case(column: str, values: dict, join: bool = False) -> str:
+    body = " ".join(f"WHEN '{k}' THEN '{','.join(v) if join else v}'" for k, v in values.items())
+    return f"CASE {column} {body} END"
+
+
+_DECIDED = f"""
+newest AS (SELECT asset_id, max(collected_at) AS at_, arg_max(version, (collected_at, version)) AS version FROM v_inventory GROUP BY asset_id),
+first_ AS (SELECT canonical_finding_id, min(received_at) AS first_at FROM assessed WHERE canonical_finding_id IS NOT NULL GROUP BY 1),
+flags AS (SELECT e.*, coalesce(n.at_ > try_cast(e.observed_at AS TIMESTAMP), false) AND n.version > 40 AS fixed, coalesce(e.received_at > f.first_at, false) AS known
+  FROM excepted e LEFT JOIN newest n ON e.asset_id = n.asset_id LEFT JOIN first_ f ON e.canonical_finding_id = f.canonical_finding_id),
+chosen AS (SELECT *, CASE WHEN observed_at = 'not-a-timestamp' THEN 'QUARANTINE' WHEN asset_id IS NULL THEN 'DEFER_ENRICHMENT'
+  WHEN valid_exception THEN 'SUPPRESS_VALID_EXCEPTION' WHEN expired_exception THEN 'REOPEN_EXPIRED_EXCEPTION' WHEN fixed THEN 'VERIFY_AND_CLOSE'
+  WHEN known AND priority = 'P1' AND due_at < TIMESTAMP '1996-01-01' THEN 'ESCALATE_OVERDUE' WHEN known THEN 'UPDATE_EXISTING'
+  WHEN NOT fix_available AND known_exploited THEN 'ISOLATE_AND_ESCALATE' WHEN priority = 'P4' THEN 'TRACK_ONLY' ELSE 'CREATE_TICKET' END AS decision FROM flags),
+decided AS (SELECT *, CASE decision WHEN 'QUARANTINE' THEN 'quarantined_feed_record' WHEN 'DEFER_ENRICHMENT' THEN 'unscored_missing_asset_context'
+    WHEN 'SUPPRESS_VALID_EXCEPTION' THEN concat('accepted_risk_', lower(priority)) WHEN 'VERIFY_AND_CLOSE' THEN 'remediation_pending_verification'
+    WHEN 'ESCALATE_OVERDUE' THEN concat('overdue_', lower(priority)) WHEN 'ISOLATE_AND_ESCALATE' THEN concat('open_actionable_', lower(priority), '_no_fix')
+    WHEN 'TRACK_ONLY' THEN concat('tracked_', lower(priority))
+    ELSE concat('open_actionable_', lower(priority), CASE WHEN decision = 'CREATE_TICKET' AND validated_compensating_control THEN '_with_control' ELSE '' END) END AS dashboard_bucket,
+  CASE WHEN decision <> 'CREATE_TICKET' THEN {_case('decision', V.REASONS)} WHEN validated_compensating_control THEN 'RISK_REDUCED_BUT_STILL_ACTIONABLE'
+    WHEN priority = 'P1' AND environment = 'prod' THEN 'CRITICAL_EXPLOITED_PRODUCTION_ASSET' END AS reason_code,
+  CASE WHEN decision = 'CREATE_TICKET' THEN concat('FINDING_INGESTED,CVE_ENRICHED,', CASE WHEN validated_compensating_control THEN 'COMPENSATING_CONTROL_VALIDATED,' ELSE '' END,
+    'RISK_SCORED,TICKET_CREATED,PATCH_QUEUED') ELSE {_case('decision', V.AUDIT_EVENTS, True)} END AS audit_events,
+  {_case('decision', V.TICKET_ACTIONS)} AS ticket_action,
+  CASE WHEN decision = 'CREATE_TICKET' THEN 'schedule_patch' ELSE {_case('decision', V.REMEDIATION_ACTIONS)} END AS remediation_action FROM chosen)
+"""
+
+
+def _vuln(*parts: str, extra: tuple[str, ...] = ()) -> str:
+    return _ctes("v_findings", "v_assets", *extra).rstrip() + ",\n" + ",\n".join(parts) + "\n"
+
+
+_ALL_DECIDED = _vuln(_ASSESSED, _EXCEPTED, _DECIDED, extra=("v_exceptions", "v_inventory"))
+SQL["asset_match"] = _vuln(_ASSESSED) + "SELECT event_id, line_no, asset_ref, asset_id, region FROM matched"
+SQL["cve_enrichment"] = _ctes("v_findings", "v_advisories") + """SELECT event_id, line_no, f.vulnerability_id, epss_rank, parts
+  FROM v_findings f LEFT JOIN v_advisories a ON f.vulnerability_id = a.vulnerability_id"""
+SQL["exception_match"] = _vuln(_ASSESSED, _EXCEPTED, extra=("v_exceptions",)) + "SELECT event_id, line_no, asset_id, valid_exception, expired_exception FROM excepted"
+SQL["newest_evidence"] = _ctes("v_incidents", "v_inventory") + """SELECT number, service_id AS asset_id, version AS evidence_version, coalesce(at_ > opened_at, false) AS newer_evidence
+  FROM v_incidents i LEFT JOIN (SELECT asset_id, max(collected_at) AS at_, arg_max(version, (collected_at, version)) AS version FROM v_inventory GROUP BY asset_id) n ON i.service_id = n.asset_id"""
+SQL["risk_score"] = _vuln(_ASSESSED) + "SELECT event_id, line_no, canonical_finding_id, risk_score, priority, sla_hours FROM assessed"
+SQL["priority_sla"] = _vuln(_ASSESSED) + """SELECT priority, count(*) AS findings, CAST(min(due_at) AS string) AS first_due, CAST(max(due_at) AS string) AS last_due
+  FROM assessed GROUP BY priority"""
+SQL["finding_decision"] = _ALL_DECIDED + "SELECT event_id, line_no, decision, dashboard_bucket, reason_code, ticket_action, remediation_action, audit_events FROM decided"
+SQL["workload_buckets"] = _ALL_DECIDED + """SELECT decision, priority, count(*) AS findings, grouping(decision) AS all_decisions, grouping(priority) AS all_priorities
+  FROM decided GROUP BY CUBE (decision, priority)"""
+SQL["dashboard_buckets"] = _ALL_DECIDED + "SELECT dashboard_bucket, count(*) AS findings FROM decided GROUP BY 1"
+SQL["finding_dedup"] = _vuln(_ASSESSED) + """SELECT canonical_finding_id, count(*) AS observations, string_agg(DISTINCT scanner_id, ',' ORDER BY scanner_id) AS scanners,
+  CAST(min(received_at) AS string) AS first_received_at, max(risk_score) AS risk_score FROM assessed WHERE canonical_finding_id IS NOT NULL GROUP BY 1"""
+SQL["finding_sources"] = _vuln(_ASSESSED) + """SELECT DISTINCT canonical_finding_id, concat(scanner_id, ':', CAST(event_id AS string)) AS source
+  FROM assessed WHERE canonical_finding_id IS NOT NULL"""
+SQL["quarantine_split"] = _ctes("v_findings") + """SELECT CASE WHEN try_cast(observed_at AS TIMESTAMP) IS NULL THEN 'quarantined' ELSE 'accepted' END AS side, scanner_id, count(*) AS findings
+  FROM v_findings GROUP BY 1, 2"""
+_ACTIVE = "state IN ('open', 'remediation_in_progress', 'remediation_pending_verification')"
+SQL["portfolio_totals"] = _ctes("v_portfolio") + f"""SELECT count(*) AS total_unique_findings, count(*) FILTER ({_ACTIVE}) AS active_actionable_findings,
+  count(*) FILTER ({_ACTIVE} AND overdue) AS overdue_active_findings, count(*) FILTER (state = 'accepted_risk') AS accepted_risk_findings,
+  count(*) FILTER (state = 'closed_remediated') AS closed_remediated_findings, round(avg(detection_to_ticket_minutes), 6) AS mean_detection_to_ticket_minutes FROM v_portfolio"""
+SQL["portfolio_breakdown"] = _ctes("v_portfolio") + " UNION ALL ".join(
+    f"SELECT '{d}' AS dimension, {d} AS value, count(*) AS active FROM v_portfolio WHERE {_ACTIVE} GROUP BY {d}" for d in ("priority", "environment", "region")
+) + " UNION ALL SELECT 'priority', 'P4', 0"
+_SCOPED = "(SELECT * FROM (SELECT *, unnest(string_split(scopes, ',')) AS framework FROM v_portfolio) x WHERE framework <> '') s"
+SQL["audit_report"] = _ctes("v_portfolio") + f"""SELECT framework, count(*) AS total_findings, count(*) FILTER ({_ACTIVE}) AS active_actionable, count(*) FILTER ({_ACTIVE} AND overdue) AS overdue,
+  count(*) FILTER (state = 'accepted_risk') AS accepted_risk, count(*) FILTER (state = 'closed_remediated') AS closed_remediated,
+  count(coalesce(ticket_id, exception_id)) AS evidence_rows FROM {_SCOPED} GROUP BY framework"""
+SQL["audit_evidence"] = _ctes("v_portfolio") + f"""SELECT framework, concat(finding_id, ':', coalesce(ticket_id, exception_id)) AS evidence_ref
+  FROM {_SCOPED} WHERE coalesce(ticket_id, exception_id) IS NOT NULL"""
+
+# --- Provisioning -----------------------------------------------------------------------------
+
+_WANTED = "SELECT pool_id, intent_no, port, '{0}' AS platform FROM v_intents w WHERE intent_status = 'active' AND lifecycle_state = 'approved' AND NOT EXISTS (SELECT 1 FROM v_intents r WHERE r.{1} AND r.pool_id = w.pool_id AND r.port = w.port)"
+SQL["rule_gap"] = _ctes("v_intents") + _WANTED.format("label", "has_label_rule") + " UNION ALL " + _WANTED.format("firewall", "has_firewall_rule")
+SQL["provision_decision"] = _ctes("v_intents") + """SELECT pool_id, decision, CASE decision
+    WHEN 'BLOCK' THEN CASE WHEN not_approved THEN 'POOL_OR_INTENT_NOT_APPROVED' WHEN ip IS NULL THEN 'MISSING_SERVER_IP' ELSE 'INTENT_DISABLED_OR_OVERBROAD' END
+    WHEN 'DEFER' THEN 'ILLUMIO_VEN_OFFLINE' WHEN 'MANUAL_REVIEW' THEN 'EXPLICIT_DENY_CONFLICT' WHEN 'CREATE_FIREWALL_ONLY' THEN 'FIREWALL_STATE_MISSING'
+    WHEN 'CREATE_ILLUMIO_ONLY' THEN 'ILLUMIO_STATE_MISSING' WHEN 'NO_CHANGE' THEN 'DESIRED_STATE_ALREADY_PRESENT'
+    ELSE CASE WHEN intents > 1 THEN 'MULTIPLE_APPROVED_INTENTS_NOT_PROVISIONED' ELSE 'APPROVED_INTENT_NOT_PROVISIONED' END END AS reason_code, intents
+  FROM (SELECT *, CASE WHEN not_approved OR ip IS NULL OR unsafe THEN 'BLOCK' WHEN offline THEN 'DEFER' WHEN denied THEN 'MANUAL_REVIEW' WHEN no_label AND no_fw THEN 'CREATE_BOTH'
+    WHEN no_fw THEN 'CREATE_FIREWALL_ONLY' WHEN no_label THEN 'CREATE_ILLUMIO_ONLY' ELSE 'NO_CHANGE' END AS decision
+    FROM (SELECT pool_id, bool_or(lifecycle_state <> 'approved') AS not_approved, max(ip_address) AS ip, bool_or(intent_status = 'disabled') AS unsafe, bool_or(agent_offline) AS offline,
+      bool_or(explicit_deny) AS denied, bool_or(NOT has_label_rule) AS no_label, bool_or(NOT has_firewall_rule) AS no_fw, count(*) AS intents FROM v_intents GROUP BY pool_id) g) d"""
+SQL["endpoint_rules"] = """SELECT concat('auto-INT-', CAST(l_orderkey AS string), '-', CAST(l_linenumber AS string)) AS name,
+  CASE l_linenumber % 5 WHEN 0 THEN concat('ag-', lower(s_name), '-api-prod') WHEN 1 THEN concat('ag-', p_brand) WHEN 2 THEN 'ag-data-prod' WHEN 3 THEN '10.0.0.0/8'
+    ELSE concat('10.0.0.', CAST(l_suppkey AS string)) END AS destination, concat('tcp/', CAST(l_partkey AS string)) AS services,
+  CASE l_linenumber % 5 WHEN 0 THEN concat('app=', lower(s_name), ',env=prod,role=api') WHEN 1 THEN concat('app=', p_brand) WHEN 3 THEN NULL ELSE 'env=prod' END AS providers
+  FROM lineitem JOIN part ON l_partkey = p_partkey LEFT JOIN supplier ON l_suppkey = s_suppkey"""
+
+# --- Privileged access ------------------------------------------------------------------------
+
+_OBJECTS = """, objects AS (SELECT q.*, r.authorized_safe_id, r.is_admin, r.authentication_level, a.safe_id, a.username, a.status,
+  r.is_admin OR r.authorized_safe_id = a.safe_id AS visible FROM v_access_requests q JOIN v_requesters r ON q.user_id = r.user_id JOIN v_accounts a ON q.account_id = a.account_id)
+"""
+_ACCESS = _ctes("v_access_requests", "v_requesters", "v_accounts", "v_memberships").rstrip() + _OBJECTS
+SQL["authorised_accounts"] = _ACCESS + "SELECT DISTINCT request_id, account_id, safe_id, username, status FROM objects WHERE visible"
+SQL["withheld_objects"] = _ACCESS + "SELECT DISTINCT request_id, account_id FROM objects WHERE NOT visible"
+SQL["access_decision"] = _ACCESS + """SELECT request_id, matched, visible_matches, decision, reason_code FROM (
+  SELECT *, CASE reason_code WHEN 'SECRET_DISCLOSURE_PROHIBITED' THEN 'DENY' WHEN 'STEP_UP_AUTHENTICATION_REQUIRED' THEN 'DENY' WHEN 'SAFE_NOT_AUTHORIZED' THEN 'DENY'
+    WHEN 'MULTIPLE_ASSET_OR_ACCOUNT_MATCHES' THEN 'CLARIFY' WHEN 'PROMPT_INJECTION_IGNORED' THEN 'PARTIAL' WHEN 'AUTHORIZED_METADATA_SECRET_REDACTED' THEN 'PARTIAL' ELSE 'ANSWER' END AS decision
+  FROM (SELECT *, CASE WHEN intent = 'GET_SECRET' THEN 'SECRET_DISCLOSURE_PROHIBITED' WHEN intent = 'GET_CREDENTIAL_METADATA' AND auth = 'sso' THEN 'STEP_UP_AUTHENTICATION_REQUIRED'
+    WHEN visible_matches = 0 THEN 'SAFE_NOT_AUTHORIZED' WHEN intent = 'GET_CREDENTIAL_METADATA' AND accounts > 1 THEN 'MULTIPLE_ASSET_OR_ACCOUNT_MATCHES'
+    WHEN request_id % 19 = 0 THEN 'PROMPT_INJECTION_IGNORED' WHEN intent = 'GET_CREDENTIAL_METADATA' AND masked > 0 THEN 'AUTHORIZED_METADATA_SECRET_REDACTED'
+    WHEN is_admin THEN 'ADMIN_ACCOUNT_MATCHES' ELSE 'AUTHORIZED_ACCOUNT_MATCHES' END AS reason_code
+  FROM (SELECT request_id, min(intent) AS intent, bool_or(is_admin) AS is_admin, min(authentication_level) AS auth, count(*) AS matched, count(*) FILTER (visible) AS visible_matches,
+    count(*) FILTER (visible AND status = 'active') AS masked, count(DISTINCT account_id) FILTER (visible) AS accounts FROM objects GROUP BY request_id) g) h) i"""
+SQL["effective_permissions"] = _ACCESS + """SELECT user_id, safe_id, string_agg(DISTINCT permission, ',' ORDER BY permission) AS permissions,
+  coalesce(string_agg(DISTINCT CASE WHEN principal LIKE 'group-%' THEN principal END, ',' ORDER BY CASE WHEN principal LIKE 'group-%' THEN principal END), '') AS inherited_from
+  FROM (SELECT DISTINCT user_id, o.safe_id, concat('group-', CAST(n_regionkey AS string)) AS grp FROM objects o JOIN nation ON authorized_safe_id = n_nationkey) a
+  JOIN v_memberships m USING (safe_id) WHERE m.principal = concat('user-', CAST(user_id AS string)) OR m.principal = grp GROUP BY user_id, safe_id"""
+SQL["safe_review"] = _ctes("v_memberships") + "SELECT safe_id, principal, string_agg(DISTINCT permission, ',' ORDER BY permission) AS permissions FROM v_memberships GROUP BY 1, 2"
+SQL["unapproved_grants"] = _ctes("v_memberships") + "SELECT safe_id, principal FROM v_memberships WHERE permission = 'manage_safe' AND length(principal) % 2 = 1"
+
+# --- Knowledge base and requests --------------------------------------------------------------
+
+_PUBLISHED = "status = 'published' AND effective_from <= TIMESTAMP '2024-01-31 00:00:00'"
+SQL["published_documents"] = _ctes("v_knowledge") + f"SELECT doc_id, status, scopes FROM v_knowledge WHERE {_PUBLISHED}"
+_KB_RANKED = _RANKED.replace(_DOC, "concat(title, ' ', content)").replace(" FROM documents)", " FROM kb)")
+_KB_RANKED = _KB_RANKED.replace("FROM pairs WHERE score > 0", """FROM (SELECT p.* FROM pairs p JOIN kb USING (doc_id)
+  WHERE list_contains(string_split(scopes, ','), 'all-authenticated') OR list_contains(string_split(scopes, ','), CASE WHEN item_id % 2 = 0 THEN 'en' ELSE 'src2' END)) v WHERE score > 0""")
+SQL["authorised_retrieval"] = _ctes("v_knowledge").rstrip() + f", kb AS (SELECT * FROM v_knowledge WHERE {_PUBLISHED}), {_KB_RANKED} SELECT item_id, doc_id, score, rank FROM ranked WHERE rank <= 5"
+_VERBATIM = "SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text))"
+SQL["verbatim_passages"] = _VERBATIM
+SQL["citation_quality"] = f"""WITH {_RANKED}, returned AS (SELECT item_id, doc_id FROM ranked WHERE rank <= 5), expected AS ({_VERBATIM})
+SELECT item_id, returned, expected, hits, round(CASE WHEN returned > 0 THEN hits / returned END, 6) AS precision, round(CASE WHEN expected > 0 THEN hits / expected END, 6) AS recall
+FROM (SELECT coalesce(r.item_id, e.item_id) AS item_id, count(r.doc_id) AS returned, count(e.doc_id) AS expected, count(*) FILTER (r.doc_id IS NOT NULL AND e.doc_id IS NOT NULL) AS hits
+  FROM returned r FULL JOIN expected e ON r.item_id = e.item_id AND r.doc_id = e.doc_id GROUP BY 1) c"""
+SQL["recurring_incidents"] = _ctes("v_incidents") + """SELECT c.service_id, CAST(c.opened_at AS string) AS opened_at, c.in_window, n.n_name AS problem_id, n.n_name IS NULL AS create_new_problem
+  FROM (SELECT DISTINCT service_id, opened_at, count(*) OVER (PARTITION BY service_id, symptom ORDER BY opened_at RANGE BETWEEN INTERVAL 3 DAY PRECEDING AND CURRENT ROW) AS in_window FROM v_incidents) c
+  LEFT JOIN nation n ON c.service_id = n.n_nationkey * 2 WHERE c.in_window >= 3"""
+SQL["request_lifecycle"] = _ctes("v_requests") + """SELECT request_id, seq, state, CAST(next_at AS string) AS next_at, date_sub('microsecond', at, next_at) // 1000000 AS seconds_in_state
+  FROM (SELECT *, lead(at) OVER (PARTITION BY request_id ORDER BY at, seq) AS next_at FROM v_requests) t"""
+SQL["request_latest_state"] = _ctes("v_requests") + """SELECT request_id, CAST(at AS string) AS at, state, seq FROM v_requests
+  QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY at DESC, seq DESC) = 1"""
+SQL["missing_fields"] = _ctes("v_service_requests") + """SELECT number, array_to_string(list_filter([CASE WHEN server_id IS NULL THEN 'server_id' END, CASE WHEN destinations = '' THEN 'destination_fqdns' END,
+  CASE WHEN business_justification = '' THEN 'business_justification' END, CASE WHEN expires_at IS NULL THEN 'expires_at' END], lambda x: x IS NOT NULL), ',') AS missing FROM v_service_requests"""
+SQL["request_decision"] = _ctes("v_service_requests") + """SELECT number, CASE WHEN reason_code IN ('AUTHORIZED_REQUEST_STATUS', 'AUTHORIZED_ON_HOLD_STATUS_WITH_NEXT_STEP') THEN 'SHOW_STATUS'
+    WHEN reason_code = 'SERVER_BROWSING_REQUIRED_FIELDS_MISSING' THEN 'CLARIFY' WHEN reason_code LIKE 'COMPLETE%' THEN 'CREATE_REQUEST' ELSE 'DENY' END AS decision, reason_code,
+    coalesce(environment = 'prod' AND expires_at - requested_start > INTERVAL 30 DAY, false) AS needs_risk_owner
+  FROM (SELECT *, CASE WHEN environment = 'prod' AND NOT (number % 2 = 0 OR application_id = concat('APP-', CAST(number % 25 AS string))) THEN 'SERVICENOW_RECORD_OUTSIDE_REQUESTER_SCOPE'
+    WHEN environment = 'prod' THEN CASE WHEN number % 3 = 0 THEN 'AUTHORIZED_ON_HOLD_STATUS_WITH_NEXT_STEP' ELSE 'AUTHORIZED_REQUEST_STATUS' END
+    WHEN number % 23 = 0 THEN 'RETIRED_PROMPT_INJECTION_DOCUMENT_FILTERED' WHEN destinations = '*' OR port_list = 'any' OR expires_at IS NULL THEN 'PROHIBITED_OVERBROAD_NETWORK_EXCEPTION'
+    WHEN server_id IS NULL OR destinations = '' OR business_justification = '' THEN 'SERVER_BROWSING_REQUIRED_FIELDS_MISSING'
+    WHEN request_type = 'server_browsing_exception' THEN 'COMPLETE_BOUNDED_SERVER_BROWSING_REQUEST' ELSE 'COMPLETE_REQIWAV_REQUEST' END AS reason_code FROM v_service_requests) t"""
+SQL["incident_links"] = _ctes("v_incidents") + """SELECT number, q.n_name AS request_state, CASE WHEN p.n_nationkey IS NOT NULL THEN 'Known Error' END AS problem_state, p.n_name AS workaround_document_id
+  FROM v_incidents i LEFT JOIN nation q ON i.service_id = q.n_nationkey AND q.n_nationkey % 2 = 0 LEFT JOIN nation p ON i.service_id = p.n_nationkey AND i.service_id > 4"""
+
+# --- Job graphs -------------------------------------------------------------------------------
+
+_PARENTS = {1: (), 2: (1,), 3: (1,), 4: (2, 3), 5: (4,), 6: (5,), 7: (5,)}
+
+
+def _best(ps: tuple, of: str) -> str:
+    text = f"p{ps[0]}.{of}"
+    return f"CASE WHEN p{ps[1]}.elapsed > p{ps[0]}.elapsed THEN p{ps[1]}.{of} ELSE {text} END" if len(ps) > 1 else text
+
+
+def _job_cte(job: int) -> str:
+    ps = _PARENTS[job]
+    joins = " ".join(f"JOIN j{p} p{p} ON r.region_run_id = p{p}.region_run_id" for p in ps)
+    blocked = "concat_ws(','" + "".join(f", CASE WHEN p{p}.status <> 'SUCCESS' THEN '{p}' END" for p in ps) + ", NULL)" if ps else "''"
+    eligible = f"greatest(0, {', '.join(f'p{p}.end_' for p in ps)})" if ps else "0"
+    elapsed = f"greatest({', '.join(f'p{p}.elapsed' for p in ps)}, 0)" if ps else "0"
+    path = f"concat({_best(ps, 'path')}, '>{job}')" if ps else f"'{job}'"
+    return f"""j{job} AS (SELECT *, CASE WHEN blocked_by <> '' THEN 'BLOCKED' ELSE own_status END AS status,
+      CASE WHEN blocked_by = '' THEN e END AS eligible, CASE WHEN blocked_by = '' THEN e + queue_wait_seconds + duration_seconds END AS end_,
+      CASE WHEN blocked_by = '' THEN l + queue_wait_seconds + duration_seconds ELSE 0 END AS elapsed, CASE WHEN blocked_by = '' THEN w ELSE '{job}' END AS path
+      FROM (SELECT r.*, {blocked} AS blocked_by, {eligible} AS e, {elapsed} AS l, {path} AS w FROM v_runs r {joins} WHERE r.job_no = {job}) x)"""
+
+
+_COMMANDS = _ctes("v_runs", "v_edges").rstrip() + ",\n" + ",\n".join(_job_cte(j) for j in _PARENTS) + ",\ncmds AS (" + " UNION ALL ".join(
+    f"SELECT region_run_id, job_no, region, scheduled_start, dataset_split, status, blocked_by, eligible, eligible + queue_wait_seconds AS start_, end_, "
+    f"CASE WHEN eligible IS NOT NULL THEN duration_seconds END AS dur, CASE WHEN eligible IS NOT NULL THEN retry_count ELSE 0 END AS retry, elapsed, path FROM j{j}" for j in _PARENTS
+) + ")\n"
+_BOXES = _COMMANDS.rstrip() + """,
+boxes0 AS (SELECT region_run_id, min(region) AS region, min(scheduled_start) AS scheduled_start, min(dataset_split) AS dataset_split,
+  CASE WHEN count(*) FILTER (job_no IN (6, 7) AND status = 'SUCCESS') = 2 THEN 'SUCCESS' ELSE 'FAILED' END AS status,
+  count(*) FILTER (status = 'SUCCESS') AS ok, count(*) FILTER (status = 'FAILED') AS failed, count(*) FILTER (status = 'BLOCKED') AS blocked, CAST(sum(retry) AS BIGINT) AS retries,
+  max(end_) AS box_seconds, max(end_) FILTER (job_no = 5 AND status = 'SUCCESS') AS delivery FROM cmds GROUP BY region_run_id),
+ends AS (SELECT c.region_run_id, c.path FROM cmds c JOIN boxes0 b ON c.region_run_id = b.region_run_id
+  WHERE CASE WHEN b.status = 'SUCCESS' THEN c.job_no IN (6, 7) ELSE c.status = 'FAILED' END QUALIFY row_number() OVER (PARTITION BY c.region_run_id ORDER BY c.elapsed DESC, c.job_no) = 1),
+boxes AS (SELECT b.*, coalesce(delivery <= 6000, false) AS met, e.path FROM boxes0 b LEFT JOIN ends e ON b.region_run_id = e.region_run_id)
+"""
+_STAGES = (("INIT", ""), ("EXTRACT_TRANSACTIONS", "INIT"), ("EXTRACT_REFERENCE", "INIT"), ("EXTRACT_CUSTOMERS", "INIT"), ("VALIDATE_TRANSACTIONS", "EXTRACT_TRANSACTIONS"),
+           ("ENRICH_DATA", "VALIDATE_TRANSACTIONS,EXTRACT_REFERENCE,EXTRACT_CUSTOMERS"), ("BUILD_REPORT", "ENRICH_DATA"), ("PUBLISH_REPORT", "BUILD_REPORT"),
+           ("ARCHIVE", "PUBLISH_REPORT"), ("SEND_STATUS", "PUBLISH_REPORT"))
+_MINUTES = (4, 36, 12, 20, 16, 25, 32, 8, 10, 3)
+_STAGE_ROWS = ", ".join(f"('{n}', '{d}', {m}, {str(m in (36, 20, 16, 25, 32, 10)).lower()})" for (n, d), m in zip(_STAGES, _MINUTES))
+SQL["job_catalogue"] = f"""SELECT concat('CMD_', s_suppkey, '_', name) AS job_name, 'CMD' AS job_type, concat('BOX_SOD_', s_suppkey, '_REPORTS') AS box_name, CAST(s_suppkey AS string) AS region,
+  array_to_string(list_transform(list_filter(string_split(needs, ','), lambda n: n <> ''), lambda n: concat('CMD_', s_suppkey, '_', n)), ',') AS dependencies, minutes AS base_duration_minutes,
+  sensitive AS volume_sensitive, name = 'PUBLISH_REPORT' AS delivery_milestone, name IN ('ARCHIVE', 'SEND_STATUS') AS terminal_for_box
+  FROM supplier CROSS JOIN (VALUES {_STAGE_ROWS}) t(name, needs, minutes, sensitive)
+  UNION ALL SELECT concat('BOX_SOD_', s_suppkey, '_REPORTS'), 'BOX', NULL, CAST(s_suppkey AS string), '', NULL, NULL, NULL, NULL FROM supplier"""
+SQL["referential_integrity"] = _ctes("v_assets") + """SELECT child, parent FROM (SELECT DISTINCT l_suppkey AS child, l_partkey % 100 + 1 AS parent FROM lineitem) e
+  WHERE child NOT IN (SELECT asset_id FROM v_assets) OR parent NOT IN (SELECT asset_id FROM v_assets)"""
+SQL["topo_levels"] = _ctes("v_runs") + """SELECT concat(CAST(region_run_id AS string), ':', CAST(job_no AS string)) AS node, CASE job_no WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 3 THEN 1 WHEN 4 THEN 2 WHEN 5 THEN 3 ELSE 4 END AS level FROM v_runs"""
+SQL["run_timeline"] = _COMMANDS + "SELECT region_run_id, job_no, status, blocked_by, eligible AS eligible_seconds, start_ AS start_seconds, end_ AS end_seconds, dur AS duration_seconds, elapsed AS elapsed_seconds, path FROM cmds"
+SQL["blocked_jobs"] = _COMMANDS + "SELECT region_run_id, job_no, blocked_by FROM cmds WHERE status = 'BLOCKED'"
+SQL["predecessor_outcomes"] = _COMMANDS + """SELECT c.job_no, e.parent_no, c.status, p.status AS parent_status, count(*) AS runs FROM cmds c JOIN v_edges e ON c.job_no = e.job_no
+  JOIN cmds p ON p.region_run_id = c.region_run_id AND p.job_no = e.parent_no GROUP BY ALL"""
+SQL["critical_path"] = _BOXES + "SELECT region_run_id, status, path AS critical_path_jobs FROM boxes"
+SQL["box_rollup"] = _BOXES + """SELECT region_run_id, status, ok AS successful_cmd_count, failed AS failed_cmd_count, blocked AS blocked_cmd_count, retries AS total_retry_count,
+  box_seconds AS box_duration_seconds, delivery AS delivery_duration_seconds, met AS delivery_sla_met FROM boxes"""
+SQL["runs_with_box"] = _BOXES + "SELECT c.job_no, c.status, b.status AS box_status, count(*) AS runs FROM cmds c JOIN boxes b ON c.region_run_id = b.region_run_id GROUP BY ALL"
+SQL["sla_report"] = _BOXES + """SELECT region, dataset_split, count(*) AS boxes, count(*) FILTER (met) AS met, count(delivery) AS delivered,
+  CAST(max(scheduled_start + INTERVAL 1 SECOND * delivery) AS string) AS last_delivery, round(avg(delivery), 4) AS mean_seconds FROM boxes GROUP BY ALL"""
+_Q = _COMMANDS.rstrip() + """,
+q AS (SELECT region, job_no, count(*) AS runs, quantile_cont(dur, 0.5) AS p50, quantile_cont(dur, 0.9) AS p90 FROM cmds WHERE dataset_split = 'train' AND status = 'SUCCESS' GROUP BY ALL)
+"""
+SQL["duration_quantiles"] = _Q + "SELECT * FROM q"
+SQL["failure_rate"] = _COMMANDS + """SELECT region, job_no, count(*) AS runs, round(avg(CASE WHEN status = 'FAILED' THEN 1.0 ELSE 0.0 END), 6) AS failure_rate,
+  round(avg(CASE WHEN retry > 0 THEN 1.0 ELSE 0.0 END), 6) AS retry_rate FROM cmds WHERE dataset_split = 'train' AND status <> 'BLOCKED' GROUP BY ALL"""
+SQL["eta_backtest"] = _Q + """SELECT c.region, c.job_no, count(*) AS runs, round(avg(abs(dur - p50)), 4) AS mean_absolute_error, round(avg(CASE WHEN dur <= p90 THEN 1.0 ELSE 0.0 END), 6) AS p90_coverage
+  FROM cmds c JOIN q ON c.region = q.region AND c.job_no = q.job_no WHERE dataset_split = 'evaluation' AND status = 'SUCCESS' GROUP BY ALL"""
+SQL["rolling_duration"] = _ctes("v_runs") + """SELECT region_run_id, job_no, round(avg(duration_seconds) OVER (PARTITION BY job_no ORDER BY scheduled_start, region_run_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 6) AS recent_mean FROM v_runs"""
+_SNAP = _Q.rstrip() + """,
+newest AS (SELECT region, arg_max(region_run_id, (scheduled_start, region_run_id)) AS region_run_id FROM cmds WHERE dataset_split = 'evaluation' GROUP BY region),
+snap AS (SELECT c.region, c.job_no, CASE WHEN end_ <= 4000 THEN c.status WHEN start_ <= 4000 THEN 'RUNNING' ELSE 'WAITING' END AS status, end_, 4000 - start_ AS spent
+  FROM cmds c JOIN newest n ON c.region_run_id = n.region_run_id),
+rest AS (SELECT s.region, s.job_no, s.spent AS elapsed_seconds, coalesce(quantile_cont(c.dur, 0.5) - s.spent, 0.0) AS remaining_p50, coalesce(quantile_cont(c.dur, 0.9) - s.spent, 0.0) AS remaining_p90
+  FROM snap s LEFT JOIN cmds c ON c.region = s.region AND c.job_no = s.job_no AND c.dataset_split = 'train' AND c.status = 'SUCCESS' AND c.dur > s.spent
+  WHERE s.status = 'RUNNING' GROUP BY s.region, s.job_no, s.spent)
+"""
+SQL["remaining_time"] = _SNAP + "SELECT * FROM rest"
+
+
+def _eta_cte(job: int) -> str:
+    ps = _PARENTS[job]
+    joins = " ".join(f"JOIN t{p} p{p} ON g.region = p{p}.region" for p in ps)
+    halted = " OR ".join(["coalesce(s.status IN ('FAILED', 'BLOCKED'), false)"] + [f"p{p}.halted" for p in ps])
+    start = {q: f"greatest(4000, {', '.join(f'p{p}.{q}' for p in ps)})" if ps else "4000" for q in ("a", "b")}
+    ends = ", ".join(
+        f"CASE WHEN NOT ({halted}) THEN CASE s.status WHEN 'SUCCESS' THEN s.end_ WHEN 'RUNNING' THEN 4000 + r.remaining_{p} ELSE {start[q]} + q.{p} END END AS {q}"
+        for q, p in (("a", "p50"), ("b", "p90"))
+    )
+    return f"""t{job} AS (SELECT g.region, s.status, ({halted}) AS halted, {ends} FROM (SELECT DISTINCT region FROM q) g {joins}
+      LEFT JOIN snap s ON g.region = s.region AND s.job_no = {job} LEFT JOIN rest r ON g.region = r.region AND r.job_no = {job} LEFT JOIN q ON g.region = q.region AND q.job_no = {job})"""
+
+
+_ANY = " OR ".join("coalesce(t{0}.status = '{{0}}', false)".format(j) for j in _PARENTS)
+_FIRST = "CASE " + " ".join("WHEN t{0}.status = '{{0}}' THEN '{0}'".format(j) for j in _PARENTS) + " END"
+SQL["live_eta"] = _SNAP.rstrip() + ",\n" + ",\n".join(_eta_cte(j) for j in _PARENTS) + f"""
+SELECT *, CASE WHEN delivery_p50_seconds IS NULL OR delivery_p50_seconds > 6000 THEN 'breach' WHEN delivery_p90_seconds > 6000 THEN 'at_risk' ELSE 'on_track' END AS sla_risk FROM (
+SELECT t1.region, CASE WHEN coalesce(t6.status = 'SUCCESS' AND t7.status = 'SUCCESS', false) THEN 'complete' WHEN {_ANY.format('FAILED')} THEN 'failed' WHEN {_ANY.format('BLOCKED')} THEN 'blocked'
+    WHEN {_ANY.format('RUNNING')} THEN 'running' WHEN {_ANY.format('SUCCESS')} THEN 'waiting' ELSE 'not_started' END AS status,
+  CASE WHEN NOT coalesce(t6.status = 'SUCCESS' AND t7.status = 'SUCCESS', false) THEN coalesce({_FIRST.format('FAILED')},
+    (SELECT CAST(job AS string) FROM (VALUES {', '.join(f"({j}, t{j}.status, t{j}.a)" for j in _PARENTS)}) w(job, st, a) WHERE st = 'RUNNING' ORDER BY a DESC, job LIMIT 1),
+    {_FIRST.format('WAITING')}) END AS blocking_job,
+  t5.a AS delivery_p50_seconds, t5.b AS delivery_p90_seconds, CASE WHEN t6.a IS NOT NULL AND t7.a IS NOT NULL THEN greatest(t6.a, t7.a) END AS box_p50_seconds,
+  CASE WHEN t6.b IS NOT NULL AND t7.b IS NOT NULL THEN greatest(t6.b, t7.b) END AS box_p90_seconds
+FROM t1 {' '.join(f'JOIN t{j} ON t1.region = t{j}.region' for j in list(_PARENTS)[1:])}) z"""
+SQL["business_days"] = """SELECT CAST(CAST(d AS DATE) AS string) AS day, dayname(d) AS weekday, dayofweek(d) = 1 AS is_monday, dayofweek(d) = 5 AS is_friday
+  FROM (SELECT unnest(generate_series(CAST(min(o_orderdate) AS DATE), CAST(max(o_orderdate) AS DATE), INTERVAL 1 DAY)) AS d FROM orders) t WHERE dayofweek(d) BETWEEN 1 AND 5"""
+SQL["holiday_runs"] = """WITH days AS (SELECT o_orderpriority AS region, CAST(o_orderdate AS DATE) AS d, o_totalprice FROM orders WHERE dayofweek(o_orderdate) BETWEEN 1 AND 5),
+hol AS (SELECT region, year(d) AS y, max(d) AS d FROM days GROUP BY ALL)
+SELECT days.region, hol.d IS NOT NULL AS is_regional_holiday, count(*) AS runs, round(sum(o_totalprice), 2) AS volume FROM days LEFT JOIN hol ON days.region = hol.region AND days.d = hol.d GROUP BY ALL"""
+_LATEST = "SELECT * FROM events WHERE event_type = '{}' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"
+SQL["state_overlay"] = f"""SELECT b.user_id, CASE WHEN p.user_id IS NOT NULL THEN p.event_type ELSE b.event_type END AS event_type,
+  CASE WHEN p.user_id IS NOT NULL THEN CASE WHEN p.value > 20 THEN p.value END ELSE b.value END AS value, CAST(b.ts AS string) AS ts
+  FROM ({_LATEST.format('view')}) b LEFT JOIN ({_LATEST.format('error')}) p ON b.user_id = p.user_id"""
+SQL["snapshot_replicas"] = """SELECT user_id, event_type, day_offset, CAST(ts + INTERVAL 1 DAY * day_offset AS string) AS ts
+  FROM (SELECT *, unnest([0, 1, 2, 3, 4]) AS day_offset FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) e) r"""
+SQL["latest_state"] = """SELECT user_id, CAST(ts AS string) AS ts, event_type, value FROM events WHERE ts <= TIMESTAMP '2024-01-15 12:00:00'
+  QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"""

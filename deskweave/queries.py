@@ -17,6 +17,12 @@ from deskweave.operators import ingest as I
 from deskweave.operators import ordering as O
 from deskweave.operators import report as P
 from deskweave.operators import retrieve as T
+from deskweave.operators import timeline as L
+from deskweave.plans import access as A
+from deskweave.plans import jobs as J
+from deskweave.plans import knowledge as K
+from deskweave.plans import provisioning as G
+from deskweave.plans import vulnerability as V
 from deskweave.sources import stores as S
 from deskweave.sources.tables import KEY_REPAIR_INPUT, predictions_view, relation, table, view
 
@@ -356,3 +362,497 @@ def uncached_rows(spark, sf):
     columns = ["number", "short_description", "priority"]
     cache = answered.select(S.row_key(columns, "rules-v1").alias("cache_key"))
     return S.uncached(truth, cache, columns, "rules-v1").select("number", "priority")
+
+
+# --- Vulnerability policy ---------------------------------------------------------------------
+
+
+def _assessed(spark, sf):
+    return V.assessed(V.matched_assets(view(spark, sf, "v_findings"), view(spark, sf, "v_assets")))
+
+
+def _finding_decisions(spark, sf):
+    findings = V.with_exceptions(_assessed(spark, sf), view(spark, sf, "v_exceptions"))
+    seen = V.newest_evidence(
+        findings.withColumn("seen_at", F.col("observed_at").try_cast("timestamp")), view(spark, sf, "v_inventory"),
+        ["asset_id"], "seen_at", "collected_at", "version",
+    )
+    first = _assessed(spark, sf).where("canonical_finding_id IS NOT NULL").groupBy("canonical_finding_id").agg(
+        F.min("received_at").alias("first_received_at")
+    )
+    rows = seen.join(first, "canonical_finding_id", "left")
+    known = F.coalesce(F.col("received_at") > F.col("first_received_at"), F.lit(False))
+    return V.decided(
+        rows.withColumn("malformed", V.malformed(rows.columns))
+        .withColumn("fixed_in_inventory", F.col("newer_evidence") & (F.col("evidence_version") > 40))
+        .withColumn("known_finding", known)
+        .withColumn("overdue", known & (F.col("priority") == "P1") & (F.col("due_at") < F.lit("1996-01-01").cast("timestamp")))
+        .withColumn("no_fix", ~F.col("fix_available") & F.col("known_exploited"))
+    )
+
+
+@query
+def asset_match(spark, sf):
+    found = V.matched_assets(view(spark, sf, "v_findings"), view(spark, sf, "v_assets"))
+    return found.select("event_id", "line_no", "asset_ref", "asset_id", "region")
+
+
+@query
+def cve_enrichment(spark, sf):
+    rows = V.enriched(view(spark, sf, "v_findings").select("event_id", "line_no", "vulnerability_id"), view(spark, sf, "v_advisories"))
+    return rows.select("event_id", "line_no", "vulnerability_id", "epss_rank", "parts")
+
+
+@query
+def exception_match(spark, sf):
+    rows = V.with_exceptions(_assessed(spark, sf), view(spark, sf, "v_exceptions"))
+    return rows.select("event_id", "line_no", "asset_id", "valid_exception", "expired_exception")
+
+
+@query
+def newest_evidence(spark, sf):
+    observed = view(spark, sf, "v_incidents").select("number", (F.col("service_id")).alias("asset_id"), "opened_at")
+    rows = V.newest_evidence(observed, view(spark, sf, "v_inventory"), ["asset_id"], "opened_at", "collected_at", "version")
+    return rows.select("number", "asset_id", "evidence_version", "newer_evidence")
+
+
+@query
+def risk_score(spark, sf):
+    return _assessed(spark, sf).select("event_id", "line_no", "canonical_finding_id", "risk_score", "priority", "sla_hours")
+
+
+@query
+def priority_sla(spark, sf):
+    return _assessed(spark, sf).groupBy("priority").agg(
+        F.count(F.lit(1)).alias("findings"), F.min("due_at").cast("string").alias("first_due"), F.max("due_at").cast("string").alias("last_due")
+    )
+
+
+@query
+def finding_decision(spark, sf):
+    return _finding_decisions(spark, sf).select(
+        "event_id", "line_no", "decision", "dashboard_bucket", "reason_code", "ticket_action", "remediation_action",
+        F.array_join("audit_events", ",").alias("audit_events"),
+    )
+
+
+@query
+def workload_buckets(spark, sf):
+    return V.workload(_finding_decisions(spark, sf))
+
+
+@query
+def dashboard_buckets(spark, sf):
+    return _finding_decisions(spark, sf).groupBy("dashboard_bucket").agg(F.count(F.lit(1)).alias("findings"))
+
+
+@query
+def finding_dedup(spark, sf):
+    return V.deduplicated(_assessed(spark, sf)).withColumn("first_received_at", F.col("first_received_at").cast("string"))
+
+
+@query
+def finding_sources(spark, sf):
+    return V.finding_sources(_assessed(spark, sf))
+
+
+@query
+def quarantine_split(spark, sf):
+    accepted, rejected = V.quarantine_split(view(spark, sf, "v_findings"))
+    rows = accepted.select("scanner_id", F.lit("accepted").alias("side")).unionByName(rejected.select("scanner_id", F.lit("quarantined").alias("side")))
+    return rows.groupBy("side", "scanner_id").agg(F.count(F.lit(1)).alias("findings"))
+
+
+def _portfolio(spark, sf):
+    return view(spark, sf, "v_portfolio").withColumn("compliance_scopes", F.split("scopes", ",")).drop("scopes")
+
+
+@query
+def portfolio_totals(spark, sf):
+    return V.portfolio_totals(_portfolio(spark, sf))
+
+
+@query
+def portfolio_breakdown(spark, sf):
+    return V.portfolio_breakdown(_portfolio(spark, sf))
+
+
+@query
+def audit_report(spark, sf):
+    return V.audit_report(_portfolio(spark, sf))
+
+
+@query
+def audit_evidence(spark, sf):
+    return V.audit_evidence(_portfolio(spark, sf))
+
+
+# --- Provisioning -----------------------------------------------------------------------------
+
+
+@query
+def rule_gap(spark, sf):
+    intents = view(spark, sf, "v_intents")
+    wanted = intents.where("intent_status = 'active' AND lifecycle_state = 'approved'").select("pool_id", "intent_no", "port")
+    labels, firewall = intents.where("has_label_rule"), intents.where("has_firewall_rule")
+    return G.missing_rules(wanted, labels, firewall, ["pool_id", "port"])
+
+
+@query
+def provision_decision(spark, sf):
+    return G.decided(G.event_flags(view(spark, sf, "v_intents"), "pool_id")).select("pool_id", "decision", "reason_code", "intents")
+
+
+@query
+def endpoint_rules(spark, sf):
+    """Flows between a pool and a resolved endpoint, written as firewall rules."""
+    flows = relation(spark, sf, """
+        SELECT concat('INT-', CAST(l_orderkey AS string), '-', CAST(l_linenumber AS string)) AS intent_id, 'tcp' AS protocol, CAST(l_partkey AS int) AS port,
+          concat('10.0.0.', CAST(l_suppkey AS string)) AS own_ip, 'app-prod' AS source_zone, 'data-prod' AS destination_zone, 'data-prod' AS zone,
+          CASE l_linenumber % 5 WHEN 0 THEN concat('pool:', CAST(l_suppkey AS string)) WHEN 1 THEN concat('service:', p_brand) WHEN 2 THEN 'label:env=prod'
+            WHEN 3 THEN 'cidr:10.0.0.0/8' ELSE 'pool:self' END AS endpoint
+        FROM lineitem JOIN part ON l_partkey = p_partkey""").withColumn("own_labels", F.create_map(F.lit("env"), F.lit("prod")))
+    pools = table(spark, sf, "supplier").select(
+        F.col("s_suppkey").alias("pool_id"),
+        F.create_map(F.lit("app"), F.lower("s_name"), F.lit("role"), F.lit("api"), F.lit("env"), F.lit("prod")).alias("labels"),
+    )
+    services = table(spark, sf, "part").select(F.col("p_brand").alias("service")).distinct().select("service", F.create_map(F.lit("app"), F.col("service")).alias("labels"))
+    resolved = G.resolved_endpoints(flows, pools, services).withColumnsRenamed({"labels": "destination_labels", "address": "destination_address"})
+    rules = G.rendered_rules(resolved.withColumn("source_labels", F.col("own_labels")).withColumn("source_address", F.col("own_ip")))
+    return rules.select(
+        F.col("firewall_rule.name").alias("name"), F.array_join("firewall_rule.destination", ",").alias("destination"),
+        F.array_join("firewall_rule.services", ",").alias("services"),
+        F.array_join(F.array_sort(F.transform(F.map_entries("label_rule.providers"), lambda e: F.concat_ws("=", e["key"], e["value"]))), ",").alias("providers"),
+    )
+
+
+# --- Privileged access ------------------------------------------------------------------------
+
+
+def _access_objects(spark, sf):
+    objects = view(spark, sf, "v_access_requests").join(view(spark, sf, "v_requesters"), "user_id").join(view(spark, sf, "v_accounts"), "account_id")
+    safes = F.when(F.col("is_admin"), F.array(F.lit("*"))).otherwise(F.array(F.col("authorized_safe_id").cast("string")))
+    rows = objects.withColumn("authorized_safe_ids", safes).withColumn("secret_present", F.col("status") == "active")
+    return rows.withColumn("visible", A.may_see_safe("authorized_safe_ids", F.col("safe_id").cast("string")))
+
+
+@query
+def authorised_accounts(spark, sf):
+    seen = A.authorised(_access_objects(spark, sf), F.col("visible"))
+    return seen.select("request_id", *A.masked(seen).columns).distinct()
+
+
+@query
+def withheld_objects(spark, sf):
+    return A.withheld_objects(_access_objects(spark, sf)).distinct()
+
+
+@query
+def access_decision(spark, sf):
+    objects = _access_objects(spark, sf)
+    about = objects.groupBy("request_id").agg(F.min("intent").alias("intent"), F.bool_or("is_admin").alias("is_admin"), F.min("authentication_level").alias("authentication_level"))
+    requests = A.request_matches(objects).join(about, "request_id")
+    return A.decided(
+        requests.withColumn("required_level", F.lit("mfa")).withColumn("unapproved_grant", F.lit(False)).withColumn("injected_text", F.col("request_id") % 19 == 0)
+    ).select("request_id", "matched", "visible_matches", "decision", "reason_code")
+
+
+@query
+def effective_permissions(spark, sf):
+    """Permissions of each requester on the safes that the requests ask for."""
+    nations = table(spark, sf, "nation").select(F.col("n_nationkey").alias("authorized_safe_id"), "n_regionkey")
+    asked = _access_objects(spark, sf).select("user_id", "safe_id", "authorized_safe_id").distinct().join(nations, "authorized_safe_id")
+    principals = F.array(F.concat(F.lit("user-"), F.col("user_id").cast("string")), F.concat(F.lit("group-"), F.col("n_regionkey").cast("string")))
+    found = A.effective_permissions(asked.select("user_id", "safe_id", principals.alias("principals")), view(spark, sf, "v_memberships"))
+    return found.select("user_id", "safe_id", F.array_join("effective_permissions", ",").alias("permissions"), F.array_join("inherited_from", ",").alias("inherited_from"))
+
+
+@query
+def safe_review(spark, sf):
+    return A.grants(view(spark, sf, "v_memberships")).select("safe_id", "principal", F.array_join("permissions", ",").alias("permissions"))
+
+
+@query
+def unapproved_grants(spark, sf):
+    members = view(spark, sf, "v_memberships").withColumn("approval_id", F.when(F.length("principal") % 2 == 0, "APR-1"))
+    return A.unapproved_grants(members).select("safe_id", "principal")
+
+
+# --- Knowledge base and requests --------------------------------------------------------------
+
+
+def _knowledge(spark, sf):
+    rows = view(spark, sf, "v_knowledge").withColumn("access_scope", F.split("scopes", ","))
+    return K.published(rows, F.lit("2024-01-31 00:00:00").cast("timestamp"))
+
+
+@query
+def published_documents(spark, sf):
+    return _knowledge(spark, sf).select("doc_id", "status", "scopes")
+
+
+def _authorised_ranking(spark, sf, k):
+    """Ranks only what the asker may read: questions of even items come from group en, others from src2."""
+    docs = _knowledge(spark, sf)
+    asked = table(spark, sf, "benchmark").withColumn("groups", F.array(F.when(F.col("item_id") % 2 == 0, "en").otherwise("src2")))
+    pairs = T.scored_pairs(docs, asked).join(docs.select("doc_id", "access_scope"), "doc_id").join(asked.select("item_id", "groups"), "item_id")
+    return T.top_k(pairs.where(K.in_scope()), k)
+
+
+@query
+def authorised_retrieval(spark, sf):
+    return _authorised_ranking(spark, sf, 5).select("item_id", "doc_id", "score", "rank")
+
+
+@query
+def verbatim_passages(spark, sf):
+    docs, asked = table(spark, sf, "documents"), table(spark, sf, "benchmark")
+    return T.phrase_hits(docs, "doc_id", F.col("text"), asked, "item_id", "text", T._small(asked), phrase=F.lower("text"))
+
+
+@query
+def citation_quality(spark, sf):
+    returned = _ranked(spark, sf, 5).select("item_id", "doc_id")
+    return K.citation_quality(returned, verbatim_passages(spark, sf), "item_id", ["doc_id"])
+
+
+@query
+def recurring_incidents(spark, sf):
+    counts = L.trailing_counts(view(spark, sf, "v_incidents"), ["service_id", "symptom"], "opened_at", 3)
+    problems = table(spark, sf, "nation").select((F.col("n_nationkey") * 2).cast("bigint").alias("service_id"), F.lit("error").alias("symptom"), F.col("n_name").alias("number"))
+    found = K.recurring(counts, problems, ["service_id", "symptom"])
+    return found.select("service_id", F.col("opened_at").cast("string").alias("opened_at"), "in_window", "problem_id", "create_new_problem")
+
+
+@query
+def request_lifecycle(spark, sf):
+    rows = L.with_next_event(view(spark, sf, "v_requests"), "request_id", "at", "seq")
+    return rows.select("request_id", "seq", "state", F.col("next_at").cast("string").alias("next_at"), "seconds_in_state")
+
+
+@query
+def request_latest_state(spark, sf):
+    return L.latest_state(view(spark, sf, "v_requests"), ["request_id"], "at", ["state", "seq"], tie="seq").withColumn("at", F.col("at").cast("string"))
+
+
+def _service_requests(spark, sf):
+    return view(spark, sf, "v_service_requests").withColumn(
+        "destination_fqdns", F.filter(F.split("destinations", ","), lambda d: d != "")
+    ).withColumn("ports", F.split("port_list", ","))
+
+
+@query
+def missing_fields(spark, sf):
+    rows = _service_requests(spark, sf)
+    required = ("server_id", "application_id", "environment", "destination_fqdns", "ports", "business_justification", "requested_start", "expires_at")
+    return rows.select("number", F.array_join(K.missing_fields(rows, required), ",").alias("missing"))
+
+
+@query
+def request_decision(spark, sf):
+    rows = _service_requests(spark, sf)
+    required = ("server_id", "application_id", "destination_fqdns", "business_justification")
+    cases = rows.withColumn("intent", F.when(F.col("environment") == "prod", "GET_REQUEST_STATUS").otherwise("CREATE_REQUEST"))
+    owned = F.array(F.concat(F.lit("APP-"), (F.col("number") % 25).cast("string")))
+    cases = cases.withColumn("user_id", F.when(F.col("number") % 2 == 0, F.col("requested_by")).otherwise(F.lit(-1)))
+    cases = cases.withColumn("record_visible", K.record_visible(owned)).withColumn("record_state", F.when(F.col("number") % 3 == 0, "On Hold").otherwise("Open"))
+    cases = cases.withColumn("cites_retired", F.col("number") % 23 == 0).withColumn("overbroad", K.overbroad()).withColumn("missing", K.missing_fields(cases, required))
+    return K.decided(cases).select("number", "decision", "reason_code", K.needs_risk_owner().alias("needs_risk_owner"))
+
+
+@query
+def incident_links(spark, sf):
+    incidents = view(spark, sf, "v_incidents").select(
+        "number", F.col("service_id").alias("related_request"), F.when(F.col("service_id") > 4, F.col("service_id")).alias("related_problem"))
+    requests = table(spark, sf, "nation").select(F.col("n_nationkey").alias("number"), F.col("n_name").alias("state")).where("number % 2 = 0")
+    problems = table(spark, sf, "nation").select(F.col("n_nationkey").alias("number"), F.lit("Known Error").alias("state"), F.col("n_name").alias("workaround_document_id"))
+    return K.linked_incidents(incidents, requests, problems).select("number", "request_state", "problem_state", "workaround_document_id")
+
+
+# --- Job graphs -------------------------------------------------------------------------------
+
+RUN_GRAPH = J.JobGraph({1: (), 2: (1,), 3: (1,), 4: (2, 3), 5: (4,), 6: (5,), 7: (5,)}, milestone=5, terminals=(6, 7))
+RUN_COLUMNS = ("region", "scheduled_start", "dataset_split")
+SLA_SECONDS = 6000
+
+
+def _outcomes(spark, sf):
+    return J.outcomes(view(spark, sf, "v_runs"), RUN_GRAPH, carry=RUN_COLUMNS)
+
+
+def _commands(spark, sf):
+    return J.command_runs(_outcomes(spark, sf), RUN_GRAPH, carry=RUN_COLUMNS).withColumnRenamed("job", "job_no")
+
+
+def _boxes(spark, sf):
+    return J.box_runs(_outcomes(spark, sf), RUN_GRAPH, SLA_SECONDS, carry=RUN_COLUMNS)
+
+
+@query
+def job_catalogue(spark, sf):
+    rows = J.job_catalogue(table(spark, sf, "supplier"), "s_suppkey")
+    return rows.withColumn("dependencies", F.array_join("dependencies", ","))
+
+
+@query
+def referential_integrity(spark, sf):
+    edges = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("child"), (F.col("l_partkey") % 100 + 1).alias("parent")).distinct()
+    return J.dangling_edges(edges, view(spark, sf, "v_assets"), "asset_id")
+
+
+@query
+def topo_levels(spark, sf):
+    """Levels of all job runs: nodes and edges are rows, whatever the number of runs."""
+    runs = view(spark, sf, "v_runs").select("region_run_id", "job_no")
+    name = F.concat_ws(":", F.col("region_run_id").cast("string"), F.col("job_no").cast("string"))
+    edges = runs.join(view(spark, sf, "v_edges").where("parent_no > 0"), "job_no").select(
+        name.alias("child"), F.concat_ws(":", F.col("region_run_id").cast("string"), F.col("parent_no").cast("string")).alias("parent")
+    )
+    return J.topological_levels(runs.select(name.alias("node")), edges)
+
+
+@query
+def run_timeline(spark, sf):
+    return _commands(spark, sf).select(
+        "region_run_id", "job_no", "status", "blocked_by", "eligible_seconds", "start_seconds", "end_seconds", "duration_seconds", "elapsed_seconds", "path")
+
+
+@query
+def blocked_jobs(spark, sf):
+    return _commands(spark, sf).where("status = 'BLOCKED'").select("region_run_id", "job_no", "blocked_by")
+
+
+@query
+def predecessor_outcomes(spark, sf):
+    """Each job run with the outcome of every predecessor: one equi-join on (run, job)."""
+    runs = _commands(spark, sf).select("region_run_id", "job_no", "status")
+    edges = view(spark, sf, "v_edges").where("parent_no > 0")
+    parents = runs.select("region_run_id", F.col("job_no").alias("parent_no"), F.col("status").alias("parent_status"))
+    return runs.join(F.broadcast(edges), "job_no").join(parents, ["region_run_id", "parent_no"]).groupBy("job_no", "parent_no", "status", "parent_status").agg(F.count(F.lit(1)).alias("runs"))
+
+
+@query
+def critical_path(spark, sf):
+    return _boxes(spark, sf).select("region_run_id", "status", "critical_path_jobs")
+
+
+@query
+def box_rollup(spark, sf):
+    return _boxes(spark, sf).select(
+        "region_run_id", "status", "successful_cmd_count", "failed_cmd_count", "blocked_cmd_count", "total_retry_count", "box_duration_seconds", "delivery_duration_seconds", "delivery_sla_met")
+
+
+@query
+def runs_with_box(spark, sf):
+    """Command runs beside their box: statuses by job."""
+    box = _boxes(spark, sf).select("region_run_id", F.col("status").alias("box_status"))
+    joined = _commands(spark, sf).join(box, "region_run_id")
+    return joined.groupBy("job_no", "status", "box_status").agg(F.count(F.lit(1)).alias("runs"))
+
+
+@query
+def sla_report(spark, sf):
+    boxes = J.with_times(_boxes(spark, sf), "scheduled_start", {"delivery_at": "delivery_duration_seconds"})
+    return boxes.groupBy("region", "dataset_split").agg(
+        F.count(F.lit(1)).alias("boxes"), F.count_if("delivery_sla_met").alias("met"), F.count("delivery_at").alias("delivered"),
+        F.max("delivery_at").cast("string").alias("last_delivery"), F.round(F.avg("delivery_duration_seconds"), 4).alias("mean_seconds"),
+    )
+
+
+KEYS = ["region", "job_no"]
+
+
+def _counts(spark, sf):
+    return J.duration_counts(_commands(spark, sf).where("dataset_split = 'train'"), KEYS)
+
+
+@query
+def duration_quantiles(spark, sf):
+    return J.duration_quantiles(_counts(spark, sf), KEYS)
+
+
+@query
+def failure_rate(spark, sf):
+    return J.failure_rates(_commands(spark, sf).where("dataset_split = 'train'"), KEYS)
+
+
+@query
+def eta_backtest(spark, sf):
+    quantiles = J.duration_quantiles(_counts(spark, sf), KEYS)
+    return J.backtest(_commands(spark, sf).where("dataset_split = 'evaluation'"), quantiles, KEYS)
+
+
+@query
+def rolling_duration(spark, sf):
+    rows = L.rolling_mean(view(spark, sf, "v_runs"), ["job_no"], ["scheduled_start", "region_run_id"], "duration_seconds", 5, "recent_mean")
+    return rows.select("region_run_id", "job_no", F.round("recent_mean", 6).alias("recent_mean"))
+
+
+NOW_SECONDS = 4000
+
+
+def _snapshot(spark, sf):
+    """State of each region's newest evaluation run, a fixed time after its schedule."""
+    runs = _commands(spark, sf).where("dataset_split = 'evaluation'")
+    newest = runs.groupBy("region").agg(F.max(F.struct("scheduled_start", "region_run_id")).alias("_n")).select(F.col("_n.region_run_id").alias("region_run_id"))
+    now = F.lit(NOW_SECONDS)
+    state = (
+        F.when(F.col("end_seconds") <= now, F.col("status")).when(F.col("start_seconds") <= now, "RUNNING").otherwise("WAITING")
+    )
+    rows = runs.join(newest, "region_run_id", "left_semi").withColumn("state", state)
+    return rows.select(
+        *KEYS, F.col("state").alias("status"), F.when(F.col("state").isin("SUCCESS", "FAILED"), F.col("end_seconds")).alias("end_seconds"),
+        F.when(F.col("state") == "RUNNING", now - F.col("start_seconds")).alias("elapsed_seconds"),
+    )
+
+
+@query
+def remaining_time(spark, sf):
+    running = _snapshot(spark, sf).where("status = 'RUNNING'").select(*KEYS, "elapsed_seconds")
+    return J.remaining_time(running, _counts(spark, sf), KEYS)
+
+
+@query
+def live_eta(spark, sf):
+    counts = _counts(spark, sf)
+    snapshot = _snapshot(spark, sf)
+    running = J.remaining_time(snapshot.where("status = 'RUNNING'").select(*KEYS, "elapsed_seconds"), counts, KEYS).drop("elapsed_seconds")
+    states = J.duration_quantiles(counts, KEYS).join(snapshot.drop("elapsed_seconds"), KEYS, "left").join(running, KEYS, "left")
+    return J.live_eta(states.withColumn("now_seconds", F.lit(NOW_SECONDS)).withColumn("sla_seconds", F.lit(SLA_SECONDS)), RUN_GRAPH)
+
+
+@query
+def business_days(spark, sf):
+    bounds = table(spark, sf, "orders").agg(F.min("o_orderdate").alias("a"), F.max("o_orderdate").alias("b"))
+    return J.business_days(bounds, "a", "b").withColumn("day", F.col("day").cast("string"))
+
+
+@query
+def holiday_runs(spark, sf):
+    """Weekday runs and volume on regional holidays (the last weekday of each year in the data)."""
+    runs = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("region"), F.col("o_orderdate").cast("date").alias("business_date"), "o_totalprice")
+    days = runs.where(F.weekday("business_date") < 5)
+    holidays = days.groupBy("region", F.year("business_date").alias("y")).agg(F.max("business_date").alias("business_date")).select("region", "business_date")
+    return J.with_holidays(days, holidays).groupBy("region", "is_regional_holiday").agg(F.count(F.lit(1)).alias("runs"), F.round(F.sum("o_totalprice"), 2).alias("volume"))
+
+
+@query
+def state_overlay(spark, sf):
+    """Newest view per user, replaced by the newest error where there is one."""
+    events = table(spark, sf, "events")
+    base = L.latest_state(events.where("event_type = 'view'"), ["user_id"], "ts", ["event_type", "value"], tie="event_id")
+    patch = L.latest_state(events.where("event_type = 'error'"), ["user_id"], "ts", ["event_type", "value"], tie="event_id")
+    patch = patch.select("user_id", "event_type", F.when(F.col("value") > 20, F.col("value")).alias("value"))
+    return J.overlaid(base, patch, ["user_id"]).select("user_id", "event_type", "value", F.col("ts").cast("string").alias("ts"))
+
+
+@query
+def snapshot_replicas(spark, sf):
+    base = L.latest_state(table(spark, sf, "events"), ["user_id"], "ts", ["event_type"], tie="event_id")
+    return J.replicated(base, (0, 1, 2, 3, 4), ["ts"]).withColumn("ts", F.col("ts").cast("string"))
+
+
+@query
+def latest_state(spark, sf):
+    as_of = F.lit("2024-01-15 12:00:00").cast("timestamp")
+    return L.latest_state(table(spark, sf, "events"), ["user_id"], "ts", ["event_type", "value"], as_of, "event_id").withColumn("ts", F.col("ts").cast("string"))

@@ -66,8 +66,41 @@ VIEWS: dict[str, str] = {
         UNION ALL SELECT n_nationkey, concat('group-', CAST(n_regionkey AS string)), 'use_accounts' FROM nation WHERE n_nationkey % 2 = 0
         UNION ALL SELECT c_nationkey, concat('user-', CAST(c_custkey AS string)), 'manage_safe' FROM customer WHERE c_custkey % 10 = 0""",
     "v_access_requests": """
-        SELECT o_orderkey AS request_id, o_custkey AS user_id, l_suppkey AS account_id, l_linenumber AS place
+        SELECT o_orderkey AS request_id, o_custkey AS user_id, l_suppkey AS account_id,
+          CASE o_orderpriority WHEN '1-URGENT' THEN 'GET_SECRET' WHEN '2-HIGH' THEN 'GET_CREDENTIAL_METADATA' ELSE 'SEARCH_ACCOUNTS' END AS intent
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
+    "v_portfolio": """
+        SELECT concat('F-', CAST(l_orderkey AS string), '-', CAST(l_linenumber AS string)) AS finding_id,
+          CASE WHEN l_returnflag = 'R' THEN 'open' WHEN l_returnflag = 'A' THEN 'closed_remediated' WHEN l_linenumber % 4 = 0 THEN 'accepted_risk'
+            WHEN l_linenumber % 4 = 1 THEN 'remediation_in_progress' WHEN l_linenumber % 4 = 2 THEN 'remediation_pending_verification' ELSE 'false_positive' END AS state,
+          CASE WHEN l_quantity >= 40 THEN 'P1' WHEN l_quantity >= 20 THEN 'P2' ELSE 'P3' END AS priority,
+          CASE l_suppkey % 3 WHEN 0 THEN 'prod' WHEN 1 THEN 'uat' ELSE 'dev' END AS environment, r_name AS region,
+          CASE l_partkey % 4 WHEN 0 THEN 'PCI-DSS' WHEN 1 THEN 'PCI-DSS,SOX' WHEN 2 THEN 'HIPAA' ELSE '' END AS scopes,
+          CASE WHEN l_suppkey % 7 <> 0 THEN concat('T-', CAST(l_orderkey AS string)) END AS ticket_id,
+          CASE WHEN l_returnflag = 'N' AND l_linenumber % 4 = 0 THEN concat('EXC-', CAST(l_suppkey AS string)) END AS exception_id,
+          l_discount > 0.07 AS overdue, CASE WHEN l_suppkey % 7 <> 0 THEN l_partkey % 120 END AS detection_to_ticket_minutes
+        FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
+    "v_inventory": """
+        SELECT user_id AS asset_id, ts AS collected_at, value AS version FROM events WHERE event_type <> 'error'""",
+    "v_advisories": """
+        SELECT concat('CVE-2099-', CAST(10000 + p_partkey % 50 AS string)) AS vulnerability_id, max(p_size) AS epss_rank, count(*) AS parts
+        FROM part WHERE p_partkey % 50 < 45 GROUP BY p_partkey % 50""",
+    "v_knowledge": """
+        SELECT d.doc_id, concat('kb-', CAST(d.doc_id AS string)) AS title, d.text AS content, d.lang, d.source AS owner_group,
+          CASE WHEN l.toxic = 1 THEN 'retired' WHEN l.quality = 1 THEN 'published' WHEN l.quality = 0 THEN 'draft' ELSE 'published' END AS status,
+          TIMESTAMP '2024-01-01 00:00:00' + INTERVAL '1' HOUR * CAST(d.n_chars % 1000 AS int) AS effective_from,
+          CASE WHEN d.source = 'src1' THEN 'all-authenticated' ELSE concat(d.lang, ',', d.source) END AS scopes
+        FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
+    "v_service_requests": """
+        SELECT o_orderkey AS number, CASE WHEN o_orderstatus = 'F' THEN 'server_browsing_exception' ELSE 'REQIWAV_proxy_unblock' END AS request_type,
+          o_custkey AS requested_by, concat('APP-', CAST(o_custkey % 25 AS string)) AS application_id,
+          CASE WHEN o_orderpriority = '1-URGENT' THEN 'prod' ELSE 'uat' END AS environment,
+          CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE concat('SRV-', CAST(o_custkey AS string)) END AS server_id,
+          CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE 'approved work' END AS business_justification,
+          CASE o_orderkey % 11 WHEN 0 THEN '*' WHEN 1 THEN '' ELSE 'docs.example.test' END AS destinations,
+          CASE WHEN o_orderkey % 13 = 0 THEN 'any' ELSE '443' END AS port_list, o_orderdate AS requested_start,
+          CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE o_orderdate + INTERVAL '1' DAY * CAST(o_custkey % 60 AS int) END AS expires_at
+        FROM orders""",
     "v_requests": """
         SELECT user_id AS request_id, ts AS at, event_type AS state, event_id AS seq FROM events""",
     "v_incidents": """
