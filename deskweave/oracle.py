@@ -357,10 +357,10 @@ FROM (SELECT coalesce(r.item_id, e.item_id) AS item_id, count(r.doc_id) AS retur
 SQL["recurring_incidents"] = _ctes("v_incidents") + """SELECT c.service_id, CAST(c.opened_at AS string) AS opened_at, c.in_window, n.n_name AS problem_id, n.n_name IS NULL AS create_new_problem
   FROM (SELECT DISTINCT service_id, opened_at, count(*) OVER (PARTITION BY service_id, symptom ORDER BY opened_at RANGE BETWEEN INTERVAL 3 DAY PRECEDING AND CURRENT ROW) AS in_window FROM v_incidents) c
   LEFT JOIN nation n ON c.service_id = n.n_nationkey * 2 WHERE c.in_window >= 3"""
-SQL["request_lifecycle"] = _ctes("v_requests") + """SELECT request_id, seq, state, CAST(next_at AS string) AS next_at, date_sub('microsecond', at, next_at) // 1000000 AS seconds_in_state
-  FROM (SELECT *, lead(at) OVER (PARTITION BY request_id ORDER BY at, seq) AS next_at FROM v_requests) t"""
-SQL["request_latest_state"] = _ctes("v_requests") + """SELECT request_id, CAST(at AS string) AS at, state, seq FROM v_requests
-  QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY at DESC, seq DESC) = 1"""
+SQL["request_lifecycle"] = _ctes("v_requests") + """SELECT request_id, seq, state, CAST(next_at AS string) AS next_at, date_sub('microsecond', "at", next_at) // 1000000 AS seconds_in_state
+  FROM (SELECT *, lead("at") OVER (PARTITION BY request_id ORDER BY "at", seq) AS next_at FROM v_requests) t"""
+SQL["request_latest_state"] = _ctes("v_requests") + """SELECT request_id, CAST("at" AS string) AS "at", state, seq FROM v_requests
+  QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY "at" DESC, seq DESC) = 1"""
 SQL["missing_fields"] = _ctes("v_service_requests") + """SELECT number, array_to_string(list_filter([CASE WHEN server_id IS NULL THEN 'server_id' END, CASE WHEN destinations = '' THEN 'destination_fqdns' END,
   CASE WHEN business_justification = '' THEN 'business_justification' END, CASE WHEN expires_at IS NULL THEN 'expires_at' END], lambda x: x IS NOT NULL), ',') AS missing FROM v_service_requests"""
 SQL["request_decision"] = _ctes("v_service_requests") + """SELECT number, CASE WHEN reason_code IN ('AUTHORIZED_REQUEST_STATUS', 'AUTHORIZED_ON_HOLD_STATUS_WITH_NEXT_STEP') THEN 'SHOW_STATUS'
@@ -491,3 +491,16 @@ SQL["snapshot_replicas"] = """SELECT user_id, event_type, day_offset, CAST(ts +
   FROM (SELECT *, unnest([0, 1, 2, 3, 4]) AS day_offset FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) e) r"""
 SQL["latest_state"] = """SELECT user_id, CAST(ts AS string) AS ts, event_type, value FROM events WHERE ts <= TIMESTAMP '2024-01-15 12:00:00'
   QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"""
+
+# --- Scoring and streams ----------------------------------------------------------------------
+
+SQL["batched_scorer"] = _ctes("v_truth") + "SELECT CAST(number AS string) AS number, CASE WHEN length(description) >= 2000 THEN '1' ELSE '0' END AS quality FROM v_truth"
+SQL["dry_run_predictions"] = _ctes("v_truth") + "SELECT number, 'dry_run' AS _status, CAST(NULL AS string) AS quality, CAST(NULL AS string) AS toxic FROM v_truth"
+SQL["stream_first_events"] = "SELECT DISTINCT concat(CAST(user_id AS string), ':', event_type, ':', CAST(CAST(ts AS DATE) AS string)) AS idempotency_key FROM events"
+SQL["stream_finding_sources"] = SQL["finding_sources"]
+SQL["stream_stale_observations"] = SQL["newest_evidence"].replace("version AS evidence_version, coalesce(at_ > opened_at, false) AS newer_evidence", "CASE WHEN at_ > opened_at THEN 'verify' ELSE 'open' END AS side")
+SQL["stream_recurring_windows"] = """SELECT CAST(w AS string) AS window_start, service_id, count(*) AS incidents
+  FROM (SELECT user_id % 10 AS service_id, date_trunc('day', ts) - INTERVAL 1 DAY * unnest([0, 1, 2]) AS w FROM events WHERE event_type = 'error') t GROUP BY ALL HAVING count(*) >= 3"""
+SQL["stream_latest_state"] = """SELECT user_id, CAST(ts AS string) AS ts, event_type, event_id FROM events
+  QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"""
+SQL["stream_quarantine"] = SQL["quarantine_split"]

@@ -17,13 +17,16 @@ from deskweave.operators import ingest as I
 from deskweave.operators import ordering as O
 from deskweave.operators import report as P
 from deskweave.operators import retrieve as T
+from deskweave.operators import scoring as N
 from deskweave.operators import timeline as L
+from deskweave.operators.staging import new_stage_path, stage
 from deskweave.plans import access as A
 from deskweave.plans import jobs as J
 from deskweave.plans import knowledge as K
 from deskweave.plans import provisioning as G
 from deskweave.plans import vulnerability as V
 from deskweave.sources import stores as S
+from deskweave.streaming import streams as M
 from deskweave.sources.tables import KEY_REPAIR_INPUT, predictions_view, relation, table, view
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -856,3 +859,100 @@ def snapshot_replicas(spark, sf):
 def latest_state(spark, sf):
     as_of = F.lit("2024-01-15 12:00:00").cast("timestamp")
     return L.latest_state(table(spark, sf, "events"), ["user_id"], "ts", ["event_type", "value"], as_of, "event_id").withColumn("ts", F.col("ts").cast("string"))
+
+
+# --- Scoring ----------------------------------------------------------------------------------
+
+
+def _length_rule(rows: list[dict]) -> str:
+    """A deterministic responder; it leaves some ids out of larger batches, as a model may."""
+    import json
+
+    answers = [
+        {"number": r["number"], "quality": "1" if r["size"] >= 2000 else "0"}
+        for r in rows if len(rows) == 1 or r["number"] % 5 != 0
+    ]
+    return "```json\n" + json.dumps({"predictions": answers}) + "\n```"
+
+
+@query
+def batched_scorer(spark, sf):
+    tickets = view(spark, sf, "v_truth").select("number", F.length("description").alias("size"), "_expected_quality")
+    return N.scored_by(tickets, _length_rule, ["quality"], batch_size=10)
+
+
+@query
+def dry_run_predictions(spark, sf):
+    return N.dry_run(view(spark, sf, "v_truth"), ["quality", "toxic"])
+
+
+# --- Streams ----------------------------------------------------------------------------------
+
+
+def _place(spark, label):
+    return new_stage_path(spark, label)
+
+
+def _event_stream(spark, sf):
+    return M.table_stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query
+def stream_first_events(spark, sf):
+    """Intake of one event per user, type and day."""
+    key = F.concat_ws(":", F.col("user_id").cast("string"), "event_type", F.to_date("ts").cast("string"))
+    events = _event_stream(spark, sf).withColumn("idempotency_key", key)
+    kept = M.first_events(events, "idempotency_key", "ts", "60 days").select("idempotency_key")
+    return M.drain_appends(kept, _place(spark, "first-events"))
+
+
+@query
+def stream_finding_sources(spark, sf):
+    """The source list of each finding, built from a stream of scanner lines joined to tables."""
+    lines = M.table_stream(spark, sf, "lineitem")
+    static = table(spark, sf, "part").select("p_partkey", "p_brand", "p_size")
+    findings = lines.join(static, F.col("l_partkey") == F.col("p_partkey")).select(
+        F.col("l_orderkey").alias("event_id"), F.concat(F.lit("SCN-"), (F.col("l_linenumber") % 3).cast("string")).alias("scanner_id"),
+        F.concat(F.lit("CVE-2099-"), (F.col("l_partkey") % 50 + 10000).cast("string")).alias("vulnerability_id"),
+        F.when(F.col("l_orderkey") % 97 == 0, "not-a-timestamp").otherwise(F.col("l_shipdate").cast("string")).alias("observed_at"),
+        F.when(F.col("l_orderkey") % 2 == 0, F.concat(F.lit("host-"), F.col("l_suppkey").cast("string"))).otherwise(
+            F.concat(F.lit("ip-"), F.col("l_suppkey").cast("string"))).alias("asset_ref"),
+        F.col("p_brand").alias("component"), F.col("p_size").cast("string").alias("installed_version"),
+    )
+    matched = V.matched_assets(findings, view(spark, sf, "v_assets"))
+    named = matched.withColumn("canonical_finding_id", F.when(~V.malformed(matched.columns), V.canonical_id()))
+    return M.drain_appends(M.merged_sources(named), _place(spark, "finding-sources"))
+
+
+@query
+def stream_stale_observations(spark, sf):
+    observed = _event_stream(spark, sf).where("event_type = 'error'").select(
+        F.col("event_id").alias("number"), (F.col("user_id") % 10).alias("asset_id"), F.col("ts").alias("opened_at"))
+    logs = M.drain_changes(observed, _place(spark, "stale"), M.stale_outputs(view(spark, sf, "v_inventory"), ["asset_id"], "opened_at", "collected_at", "version"), "append")
+    both = logs["verify"].withColumn("side", F.lit("verify")).unionByName(logs["open"].withColumn("side", F.lit("open")))
+    return both.select("number", "asset_id", "side")
+
+
+@query
+def stream_recurring_windows(spark, sf):
+    incidents = _event_stream(spark, sf).where("event_type = 'error'").select("ts", (F.col("user_id") % 10).alias("service_id"))
+    log = M.drain_changes(M.recurring_windows(incidents, ["service_id"], "ts", "3 days"), _place(spark, "recurring"))["table"]
+    return M.newest_changes(log, ["window_start", "service_id"]).withColumn("window_start", F.col("window_start").cast("string"))
+
+
+@query
+def stream_latest_state(spark, sf):
+    log = M.drain_changes(M.running_latest(_event_stream(spark, sf), ["user_id"], "ts", "event_id", ["event_type"]), _place(spark, "latest"))["table"]
+    return M.newest_changes(log, ["user_id"]).withColumn("ts", F.col("ts").cast("string"))
+
+
+@query
+def stream_quarantine(spark, sf):
+    lines = M.table_stream(spark, sf, "lineitem").select(
+        F.concat(F.lit("SCN-"), (F.col("l_linenumber") % 3).cast("string")).alias("scanner_id"),
+        F.concat(F.lit("CVE-2099-"), (F.col("l_partkey") % 50 + 10000).cast("string")).alias("vulnerability_id"),
+        F.when(F.col("l_orderkey") % 97 == 0, "not-a-timestamp").otherwise(F.col("l_shipdate").cast("string")).alias("observed_at"),
+    )
+    logs = M.drain_changes(lines, _place(spark, "quarantine"), M.quarantine_outputs(), "append")
+    sides = logs["accepted"].withColumn("side", F.lit("accepted")).unionByName(logs["quarantined"].withColumn("side", F.lit("quarantined")))
+    return sides.groupBy("side", "scanner_id").agg(F.count(F.lit(1)).alias("findings"))
