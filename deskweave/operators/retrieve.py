@@ -1,36 +1,49 @@
 """BM25 retrieval for many questions at once, and the evidence block built from its results.
 
-The plan reads the documents once for corpus statistics and once for matches. In the second pass the
-words of a document that occur in no question are dropped before anything is shuffled; what remains
-travels once, keyed by document. Counting, scoring and summing all reuse that partitioning, and the
-top-k window cuts every task's rows to k per question before the last, tiny shuffle.
+The documents are tokenised once. In that pass each word is looked up in the questions' vocabulary
+(a broadcast of checked size) and only matched words leave the task. What is written is a small
+inverted index: one row per document and matched word. Corpus statistics, document frequencies,
+phrase candidates and scores all come from it. The index is then partitioned by document, so that
+scores are summed without moving (question, document) pairs, and the top-k window cuts every task to
+k rows per question before the last, tiny shuffle.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from deskweave.functions import text as X
+from deskweave.operators.staging import stage
 
 # Fixed values of the ranking formula.
 K1, B, PHRASE_BONUS = 1.2, 0.75, 2.0
+# Largest number of question terms that is broadcast; more questions are worked off in groups.
 BROADCAST_ROWS = 200_000
+# Marks in the term column that no token can equal.
+DOCUMENT_MARK, PHRASE_MARK = "\u0001", "\u0002"
 
 
 def document_text(title: str = "title", content: str = "content") -> Column:
     return F.concat_ws(" ", F.coalesce(F.col(title), F.lit("")), F.coalesce(F.col(content), F.lit("")))
 
 
+def _each(words: Column, name: str = "term") -> Column:
+    """Explode a computed array. The outer form keeps the optimizer from computing the array a second
+    time for a non-empty test; the caller drops the null row of an empty array."""
+    return F.explode_outer(words).alias(name)
+
+
 def document_frequency(docs: DataFrame, doc_id: str, text: Column) -> DataFrame:
-    words = docs.select(doc_id, F.explode(F.array_distinct(X.tokens(text))).alias("term"))
+    words = docs.select(doc_id, _each(F.array_distinct(X.tokens(text)))).where(F.col("term").isNotNull())
     return words.groupBy("term").agg(F.count(F.lit(1)).alias("documents"))
 
 
 def term_frequency(docs: DataFrame, doc_id: str, text: Column) -> DataFrame:
-    return docs.select(doc_id, F.explode(X.tokens(text)).alias("term")).groupBy(doc_id, "term").agg(
-        F.count(F.lit(1)).alias("frequency")
-    )
+    words = docs.select(doc_id, _each(X.tokens(text))).where(F.col("term").isNotNull())
+    return words.groupBy(doc_id, "term").agg(F.count(F.lit(1)).alias("frequency"))
 
 
 def corpus_statistics(docs: DataFrame, text: Column) -> DataFrame:
@@ -43,30 +56,67 @@ def corpus_statistics(docs: DataFrame, text: Column) -> DataFrame:
 
 
 def question_terms(questions: DataFrame, question_id: str, text: str) -> DataFrame:
-    """(question, term, weight); questions are the small side."""
-    return questions.select(question_id, F.explode(X.tokens(text)).alias("term")).groupBy(question_id, "term").agg(
-        F.count(F.lit(1)).alias("weight")
-    )
+    """(question, term, weight)."""
+    words = questions.select(question_id, _each(X.tokens(text))).where(F.col("term").isNotNull())
+    return words.groupBy(question_id, "term").agg(F.count(F.lit(1)).alias("weight"))
 
 
-def _small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """A size check that reads at most ``rows`` + 1 rows."""
-    return df.limit(rows + 1).count() <= rows
+def question_profile(questions: DataFrame, question: str) -> tuple[int, bool]:
+    """(number of question terms, whether some question has fewer than three words): one small job."""
+    n = F.size(X.tokens(question))
+    row = questions.agg(F.sum(n).alias("terms"), F.count_if((n > 0) & (n < 3)).alias("short")).first()
+    return int(row["terms"] or 0), bool(row["short"])
 
 
 def _hint(df: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(df) if small else df
 
 
-def matched_terms(docs: DataFrame, doc_id: str, text: Column, vocabulary: DataFrame, small: bool) -> DataFrame:
-    """(document, length, term) for the words that occur in some question, partitioned by document."""
-    words = docs.select(doc_id, X.tokens(text).alias("_tokens")).select(
-        doc_id, F.size("_tokens").alias("length"), F.explode("_tokens").alias("term")
-    )
-    kept = words.join(_hint(vocabulary, small), "term", "left_semi")
-    # Gathered per document first: a document is one row of the input, so its words are bounded by it.
-    gathered = kept.groupBy(doc_id, "length").agg(F.collect_list("term").alias("_terms"))
-    return gathered.select(doc_id, "length", F.explode("_terms").alias("term"))
+def _longest(words: Column) -> Column:
+    return F.array_max(F.transform(words, lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
+
+
+def matched_index(
+    docs: DataFrame, doc_id: str, text: Column, questions: DataFrame, question_id: str, question: str, small: bool
+) -> DataFrame:
+    """(document, length, term, frequency) for words that occur in some question, written once.
+
+    Each document also has one row with the document mark. Text and token list stay behind when the
+    words are spread into rows: a row that kept them would copy a long text once per word.
+    """
+    marks = docs.sparkSession.createDataFrame([(DOCUMENT_MARK,)], "term string")
+    vocabulary = question_terms(questions, question_id, question).select("term").distinct().unionByName(marks)
+    read = docs.select(doc_id, X.tokens(text).alias("_tokens"))
+    sized = read.select(doc_id, F.size("_tokens").alias("length"), F.concat(F.array(F.lit(DOCUMENT_MARK)), "_tokens").alias("_tokens"))
+    words = sized.select(doc_id, "length", _each(F.col("_tokens")))
+    found = words.join(_hint(vocabulary, small), "term")
+    return stage(found.groupBy(doc_id, "length", "term").agg(F.count(F.lit(1)).alias("frequency")), "index")
+
+
+def _tasks(df: DataFrame) -> int:
+    """For shuffles whose rows multiply afterwards: their size says little about the work."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _long_candidates(index: DataFrame, doc_id: str, asked: DataFrame, question_id: str, small: bool) -> DataFrame:
+    """(question, document) with every inner word of a phrase of three or more words."""
+    inner = F.array_distinct(F.slice("_q", F.lit(2), F.size("_q") - 2))
+    wanted = asked.where(F.size("_q") >= 3).select(question_id, F.size(inner).alias("_need"), F.explode(inner).alias("term"))
+    held = index.repartition(_tasks(index), doc_id).join(_hint(wanted, small), "term")
+    counted = held.groupBy(doc_id, question_id, "_need").agg(F.count(F.lit(1)).alias("_have"))
+    return counted.where(F.col("_have") == F.col("_need")).select(question_id, doc_id)
+
+
+def _short_candidates(docs: DataFrame, doc_id: str, text: Column, short: DataFrame, question_id: str, small: bool) -> DataFrame:
+    """(question, document) with some word that contains the longest word of a shorter phrase."""
+    anchors = short.select(question_id, _longest(F.col("_q")).alias("_anchor"))
+    lengths = anchors.agg(F.collect_set(F.length("_anchor"))).scalar()
+    words = docs.select(doc_id, _each(F.array_distinct(X.tokens(text)), "_word")).where(F.col("_word").isNotNull())
+    sized = words.select(doc_id, "_word", F.explode(lengths).alias("_n")).where(F.length("_word") >= F.col("_n"))
+    pieces = sized.select(doc_id, F.explode(F.transform(
+        F.sequence(F.lit(1), F.length("_word") - F.col("_n") + 1), lambda i: F.substring(F.col("_word"), i, F.col("_n"))
+    )).alias("_anchor"))
+    return pieces.join(_hint(anchors, small), "_anchor").select(question_id, doc_id).distinct()
 
 
 def phrase_hits(
@@ -76,41 +126,37 @@ def phrase_hits(
     questions: DataFrame,
     question_id: str,
     question: str,
-    small: bool,
     phrase: Column | None = None,
+    index: DataFrame | None = None,
+    profile: tuple[int, bool] | None = None,
 ) -> DataFrame:
     """(question, document) where the question's words, joined by blanks, occur literally in the text.
 
     ``phrase`` may name another lower-case text that holds the same words in order. In a phrase of
-    three or more words an inner one has a non-word character on both sides, hence is a word of the
-    document too: an equi-join on the longest inner word finds every candidate. Shorter phrases may
-    begin or end inside a longer word, so for them the document's words are cut into pieces of the
-    lengths in question and joined on those. Only candidates are searched for the phrase.
+    three or more words the inner ones have a non-word character on both sides, hence are words of
+    the document too: documents that lack one are out, by the index alone. Shorter phrases may begin
+    or end inside a longer word, so for them the document's words are cut into pieces of the lengths
+    in question. Only candidates are searched, and the texts are read again only if there are any.
     """
-    needle = (F.array_join("_q", " ") if phrase is None else phrase).alias("_phrase")
-    asked = questions.select(question_id, X.tokens(question).alias("_q"), F.col(question)).where(F.size("_q") > 0)
-    lowered = docs.select(doc_id, F.lower(text).alias("_text"), F.array_distinct(X.tokens(text)).alias("_words"))
-
-    def longest(words: Column) -> Column:
-        return F.array_max(F.transform(words, lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"].alias("_anchor")
-
-    long = asked.where(F.size("_q") >= 3).select(question_id, longest(F.slice("_q", F.lit(2), F.size("_q") - 2)), needle)
-    by_word = lowered.select(doc_id, "_text", F.explode("_words").alias("_anchor")).join(_hint(long, small), "_anchor")
-    hits = by_word.where(F.contains("_text", "_phrase")).select(question_id, doc_id)
-
-    short = asked.where(F.size("_q") < 3).select(question_id, longest(F.col("_q")), needle)
-    if not short.isEmpty():
-        lengths = short.agg(F.collect_set(F.length("_anchor"))).scalar()
-        pieces = lowered.select(doc_id, "_text", F.explode("_words").alias("_word")).select(
-            doc_id, "_text", "_word", F.explode(lengths).alias("_n")
-        ).where(F.length("_word") >= F.col("_n")).select(
-            doc_id, "_text", F.explode(F.transform(
-                F.sequence(F.lit(1), F.length("_word") - F.col("_n") + 1), lambda i: F.substring(F.col("_word"), i, F.col("_n"))
-            )).alias("_anchor")
-        )
-        matched = pieces.join(_hint(short, small), "_anchor").where(F.contains("_text", "_phrase"))
-        hits = hits.unionByName(matched.select(question_id, doc_id))
-    return hits.distinct()
+    terms, has_short = profile or question_profile(questions, question)
+    small = terms <= BROADCAST_ROWS
+    if index is None:
+        index = matched_index(docs, doc_id, text, questions, question_id, question, small)
+    words = X.tokens(question)
+    needle = F.array_join(words, " ") if phrase is None else phrase
+    asked = questions.select(question_id, words.alias("_q"), needle.alias("_phrase")).where(F.size("_q") > 0)
+    candidates = _long_candidates(index, doc_id, asked, question_id, small)
+    if has_short:
+        short = asked.where(F.size("_q") < 3)
+        candidates = candidates.unionByName(_short_candidates(docs, doc_id, text, short, question_id, small))
+    candidates = stage(candidates, "candidates")
+    number = candidates.limit(BROADCAST_ROWS + 1).count()
+    if number == 0:
+        return candidates
+    searched = candidates.join(_hint(asked.select(question_id, "_phrase"), small), question_id)
+    few = number <= BROADCAST_ROWS // 10
+    texts = docs.select(doc_id, F.lower(text).alias("_text"))
+    return texts.join(_hint(searched, few), doc_id).where(F.contains("_text", "_phrase")).select(question_id, doc_id)
 
 
 def scored_pairs(
@@ -121,32 +167,43 @@ def scored_pairs(
     text: Column | None = None,
     question: str = "text",
 ) -> DataFrame:
-    """(question, document, score) for every document with a positive score, rounded to four digits."""
+    """(question, document, score) for every document with a positive score, rounded to four digits.
+
+    Questions with more terms than may be broadcast are worked off in groups, one text pass each.
+    """
     text = document_text() if text is None else text
-    terms = question_terms(questions, question_id, question)
-    small = _small(terms)
-    vocabulary = terms.select("term").distinct()
+    profile = question_profile(questions, question)
+    groups = profile[0] // BROADCAST_ROWS + 1
+    if groups == 1:
+        return _scored_group(docs, questions, doc_id, question_id, text, question, profile)
+    parts = [questions.where(F.pmod(F.xxhash64(question_id), F.lit(groups)) == i) for i in range(groups)]
+    return reduce(DataFrame.unionByName, [
+        _scored_group(docs, part, doc_id, question_id, text, question, question_profile(part, question)) for part in parts
+    ])
 
-    stats = corpus_statistics(docs, text)
-    total = stats.select("documents").scalar()
-    mean = stats.select(F.greatest("mean_length", F.lit(1.0))).scalar()
 
-    postings = matched_terms(docs, doc_id, text, vocabulary, small).groupBy(doc_id, "length", "term").agg(
-        F.count(F.lit(1)).alias("frequency")
-    )
-    frequencies = postings.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
+def _scored_group(docs: DataFrame, questions: DataFrame, doc_id: str, question_id: str, text: Column, question: str, profile: tuple[int, bool]) -> DataFrame:
+    terms = question_terms(questions, question_id, question)
+    small = profile[0] <= BROADCAST_ROWS
+    index = matched_index(docs, doc_id, text, questions, question_id, question, small)
+    mark = F.concat(F.lit(PHRASE_MARK), F.col(question_id).cast("string")).alias("term")
+    hits = phrase_hits(docs, doc_id, text, questions, question_id, question, index=index, profile=profile)
+
+    stats = index.where(F.col("term") == DOCUMENT_MARK).agg(
+        F.count(F.lit(1)).alias("documents"), F.greatest(F.avg("length"), F.lit(1.0)).alias("mean_length"))
+    total, mean = stats.select("documents").scalar(), stats.select("mean_length").scalar()
+    frequencies = index.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
     idf = F.log(F.lit(1.0) + (total - F.col("_df") + F.lit(0.5)) / (F.col("_df") + F.lit(0.5)))
     weighted = terms.join(frequencies, "term").select(question_id, "term", (F.col("weight") * idf).alias("_w"))
+    bonus = questions.select(question_id, mark, F.lit(PHRASE_BONUS).alias("_w"))
+
     tf = F.col("frequency")
     saturation = tf * F.lit(K1 + 1) / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("length") / mean))
-
-    by_words = postings.join(_hint(weighted, small), "term").select(
-        doc_id, question_id, (F.col("_w") * saturation).alias("_part")
-    )
-    bonus = phrase_hits(docs, doc_id, text, questions, question_id, question, small).select(
-        doc_id, question_id, F.lit(PHRASE_BONUS).alias("_part")
-    )
-    summed = by_words.unionByName(bonus).groupBy(doc_id, question_id).agg(F.sum("_part").alias("_sum"))
+    part = F.when(F.col("term").startswith(PHRASE_MARK), F.col("_w")).otherwise(F.col("_w") * saturation)
+    marked = hits.select(doc_id, F.lit(0).alias("length"), mark, F.lit(1).cast("bigint").alias("frequency"))
+    postings = index.where(F.col("term") != DOCUMENT_MARK).unionByName(marked).repartition(_tasks(docs), doc_id)
+    parts = postings.join(_hint(weighted.unionByName(bonus), small), "term").select(doc_id, question_id, part.alias("_part"))
+    summed = parts.groupBy(doc_id, question_id).agg(F.sum("_part").alias("_sum"))
     return summed.where(F.col("_sum") > 0).select(question_id, doc_id, F.round("_sum", 4).alias("score"))
 
 

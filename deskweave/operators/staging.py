@@ -2,8 +2,8 @@
 
 A staged table cuts lineage: every reader sees the same rows even when executors are lost and
 tasks are repeated, which a range partitioning (its bounds are sampled) cannot promise by itself.
-The folder is the one the session names in ``spark.checkpoint.dir``; on a local master, where the
-setting may be missing, a folder for this run is made and remembered in the session.
+The folder is the one the session names in ``spark.checkpoint.dir``. Only on a local master may the
+setting be missing; then a folder for this driver process is made.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from deskweave.session import shared_folder_setting
 
 _staged: list[str] = []
+_local_folder: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -24,9 +25,9 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("Set spark.checkpoint.dir to a folder that all executors share.")
-    folder = tempfile.mkdtemp(prefix="deskweave-stage-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if not _local_folder:
+        _local_folder.append(tempfile.mkdtemp(prefix="deskweave-stage-"))
+    return _local_folder[0]
 
 
 def new_stage_path(spark: SparkSession, label: str) -> str:

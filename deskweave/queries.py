@@ -27,7 +27,7 @@ from deskweave.plans import provisioning as G
 from deskweave.plans import vulnerability as V
 from deskweave.sources import stores as S
 from deskweave.streaming import streams as M
-from deskweave.sources.tables import KEY_REPAIR_INPUT, predictions_view, relation, table, view
+from deskweave.sources.tables import KEY_REPAIR_INPUT, predictions_view, relation, table, text_table, view
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -164,36 +164,36 @@ def last_prediction_wins(spark, sf):
 
 @query
 def section_chunks(spark, sf):
-    files = table(spark, sf, "documents").select("doc_id", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("file"), "text")
+    files = text_table(spark, sf, "documents", "doc_id").select("doc_id", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("file"), "text")
     return D.section_documents(files, keep=("doc_id",)).select("doc_id", "section", "title", "content")
 
 
 @query
 def record_documents(spark, sf):
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("number"), "source", "lang", F.col("text").alias("description"))
+    docs = text_table(spark, sf, "documents", "doc_id").select(F.col("doc_id").alias("number"), "source", "lang", F.col("text").alias("description"))
     return D.record_documents(docs, "records").select("title", "content", "kind")
 
 
 @query
 def token_df(spark, sf):
-    return T.document_frequency(table(spark, sf, "documents"), "doc_id", F.col("text"))
+    return T.document_frequency(text_table(spark, sf, "documents", "doc_id"), "doc_id", F.col("text"))
 
 
 @query
 def term_frequency(spark, sf):
-    return T.term_frequency(table(spark, sf, "documents"), "doc_id", F.col("text"))
+    return T.term_frequency(text_table(spark, sf, "documents", "doc_id"), "doc_id", F.col("text"))
 
 
 @query
 def corpus_statistics(spark, sf):
-    stats = T.corpus_statistics(table(spark, sf, "documents"), F.col("text"))
+    stats = T.corpus_statistics(text_table(spark, sf, "documents", "doc_id"), F.col("text"))
     return stats.select("documents", "tokens", F.round("mean_length", 6).alias("mean_length"))
 
 
 def _documents(spark, sf):
-    return view(spark, sf, "v_sources").where("source_priority = 0").select(
-        F.col("source_id").alias("doc_id"), "title", "content", "kind",
-        F.lit("documents").alias("source"), F.lit("").alias("url"),
+    return text_table(spark, sf, "documents", "doc_id").select(
+        "doc_id", F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("title"), F.col("text").alias("content"),
+        F.lit("incident").alias("kind"), F.lit("documents").alias("source"), F.lit("").alias("url"),
     )
 
 
@@ -223,23 +223,23 @@ def retrieved_sources(spark, sf):
 @query
 def literal_passages(spark, sf):
     """Documents that contain a benchmark text's words as one literal phrase."""
-    docs, asked = table(spark, sf, "documents"), table(spark, sf, "benchmark")
-    return T.phrase_hits(docs, "doc_id", F.col("text"), asked, "item_id", "text", T._small(asked))
+    docs, asked = text_table(spark, sf, "documents", "doc_id"), table(spark, sf, "benchmark")
+    return T.phrase_hits(docs, "doc_id", F.col("text"), asked, "item_id", "text")
 
 
 @query
 def html_text(spark, sf):
-    return table(spark, sf, "pages").select("page_id", html_native("html").alias("content"))
+    return text_table(spark, sf, "pages", "page_id").select("page_id", html_native("html").alias("content"))
 
 
 @query
 def html_text_exact(spark, sf):
-    return table(spark, sf, "pages").select("page_id", html_exact("html").alias("content"))
+    return text_table(spark, sf, "pages", "page_id").select("page_id", html_exact("html").alias("content"))
 
 
 @query
 def page_documents(spark, sf):
-    pages = table(spark, sf, "pages").select(
+    pages = text_table(spark, sf, "pages", "page_id").select(
         F.col("page_id").alias("id"), F.lit(None).cast("string").alias("title"), "html", F.concat(F.lit("/x/"), F.col("page_id").cast("string")).alias("webui")
     )
     return D.page_documents(pages, html_native("html"), "https://kb.example.test/wiki/", "Pages", keep=("id",))
@@ -247,7 +247,7 @@ def page_documents(spark, sf):
 
 @query
 def page_phrase_search(spark, sf):
-    return D.phrase_filter(table(spark, sf, "pages"), "The home about", "html", 10).select("page_id", "url")
+    return D.phrase_filter(text_table(spark, sf, "pages", "page_id"), "The home about", "html", 10).select("page_id", "url")
 
 
 @query
@@ -258,7 +258,7 @@ def recent_history(spark, sf):
 @query
 def sources_union(spark, sf):
     docs = _documents(spark, sf).select("title", "kind", F.length("content").alias("size"), F.lit(0.0).alias("score"))
-    pages = table(spark, sf, "pages").select(F.col("url").alias("title"), F.lit("confluence").alias("kind"), F.length("html").alias("size"))
+    pages = text_table(spark, sf, "pages", "page_id").select(F.col("url").alias("title"), F.lit("confluence").alias("kind"), F.length("html").alias("size"))
     return D.all_documents(docs, pages)
 
 
@@ -280,7 +280,7 @@ def response_records(spark, sf):
 
 @query
 def exact_distinct(spark, sf):
-    return I.exact_distinct(table(spark, sf, "documents"), "doc_id", ["text", "lang"]).select("doc_id", "lang", F.length("text").alias("size"))
+    return I.exact_distinct(text_table(spark, sf, "documents", "doc_id"), "doc_id", ["text", "lang"]).select("doc_id", "lang", F.length("text").alias("size"))
 
 
 @query
@@ -299,14 +299,14 @@ def sys_id_repair(spark, sf):
 
 @query
 def resume_union(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    docs = text_table(spark, sf, "documents", "doc_id").select("doc_id", "text", "lang")
     stored = docs.join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
     return I.resume_union(stored, docs, "doc_id").select("doc_id", "lang")
 
 
 @query
 def redact_email(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", X.redact_email("text").alias("text"))
+    return text_table(spark, sf, "documents", "doc_id").select("doc_id", X.redact_email("text").alias("text"))
 
 
 @query
@@ -320,24 +320,24 @@ def redact_fields(spark, sf):
 @query
 def field_distribution_top12(spark, sf):
     fields = ("lang", "source", "n_chars")
-    return I.field_distribution(table(spark, sf, "documents"), fields)
+    return I.field_distribution(text_table(spark, sf, "documents", "doc_id"), fields)
 
 
 @query
 def continuity_summary(spark, sf):
-    return I.continuity_summary(table(spark, sf, "documents").select(F.col("doc_id").alias("seq"), F.nullif("lang", F.lit("fr")).alias("number")))
+    return I.continuity_summary(text_table(spark, sf, "documents", "doc_id").select(F.col("doc_id").alias("seq"), F.nullif("lang", F.lit("fr")).alias("number")))
 
 
 @query
 def recent_profile(spark, sf):
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("seq"), F.col("doc_id").alias("number"), F.col("lang").alias("category"), F.col("text").alias("state"))
+    docs = text_table(spark, sf, "documents", "doc_id").select(F.col("doc_id").alias("seq"), F.col("doc_id").alias("number"), F.col("lang").alias("category"), F.col("text").alias("state"))
     return I.recent_records(docs, 10)
 
 
 @query
 def rotating_examples(spark, sf):
     examples = O.numbered(table(spark, sf, "benchmark"), ["item_id"])
-    batches = table(spark, sf, "documents").select((F.col("doc_id") + 1).alias("batch_no"))
+    batches = text_table(spark, sf, "documents", "doc_id").select((F.col("doc_id") + 1).alias("batch_no"))
     return I.rotating_examples(batches, examples, 3).select("batch_no", "place", "item_id")
 
 
@@ -609,8 +609,8 @@ def authorised_retrieval(spark, sf):
 
 @query
 def verbatim_passages(spark, sf):
-    docs, asked = table(spark, sf, "documents"), table(spark, sf, "benchmark")
-    return T.phrase_hits(docs, "doc_id", F.col("text"), asked, "item_id", "text", T._small(asked), phrase=F.lower("text"))
+    docs, asked = text_table(spark, sf, "documents", "doc_id"), table(spark, sf, "benchmark")
+    return T.phrase_hits(docs, "doc_id", F.col("text"), asked, "item_id", "text", phrase=F.lower("text"))
 
 
 @query
@@ -687,6 +687,11 @@ def _commands(spark, sf):
     return J.command_runs(_outcomes(spark, sf), RUN_GRAPH, carry=RUN_COLUMNS).withColumnRenamed("job", "job_no")
 
 
+def _written_commands(spark, sf):
+    """For queries that read the command runs more than once."""
+    return stage(_commands(spark, sf), "commands")
+
+
 def _boxes(spark, sf):
     return J.box_runs(_outcomes(spark, sf), RUN_GRAPH, SLA_SECONDS, carry=RUN_COLUMNS)
 
@@ -728,7 +733,7 @@ def blocked_jobs(spark, sf):
 @query
 def predecessor_outcomes(spark, sf):
     """Each job run with the outcome of every predecessor: one equi-join on (run, job)."""
-    runs = _commands(spark, sf).select("region_run_id", "job_no", "status")
+    runs = _written_commands(spark, sf).select("region_run_id", "job_no", "status")
     edges = view(spark, sf, "v_edges").where("parent_no > 0")
     parents = runs.select("region_run_id", F.col("job_no").alias("parent_no"), F.col("status").alias("parent_status"))
     return runs.join(F.broadcast(edges), "job_no").join(parents, ["region_run_id", "parent_no"]).groupBy("job_no", "parent_no", "status", "parent_status").agg(F.count(F.lit(1)).alias("runs"))
@@ -748,8 +753,9 @@ def box_rollup(spark, sf):
 @query
 def runs_with_box(spark, sf):
     """Command runs beside their box: statuses by job."""
-    box = _boxes(spark, sf).select("region_run_id", F.col("status").alias("box_status"))
-    joined = _commands(spark, sf).join(box, "region_run_id")
+    rows = stage(_outcomes(spark, sf), "outcomes")
+    box = J.box_runs(rows, RUN_GRAPH, SLA_SECONDS).select("region_run_id", F.col("status").alias("box_status"))
+    joined = J.command_runs(rows, RUN_GRAPH).withColumnRenamed("job", "job_no").join(box, "region_run_id")
     return joined.groupBy("job_no", "status", "box_status").agg(F.count(F.lit(1)).alias("runs"))
 
 
@@ -765,13 +771,13 @@ def sla_report(spark, sf):
 KEYS = ["region", "job_no"]
 
 
-def _counts(spark, sf):
-    return J.duration_counts(_commands(spark, sf).where("dataset_split = 'train'"), KEYS)
+def _counts(commands):
+    return J.duration_counts(commands.where("dataset_split = 'train'"), KEYS)
 
 
 @query
 def duration_quantiles(spark, sf):
-    return J.duration_quantiles(_counts(spark, sf), KEYS)
+    return J.duration_quantiles(_counts(_commands(spark, sf)), KEYS)
 
 
 @query
@@ -781,8 +787,9 @@ def failure_rate(spark, sf):
 
 @query
 def eta_backtest(spark, sf):
-    quantiles = J.duration_quantiles(_counts(spark, sf), KEYS)
-    return J.backtest(_commands(spark, sf).where("dataset_split = 'evaluation'"), quantiles, KEYS)
+    commands = _written_commands(spark, sf)
+    quantiles = J.duration_quantiles(_counts(commands), KEYS)
+    return J.backtest(commands.where("dataset_split = 'evaluation'"), quantiles, KEYS)
 
 
 @query
@@ -794,9 +801,9 @@ def rolling_duration(spark, sf):
 NOW_SECONDS = 4000
 
 
-def _snapshot(spark, sf):
+def _snapshot(commands):
     """State of each region's newest evaluation run, a fixed time after its schedule."""
-    runs = _commands(spark, sf).where("dataset_split = 'evaluation'")
+    runs = commands.where("dataset_split = 'evaluation'")
     newest = runs.groupBy("region").agg(F.max(F.struct("scheduled_start", "region_run_id")).alias("_n")).select(F.col("_n.region_run_id").alias("region_run_id"))
     now = F.lit(NOW_SECONDS)
     state = (
@@ -811,14 +818,15 @@ def _snapshot(spark, sf):
 
 @query
 def remaining_time(spark, sf):
-    running = _snapshot(spark, sf).where("status = 'RUNNING'").select(*KEYS, "elapsed_seconds")
-    return J.remaining_time(running, _counts(spark, sf), KEYS)
+    commands = _written_commands(spark, sf)
+    running = _snapshot(commands).where("status = 'RUNNING'").select(*KEYS, "elapsed_seconds")
+    return J.remaining_time(running, _counts(commands), KEYS)
 
 
 @query
 def live_eta(spark, sf):
-    counts = _counts(spark, sf)
-    snapshot = _snapshot(spark, sf)
+    commands = _written_commands(spark, sf)
+    counts, snapshot = stage(_counts(commands), "counts"), _snapshot(commands)
     running = J.remaining_time(snapshot.where("status = 'RUNNING'").select(*KEYS, "elapsed_seconds"), counts, KEYS).drop("elapsed_seconds")
     states = J.duration_quantiles(counts, KEYS).join(snapshot.drop("elapsed_seconds"), KEYS, "left").join(running, KEYS, "left")
     return J.live_eta(states.withColumn("now_seconds", F.lit(NOW_SECONDS)).withColumn("sla_seconds", F.lit(SLA_SECONDS)), RUN_GRAPH)

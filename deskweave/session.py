@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 
@@ -23,8 +21,6 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    if not shared_folder_setting(spark):
-        spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="deskweave-stage-"))
     return spark
 
 

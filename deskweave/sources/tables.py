@@ -129,6 +129,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
+def text_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table of long texts, for queries whose cost is per character.
+
+    Input in fewer read tasks than there are cores is spread by key first; a large input has more
+    read tasks than that and is never moved.
+    """
+    df = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived relation; Spark prunes whatever the query does not read."""
     return relation(spark, sf_dir, VIEWS[name])
