@@ -277,7 +277,7 @@ SQL["finding_decision"] = _ALL_DECIDED + "SELECT event_id, line_no, decision, da
 SQL["workload_buckets"] = _ALL_DECIDED + """SELECT decision, priority, count(*) AS findings, grouping(decision) AS all_decisions, grouping(priority) AS all_priorities
   FROM decided GROUP BY CUBE (decision, priority)"""
 SQL["dashboard_buckets"] = _ALL_DECIDED + "SELECT dashboard_bucket, count(*) AS findings FROM decided GROUP BY 1"
-SQL["finding_dedup"] = _vuln(_ASSESSED) + """SELECT canonical_finding_id, count(*) AS observations, string_agg(DISTINCT scanner_id, ',' ORDER BY scanner_id) AS scanners,
+SQL["finding_dedup"] = _vuln(_ASSESSED) + """SELECT canonical_finding_id, count(*) AS observations, count(DISTINCT scanner_id) AS scanners,
   CAST(min(received_at) AS string) AS first_received_at, max(risk_score) AS risk_score FROM assessed WHERE canonical_finding_id IS NOT NULL GROUP BY 1"""
 SQL["finding_sources"] = _vuln(_ASSESSED) + """SELECT DISTINCT canonical_finding_id, concat(scanner_id, ':', CAST(event_id AS string)) AS source
   FROM assessed WHERE canonical_finding_id IS NOT NULL"""

@@ -45,6 +45,17 @@ class JobGraph:
         """Jobs after their predecessors; a cycle raises an error."""
         return list(TopologicalSorter(self.parents).static_order())
 
+    @cached_property
+    def levels(self) -> list[list]:
+        """Jobs whose predecessors are all in earlier levels."""
+        sorter, levels = TopologicalSorter(self.parents), []
+        sorter.prepare()
+        while sorter.is_active():
+            ready = sorted(sorter.get_ready(), key=self.place)
+            levels.append(ready)
+            sorter.done(*ready)
+        return levels
+
     def place(self, job: object) -> int:
         return self.order.index(job)
 
@@ -143,30 +154,43 @@ def outcomes(runs: DataFrame, graph: JobGraph, run: str = "region_run_id", job:
             F.max(F.when(here, F.col("retry_count"))).alias(f"r{i}"),
         ]
     rows = runs.groupBy(run).agg(*[F.min(c).alias(c) for c in carry], *sums)
-    for i, name in enumerate(graph.order):
-        needs = [(graph.place(p), p) for p in graph.parents[name]]
-        kind = f"array<{'string' if isinstance(name, str) else 'int'}>"
-        culprits = [F.when(F.col(f"s{k}") != "SUCCESS", F.lit(p)) for k, p in needs]
-        rows = rows.withColumn(f"b{i}", F.filter(F.array(*culprits).cast(kind), lambda c: c.isNotNull()))
-        status = F.when(F.size(f"b{i}") > 0, "BLOCKED").when(F.col(f"f{i}") == 1, "FAILED").otherwise("SUCCESS")
-        rows = rows.withColumn(f"s{i}", F.when(F.col(f"f{i}").isNotNull(), status))
-        ran = F.col(f"s{i}").isin("SUCCESS", "FAILED")
-        work = F.col(f"q{i}") + F.col(f"d{i}")
-        own_path = F.array(F.lit(name)).cast(kind)
-        start = _greatest([F.lit(0).cast("bigint"), *[F.col(f"n{k}") for k, _ in needs]])
-        if needs:
-            before = F.coalesce(_greatest([F.col(f"l{k}") for k, _ in needs]), F.lit(0).cast("bigint"))
-            path = _longest([F.col(f"l{k}") for k, _ in needs], [F.col(f"p{k}") for k, _ in needs])
-            path = F.when(ran, F.concat(F.coalesce(path, F.array().cast(kind)), own_path)).otherwise(own_path)
-        else:
-            before, path = F.lit(0).cast("bigint"), own_path
-        rows = rows.withColumn(f"e{i}", F.when(ran, start))
-        rows = rows.withColumn(f"n{i}", F.when(ran, F.col(f"e{i}") + work))
-        rows = rows.withColumn(f"l{i}", F.when(ran, before + work).when(F.col(f"s{i}") == "BLOCKED", 0))
-        rows = rows.withColumn(f"p{i}", F.when(F.col(f"s{i}").isNotNull(), path))
+    for level in graph.levels:
+        # One projection per level: every column of a job is written in terms of its predecessors'.
+        columns: dict[str, Column] = {}
+        for name in level:
+            columns |= _outcome_columns(graph, name)
+        rows = rows.withColumns(columns)
     return rows
 
 
+def _outcome_columns(graph: JobGraph, name: object) -> dict[str, Column]:
+    i, needs = graph.place(name), [(graph.place(p), p) for p in graph.parents[name]]
+    kind = f"array<{'string' if isinstance(name, str) else 'int'}>"
+    here, failed = F.col(f"f{i}").isNotNull(), F.col(f"f{i}") == 1
+    late = [F.coalesce(F.col(f"s{k}") != "SUCCESS", F.lit(False)) for k, _ in needs]
+    blocked = reduce(lambda a, b: a | b, late, F.lit(False))
+    ran = here & ~blocked
+    work = F.col(f"q{i}") + F.col(f"d{i}")
+    zero = F.lit(0).cast("bigint")
+    own_path = F.array(F.lit(name)).cast(kind)
+    start = _greatest([zero, *[F.col(f"n{k}") for k, _ in needs]])
+    if needs:
+        before = F.coalesce(_greatest([F.col(f"l{k}") for k, _ in needs]), zero)
+        path = _longest([F.col(f"l{k}") for k, _ in needs], [F.col(f"p{k}") for k, _ in needs])
+        path = F.when(ran, F.concat(F.coalesce(path, F.array().cast(kind)), own_path)).otherwise(own_path)
+    else:
+        before, path = zero, own_path
+    culprits = F.array(*[F.when(bad, F.lit(p)) for bad, (_, p) in zip(late, needs)]).cast(kind)
+    return {
+        f"b{i}": F.filter(culprits, lambda c: c.isNotNull()),
+        f"s{i}": F.when(here, F.when(blocked, "BLOCKED").when(failed, "FAILED").otherwise("SUCCESS")),
+        f"e{i}": F.when(ran, start),
+        f"n{i}": F.when(ran, start + work),
+        f"l{i}": F.when(ran, before + work).when(here, 0),
+        f"p{i}": F.when(here, path),
+    }
+
+
 def command_runs(rows: DataFrame, graph: JobGraph, run: str = "region_run_id", carry: Sequence[str] = ()) -> DataFrame:
     """One row per job run: status, culprits, times in seconds after the schedule, waits, path."""
     def one(i: int, name: object) -> Column:
@@ -274,6 +298,21 @@ def remaining_time(running_jobs: DataFrame, counts: DataFrame, keys: Sequence[st
     return grouped.select(*kept, left(0).alias("remaining_p50"), left(1).alias("remaining_p90"))
 
 
+def _forecast_columns(graph: JobGraph, name: object) -> dict[str, Column]:
+    i, needs = graph.place(name), [graph.place(p) for p in graph.parents[name]]
+    halted = reduce(lambda a, b: a | b, [F.col(f"x{k}") for k in needs], F.coalesce(F.col(f"s{i}").isin("FAILED", "BLOCKED"), F.lit(False)))
+    columns = {f"x{i}": halted}
+    for q in ("a", "b"):
+        start = _greatest([F.greatest("now", F.lit(0)).cast("double"), *[F.col(f"t{q}{k}") for k in needs]])
+        end = (
+            F.when(F.col(f"s{i}") == "SUCCESS", F.col(f"n{i}").cast("double"))
+            .when(F.col(f"s{i}") == "RUNNING", F.col("now") + F.col(f"r{q}{i}"))
+            .otherwise(start + F.col(f"d{q}{i}"))
+        )
+        columns[f"t{q}{i}"] = F.when(~halted, end)
+    return columns
+
+
 def live_eta(states: DataFrame, graph: JobGraph, region: str = "region", job: str = "job_no") -> DataFrame:
     """Delivery and box forecast per region from a snapshot.
 
@@ -288,18 +327,11 @@ def live_eta(states: DataFrame, graph: JobGraph, region: str = "region", job: st
         for short, column in (("n", "end_seconds"), ("ra", "remaining_p50"), ("rb", "remaining_p90"), ("da", "p50"), ("db", "p90")):
             sums.append(F.max(F.when(here, F.col(column))).alias(f"{short}{i}"))
     rows = states.groupBy(region).agg(*sums)
-    for i, name in enumerate(graph.order):
-        needs = [graph.place(p) for p in graph.parents[name]]
-        halted = reduce(lambda a, b: a | b, [F.col(f"x{k}") for k in needs], F.coalesce(F.col(f"s{i}").isin("FAILED", "BLOCKED"), F.lit(False)))
-        rows = rows.withColumn(f"x{i}", halted)
-        for q in ("a", "b"):
-            start = _greatest([F.greatest("now", F.lit(0)).cast("double"), *[F.col(f"t{q}{k}") for k in needs]])
-            end = (
-                F.when(F.col(f"s{i}") == "SUCCESS", F.col(f"n{i}").cast("double"))
-                .when(F.col(f"s{i}") == "RUNNING", F.col("now") + F.col(f"r{q}{i}"))
-                .otherwise(start + F.col(f"d{q}{i}"))
-            )
-            rows = rows.withColumn(f"t{q}{i}", F.when(~F.col(f"x{i}"), end))
+    for level in graph.levels:
+        columns: dict[str, Column] = {}
+        for name in level:
+            columns |= _forecast_columns(graph, name)
+        rows = rows.withColumns(columns)
     every = range(len(graph.order))
     ends, m = [graph.place(t) for t in graph.terminals], graph.place(graph.milestone)
 

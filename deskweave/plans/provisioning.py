@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from deskweave.operators.joins import broadcast_if_small
+
 # Fixed values of the policy.
 REASONS = {
     "NO_CHANGE": "DESIRED_STATE_ALREADY_PRESENT",
@@ -125,8 +127,8 @@ def resolved_endpoints(endpoints: DataFrame, pools: DataFrame, services: DataFra
     rows = endpoints.withColumn("_kind", kind).withColumn("_name", name)
     pool = pools.select(F.col("pool_id").cast("string").alias("_pool"), F.col("labels").alias("_pool_labels"))
     service = services.select(F.col("service").alias("_service"), F.col("labels").alias("_service_labels"))
-    rows = rows.join(pool, (F.col("_kind") == "pool") & (F.col("_name") == F.col("_pool")), "left")
-    rows = rows.join(service, (F.col("_kind") == "service") & (F.col("_name") == F.col("_service")), "left")
+    rows = rows.join(broadcast_if_small(pool), (F.col("_kind") == "pool") & (F.col("_name") == F.col("_pool")), "left")
+    rows = rows.join(broadcast_if_small(service), (F.col("_kind") == "service") & (F.col("_name") == F.col("_service")), "left")
     own = F.col(endpoint) == "pool:self"
     pair = F.split("_name", "=")
     labels = (

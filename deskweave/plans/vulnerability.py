@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from deskweave.operators.joins import broadcast_if_small
+
 # Fixed values of the policy.
 CRITICALITY_POINTS = {"critical": 10, "high": 7, "medium": 3, "low": 0}
 PRIORITY_BANDS = (("P1", 85, 24), ("P2", 70, 168), ("P3", 40, 720), ("P4", 0, 2160))
@@ -113,11 +115,12 @@ def due_at(received: Column) -> Column:
 
 
 def assessed(findings: DataFrame) -> DataFrame:
-    """Findings with asset columns: identity, score, priority, time limit."""
-    scored = findings.withColumn("canonical_finding_id", F.when(~malformed(findings.columns), canonical_id()))
-    scored = scored.withColumn("risk_score", F.when(~malformed(findings.columns), risk_score()))
-    scored = scored.withColumn("priority", priority()).withColumn("sla_hours", sla_hours())
-    return scored.withColumn("due_at", due_at(F.col("received_at")))
+    """Findings with asset columns: trust, identity, score, priority, time limit."""
+    rows = findings.withColumn("malformed", malformed(findings.columns))
+    rows = rows.withColumns({
+        "canonical_finding_id": F.when(~F.col("malformed"), canonical_id()), "risk_score": F.when(~F.col("malformed"), risk_score())})
+    rows = rows.withColumns({"priority": priority(), "sla_hours": sla_hours()})
+    return rows.withColumn("due_at", due_at(F.col("received_at")))
 
 
 def decided(cases: DataFrame) -> DataFrame:
@@ -141,20 +144,15 @@ def decided(cases: DataFrame) -> DataFrame:
     )
     optional = {"asset_type": F.lit("server"), "patch_policy": F.lit(None).cast("string"), "advisory_type": F.lit(None).cast("string"),
                 "other_asset_known": F.lit(False)}
-    rows = cases
-    for name, default in optional.items():
-        if name not in have:
-            rows = rows.withColumn(name, default)
-    rows = rows.withColumn("decision", chain)
-    rows = rows.withColumn("dashboard_bucket", _bucket()).withColumn("reason_code", _reason())
-    rows = rows.withColumn("audit_events", _audit_events())
-    rows = rows.withColumn("ticket_action", _lookup(F.col("decision"), TICKET_ACTIONS))
+    rows = cases.withColumns({"decision": chain, **{n: d for n, d in optional.items() if n not in have}})
     patch = F.coalesce(_lookup(F.col("patch_policy"), PATCH_POLICY_ACTIONS), F.lit("schedule_patch"))
-    rows = rows.withColumn(
-        "remediation_action",
-        F.when(F.col("decision") == "CREATE_TICKET", patch).otherwise(_lookup(F.col("decision"), REMEDIATION_ACTIONS)),
-    )
-    return rows.drop(*[name for name in optional if name not in have])
+    return rows.withColumns({
+        "dashboard_bucket": _bucket(),
+        "reason_code": _reason(),
+        "audit_events": _audit_events(),
+        "ticket_action": _lookup(F.col("decision"), TICKET_ACTIONS),
+        "remediation_action": F.when(F.col("decision") == "CREATE_TICKET", patch).otherwise(_lookup(F.col("decision"), REMEDIATION_ACTIONS)),
+    }).drop(*[n for n in optional if n not in have])
 
 
 def _bucket() -> Column:
@@ -202,7 +200,7 @@ def matched_assets(findings: DataFrame, assets: DataFrame) -> DataFrame:
     rest = [c for c in assets.columns if c not in ("hostname", "ip_address")]
     by_name = assets.select(F.explode(names).alias("_name"), F.struct(*rest).alias("_asset"))
     by_name = by_name.groupBy("_name").agg(F.min("_asset").alias("_asset"))
-    joined = findings.join(by_name, F.col("asset_ref") == F.col("_name"), "left")
+    joined = findings.join(broadcast_if_small(by_name), F.col("asset_ref") == F.col("_name"), "left")
     return joined.select(*findings.columns, *[F.col(f"_asset.{c}").alias(c) for c in rest])
 
 
@@ -219,7 +217,7 @@ def with_exceptions(findings: DataFrame, exceptions: DataFrame) -> DataFrame:
     scope = exceptions.groupBy("asset_id", "vulnerability_id").agg(
         F.max(F.when(F.col("status") == "approved", F.col("expires_at"))).alias("_until"), F.count(F.lit(1)).alias("_any")
     )
-    joined = findings.join(scope, ["asset_id", "vulnerability_id"], "left")
+    joined = findings.join(broadcast_if_small(scope), ["asset_id", "vulnerability_id"], "left")
     valid = F.coalesce(F.col("received_at") < F.col("_until"), F.lit(False))
     return joined.withColumn("valid_exception", valid).withColumn(
         "expired_exception", F.col("_any").isNotNull() & ~valid
@@ -243,12 +241,19 @@ def finding_sources(findings: DataFrame) -> DataFrame:
 
 
 def deduplicated(findings: DataFrame) -> DataFrame:
-    """One row per canonical finding."""
-    return findings.where(F.col("canonical_finding_id").isNotNull()).groupBy("canonical_finding_id").agg(
-        F.count(F.lit(1)).alias("observations"),
-        F.array_join(F.array_sort(F.collect_set("scanner_id")), ",").alias("scanners"),
-        F.min("received_at").alias("first_received_at"),
-        F.max("risk_score").alias("risk_score"),
+    """One row per canonical finding; its sources are the rows of ``finding_sources``.
+
+    Scanners are folded first, so a finding reported without end still costs one row per task and scanner.
+    """
+    named = findings.where(F.col("canonical_finding_id").isNotNull())
+    per_scanner = named.groupBy("canonical_finding_id", "scanner_id").agg(
+        F.count(F.lit(1)).alias("_n"), F.min("received_at").alias("_first"), F.max("risk_score").alias("_risk")
+    )
+    return per_scanner.groupBy("canonical_finding_id").agg(
+        F.sum("_n").alias("observations"),
+        F.count(F.lit(1)).alias("scanners"),
+        F.min("_first").alias("first_received_at"),
+        F.max("_risk").alias("risk_score"),
     )
 
 

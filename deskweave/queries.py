@@ -375,23 +375,20 @@ def _assessed(spark, sf):
 
 
 def _finding_decisions(spark, sf):
-    findings = V.with_exceptions(_assessed(spark, sf), view(spark, sf, "v_exceptions"))
+    assessed = stage(_assessed(spark, sf), "assessed")
+    findings = V.with_exceptions(assessed, view(spark, sf, "v_exceptions"))
     seen = V.newest_evidence(
         findings.withColumn("seen_at", F.col("observed_at").try_cast("timestamp")), view(spark, sf, "v_inventory"),
         ["asset_id"], "seen_at", "collected_at", "version",
     )
-    first = _assessed(spark, sf).where("canonical_finding_id IS NOT NULL").groupBy("canonical_finding_id").agg(
-        F.min("received_at").alias("first_received_at")
-    )
-    rows = seen.join(first, "canonical_finding_id", "left")
+    first = assessed.where("canonical_finding_id IS NOT NULL").groupBy("canonical_finding_id").agg(F.min("received_at").alias("first_received_at"))
     known = F.coalesce(F.col("received_at") > F.col("first_received_at"), F.lit(False))
-    return V.decided(
-        rows.withColumn("malformed", V.malformed(rows.columns))
-        .withColumn("fixed_in_inventory", F.col("newer_evidence") & (F.col("evidence_version") > 40))
-        .withColumn("known_finding", known)
-        .withColumn("overdue", known & (F.col("priority") == "P1") & (F.col("due_at") < F.lit("1996-01-01").cast("timestamp")))
-        .withColumn("no_fix", ~F.col("fix_available") & F.col("known_exploited"))
-    )
+    return V.decided(seen.join(first, "canonical_finding_id", "left").withColumns({
+        "fixed_in_inventory": F.col("newer_evidence") & (F.col("evidence_version") > 40),
+        "known_finding": known,
+        "overdue": known & (F.col("priority") == "P1") & (F.col("due_at") < F.lit("1996-01-01").cast("timestamp")),
+        "no_fix": ~F.col("fix_available") & F.col("known_exploited"),
+    }))
 
 
 @query
