@@ -125,19 +125,21 @@ def predictions_view(threshold: int = 2000) -> str:
 VIEWS["v_pred"] = predictions_view()
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+# Tables that queries do per-row work on, with the key most of them group by.
+WORK_KEYS = {"lineitem": "l_orderkey", "documents": "doc_id", "pages": "page_id"}
 
 
-def text_table(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
-    """A table of long texts, for queries whose cost is per character.
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table. A work table read by fewer tasks than there are cores is spread by its key first.
 
-    Input in fewer read tasks than there are cores is spread by key first; a large input has more
-    read tasks than that and is never moved.
+    That is the case for a small file with one row group only; a large input has more read tasks
+    than cores and is never moved.
     """
-    df = table(spark, sf_dir, name)
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
     cores = spark.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+    if name not in WORK_KEYS or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, WORK_KEYS[name])
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
