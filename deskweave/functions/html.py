@@ -11,27 +11,41 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# The entities resolved natively; a text holding any other one is left to the exact form.
-NATIVE_ENTITIES = (("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&copy;", "©"),
-                   ("&middot;", "·"), ("&#39;", "'"), ("&amp;", "&"))
+# Patterns of the entities resolved natively (the last character may be missing in old
+# pages); a text holding any other one is left to the exact form.
+NATIVE_ENTITIES = (("&quot;?", '"'), ("&lt;?", "<"), ("&gt;?", ">"), ("&nbsp;?", " "), ("&copy;?", "©"),
+                   ("&middot;?", "·"), ("&#39;?", "'"), ("&amp;?", "&"))
 # Script and style bodies are text nodes of their own, comments and tags are not text.
 MARKUP_PATTERN = (
     r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->|<[a-z/!?][^>]*>|[^<]+|<"
 )
 
 
+def _resolved(text: Column) -> Column:
+    for pattern, plain in NATIVE_ENTITIES:
+        text = F.regexp_replace(text, pattern, plain)
+    return text
+
+
 def html_text(value: str | Column) -> Column:
-    """JVM-only form; equals the exact one for well-formed pages with the entities listed above."""
+    """JVM-only form; equals the exact one for well-formed pages with the entities listed above.
+
+    Entities are resolved in the page, and once more in its text nodes, as a page parser does.
+    """
     text = F.col(value) if isinstance(value, str) else value
-    for name, plain in NATIVE_ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(plain))
-    pieces = F.regexp_extract_all(text, F.lit(MARKUP_PATTERN), F.lit(0))
+    pieces = F.regexp_extract_all(_resolved(text), F.lit(MARKUP_PATTERN), F.lit(0))
 
     def text_of(piece: Column) -> Column:
         lowered = F.lower(F.substring(piece, 1, 8))
         raw = lowered.startswith("<script") | lowered.startswith("<style")
         body = F.regexp_replace(piece, r"(?is)^<(?:script|style)\b[^>]*>|</(?:script|style)\s*>$", "")
-        return F.when(raw, body).when(piece.startswith("<") & (F.length(piece) > 1), " ").otherwise(piece)
+        markup = piece.startswith("<") & (F.length(piece) > 1)
+        return (
+            F.when(raw, F.concat(F.lit(" "), body, F.lit(" ")))
+            .when(markup, " ")
+            .when(F.contains(piece, F.lit("&")), _resolved(piece))
+            .otherwise(piece)
+        )
 
     return F.trim(F.regexp_replace(F.array_join(F.transform(pieces, text_of), ""), r"(?U)\s+", " "))
 

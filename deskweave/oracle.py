@@ -147,17 +147,22 @@ SQL["literal_passages"] = f"""SELECT item_id, doc_id FROM (SELECT item_id, array
   JOIN documents d ON phrase <> '' AND contains(lower(d.text), phrase)"""
 
 
+def _entities(text: str) -> str:
+    for pattern, plain in NATIVE_ENTITIES:
+        text = f"regexp_replace({text}, '{pattern}', '{plain.replace(chr(39), chr(39) * 2)}', 'g')"
+    return text
+
+
 def _html(text: str) -> str:
-    for name, plain in NATIVE_ENTITIES:
-        text = f"replace({text}, '{name}', '{plain.replace(chr(39), chr(39) * 2)}')"
     piece = (
-        "CASE WHEN regexp_matches(p, '(?is)^<(script|style)') THEN regexp_replace(p, '(?is)^<(?:script|style)\\b[^>]*>|</(?:script|style)\\s*>$', '', 'g') "
-        "WHEN p LIKE '<_%' THEN ' ' ELSE p END"
+        "CASE WHEN regexp_matches(p, '(?is)^<(script|style)') THEN concat(' ', regexp_replace(p, '(?is)^<(?:script|style)\\b[^>]*>|</(?:script|style)\\s*>$', '', 'g'), ' ') "
+        f"WHEN p LIKE '<_%' THEN ' ' ELSE {_entities('p')} END"
     )
-    return f"trim(regexp_replace(array_to_string(list_transform(regexp_extract_all({text}, '{MARKUP_PATTERN}'), lambda p: {piece}), ''), '\\s+', ' ', 'g'))"
+    return f"trim(regexp_replace(array_to_string(list_transform(regexp_extract_all({_entities(text)}, '{MARKUP_PATTERN}'), lambda p: {piece}), ''), '\\s+', ' ', 'g'))"
 
 
 SQL["html_text"] = f"SELECT page_id, {_html('html')} AS content FROM pages"
+SQL["html_text_exact"] = SQL["html_text"]
 SQL["page_documents"] = f"""SELECT page_id AS id, CAST(page_id AS string) AS title, {_clean(_html('html'))} AS content, 'Pages' AS source,
   concat('https://kb.example.test/wiki/x/', CAST(page_id AS string)) AS url, 'confluence' AS kind FROM pages"""
 SQL["page_phrase_search"] = "SELECT page_id, url FROM pages WHERE contains(lower(html), 'home about') ORDER BY page_id LIMIT 10"

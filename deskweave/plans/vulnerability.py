@@ -123,6 +123,39 @@ def assessed(findings: DataFrame) -> DataFrame:
     return rows.withColumn("due_at", due_at(F.col("received_at")))
 
 
+def case_flags(cases: DataFrame) -> DataFrame:
+    """Flat, assessed rows with decision flags from nested workflow events (see ``VULNERABILITY_CASE``)."""
+    state = F.col("existing_state")
+    flat = cases.select(
+        "case_id",
+        F.col("ingestion_event.observed_at").alias("observed_at"),
+        F.col("ingestion_event.received_at").try_cast("timestamp").alias("received_at"),
+        "scanner_finding.*", "cve_enrichment.*", "asset_context.*",
+        F.coalesce(state["validated_compensating_control"], F.lit(False)).alias("validated_compensating_control"),
+        state.alias("_state"),
+    )
+    rows = assessed(flat)
+    inventory, known = F.col("_state.current_inventory"), F.col("_state.canonical_findings")
+
+    def at(value: Column) -> Column:
+        return value.try_cast("timestamp")
+
+    def some(items: Column, test) -> Column:
+        return F.coalesce(F.exists(items, lambda x: F.coalesce(test(x), F.lit(False))), F.lit(False))
+
+    exceptions, received = F.col("_state.exceptions"), F.col("received_at")
+    same = F.concat(F.lit("-"), F.col("vulnerability_id"), F.lit("-"))
+    return rows.withColumns({
+        "valid_exception": some(exceptions, lambda e: (e["status"] == "approved") & (at(e["expires_at"]) > received)),
+        "expired_exception": some(exceptions, lambda e: at(e["expires_at"]) <= received),
+        "fixed_in_inventory": (at(inventory["collected_at"]) > at(F.col("observed_at"))) & (inventory["installed_version"] == F.col("fixed_version")),
+        "overdue": some(F.col("_state.tickets"), lambda t: at(t["due_at"]) < received),
+        "known_finding": some(known, lambda k: k["canonical_finding_id"] == F.col("canonical_finding_id")),
+        "other_asset_known": some(known, lambda k: (k["canonical_finding_id"] != F.col("canonical_finding_id")) & F.contains(k["canonical_finding_id"], same)),
+        "no_fix": ~F.coalesce(F.col("fix_available"), F.lit(True)) & (F.col("_state.product_lifecycle") == "end_of_life"),
+    }).drop("_state")
+
+
 def decided(cases: DataFrame) -> DataFrame:
     """First matching rule wins.
 
