@@ -8,6 +8,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -129,17 +130,24 @@ VIEWS["v_pred"] = predictions_view()
 WORK_KEYS = {"lineitem": "l_orderkey", "documents": "doc_id", "pages": "page_id"}
 
 
+# What is known about a path after its first use: schema, and whether it is read by few tasks.
+_seen: dict[str, tuple[StructType, bool]] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table. A work table read by fewer tasks than there are cores is spread by its key first.
 
     That is the case for a small file with one row group only; a large input has more read tasks
-    than cores and is never moved.
+    than cores and is never moved. The schema is inferred once per path.
     """
-    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    path = os.path.join(sf_dir, f"{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    if name not in WORK_KEYS or df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, WORK_KEYS[name])
+    if path not in _seen:
+        df = spark.read.parquet(path)
+        _seen[path] = (df.schema, name in WORK_KEYS and df.rdd.getNumPartitions() < cores)
+    schema, few_tasks = _seen[path]
+    df = spark.read.schema(schema).parquet(path)
+    return df.repartition(cores, WORK_KEYS[name]) if few_tasks else df
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
