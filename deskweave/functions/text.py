@@ -71,6 +71,10 @@ def equal_after_normalising(expected: str | Column, actual: str | Column, kind:
     expected, actual = _col(expected), _col(actual)
     if kind == "string":
         same = normalised(expected).eqNullSafe(normalised(actual))
+    elif kind.startswith(("struct", "map", "variant")) or kind.startswith("array<") and kind != "array<string>":
+        from deskweave.functions.nested import normalised_nested
+
+        same = normalised_nested(expected).eqNullSafe(normalised_nested(actual))
     elif kind.startswith("array"):
         same = normalised_list(expected).eqNullSafe(normalised_list(actual))
     else:

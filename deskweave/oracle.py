@@ -165,7 +165,7 @@ SQL["html_text"] = f"SELECT page_id, {_html('html')} AS content FROM pages"
 SQL["html_text_exact"] = SQL["html_text"]
 SQL["page_documents"] = f"""SELECT page_id AS id, CAST(page_id AS string) AS title, {_clean(_html('html'))} AS content, 'Pages' AS source,
   concat('https://kb.example.test/wiki/x/', CAST(page_id AS string)) AS url, 'confluence' AS kind FROM pages"""
-SQL["page_phrase_search"] = "SELECT page_id, url FROM pages WHERE contains(lower(html), 'home about') ORDER BY page_id LIMIT 10"
+SQL["page_phrase_search"] = "SELECT page_id, url FROM pages WHERE contains(lower(html), 'eriner thanea') ORDER BY page_id LIMIT 10"
 SQL["recent_history"] = f"""SELECT conv_id, turn, CASE WHEN lower(role) IN ('machine', 'ai', 'assistant') THEN 'assistant' ELSE 'user' END AS role,
   {_clean('text', 3000)} AS content FROM (SELECT * FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 6) t WHERE {_clean('text', 3000)} <> ''"""
 SQL["sources_union"] = """SELECT concat('doc ', CAST(doc_id AS string)) AS title, 'incident' AS kind, length(text) AS size, 0.0 AS score FROM documents
@@ -509,3 +509,13 @@ SQL["stream_recurring_windows"] = """SELECT CAST(w AS string) AS window_start, s
 SQL["stream_latest_state"] = """SELECT user_id, CAST(ts AS string) AS ts, event_type, event_id FROM events
   QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"""
 SQL["stream_quarantine"] = SQL["quarantine_split"]
+
+# --- Value forms ------------------------------------------------------------------------------
+
+SQL["normalised_values"] = """SELECT p_partkey, replace(lower(trim(regexp_replace(concat('  ', p_type, '  Straße ', p_name), '\\s+', ' ', 'g'))), 'ß', 'ss') AS plain,
+  trim(regexp_replace(lower(p_type), '[^\\p{L}\\p{Nd}]+', '_', 'g'), '_') AS slug FROM part"""
+SQL["list_match"] = "SELECT o_orderkey, o_custkey % 2 = 0 OR o_orderpriority = '5-LOW' AS same FROM orders"
+SQL["active_catalogue"] = "SELECT p_partkey AS platform_id, p_name AS display_name FROM part WHERE p_brand = 'Brand#11' AND p_size > 10"
+SQL["actionable_findings"] = _ctes("v_portfolio") + f"SELECT state, priority, count(*) AS findings FROM v_portfolio WHERE {_ACTIVE} GROUP BY ALL"
+SQL["prompt_rows"] = "SELECT doc_id, CAST(to_json({'doc_id': doc_id, 'lang': lang, 'source': source}) AS string) AS prompt FROM documents"
+SQL["compact_examples"] = "SELECT doc_id, substring(text, 1, 500) AS text FROM documents"

@@ -247,7 +247,7 @@ def page_documents(spark, sf):
 
 @query
 def page_phrase_search(spark, sf):
-    return D.phrase_filter(table(spark, sf, "pages"), "The home about", "html", 10).select("page_id", "url")
+    return D.phrase_filter(table(spark, sf, "pages"), "The Eriner thanea", "html", 10).select("page_id", "url")
 
 
 @query
@@ -866,6 +866,43 @@ def latest_state(spark, sf):
     return L.latest_state(table(spark, sf, "events"), ["user_id"], "ts", ["event_type", "value"], as_of, "event_id").withColumn("ts", F.col("ts").cast("string"))
 
 
+@query
+def normalised_values(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", X.normalised(F.concat(F.lit("  "), "p_type", F.lit("  Straße "), "p_name")).alias("plain"), X.slug("p_type").alias("slug"))
+
+
+@query
+def list_match(spark, sf):
+    """Lists given as JSON text match whatever their order and case."""
+    rows = table(spark, sf, "orders").select(
+        "o_orderkey", F.concat(F.lit('["'), "o_orderpriority", F.lit('", "'), "o_orderstatus", F.lit('"]')).alias("expected"),
+        F.concat(F.lit(' ["'), F.lower("o_orderstatus"), F.lit('","'), F.when(F.col("o_custkey") % 2 == 0, F.col("o_orderpriority")).otherwise("5-LOW"), F.lit('"]')).alias("actual"))
+    return rows.select("o_orderkey", X.equal_after_normalising("expected", "actual").alias("same"))
+
+
+@query
+def active_catalogue(spark, sf):
+    platforms = table(spark, sf, "part").select(F.col("p_partkey").alias("platform_id"), F.col("p_name").alias("display_name"), F.col("p_brand").alias("category"),
+                                                F.when(F.col("p_size") > 10, "active").otherwise("retired").alias("status"))
+    return A.active_platforms(platforms, "Brand#11").select("platform_id", "display_name")
+
+
+@query
+def actionable_findings(spark, sf):
+    return _portfolio(spark, sf).where(F.col("state").isin(*V.ACTIONABLE_STATES)).groupBy("state", "priority").agg(F.count(F.lit(1)).alias("findings"))
+
+
+@query
+def prompt_rows(spark, sf):
+    rows = I.compact_examples(table(spark, sf, "documents").select("doc_id", "lang", "source"))
+    return rows.select("doc_id", I.prompt_rows(rows).alias("prompt"))
+
+
+@query
+def compact_examples(spark, sf):
+    return I.compact_examples(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 # --- Scoring ----------------------------------------------------------------------------------
 
 

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from deskweave.functions import responses as R
 from deskweave.functions import text as X
 from deskweave.functions.html import html_text, html_text_exact
+from deskweave.functions.nested import normalised_nested
 from deskweave.sources.tables import table
 
 
@@ -62,3 +63,11 @@ def test_html_forms_agree_on_all_pages(spark):
     pages = table(spark, "/root/testdata/sf0.1", "pages")
     differing = pages.where(html_text("html") != html_text_exact("html"))
     assert differing.count() == 0
+
+
+def test_nested_values(spark):
+    df = spark.sql("""SELECT named_struct('b', array('Y', ' x '), 'a', 1) AS s, named_struct('a', 1, 'b', array('x', 'y')) AS t,
+        parse_json('{"k": ["B", null, "a"], "n": 1.0}') AS v, parse_json('{"n": 1, "k": ["a", "b"]}') AS w""")
+    row = df.select((normalised_nested("s") == normalised_nested("t")).alias("st"), (normalised_nested("v") == normalised_nested("w")).alias("vw"),
+                    X.equal_after_normalising("v", "w", "variant").alias("eq"), X.equal_after_normalising("v", F.lit(None).cast("variant"), "variant").alias("none")).first()
+    assert tuple(row) == (True, True, True, False)
