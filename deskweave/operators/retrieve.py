@@ -213,6 +213,17 @@ def top_k(pairs: DataFrame, k: int, question_id: str = "item_id", doc_id: str =
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= X.clamp(k, 1, 20))
 
 
+def with_documents(ranked: DataFrame, docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """Title, text and source of ranked documents.
+
+    The ranking (k rows per question) is written first, so its true size is known: it is broadcast to
+    the texts while it is small, and the texts are not shuffled.
+    """
+    ranked = stage(ranked, "ranked")
+    few = ranked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return docs.join(_hint(ranked, few), doc_id)
+
+
 def cited_sources(
     ranked: DataFrame, second: DataFrame | None = None, question_id: str = "item_id", position: str = "doc_id"
 ) -> DataFrame:

@@ -71,9 +71,13 @@ def unapproved_grants(memberships: DataFrame) -> DataFrame:
     return memberships.where(held & F.col("approval_id").isNull())
 
 
-def request_matches(objects: DataFrame, request: str = "request_id") -> DataFrame:
-    """Match counts per request from its candidate objects (``visible`` tells which are authorised)."""
+def request_matches(objects: DataFrame, request: str = "request_id", carry: Sequence[str] = ()) -> DataFrame:
+    """Match counts per request from its candidate objects (``visible`` tells which are authorised).
+
+    ``carry`` names columns that are the same on all objects of a request.
+    """
     return objects.groupBy(request).agg(
+        *[F.min(c).alias(c) for c in carry],
         F.count(F.lit(1)).alias("matched"),
         F.count_if(F.col("visible")).alias("visible_matches"),
         F.count_if(F.col("visible") & F.col("secret_present")).alias("masked_matches"),

@@ -209,14 +209,14 @@ def bm25_topk(spark, sf):
 @query
 def evidence_budget(spark, sf):
     """Ranked documents joined back to their texts, cited and cut to the evidence budget."""
-    ranked = _ranked(spark, sf).join(_documents(spark, sf), "doc_id")
+    ranked = T.with_documents(_ranked(spark, sf), _documents(spark, sf))
     fitted = T.evidence_budget(T.cited_sources(ranked), 6000)
     return fitted.select("item_id", "citation", "heading", F.length("evidence").alias("used"), F.md5("evidence").alias("digest"))
 
 
 @query
 def retrieved_sources(spark, sf):
-    ranked = _ranked(spark, sf, 3).join(_documents(spark, sf), "doc_id")
+    ranked = T.with_documents(_ranked(spark, sf, 3), _documents(spark, sf))
     return T.retrieved_sources(T.cited_sources(ranked)).withColumn("content", F.md5("content"))
 
 
@@ -549,12 +549,10 @@ def withheld_objects(spark, sf):
 
 @query
 def access_decision(spark, sf):
-    objects = _access_objects(spark, sf)
-    about = objects.groupBy("request_id").agg(F.min("intent").alias("intent"), F.bool_or("is_admin").alias("is_admin"), F.min("authentication_level").alias("authentication_level"))
-    requests = A.request_matches(objects).join(about, "request_id")
-    return A.decided(
-        requests.withColumn("required_level", F.lit("mfa")).withColumn("unapproved_grant", F.lit(False)).withColumn("injected_text", F.col("request_id") % 19 == 0)
-    ).select("request_id", "matched", "visible_matches", "decision", "reason_code")
+    requests = A.request_matches(_access_objects(spark, sf), carry=("intent", "is_admin", "authentication_level"))
+    return A.decided(requests.withColumns({
+        "required_level": F.lit("mfa"), "unapproved_grant": F.lit(False), "injected_text": F.col("request_id") % 19 == 0,
+    })).select("request_id", "matched", "visible_matches", "decision", "reason_code")
 
 
 @query
