@@ -134,6 +134,8 @@ def test_provisioning_decisions(spark):
     both = ["CREATE_ILLUMIO_RULE:{0}", "CREATE_FIREWALL_RULE:{0}"]
     cases = {
         "ARP-001": (provisioning("ARP-001", [flow("INT-ORD-01")]), "CREATE_BOTH", [a.format("INT-ORD-01") for a in both], "APPROVED_INTENT_NOT_PROVISIONED"),
+        "ARP-002": (provisioning("ARP-002", [flow("INT-ORD-02", destination="service:orders-postgres-prod", port=5432)]), "CREATE_BOTH", [a.format("INT-ORD-02") for a in both], "APPROVED_INTENT_NOT_PROVISIONED"),
+        "ARP-012": (provisioning("ARP-012", [flow("INT-DNS-01", source="label:env=prod", destination="pool:self", port=53)]), "CREATE_BOTH", [a.format("INT-DNS-01") for a in both], "APPROVED_INTENT_NOT_PROVISIONED"),
         "ARP-003": (provisioning("ARP-003", [flow("INT-ORD-01")], [live], [live]), "NO_CHANGE", [], "DESIRED_STATE_ALREADY_PRESENT"),
         "ARP-004": (provisioning("ARP-004", [flow("INT-BIL-01")], [live]), "CREATE_FIREWALL_ONLY", ["CREATE_FIREWALL_RULE:INT-BIL-01"], "FIREWALL_STATE_MISSING"),
         "ARP-005": (provisioning("ARP-005", [flow("INT-REP-01")], [], [live]), "CREATE_ILLUMIO_ONLY", ["CREATE_ILLUMIO_RULE:INT-REP-01"], "ILLUMIO_STATE_MISSING"),
@@ -215,6 +217,9 @@ def test_knowledge_decisions(spark):
     none = []
     cases = [  # case, intent, visible, state, cites_retired, overbroad, missing, request_type, decision, reason
         ("APS-RAG-001", "TROUBLESHOOT_PROXY_403", None, None, False, False, none, None, "PROPOSE_N1_RESOLUTION", "GROUNDED_PROXY_POLICY_DENIAL"),
+        ("APS-RAG-002", "RESOLVE_KNOWN_DNS_ERROR", None, None, False, False, none, None, "PROPOSE_N1_RESOLUTION", "MATCHED_PUBLISHED_KNOWN_ERROR"),
+        ("APS-RAG-010", "GET_APPLICATION_CONTEXT", None, None, False, False, none, None, "ANSWER_WITH_CITATIONS", "AUTHORIZED_CURRENT_APM_PROFILE"),
+        ("APS-RAG-012", "SEARCH_SIMILAR_INCIDENTS", None, None, False, False, none, None, "ANSWER_WITH_CITATIONS", "MATCHED_AUTHORIZED_HISTORICAL_RESOLUTION"),
         ("APS-RAG-003", "TROUBLESHOOT_TLS_CERTIFICATE", None, None, False, False, none, None, "ESCALATE", "CERTIFICATE_REPLACEMENT_OUTSIDE_N1_SCOPE"),
         ("APS-RAG-004", "CREATE_SERVER_BROWSING_EXCEPTION", None, None, False, False, none, "server_browsing_exception", "CREATE_REQUEST", "COMPLETE_BOUNDED_SERVER_BROWSING_REQUEST"),
         ("APS-RAG-005", "CREATE_SERVER_BROWSING_EXCEPTION", None, None, False, False, ["server_id"], "server_browsing_exception", "CLARIFY", "SERVER_BROWSING_REQUIRED_FIELDS_MISSING"),
