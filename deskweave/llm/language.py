@@ -139,7 +139,7 @@ def fit_filters(documents: DataFrame) -> LanguageFilters:
 
 
 def _judged(batches: Iterator[pa.RecordBatch], shared, extra: list[str]) -> Iterator[pa.RecordBatch]:
-    filters: LanguageFilters = shared.value
+    filters = LanguageFilters(**shared.value)
     miss = filters.miss_rates()
     names = np.array([*filters.langs, UNDETERMINED], object)
     plain = np.zeros(256, bool)
@@ -174,7 +174,7 @@ def identify(documents: DataFrame, filters: LanguageFilters, key: str = "doc_id"
     training text and score 0. Ties go to the language that sorts first. A null key stays null; repeated rows
     are judged each; an empty table gives no rows; other columns are not read.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(filters)
+    shared = documents.sparkSession.sparkContext.broadcast(vars(filters))
     kind = documents.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, lang_pred string, score double"
     return documents.select(key, "text").mapInArrow(lambda b: _judged(b, shared, [key]), schema)
