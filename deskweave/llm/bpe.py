@@ -10,8 +10,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from deskweave.llm.common import SpanHasher, read, signed, utf8_steps
+from deskweave.llm.common import SpanHasher, keyed_schema, read, signed, utf8_steps
 from deskweave.operators.staging import stage
 
 WINDOW = 32  # bytes that decide whether a chunk ends
@@ -241,10 +242,9 @@ def encode(documents: DataFrame, ranks_path: str | None = None, key: str = "doc_
         ranks = spark.sparkContext.broadcast(file.read())
     documents = documents.select(key, "text")
     bits = spark.sparkContext.broadcast(shared_filter(documents))
-    kind = documents.schema[key].dataType.simpleString()
-    row = f"`{key}` {kind}, text string, digest binary"
+    row = keyed_schema(documents, key, "text string, digest binary")
     alone = documents.mapInArrow(lambda b: _marked(b, bits, key, False), row)
-    alone = alone.mapInArrow(lambda b: _encoded(b, ranks, key, "text"), f"`{key}` {kind}, ids binary")
+    alone = alone.mapInArrow(lambda b: _encoded(b, ranks, key, "text"), keyed_schema(documents, key, "ids binary"))
     sharing = stage(documents.mapInArrow(lambda b: _marked(b, bits, key, True), row), "sharing")
     texts = stage(sharing.groupBy("digest").agg(F.first("text").alias("text")), "texts")
     bodies = texts.mapInArrow(lambda b: _shared_chunks(b, bits, True), "chunk binary, body binary")
@@ -271,7 +271,7 @@ def decode(encoded: DataFrame, ranks_path: str | None = None) -> DataFrame:
     """All columns of ``encoded`` and ``decoded``, the text of its ``ids``; null ids give an empty text."""
     with open(ranks_path or vocabulary_path(), "rb") as file:
         ranks = encoded.sparkSession.sparkContext.broadcast(file.read())
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema) + ", decoded string"
+    schema = StructType([*encoded.schema.fields, StructField("decoded", StringType())])
     return encoded.mapInArrow(lambda b: _decoded(b, ranks), schema)
 
 

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 # Bytes of text that one vectorised step works on; a longer text is a step of its own.
 STEP_BYTES = 1 << 21
@@ -117,3 +118,8 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 def unsigned(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x, dtype=np.int64).view(np.uint64)
+
+
+def keyed_schema(df: DataFrame, key: str, rest: str) -> StructType:
+    """The key column as ``df`` has it, of any type, and columns in DDL."""
+    return StructType([StructField(key, df.schema[key].dataType), *StructType.fromDDL(rest).fields])

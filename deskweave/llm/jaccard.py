@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deskweave.llm.common import SpanHasher, lowered, mixed, read, signed, utf8_steps, word_spans
+from deskweave.llm.common import SpanHasher, keyed_schema, lowered, mixed, read, signed, utf8_steps, word_spans
 from deskweave.llm.components import components
 from deskweave.operators.staging import stage
 
@@ -307,8 +307,8 @@ def jaccard_components(documents: DataFrame, key: str = "doc_id") -> DataFrame:
     no rows; other columns are not read. Equal sets are one set for the join, so copies are never paired.
     """
     documents = documents.select(key, "text")
-    kind = documents.schema[key].dataType.simpleString()
-    rows = stage(documents.mapInArrow(lambda b: _signed_sets(b, key), f"`{key}` {kind}, n_shingles long, sig long"), "signed")
+    schema = keyed_schema(documents, key, "n_shingles long, sig long")
+    rows = stage(documents.mapInArrow(lambda b: _signed_sets(b, key), schema), "signed")
     roots = link_sets(documents)
     classes = rows.where("sig is not null").groupBy("sig").agg(F.min(key).alias("least"))
     classes = classes.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
@@ -319,5 +319,24 @@ def jaccard_components(documents: DataFrame, key: str = "doc_id") -> DataFrame:
     return some.union(none)
 
 
+def one_per_component(documents: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows, with all columns, that stay: of each component the one with the smallest key (null last).
+
+    Rows without words all stay; of rows that repeat a key and text one stays.
+    """
+    schema = keyed_schema(documents.select(F.struct(*documents.columns).alias("_row")), "_row", "n_shingles long, sig long")
+    rows = documents.select(F.struct(*documents.columns).alias("_row"), "text").mapInArrow(lambda b: _signed_sets(b, "_row"), schema)
+    rows = rows.withColumn("_key", F.col(f"_row.{key}"))
+    signed_rows = stage(documents.select(key, "text").mapInArrow(lambda b: _signed_sets(b, key), keyed_schema(documents, key, "n_shingles long, sig long")), "signed")
+    roots = link_sets(documents).withColumnRenamed("node", "sig")
+    first = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "sig")).alias("first")
+    classes = signed_rows.where("sig is not null").groupBy("sig").agg(first)
+    classes = classes.join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    winners = classes.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.sig").alias("_sig"), F.col("first.key").alias("_first"))
+    kept = rows.join(winners, (F.col("sig") == F.col("_sig")) & F.col("_key").eqNullSafe(F.col("_first")))
+    kept = kept.dropDuplicates(["sig", "_key"])
+    return kept.select("_row.*").union(rows.where("sig is null").select("_row.*"))
+
+
 def op10_set_relation_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read(spark, sf_dir, "documents"))

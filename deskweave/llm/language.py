@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from deskweave.llm.common import fold, mixed, read, signed, unsigned, utf8_steps
+from deskweave.llm.common import fold, keyed_schema, mixed, read, signed, unsigned, utf8_steps
 
 GRAM = 4  # bytes
 HASHES = 3
@@ -20,6 +20,7 @@ SLOTS_PER_GRAM = 8
 MOST_SLOTS = 1 << 22  # bound of what is sent to the tasks: 8 bytes a slot and 62 languages
 PLANE_BITS = 62
 UNDETERMINED = "und"
+LEAST_SCORE = 0.2  # of a text that counts as written in a language; half-mixed texts have 0.4
 
 
 def _grams(at: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -127,7 +128,7 @@ def fit_filters(documents: DataFrame) -> LanguageFilters:
         rated = rated.withColumn("rate", F.col("n") / F.col("words"))
         rated = rated.withColumn("best", F.max("rate").over(Window.partitionBy("gram")))
         rated = rated.where((F.col("n") >= LEAST) & (F.col("rate") >= SHARE * F.col("best"))).groupBy("gram", "plane").agg(F.bit_or("mask").alias("mask"))
-        slots = 1 << int(max(counts.select(F.approx_count_distinct("gram")).first()[0] * SLOTS_PER_GRAM, 2) - 1).bit_length()
+        slots = 1 << (max(counts.select("gram").distinct().count() * SLOTS_PER_GRAM, 2) - 1).bit_length()
         slots = min(slots, MOST_SLOTS)
         rows = rated.mapInArrow(lambda b: _slot_rows(b, slots), "slot long, plane long, mask long")
         rows = rows.groupBy("slot", "plane").agg(F.bit_or("mask").alias("mask")).toArrow()
@@ -175,11 +176,18 @@ def identify(documents: DataFrame, filters: LanguageFilters, key: str = "doc_id"
     are judged each; an empty table gives no rows; other columns are not read.
     """
     shared = documents.sparkSession.sparkContext.broadcast(vars(filters))
-    kind = documents.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, lang_pred string, score double"
+    schema = keyed_schema(documents, key, "lang_pred string, score double")
     return documents.select(key, "text").mapInArrow(lambda b: _judged(b, shared, [key]), schema)
 
 
+def in_known_language(documents: DataFrame, filters: LanguageFilters, least: float = LEAST_SCORE) -> DataFrame:
+    """The rows, with all columns, whose text is in a learned language: not ``und``, and a share of ``least`` of
+    the grams, or more, known to the language."""
+    rows = documents.select(F.struct(*documents.columns).alias("_row"), "text")
+    judged = identify(rows, filters, "_row")
+    return judged.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select("_row.*")
+
+
 def training_rows(documents: DataFrame) -> DataFrame:
     return documents.where(fold(F.col("doc_id"), 5) != 0)
 

@@ -119,3 +119,34 @@ def repeated_documents(documents: DataFrame, mixed: DataFrame) -> DataFrame:
 def op8_hash_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(read(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
+# The same mix with every document of a source in hash order; the cut is the first place at which the running sum
+# reaches the budget, or just before it if that is nearer.
+OP8_SQL = r"""
+WITH sizes AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT AS hash FROM documents),
+sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+    CASE (row_number() OVER (ORDER BY (source IS NULL)::INT, encode(source)) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight
+  FROM sizes GROUP BY source),
+caps AS (
+  SELECT *, source_size * 3.0::DOUBLE AS cap, sum(source_size::DOUBLE) OVER () AS words FROM sources),
+levels AS (
+  SELECT *, (words - coalesce(sum(cap) OVER (ORDER BY cap / weight, (source IS NULL)::INT, encode(source) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE))
+    / sum(weight) OVER (ORDER BY cap / weight, (source IS NULL)::INT, encode(source) ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM caps),
+targets AS (
+  SELECT source, source_size, coalesce(least(cap, weight * (SELECT max_by(l.level, -l.cap / l.weight) FROM levels l WHERE l.cap >= l.weight * l.level)), cap) AS target FROM levels),
+budgets AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS passes FROM targets),
+rests AS (SELECT *, round(target - passes * source_size)::BIGINT AS budget FROM budgets),
+running AS (
+  SELECT s.source, s.hash, r.budget, sum(s.size) OVER (PARTITION BY s.source ORDER BY s.hash) AS upto,
+    sum(s.size) OVER (PARTITION BY s.source, s.hash) AS words
+  FROM sizes s JOIN rests r ON s.source IS NOT DISTINCT FROM r.source WHERE r.budget > 0),
+cuts AS (
+  SELECT source, min_by(hash + (words <= 2 * (budget - (upto - words)))::INT, hash) AS cut FROM running WHERE upto >= budget GROUP BY source)
+SELECT s.doc_id, s.size, r.source_size, r.target, s.size * (r.passes + (s.hash < coalesce(c.cut, 0))::BIGINT) AS taken
+FROM sizes s JOIN rests r ON s.source IS NOT DISTINCT FROM r.source LEFT JOIN cuts c ON s.source IS NOT DISTINCT FROM c.source
+"""

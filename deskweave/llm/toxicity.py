@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deskweave.llm.common import SpanHasher, fold, lowered, mixed, read, signed, unsigned, utf8_steps, word_spans
+from deskweave.llm.common import SpanHasher, fold, keyed_schema, lowered, mixed, read, signed, unsigned, utf8_steps, word_spans
 
 # Bounds of what the model is fitted on and of the model itself; the corpus is never sampled for scoring.
 MOST_LABELLED = 20_000  # rows of each class, those with the smallest hash of doc_id
@@ -250,10 +250,16 @@ def score_toxicity(documents: DataFrame, model: ToxicityModel, key: str = "doc_i
     ``MOST_FEATURES`` and the identity terms) is broadcast.
     """
     shared = documents.sparkSession.sparkContext.broadcast(vars(model))
-    schema = f"`{key}` {documents.schema[key].dataType.simpleString()}, score double, predicted int"
+    schema = keyed_schema(documents, key, "score double, predicted int")
     return documents.select(key, "text").mapInArrow(lambda b: _scored(b, shared, key), schema)
 
 
+def without_toxic(documents: DataFrame, model: ToxicityModel) -> DataFrame:
+    """The rows, with all columns, that the model does not predict to be toxic."""
+    rows = documents.select(F.struct(*documents.columns).alias("_row"), "text")
+    return score_toxicity(rows, model, "_row").where("predicted = 0").select("_row.*")
+
+
 def training_labels(labels: DataFrame) -> DataFrame:
     return labels.where(fold(F.col("doc_id"), 3) != 1).select("doc_id", "toxic")
 
