@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from deskweave.llm import bpe, jaccard, language, mixing, toxicity, url_rules
+from deskweave.llm import bpe, ctw, hilbert, jaccard, language, mixing, near_vectors, toxicity, url_rules, wrappers
 
 QUERIES = {
     fn.__name__: fn
     for fn in (
         language.op1_language_bitmask,
         bpe.op2_chunked_bpe,
+        near_vectors.op3_pca_tiles,
+        ctw.op4_context_tree_weighting,
+        hilbert.op5_hilbert_windows,
+        wrappers.op6_tree_wrappers,
         toxicity.op7_counterfactual_toxicity,
         mixing.op8_hash_threshold_mix,
         url_rules.op9_reversed_host_sweep,
