@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from deskweave.llm.common import SpanHasher, fold, keyed_schema, lowered, read, signed, unsigned, utf8_steps, word_spans
 from deskweave.operators.staging import stage
 
-DEPTH = 7  # bytes of the longest context, 7 at most
+DEPTH = 6  # bytes of the longest context
+HALF = 4  # contexts up to this length are counted first; longer ones only where they extend a node
+FLUSH = 1 << 20  # distinct values that a task counts before it passes them on
 SHARE_BITS = 15  # a context is a node of its own from 2**-15 of all training bytes, so a depth has 2**15 nodes at most
 HEAD_WORDS = 1 << 18  # bound of the word counts that are sent to the tasks; all others are joined
 
@@ -29,13 +31,16 @@ def _counts(batches: Iterator[pa.RecordBatch], of, name: str) -> Iterator[pa.Rec
     for batch in batches:
         for _, at, raw in utf8_steps(batch.column("text")):
             parts.append(np.unique(of(at, lowered(raw)), return_counts=True))
-            if len(parts) >= 12:
+            if len(parts) >= 8:
                 parts = [_merge(parts)]
+                if len(parts[0][0]) >= FLUSH:
+                    yield _count_rows(*parts.pop(), name)
     if parts:
-        values, n = _merge(parts)
-        for first in range(0, len(values), 1 << 18):
-            rows = slice(first, first + (1 << 18))
-            yield pa.RecordBatch.from_arrays([pa.array(signed(values[rows])), pa.array(n[rows])], names=[name, "n"])
+        yield _count_rows(*_merge(parts), name)
+
+
+def _count_rows(values: np.ndarray, n: np.ndarray, name: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(signed(values)), pa.array(n)], names=[name, "n"])
 
 
 def _words() -> object:
@@ -57,15 +62,30 @@ def _stream(at: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return stream, place
 
 
-def _grams(at: np.ndarray, raw: np.ndarray) -> np.ndarray:
-    """Each byte with the DEPTH bytes before it: the byte itself in the lowest place, the nearest next."""
-    stream, place = _stream(at, raw)
+def _before(stream: np.ndarray, place: np.ndarray, length: int) -> np.ndarray:
+    """The bytes before each place as a number, the nearest in its lowest byte."""
     out = np.zeros(len(place), np.uint64)
-    for k in range(DEPTH + 1):
-        out |= stream[place - k].astype(np.uint64) << np.uint64(8 * k)
+    for k in range(length):
+        out |= stream[place - k - 1].astype(np.uint64) << np.uint64(8 * k)
     return out
 
 
+def _contexts(known: np.ndarray | None) -> object:
+    """Contexts of HALF bytes, or of DEPTH bytes at the places whose context of HALF bytes is ``known``."""
+
+    def of(at: np.ndarray, raw: np.ndarray) -> np.ndarray:
+        stream, place = _stream(at, raw)
+        short = _before(stream, place, HALF)
+        if known is None:
+            return short
+        if not len(known):
+            return short[:0]
+        spot = np.minimum(np.searchsorted(known, short), len(known) - 1)
+        return _before(stream, place[known[spot] == short], DEPTH)
+
+    return of
+
+
 def _log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     """Natural logarithm of the Krichevsky-Trofimov probability of a sequence with these counts."""
 
@@ -119,21 +139,61 @@ class ContextTree:
     child: np.ndarray
     logs: np.ndarray
 
-    def text_scores(self, at: np.ndarray, raw: np.ndarray) -> np.ndarray:
-        """log10 probability of each text, byte by byte after the bytes before."""
-        stream, place = _stream(at, raw)
+    def ends(self, stream: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """The row in which each place's path of preceding bytes ends."""
         node = np.zeros(len(place), np.int32)
         active = np.arange(len(place))
         for k in range(1, DEPTH + 1):
             node[active] = self.child[node[active], stream[place[active] - k]]
             active = active[node[active] >= 0]
-        values = self.logs[~node, stream[place]].astype(np.float64)
+        return ~node
+
+    def text_scores(self, at: np.ndarray, raw: np.ndarray) -> np.ndarray:
+        """log10 probability of each text, byte by byte after the bytes before."""
+        stream, place = _stream(at, raw)
+        values = self.logs[self.ends(stream, place), stream[place]].astype(np.float64)
         sums = np.concatenate([[0.0], np.cumsum(values)])
         return sums[at[1:]] - sums[at[:-1]]
 
 
-def build_tree(depth: np.ndarray, context: np.ndarray, byte: np.ndarray, n: np.ndarray) -> ContextTree:
-    """The weighted tree from byte counts of its contexts (the empty one included; any suffix of one is one).
+@dataclass
+class Shape:
+    """The contexts that are nodes, shortest first: depth, bytes, parent, and whether longer ones follow."""
+
+    depth: np.ndarray
+    context: np.ndarray
+    parent: np.ndarray
+    inner: np.ndarray
+
+    def walker(self) -> ContextTree:
+        inside = np.flatnonzero(self.inner)
+        number = np.full(len(self.depth), -1)
+        number[inside] = np.arange(len(inside))
+        child = np.repeat(~(inside if len(inside) else np.zeros(1, int))[:, None], 256, 1).astype(np.int32)
+        some = np.flatnonzero(self.parent >= 0)
+        far = (self.context[some] >> (8 * (self.depth[some] - 1)).astype(np.uint64)).astype(np.int64) & 255
+        child[number[self.parent[some]], far] = np.where(self.inner[some], number[some], ~some)
+        return ContextTree(child, np.empty((0, 256), np.float32))
+
+
+def tree_shape(depth: np.ndarray, context: np.ndarray) -> Shape:
+    """From the depth and bytes of all contexts; any suffix of one is one, the empty one is added."""
+    if not (depth == 0).any():
+        depth, context = np.append(depth, 0), np.append(context, np.uint64(0))
+    order = np.lexsort((context, depth))
+    depth, context = depth[order].astype(int), context[order].astype(np.uint64)
+    parent = np.full(len(depth), -1)
+    for d in range(1, DEPTH + 1):
+        mine, above = np.flatnonzero(depth == d), np.flatnonzero(depth == d - 1)
+        if len(mine):
+            parent[mine] = above[np.searchsorted(context[above], context[mine] & np.uint64((1 << 8 * (d - 1)) - 1))]
+    inner = np.zeros(len(depth), bool)
+    inner[parent[parent >= 0]] = True
+    return Shape(depth, context, parent, inner)
+
+
+def build_tree(shape: Shape, ended: np.ndarray) -> ContextTree:
+    """The weighted tree from the byte counts (nodes x 256) at the places whose path ends in each node.
 
     Every context and binary decision has a KT estimate of its own counts. A context's weighted probability is
     half its KT probability and half the product of those of the contexts one byte longer; training text
@@ -141,27 +201,11 @@ def build_tree(depth: np.ndarray, context: np.ndarray, byte: np.ndarray, n: np.n
     model: a decision's probability is the mixture, over all depths of its path, of the KT predictions
     with the posterior weight of the path ending there.
     """
-    order = np.lexsort((context, depth))
-    depth, context, byte, n = depth[order], context[order], byte[order], n[order]
-    new = np.ones(len(depth), bool)
-    new[1:] = (depth[1:] != depth[:-1]) | (context[1:] != context[:-1])
-    row = np.cumsum(new) - 1
-    depth, context = depth[new], context[new]
-    nodes = max(len(depth), 1)
-    counts = np.zeros((nodes, 256), np.float64)
-    np.add.at(counts, (row, byte), n)
-    if not len(depth):
-        depth, context = np.zeros(1, int), np.zeros(1, np.uint64)
-    # Parents: the same context without its farthest byte.
-    parent = np.full(nodes, -1)
-    for d in range(1, DEPTH + 1):
-        mine, above = np.flatnonzero(depth == d), np.flatnonzero(depth == d - 1)
-        short = context[mine] & np.uint64((1 << 8 * (d - 1)) - 1)
-        parent[mine] = above[np.searchsorted(context[above], short)]
-    inner = np.zeros(nodes, bool)
-    inner[parent[parent >= 0]] = True
-    rest = counts.copy()
-    np.subtract.at(rest, parent[parent >= 0], counts[parent >= 0])
+    depth, parent, inner = shape.depth, shape.parent, shape.inner
+    nodes, rest, counts = len(depth), ended, ended.copy()
+    for d in range(DEPTH, 0, -1):
+        mine = np.flatnonzero(depth == d)
+        np.add.at(counts, parent[mine], counts[mine])
     log_kt, log_rest = _blocked(lambda c: _log_kt(*_bits(c)), counts), _blocked(lambda c: _log_kt(*_bits(c)), rest)
     weighted = log_kt.copy()
     for d in range(DEPTH - 1, -1, -1):
@@ -186,33 +230,51 @@ def build_tree(depth: np.ndarray, context: np.ndarray, byte: np.ndarray, n: np.n
     ended = said + left * np.where(inner[:, None], stop * predict + (1 - stop) * predict_rest, predict)
     del said, left, stop, predict, predict_rest
     logs = _blocked(_byte_logs, ended, np.float32)
-    inside = np.flatnonzero(inner)
-    number = np.full(nodes, -1)
-    number[inside] = np.arange(len(inside))
-    child = np.repeat(~(inside if len(inside) else np.zeros(1, int))[:, None], 256, 1).astype(np.int32)
-    some = np.flatnonzero(parent >= 0)
-    far = (context[some] >> (8 * (depth[some] - 1)).astype(np.uint64)).astype(np.int64) & 255
-    child[number[parent[some]], far] = np.where(inner[some], number[some], ~some)
-    return ContextTree(child, logs)
+    return ContextTree(shape.walker().child, logs)
+
+
+def _ended(batches: Iterator[pa.RecordBatch], child: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(row, byte, n): bytes at the places whose path ends in a row."""
+    tree = ContextTree(child, np.empty(0))
+
+    def of(at: np.ndarray, raw: np.ndarray) -> np.ndarray:
+        stream, place = _stream(at, raw)
+        return tree.ends(stream, place).astype(np.uint64) << np.uint64(8) | stream[place]
+
+    return _counts(batches, of, "value")
+
+
+def _nodes(counts: DataFrame, lengths: range, least: float) -> DataFrame:
+    """(depth, context) of the contexts of these lengths that occur often enough, from counts of longer ones."""
+    every = counts.select(F.explode(F.array(*map(F.lit, lengths))).alias("depth"), "context", "n")
+    mask = F.expr("shiftleft(1L, 8 * depth) - 1")
+    sums = every.groupBy("depth", F.col("context").bitwiseAND(mask).alias("context")).agg(F.sum("n").alias("n"))
+    return sums.where(F.col("n") >= least).select("depth", "context")
 
 
 def fit_tree(documents: DataFrame) -> ContextTree:
-    """Learn from all texts: every byte with its DEPTH predecessors is counted, map-side first.
+    """Learn from all texts, in three passes of counts that are summed map-side first.
 
-    The counts of all contexts follow by summing over shorter ones. Contexts with at least 2**-SHARE_BITS of all
-    bytes become nodes, so the tree is at most DEPTH * 2**SHARE_BITS + 1 nodes whatever the corpus.
+    Contexts of HALF bytes and, where such a one is a node, of DEPTH bytes are counted; those of all lengths
+    between follow by summing. Contexts with at least 2**-SHARE_BITS of all bytes become nodes, so the tree is
+    at most DEPTH * 2**SHARE_BITS + 1 nodes whatever the corpus. Last, the bytes at every place are counted
+    by the node in which the place's path ends.
     """
-    grams = documents.select("text").mapInArrow(lambda b: _counts(b, _grams, "gram"), "gram long, n long")
-    grams = stage(grams.groupBy("gram").agg(F.sum("n").alias("n")), "grams")
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    depths = F.explode(F.array(*map(F.lit, range(DEPTH + 1)))).alias("depth")
-    every = grams.select("gram", "n", depths)
-    context = F.expr("shiftrightunsigned(gram, 8) & (shiftleft(1L, 8 * depth) - 1)").alias("context")
-    every = every.select("depth", context, F.expr("cast(gram & 255 as int)").alias("byte"), "n")
-    nodes = every.groupBy("depth", "context").agg(F.sum("n").alias("all")).where(F.col("all") * (1 << SHARE_BITS) >= total).select("depth", "context")
-    nodes = stage(nodes, "contexts")
-    rows = every.join(F.broadcast(nodes), ["depth", "context"]).groupBy("depth", "context", "byte").agg(F.sum("n").alias("n")).toArrow()
-    return build_tree(rows["depth"].to_numpy().astype(int), unsigned(rows["context"].to_numpy()), rows["byte"].to_numpy().astype(int), rows["n"].to_numpy())
+    texts = documents.select("text")
+    counted = lambda known: texts.mapInArrow(lambda b: _counts(b, _contexts(known), "context"), "context long, n long").groupBy("context").agg(F.sum("n").alias("n"))
+    first = stage(counted(None), "contexts")
+    least = max((first.agg(F.sum("n")).first()[0] or 0) / (1 << SHARE_BITS), 1)
+    short = _nodes(first, range(HALF + 1), least).toArrow()
+    depth, context = short["depth"].to_numpy(), unsigned(short["context"].to_numpy())
+    known = np.sort(context[depth == HALF])
+    long = _nodes(stage(counted(known), "contexts"), range(HALF + 1, DEPTH + 1), least).toArrow()
+    shape = tree_shape(np.concatenate([depth, long["depth"].to_numpy()]), np.concatenate([context, unsigned(long["context"].to_numpy())]))
+    child = shape.walker().child
+    rows = texts.mapInArrow(lambda b: _ended(b, child), "value long, n long").groupBy("value").agg(F.sum("n").alias("n")).toArrow()
+    ended = np.zeros((len(shape.depth), 256))
+    value = rows["value"].to_numpy()
+    ended[value >> 8, value & 255] = rows["n"].to_numpy()
+    return build_tree(shape, ended)
 
 
 def _scored(batches: Iterator[pa.RecordBatch], shared, key: str) -> Iterator[pa.RecordBatch]:
