@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 # Bytes of text that one vectorised step works on; a longer text is a step of its own.
-STEP_BYTES = 1 << 21
+STEP_BYTES = 1 << 19
 
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
@@ -123,3 +123,28 @@ def unsigned(x: np.ndarray) -> np.ndarray:
 def keyed_schema(df: DataFrame, key: str, rest: str) -> StructType:
     """The key column as ``df`` has it, of any type, and columns in DDL."""
     return StructType([StructField(key, df.schema[key].dataType), *StructType.fromDDL(rest).fields])
+
+
+PROBES = (0, 18, 36)  # shifts that take a hash to its bits in a filter
+
+
+def bit_filter(rows: DataFrame, column: str, most_bits: int) -> np.ndarray:
+    """Bits of a Bloom filter of a column of 64-bit hashes, as words: sixteen bits a row, ``most_bits`` at most.
+
+    A fuller filter only lets more through; who uses one has to decide exactly afterwards.
+    """
+    bits = min(1 << (max(rows.count() * 16, 64) - 1).bit_length(), most_bits)
+    slots = F.array(*[F.shiftrightunsigned(F.col(column), k).bitwiseAND(F.lit(bits - 1)) for k in PROBES])
+    rows = rows.select(F.explode(slots).alias("slot")).select(F.shiftright("slot", 6).alias("word"), F.expr("shiftleft(1L, cast(slot & 63 as int))").alias("bit"))
+    found = rows.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[found["word"].to_numpy()] = found["bits"].to_numpy()
+    return out
+
+
+def in_filter(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
+    found = np.ones(len(hashes), bool)
+    for k in PROBES:
+        slot = (hashes >> np.uint64(k) & np.uint64(len(words) * 64 - 1)).astype(np.int64)
+        found &= (words[slot >> 6] >> (slot & 63)) & 1 == 1
+    return found

@@ -9,14 +9,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deskweave.llm.common import SpanHasher, keyed_schema, lowered, mixed, read, signed, utf8_steps, word_spans
+from deskweave.llm.common import SpanHasher, bit_filter, in_filter, keyed_schema, lowered, mixed, read, signed, utf8_steps, word_spans
 from deskweave.llm.components import components
 from deskweave.operators.staging import stage
 
 WORDS = 5
 PERCENT = 80
-BUCKETS = 1 << 18  # counters of shingle frequency, whatever the corpus' size
+BUCKETS = 1 << 21  # counters of shingle frequency, whatever the corpus' size
+SAMPLE = 1 << 22  # shingles that are counted together within a task
 FILTER_BITS = 1 << 27  # bound of the filter of sets to be read again
+FAMILY_BLOCK = 1024  # sets
+FOLLOWED = 4  # leaders of leaders
 BLOCK = 1 << 16  # pairs looked at together within a list
 
 
@@ -75,18 +78,41 @@ def _bucket(members: np.ndarray) -> np.ndarray:
 
 
 def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    make, total = Shingler(), np.zeros(BUCKETS, np.int64)
+    """(bucket, n) of the shingles that several different sets of a run of texts hold."""
+    make = Shingler()
+    seen: set[int] = set()
+    held: list[np.ndarray] = []
+    size = 0
+
+    def counted() -> pa.RecordBatch:
+        values, n = np.unique(np.concatenate(held), return_counts=True)
+        buckets, inverse = np.unique(_bucket(values[n > 1]), return_inverse=True)
+        total = np.bincount(inverse, n[n > 1], len(buckets)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(buckets), pa.array(total)], names=["bucket", "n"])
+
     for batch in batches:
         for _, at, raw in utf8_steps(batch.column("text")):
-            sets = make.sets(at, raw)
-            if sets:
-                total += np.bincount(_bucket(np.concatenate(sets)), minlength=BUCKETS)
-    used = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["bucket", "n"])
+            for members in make.sets(at, raw):
+                sig = signature(members) if len(members) else None
+                if sig is not None and sig not in seen:
+                    if len(seen) < 1 << 20:
+                        seen.add(sig)
+                    held.append(members)
+                    size += len(members)
+            if size >= SAMPLE:
+                yield counted()
+                held, size = [], 0
+    if held:
+        yield counted()
 
 
 def frequency_counters(documents: DataFrame) -> np.ndarray:
-    """Counts of shingles by hash bucket over all texts, an upper bound of each shingle's frequency."""
+    """Frequencies of shingles by hash bucket, from all texts.
+
+    A shingle counts where several sets of one run of texts hold it, so the many rare ones leave the counters
+    empty and what is frequent in the corpus stands out, whatever its size. Only the order of members
+    depends on them: any order gives the same links, this one keeps common passages out of the prefixes.
+    """
     rows = documents.select("text").mapInArrow(_bucket_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(BUCKETS, np.int64)
     out[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
@@ -174,8 +200,8 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [token[rows], sig[rows], size[rows], place[rows], lead_sig[rows], lead_size[rows], lead_place[rows]]
         if len(rows):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(parts[0]), pa.array(parts[1]), pa.array(parts[2].astype(np.int32)), pa.array(parts[3].astype(np.int32)), pa.array(parts[4]), pa.array(_possible(parts[2].astype(np.int64), parts[3], parts[5].astype(np.int64), parts[6]))],
-                names=["token", "sig", "size", "place", "lead", "possible"],
+                [pa.array(parts[0]), pa.array(parts[1]), pa.array(parts[2].astype(np.int32)), pa.array(parts[3].astype(np.int32)), pa.array(parts[4]), pa.array(parts[5].astype(np.int32)), pa.array(parts[6].astype(np.int32)), pa.array(_possible(parts[2].astype(np.int64), parts[3], parts[5].astype(np.int64), parts[6]))],
+                names=["token", "sig", "size", "place", "lead", "lead_size", "lead_place", "possible"],
             )
         if len(token):
             last_token, last_sig = token[-1], sig[-1]
@@ -187,14 +213,13 @@ def _wanted_sets(batches: Iterator[pa.RecordBatch], bits) -> Iterator[pa.RecordB
     make, seen = Shingler(), set()
     for batch in batches:
         for _, at, raw in utf8_steps(batch.column("text")):
+            sets = [s for s in make.sets(at, raw) if len(s)]
+            sigs = np.array([signature(s) for s in sets], np.int64)
             rows = []
-            for members in make.sets(at, raw):
-                sig = signature(members) if len(members) else None
-                if sig is None or sig in seen:
-                    continue
-                slot = sig & (len(bits.value) * 64 - 1)
-                if bits.value[slot >> 6] >> (slot & 63) & 1:
-                    rows.append((sig, members.tobytes()))
+            for i in np.flatnonzero(in_filter(sigs.view(np.uint64), bits.value)):
+                sig = int(sigs[i])
+                if sig not in seen:
+                    rows.append((sig, sets[i].tobytes()))
                     if len(seen) < 1 << 20:
                         seen.add(sig)
             if rows:
@@ -210,26 +235,36 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *sizes, pa.array(n, pa.int64())], names=["a", "b", "na", "nb", "common"])
 
 
-def measured(documents: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b, na, nb, common) for distinct ``pairs(a, b)`` of signatures, from the sets themselves.
+def listed_sets(documents: DataFrame, sigs: DataFrame) -> DataFrame:
+    """(sig, members) of the sets with one of the distinct ``sigs(sig)``, written once.
 
-    A filter of bounded size tells the tasks which sets are wanted, so texts are read again but only wanted sets
-    are shuffled; a fuller filter lets more through, the join decides.
+    A filter of bounded size tells the tasks which sets are wanted, so texts are read again but only wanted
+    sets are shuffled; a fuller filter lets more through, the join decides.
     """
-    spark = documents.sparkSession
-    wanted = pairs.select(F.col("a").alias("sig")).union(pairs.select(F.col("b").alias("sig"))).distinct()
-    size = min(1 << (max(wanted.count() * 16, 64) - 1).bit_length(), FILTER_BITS)
-    word = F.col("sig").bitwiseAND(F.lit(size - 1))
-    rows = wanted.select(F.shiftright(word, 6).alias("word"), F.expr("shiftleft(1L, cast(sig & 63 as int))").alias("bit"))
-    rows = rows.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    bits = np.zeros(size // 64, np.int64)
-    bits[rows["word"].to_numpy()] = rows["bits"].to_numpy()
-    shared = spark.sparkContext.broadcast(bits)
+    shared = documents.sparkSession.sparkContext.broadcast(bit_filter(sigs, "sig", FILTER_BITS))
     sets = documents.select("text").mapInArrow(lambda b: _wanted_sets(b, shared), "sig long, members binary")
-    sets = stage(sets.join(wanted, "sig", "left_semi").groupBy("sig").agg(F.first("members").alias("members")), "sets")
-    both = pairs.join(sets.select(F.col("sig").alias("b"), F.col("members").alias("y")), "b")
-    both = both.join(sets.select(F.col("sig").alias("a"), F.col("members").alias("x")), "a").select("a", "b", "x", "y")
-    return stage(both.mapInArrow(_common, "a long, b long, na long, nb long, common long"), "measured")
+    return stage(sets.join(sigs, "sig", "left_semi").groupBy("sig").agg(F.first("members").alias("members")), "sets")
+
+
+def _filtered(batches: Iterator[pa.RecordBatch], bits) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch.filter(pa.array(in_filter(batch.column("sig").to_numpy().view(np.uint64), bits.value)))
+
+
+def measured(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, na, nb, common) for distinct ``pairs(a, b)`` of signatures, from the sets themselves."""
+    return stage(_with_members(sets, pairs).mapInArrow(_common, "a long, b long, na long, nb long, common long"), "measured")
+
+
+def _with_members(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, x, y): pairs with the members of both sets; sets of no pair are left out before the shuffle."""
+    spark = sets.sparkSession
+    sides = []
+    for side, members in (("a", "x"), ("b", "y")):
+        bits = spark.sparkContext.broadcast(bit_filter(pairs.select(side).distinct(), side, FILTER_BITS))
+        wanted = sets.mapInArrow(lambda batches, bits=bits: _filtered(batches, bits), sets.schema)
+        sides.append(wanted.select(F.col("sig").alias(side), F.col("members").alias(members)))
+    return pairs.join(sides[1], "b").join(sides[0], "a").select("a", "b", "x", "y")
 
 
 def _linked(pairs: DataFrame) -> DataFrame:
@@ -243,8 +278,8 @@ def _other_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     of the Jaccard distance a pair whose distances differ by more than the limit cannot be linked.
     """
     limit = 1 - PERCENT / 100 + 1e-9
-    columns = ["token", "root", "sig", "size", "place", "distance"]
-    for token, root, sig, size, place, distance in _runs(batches, columns, BLOCK):
+    columns = ["token", "root", "sig", "size", "place", "family", "distance"]
+    for token, root, sig, size, place, family, distance in _runs(batches, columns, BLOCK):
         size = size.astype(np.int64)
         border = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
         found: list[np.ndarray] = []
@@ -253,7 +288,7 @@ def _other_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for start, end in zip(groups[:-2], groups[1:-1]):  # against all later components
                 for i in range(start, end):
                     later = slice(end, b)
-                    open_ = _possible(size[i], place[i], size[later], place[later]) & ~(np.abs(distance[i] - distance[later]) > limit)
+                    open_ = _possible(size[i], place[i], size[later], place[later]) & ~(np.abs(distance[i] - distance[later]) > limit) & (family[later] != family[i])
                     other = sig[later][open_]
                     if len(other):
                         found.append(np.stack([np.minimum(other, sig[i]), np.maximum(other, sig[i])]))
@@ -268,34 +303,139 @@ def link_sets(documents: DataFrame) -> DataFrame:
     Sets are linked from ``PERCENT`` of their union on. Members are ordered by the frequency counters, rarest
     first; linked sets share a member of their prefixes. Per member a list of its sets is made:
 
-    1. Each list's leader is compared with the list's other sets. Sizes and places in the prefixes skip
-       pairs without reading a set; the others are measured exactly, each pair once.
-    2. The links so far give components, and each set its distance to the leader. Only pairs of different
-       components are still open; most are answered from the distances to the leader without a
-       comparison, the rest is measured exactly.
+    1. Each list's leader is compared with the list's other sets. Sizes and places in the prefixes skip pairs
+       without reading a set; the others are measured exactly, each pair once.
+    2. Sets that are often listed with the same central set are its family. Each is compared with it once and kept
+       as what it drops and adds; all answers within the family follow from these differences, without
+       the sets and without listing pairs.
+    3. Only pairs of different components and families are still open; by the distances to the first leader many
+       are answered without a comparison, the rest is measured exactly.
 
-    A large group of near copies is one component after the first step, so its pairs are never listed.
+    So the pairs of a large group of copies, near or not so near, are never listed.
     """
     counters = documents.sparkSession.sparkContext.broadcast(frequency_counters(documents))
     postings = documents.select("text").mapInArrow(lambda b: _postings(b, counters), "token long, sig long, size int, place int")
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = postings.repartition(parts, "token").sortWithinPartitions("token", "sig")
-    lists = stage(ordered.mapInArrow(_lists, "token long, sig long, size int, place int, lead long, possible boolean"), "lists")
-    pairs = stage(lists.where("possible").select(F.col("lead").alias("a"), F.col("sig").alias("b")).distinct(), "pairs")
-    first = measured(documents, pairs)
+    lists = stage(ordered.mapInArrow(_lists, "token long, sig long, size int, place int, lead long, lead_size int, lead_place int, possible boolean"), "lists")
+    leads = lists.select("token", F.col("lead").alias("sig"), F.col("lead_size").alias("size"), F.col("lead_place").alias("place")).distinct()
+    every = lists.select("token", "sig", "size", "place").union(leads)
+    sets = listed_sets(documents, every.select("sig").distinct())
+    done = stage(lists.where("possible").select(F.col("lead").alias("a"), F.col("sig").alias("b")).distinct(), "pairs")
+    first = measured(sets, done)
     links = _linked(first)
-    roots = components(links)
-    # Lists in which two sets besides the leader are of different components.
+    families = stage(family_differences(sets, _open_entries(every, components(links))), "families")
+    links = stage(links.union(family_links(families)), "links")
+    kin = families.select("sig", F.col("lead").alias("family"))
+    # Lists in which two sets besides the first leader are of different components.
     known = first.select(F.col("a").alias("lead"), F.col("b").alias("sig"), (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("distance"))
-    entries = lists.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    mixed_lists = entries.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
-    entries = entries.join(mixed_lists, "token").join(known, ["lead", "sig"], "left")
+    entries = _open_entries(lists.select("token", "sig", "size", "place", "lead"), components(links)).join(known, ["lead", "sig"], "left")
     # No number stands for a distance that was not measured; it closes nothing.
-    entries = entries.select("token", "root", "sig", "size", "place", F.coalesce("distance", F.lit(float("nan"))).alias("distance"))
+    entries = entries.join(kin, "sig", "left").withColumn("family", F.coalesce("family", "sig"))
+    entries = entries.select("token", "root", "sig", "size", "place", "family", F.coalesce("distance", F.lit(float("nan"))).alias("distance"))
     open_pairs = entries.repartition(parts, "token").sortWithinPartitions("token", "root", "sig").mapInArrow(_other_pairs, "a long, b long")
-    open_pairs = stage(open_pairs.distinct(), "pairs")
-    more = _linked(measured(documents, open_pairs.join(pairs, ["a", "b"], "left_anti")))
-    return components(links.union(more))
+    open_pairs = stage(open_pairs.distinct().join(done, ["a", "b"], "left_anti"), "pairs")
+    return components(links.union(_linked(measured(sets, open_pairs))))
+
+
+def family_differences(sets: DataFrame, entries: DataFrame) -> DataFrame:
+    """(lead, sig, size, dropped, added): each set of a family as its difference from the family's central set.
+
+    In each list the most central set leads: the original of many near copies has no rare members of its own, so it is in
+    long lists all along its prefix. A set belongs to the leader that it meets in most lists, if it keeps
+    half of it. The central set is one of its family, without differences.
+    """
+    lengths = entries.groupBy("token").agg(F.count("*").alias("length"))
+    central = entries.join(lengths, "token").groupBy("sig").agg((F.sum("length") / F.max("size")).alias("central"))
+    rank = F.struct(-F.col("central"), F.col("sig").alias("lead"))
+    entries = entries.select("token", "sig").join(central, "sig")
+    chosen = entries.groupBy("token").agg(F.min(rank)["lead"].alias("lead"))
+    votes = entries.join(chosen, "token").where("sig <> lead").groupBy("sig", "lead").agg(F.count("*").alias("n"))
+    pairs = votes.groupBy("sig").agg(F.max(F.struct("n", "lead"))["lead"].alias("lead"))
+    pairs = stage(pairs, "kin")
+    # A leader may follow a more central one; its family goes with it.
+    up = pairs.select(F.col("sig").alias("lead"), F.col("lead").alias("next"))
+    for _ in range(FOLLOWED):
+        pairs = pairs.join(up, "lead", "left").select("sig", F.coalesce("next", "lead").alias("lead"))
+    pairs = stage(pairs, "kin")
+    leads = pairs.select("lead").distinct()
+    pairs = pairs.join(leads.withColumnRenamed("lead", "sig"), "sig", "left_anti").select(F.col("lead").alias("a"), F.col("sig").alias("b"))
+    both = _with_members(sets, pairs)
+    return both.mapInArrow(_differences, "lead long, sig long, size long, dropped binary, added binary")
+
+
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    empty = np.empty(0, np.uint64).tobytes()
+    for batch in batches:
+        rows: list[tuple] = []
+        for lead, sig, x, y in zip(*(batch.column(c) for c in ("a", "b", "x", "y"))):
+            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            dropped = np.setdiff1d(x, y, assume_unique=True)
+            if 2 * len(dropped) <= len(x):
+                rows.append((lead.as_py(), sig.as_py(), len(x), dropped.tobytes(), np.setdiff1d(y, x, assume_unique=True).tobytes()))
+                rows.append((lead.as_py(), lead.as_py(), len(x), empty, empty))
+        if rows:
+            rows = list(dict.fromkeys(rows))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["lead", "sig", "size", "dropped", "added"])
+
+
+def family_links(families: DataFrame) -> DataFrame:
+    """(a, b): links within families that connect as much as all of them. A large family is dealt into blocks of members
+    that are compared two by two, so no task holds more than two blocks."""
+    families = families.dropDuplicates(["lead", "sig"])
+    blocks = families.groupBy("lead").agg(F.ceil(F.count("*") / FAMILY_BLOCK).cast("int").alias("blocks"))
+    members = families.join(blocks, "lead").withColumn("own", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pair = F.xxhash64("lead", F.least("own", "other"), F.greatest("own", "other")).alias("pair")
+    members = members.select(pair, "lead", "sig", "size", "dropped", "added")
+    parts = int(families.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return members.repartition(parts, "pair").sortWithinPartitions("pair", "lead", "sig").mapInArrow(_family_links, "a long, b long")
+
+
+def _incidence(rows: list[np.ndarray]) -> np.ndarray:
+    """Rows x members that at least two rows hold, as ones."""
+    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    values, inverse, n = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
+    column = np.cumsum(n > 1) - 1
+    keep = n[inverse] > 1
+    out = np.zeros((len(rows), int((n > 1).sum())), np.float32)
+    out[owner[keep], column[inverse[keep]]] = 1
+    return out
+
+
+def _family_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sets x and y with differences from c: |x & y| = |c| - |dropped by x or y| + |added by both|."""
+    columns = ["pair", "lead", "sig", "size", "dropped", "added"]
+    for pair, lead, sig, size, dropped, added in _runs(batches, columns, FAMILY_BLOCK):
+        edges = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (lead[1:] != lead[:-1]), [True]]))
+        found: list[np.ndarray] = []
+        for a, b in zip(edges[:-1], edges[1:]):
+            less = [np.frombuffer(x, np.uint64) for x in dropped[a:b]]
+            more = [np.frombuffer(x, np.uint64) for x in added[a:b]]
+            n_less, n_more = np.array([len(x) for x in less]), np.array([len(x) for x in more])
+            own = size[a:b] - n_less + n_more
+            both_less, both_more = _incidence(less), _incidence(more)
+            up = np.arange(b - a)
+            for i in range(b - a):
+                common = size[a] - n_less[i] - n_less[i + 1 :] + both_less[i + 1 :] @ both_less[i] + both_more[i + 1 :] @ both_more[i]
+                hits = np.flatnonzero(100 * common >= PERCENT * (own[i] + own[i + 1 :] - common)) + i + 1
+                # One link into every part that is not connected to this set yet.
+                hits = hits[up[hits] != up[i]]
+                tops, first = np.unique(up[hits], return_index=True)
+                if len(tops):
+                    found.append(np.stack([np.full(len(tops), sig[a + i]), sig[a + hits[first]]]))
+                    up[np.isin(up, tops)] = up[i]
+        if found:
+            pairs = np.concatenate(found, 1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs.min(0)), pa.array(pairs.max(0))], names=["a", "b"])
+
+
+def _open_entries(entries: DataFrame, roots: DataFrame) -> DataFrame:
+    """Entries with their component, of the lists that have more than one."""
+    entries = entries.join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    several = entries.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
+    return entries.join(several, "token")
 
 
 def jaccard_components(documents: DataFrame, key: str = "doc_id") -> DataFrame:
