@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from deskweave.llm.common import SpanHasher, keyed_schema, read, signed, utf8_steps
+from deskweave.llm.common import SpanHasher, bit_filter, in_filter, keyed_schema, read, signed, utf8_steps
 from deskweave.operators.staging import stage
 
 WINDOW = 32  # bytes that decide whether a chunk ends
 CHUNK_BITS = 9  # a chunk ends after every 2**9th byte on average
 LEAST_CHUNK = 64
 MOST_FILTER_BITS = 1 << 27  # bound of the filter of shared chunks: 16 MB in each task
+SEEN = 1 << 17  # digests that a task remembers
 SPECIAL = ("<|endoftext|>", 50256)
 
 
@@ -104,64 +105,71 @@ def _chunk_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def shared_filter(documents: DataFrame) -> np.ndarray:
-    """Bits by chunk hash: set for every chunk that occurs more than once in all texts, and for a few others.
+    """A filter of the hashes of all chunks that occur more than once in all texts.
 
-    The filter has sixteen bits a shared chunk, ``MOST_FILTER_BITS`` at most. A fuller filter marks more chunks
-    as shared: these are encoded once and joined for nothing, the result stays the same.
+    A fuller filter marks more chunks as shared: these are encoded once and joined for nothing, the
+    result stays the same.
     """
     counts = documents.select("text").mapInArrow(_chunk_hashes, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
-    shared = stage(counts.where("n > 1").select("hash"), "chunks")
-    bits = min(1 << (max(shared.count() * 16, 64) - 1).bit_length(), MOST_FILTER_BITS)
-    word = F.shiftrightunsigned("hash", 40).bitwiseAND(F.lit(bits // 64 - 1)).alias("word")
-    bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(hash, 34) & 63 as int))").alias("bit")
-    rows = shared.select(word, bit).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(bits // 64, np.int64)
-    out[rows["word"].to_numpy()] = rows["bits"].to_numpy()
-    return out
-
-
-def _in_filter(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    word = (hashes >> np.uint64(40) & np.uint64(len(bits) - 1)).astype(np.int64)
-    return (bits[word] >> (hashes >> np.uint64(34) & np.uint64(63)).astype(np.int64)) & 1 == 1
+    return bit_filter(stage(counts.where("n > 1").select("hash"), "chunks"), "hash", MOST_FILTER_BITS)
 
 
 def _digest(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
 
-def _marked(batches: Iterator[pa.RecordBatch], bits, key: str, wanted: bool) -> Iterator[pa.RecordBatch]:
-    """The rows that have (``wanted``) or have not a chunk in the filter; digest of the whole text."""
+def _alone(batches: Iterator[pa.RecordBatch], bits, key: str) -> Iterator[pa.RecordBatch]:
+    """The rows without a chunk in the filter."""
     chunker = Chunker()
     for batch in batches:
-        texts = batch.column("text")
-        for first, at, raw in utf8_steps(texts):
+        for first, at, raw in utf8_steps(batch.column("text")):
             _, hashes, before = chunker.keyed(at, raw)
-            marked = np.add.reduceat(_in_filter(hashes, bits.value).astype(np.int64), before[:-1]) > 0
-            rows = np.flatnonzero(marked == wanted)
-            if len(rows):
-                digests = [_digest(raw[at[i] : at[i + 1]].tobytes()) for i in rows] if wanted else [None] * len(rows)
-                index = pa.array(rows + first)
-                yield pa.RecordBatch.from_arrays([batch.column(key).take(index), texts.take(index), pa.array(digests, pa.binary())], names=[key, "text", "digest"])
+            marked = np.add.reduceat(in_filter(hashes, bits.value).astype(np.int64), before[:-1]) > 0
+            index = pa.array(np.flatnonzero(~marked) + first)
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(index) for c in (key, "text")], names=[key, "text"])
 
 
-def _shared_chunks(batches: Iterator[pa.RecordBatch], bits, bodies: bool) -> Iterator[pa.RecordBatch]:
-    """``bodies``: (chunk, body), each chunk once per batch. Else (digest, place, chunk) of all occurrences."""
+def _sharing(batches: Iterator[pa.RecordBatch], bits, key: str) -> Iterator[pa.RecordBatch]:
+    """The other rows: digest of the text, and the text compressed, as it is to be shuffled."""
     chunker = Chunker()
     for batch in batches:
-        digests = batch.column("digest")
         for first, at, raw in utf8_steps(batch.column("text")):
+            _, hashes, before = chunker.keyed(at, raw)
+            marked = np.add.reduceat(in_filter(hashes, bits.value).astype(np.int64), before[:-1]) > 0
+            texts = [raw[at[i] : at[i + 1]].tobytes() for i in np.flatnonzero(marked)]
+            columns = [pa.array([_digest(t) for t in texts], pa.binary()), pa.array([len(t) for t in texts], pa.int64()), pa.array([pa.compress(t, "zstd", asbytes=True) for t in texts], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(np.flatnonzero(marked) + first)), *columns], names=[key, "digest", "size", "body"])
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], bits) -> Iterator[pa.RecordBatch]:
+    """(digest, place, chunk, body) of all shared chunks of a text; a text, and the body of a chunk, once per task
+    as far as a bounded memory of what was seen goes."""
+    chunker = Chunker()
+    texts: set[bytes] = set()
+    chunks: set[bytes] = set()
+    for batch in batches:
+        for _, at, raw in utf8_steps(batch.column("text")):
             cuts, hashes, before = chunker.keyed(at, raw)
-            hit = _in_filter(hashes, bits.value)
-            found: list[tuple] = []
+            hit = in_filter(hashes, bits.value)
+            rows: list[tuple] = []
             for i in range(len(at) - 1):
-                for place in np.flatnonzero(hit[before[i] : before[i + 1]]).tolist():
+                places = np.flatnonzero(hit[before[i] : before[i + 1]]).tolist()
+                if not places:
+                    continue
+                digest = _digest(raw[at[i] : at[i + 1]].tobytes())
+                if digest in texts:
+                    continue
+                if len(texts) < SEEN:
+                    texts.add(digest)
+                for place in places:
                     body = raw[at[i] + cuts[i][place] : at[i] + cuts[i][place + 1]].tobytes()
-                    found.append((_digest(body), body) if bodies else (digests[first + i].as_py(), place, _digest(body)))
-            if bodies:
-                found = list(dict(found).items())
-            if found:
-                kinds = [pa.binary(), pa.binary()] if bodies else [pa.binary(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found), kinds)], names=["chunk", "body"] if bodies else ["digest", "place", "chunk"])
+                    chunk = _digest(body)
+                    rows.append((digest, place, chunk, None if chunk in chunks else body))
+                    if len(chunks) < SEEN:
+                        chunks.add(chunk)
+            if rows:
+                kinds = (pa.binary(), pa.int32(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["digest", "place", "chunk", "body"])
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], ranks, key: str, text: str) -> Iterator[pa.RecordBatch]:
@@ -209,17 +217,20 @@ def joined_ids(codec: Codec, data: bytes, borders: np.ndarray, known: dict[int,
     return np.concatenate(out).astype("<u4")
 
 
-def _joined(batches: Iterator[pa.RecordBatch], ranks) -> Iterator[pa.RecordBatch]:
+def _joined(batches: Iterator[pa.RecordBatch], ranks, key: str) -> Iterator[pa.RecordBatch]:
     codec, chunker = Codec.of(ranks.value), Chunker()
     for batch in batches:
-        digests, parts = batch.column("digest"), batch.column("parts")
-        for first, at, raw in utf8_steps(batch.column("text")):
-            cuts = chunker.cuts(at, raw)
+        bodies, sizes, parts = batch.column("body"), batch.column("size"), batch.column("parts")
+        for first in range(0, batch.num_rows, 64):
+            rows = range(first, min(first + 64, batch.num_rows))
+            texts = [pa.decompress(bodies[i].as_buffer(), sizes[i].as_py(), "zstd", asbytes=True) for i in rows]
+            at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+            cuts = chunker.cuts(at, np.frombuffer(b"".join(texts), np.uint8))
             ids = []
-            for i in range(len(at) - 1):
-                known = {p["place"]: np.frombuffer(p["ids"], "<u4") for p in parts[first + i].as_py() or ()}
-                ids.append(joined_ids(codec, raw[at[i] : at[i + 1]].tobytes(), cuts[i], known).tobytes())
-            yield pa.RecordBatch.from_arrays([digests.slice(first, len(ids)), pa.array(ids, pa.binary())], names=["digest", "ids"])
+            for i, text, borders in zip(rows, texts, cuts):
+                known = {p["place"]: np.frombuffer(p["ids"], "<u4") for p in parts[i].as_py() or ()}
+                ids.append(joined_ids(codec, text, borders, known).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(key).slice(first, len(ids)), pa.array(ids, pa.binary())], names=[key, "ids"])
 
 
 def encode(documents: DataFrame, ranks_path: str | None = None, key: str = "doc_id") -> DataFrame:
@@ -230,10 +241,10 @@ def encode(documents: DataFrame, ranks_path: str | None = None, key: str = "doc_
     1. Chunks of all texts are counted by hash (8 bytes a chunk are shuffled); those that occur twice or more
        form a filter of bounded size.
     2. A text without such a chunk is encoded where it is read; it is never shuffled.
-    3. Of the others equal texts are made one; their shared chunks are made distinct and encoded once; each
-       text gets the ids of its chunks and re-encodes the joins until both sides agree (``joined_ids``).
+    3. The shared chunks are made distinct and encoded once. Each of the other texts gets the ids of its
+       shared chunks, by digest, and re-encodes what is between them until both sides agree (``joined_ids``).
 
-    A hot chunk or a hot text is folded map-side before it moves. Null and empty texts have no ids. A null
+    Hot chunks and hot texts are folded map-side before they move. Null and empty texts have no ids. A null
     key stays null; repeated rows are encoded each; an empty table gives no rows; other columns are not read.
     ``ranks_path`` (driver's file, under a megabyte) is sent to the tasks by value.
     """
@@ -242,19 +253,17 @@ def encode(documents: DataFrame, ranks_path: str | None = None, key: str = "doc_
         ranks = spark.sparkContext.broadcast(file.read())
     documents = documents.select(key, "text")
     bits = spark.sparkContext.broadcast(shared_filter(documents))
-    row = keyed_schema(documents, key, "text string, digest binary")
-    alone = documents.mapInArrow(lambda b: _marked(b, bits, key, False), row)
-    alone = alone.mapInArrow(lambda b: _encoded(b, ranks, key, "text"), keyed_schema(documents, key, "ids binary"))
-    sharing = stage(documents.mapInArrow(lambda b: _marked(b, bits, key, True), row), "sharing")
-    texts = stage(sharing.groupBy("digest").agg(F.first("text").alias("text")), "texts")
-    bodies = texts.mapInArrow(lambda b: _shared_chunks(b, bits, True), "chunk binary, body binary")
-    bodies = bodies.groupBy("chunk").agg(F.first("body").alias("body"))
+    ids = keyed_schema(documents, key, "ids binary")
+    alone = documents.mapInArrow(lambda b: _alone(b, bits, key), keyed_schema(documents, key, "text string"))
+    alone = alone.mapInArrow(lambda b: _encoded(b, ranks, key, "text"), ids)
+    pieces = documents.select("text").mapInArrow(lambda b: _pieces(b, bits), "digest binary, place int, chunk binary, body binary")
+    pieces = stage(pieces, "pieces")
+    bodies = pieces.where("body is not null").groupBy("chunk").agg(F.first("body").alias("body"))
     chunks = stage(bodies.mapInArrow(lambda b: _encoded(b, ranks, "chunk", "body"), "chunk binary, ids binary"), "chunk-ids")
-    places = texts.mapInArrow(lambda b: _shared_chunks(b, bits, False), "digest binary, place int, chunk binary")
+    places = pieces.select("digest", "place", "chunk").dropDuplicates(["digest", "place"])
     parts = places.join(chunks, "chunk").groupBy("digest").agg(F.collect_list(F.struct("place", "ids")).alias("parts"))
-    whole = texts.join(parts, "digest", "left").mapInArrow(lambda b: _joined(b, ranks), "digest binary, ids binary")
-    whole = stage(whole, "text-ids")
-    return alone.union(sharing.select(key, "digest").join(whole, "digest").select(key, "ids"))
+    sharing = documents.mapInArrow(lambda b: _sharing(b, bits, key), keyed_schema(documents, key, "digest binary, size long, body binary"))
+    return alone.union(sharing.join(parts, "digest", "left").mapInArrow(lambda b: _joined(b, ranks, key), ids))
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], ranks) -> Iterator[pa.RecordBatch]:
