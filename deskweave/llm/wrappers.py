@@ -319,7 +319,7 @@ def extract(pages: DataFrame, examples: int = EXAMPLES) -> DataFrame:
     pages = pages.select("page_id", "url", "html")
     hosted = pages.withColumn("host", url_parts(F.col("url"))[0])
     chosen = [F.min_by("html", F.xxhash64("page_id", F.lit(i))).alias(f"p{i}") for i in range(examples)]
-    wrappers = hosted.where("html is not null").groupBy("host").agg(*chosen)
+    wrappers = hosted.where("trim(html) <> ''").groupBy("host").agg(*chosen)
     wrappers = wrappers.select("host", F.array(*[f"p{i}" for i in range(examples)]).alias("pages"))
     wrappers = stage(wrappers.mapInArrow(_induced, "host string, wrapper string"), "wrappers")
     size = wrappers.agg(F.sum(F.length("host") + F.length("wrapper"))).first()[0] or 0
