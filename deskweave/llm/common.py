@@ -17,7 +17,22 @@ SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 
 
+# Rows of a batch of whole texts between Spark and Python; Spark's own default of 10,000 is meant for short rows.
+BATCH_ROWS = 1024
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Session setting of the registered queries and the pipeline; operators themselves leave the session alone."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def texts_of(batch: pa.RecordBatch) -> pa.Array:
+    """The text column, or that of whole rows that go through as ``_row``."""
+    return batch.column("text") if "text" in batch.schema.names else batch.column("_row").field("text")
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deskweave.llm.common import SpanHasher, bit_filter, in_filter, keyed_schema, lowered, mixed, read, signed, utf8_steps, word_spans
+from deskweave.llm.common import SpanHasher, bit_filter, in_filter, keyed_schema, lowered, mixed, read, signed, texts_of, utf8_steps, word_spans
 from deskweave.llm.components import components
 from deskweave.operators.staging import stage
 
@@ -66,7 +66,7 @@ def shared_least(a, b, percent: int = PERCENT):
 def _signed_sets(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
     make = Shingler()
     for batch in batches:
-        for first, at, raw in utf8_steps(batch.column("text")):
+        for first, at, raw in utf8_steps(texts_of(batch)):
             sets = make.sets(at, raw)
             sizes = pa.array([len(s) for s in sets], pa.int64())
             marks = pa.array([signature(s) if len(s) else None for s in sets], pa.int64())
@@ -465,7 +465,7 @@ def one_per_component(documents: DataFrame, key: str = "doc_id") -> DataFrame:
     Rows without words all stay; of rows that repeat a key and text one stays.
     """
     schema = keyed_schema(documents.select(F.struct(*documents.columns).alias("_row")), "_row", "n_shingles long, sig long")
-    rows = documents.select(F.struct(*documents.columns).alias("_row"), "text").mapInArrow(lambda b: _signed_sets(b, "_row"), schema)
+    rows = documents.select(F.struct(*documents.columns).alias("_row")).mapInArrow(lambda b: _signed_sets(b, "_row"), schema)
     rows = rows.withColumn("_key", F.col(f"_row.{key}"))
     signed_rows = stage(documents.select(key, "text").mapInArrow(lambda b: _signed_sets(b, key), keyed_schema(documents, key, "n_shingles long, sig long")), "signed")
     roots = link_sets(documents).withColumnRenamed("node", "sig")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from deskweave.llm.common import fold, keyed_schema, mixed, read, signed, unsigned, utf8_steps
+from deskweave.llm.common import fold, keyed_schema, mixed, read, signed, texts_of, unsigned, utf8_steps
 
 GRAM = 4  # bytes
 HASHES = 3
@@ -146,7 +146,7 @@ def _judged(batches: Iterator[pa.RecordBatch], shared, extra: list[str]) -> Iter
     plain = np.zeros(256, bool)
     plain[0x41:0x5B] = plain[0x61:0x7B] = True
     for batch in batches:
-        texts = batch.column("text")
+        texts = texts_of(batch)
         for first, at, raw in utf8_steps(texts):
             total, hits = filters.hits(at, raw)
             n = np.maximum(total, 1)
@@ -177,13 +177,14 @@ def identify(documents: DataFrame, filters: LanguageFilters, key: str = "doc_id"
     """
     shared = documents.sparkSession.sparkContext.broadcast(vars(filters))
     schema = keyed_schema(documents, key, "lang_pred string, score double")
-    return documents.select(key, "text").mapInArrow(lambda b: _judged(b, shared, [key]), schema)
+    columns = [key] if key == "_row" else [key, "text"]
+    return documents.select(*columns).mapInArrow(lambda b: _judged(b, shared, [key]), schema)
 
 
 def in_known_language(documents: DataFrame, filters: LanguageFilters, least: float = LEAST_SCORE) -> DataFrame:
     """The rows, with all columns, whose text is in a learned language: not ``und``, and a share of ``least`` of
     the grams, or more, known to the language."""
-    rows = documents.select(F.struct(*documents.columns).alias("_row"), "text")
+    rows = documents.select(F.struct(*documents.columns).alias("_row"))
     judged = identify(rows, filters, "_row")
     return judged.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least)).select("_row.*")
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deskweave.llm.common import SpanHasher, fold, keyed_schema, lowered, mixed, read, signed, unsigned, utf8_steps, word_spans
+from deskweave.llm.common import SpanHasher, fold, keyed_schema, lowered, mixed, read, signed, texts_of, unsigned, utf8_steps, word_spans
 
 # Bounds of what the model is fitted on and of the model itself; the corpus is never sampled for scoring.
 MOST_LABELLED = 20_000  # rows of each class, those with the smallest hash of doc_id
@@ -237,7 +237,7 @@ def _scored(batches: Iterator[pa.RecordBatch], shared, key: str) -> Iterator[pa.
     model = ToxicityModel(**shared.value)
     words, make = Vocabulary(model.hashes), Featurizer()
     for batch in batches:
-        for first, at, raw in utf8_steps(batch.column("text")):
+        for first, at, raw in utf8_steps(texts_of(batch)):
             score = model.scores(words, at, *make.features(at, raw))
             yield pa.RecordBatch.from_arrays([batch.column(key).slice(first, len(score)), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=[key, "score", "predicted"])
 
@@ -251,12 +251,13 @@ def score_toxicity(documents: DataFrame, model: ToxicityModel, key: str = "doc_i
     """
     shared = documents.sparkSession.sparkContext.broadcast(vars(model))
     schema = keyed_schema(documents, key, "score double, predicted int")
-    return documents.select(key, "text").mapInArrow(lambda b: _scored(b, shared, key), schema)
+    columns = [key] if key == "_row" else [key, "text"]
+    return documents.select(*columns).mapInArrow(lambda b: _scored(b, shared, key), schema)
 
 
 def without_toxic(documents: DataFrame, model: ToxicityModel) -> DataFrame:
     """The rows, with all columns, that the model does not predict to be toxic."""
-    rows = documents.select(F.struct(*documents.columns).alias("_row"), "text")
+    rows = documents.select(F.struct(*documents.columns).alias("_row"))
     return score_toxicity(rows, model, "_row").where("predicted = 0").select("_row.*")
 
 

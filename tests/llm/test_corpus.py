@@ -237,10 +237,10 @@ def page(i, article=True):
 
 @pytest.mark.parametrize("article", [True, False])
 def test_wrappers(spark, article):
-    rows = [(i, f"http://h.test/{i}", page(i, article)) for i in range(8)] + [(90, None, None), (91, "http://h.test/x", ""), (92, "x", "<p>only <i>this"), (92, "x", "<p>only <i>this"), (93, "http://o.test/", "<div>" * 2000 + "deep")]
+    rows = [(i, f"http://h.test/{i}", page(i, article)) for i in range(60)] + [(90, None, None), (91, "http://h.test/x", ""), (92, "x", "<p>only <i>this"), (92, "x", "<p>only <i>this"), (93, "http://o.test/", "<div>" * 2000 + "deep")]
     table = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit(1))
     got = {r["page_id"]: r["text"] for r in wrappers.extract(table).collect()}
-    assert all(got[i] == f"Title {i}\n\nFirst & bold {i}.\n\nSecond {i} line" for i in range(8))
+    assert all(got[i] == f"Title {i}\n\nFirst & bold {i}.\n\nSecond {i} line" for i in range(60))
     assert (got[90], got[91], got[92], got[93]) == ("", "", "only this", "deep")
     assert wrappers.extract(table).count() == len(rows) and wrappers.extract(table.where("false")).count() == 0
 
