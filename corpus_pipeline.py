@@ -9,33 +9,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deskweave.llm import bpe, jaccard, language, mixing, toxicity
-from deskweave.llm.common import read
+from deskweave.llm.common import read, small_batches
 from deskweave.operators.staging import stage
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without letters and those whose grams no learned language knows."""
+    small_batches(spark)
     return language.in_known_language(docs, language.fit_filters(language.training_rows(docs)))
 
 
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that the model, fitted on the labelled ones among them, predicts to be toxic."""
+    small_batches(spark)
     labels = toxicity.training_labels(read(spark, sf_dir, "labels"))
     return toxicity.without_toxic(docs, toxicity.fit_toxicity(docs, labels))
 
 
 def no_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one with the smallest doc_id stays."""
+    small_batches(spark)
     return jaccard.one_per_component(docs)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
+    small_batches(spark)
     return mixing.repeated_documents(docs, mixing.mix_sources(docs))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids): ids as little-endian unsigned 32-bit integers; a repeated document repeats."""
+    small_batches(spark)
     return bpe.encode(docs).select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids")
 
 
