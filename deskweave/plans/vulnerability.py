@@ -245,9 +245,10 @@ def enriched(findings: DataFrame, advisories: DataFrame) -> DataFrame:
 def with_exceptions(findings: DataFrame, exceptions: DataFrame) -> DataFrame:
     """Flags for an approved exception still running at receipt, and for one that has run out.
 
-    Exceptions are first reduced to one row per (asset, vulnerability), so the join never multiplies rows.
+    An exception that was never granted (rejected, requested, withdrawn) is neither. Exceptions are first reduced to one row per (asset, vulnerability), so the join never multiplies rows.
     """
-    scope = exceptions.groupBy("asset_id", "vulnerability_id").agg(
+    granted = exceptions.where((F.col("status") == "expired") | (F.col("status") == "approved") & F.col("expires_at").isNotNull())
+    scope = granted.groupBy("asset_id", "vulnerability_id").agg(
         F.max(F.when(F.col("status") == "approved", F.col("expires_at"))).alias("_until"), F.count(F.lit(1)).alias("_any")
     )
     joined = findings.join(broadcast_if_small(scope), ["asset_id", "vulnerability_id"], "left")

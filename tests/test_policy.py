@@ -269,3 +269,15 @@ def test_citations_and_facts(spark):
     answers = spark.createDataFrame([("a", "Do NOT bypass the proxy.")], "case_id string, answer string")
     facts = spark.createDataFrame([("a", "not bypass"), ("a", "missing")], "case_id string, fact string")
     assert K.fact_coverage(answers, facts).first()["coverage"] == 0.5
+
+
+def test_only_granted_exceptions_expire(spark):
+    from datetime import datetime
+
+    from deskweave.plans import vulnerability as V
+
+    findings = spark.createDataFrame([(a, "CVE-1", datetime(2026, 1, 1)) for a in range(4)], "asset_id long, vulnerability_id string, received_at timestamp")
+    exceptions = [(0, "rejected", datetime(2027, 1, 1)), (1, "approved", datetime(2025, 1, 1)), (2, "approved", datetime(2027, 1, 1)), (3, "expired", datetime(2025, 1, 1))]
+    rows = spark.createDataFrame([(a, "CVE-1", s, e) for a, s, e in exceptions], "asset_id long, vulnerability_id string, status string, expires_at timestamp")
+    got = {r["asset_id"]: (r["valid_exception"], r["expired_exception"]) for r in V.with_exceptions(findings, rows).collect()}
+    assert got == {0: (False, False), 1: (False, True), 2: (True, False), 3: (False, True)}
