@@ -233,9 +233,11 @@ def _joined(batches: Iterator[pa.RecordBatch], ranks, key: str) -> Iterator[pa.R
             yield pa.RecordBatch.from_arrays([batch.column(key).slice(first, len(ids)), pa.array(ids, pa.binary())], names=[key, "ids"])
 
 
-def encode(documents: DataFrame, ranks_path: str | None = None, key: str = "doc_id") -> DataFrame:
+def encode(documents: DataFrame, ranks_path: str | None = None, key: str = "doc_id", decoded: bool = False) -> DataFrame:
     """(key, ids) for every row of ``documents(key, text)``: ids as little-endian unsigned 32-bit integers.
 
+    With ``decoded`` the ids are decoded in the same task, as ``decode`` does, into a column of that name.
+
     The same ids as one pass of the tokenizer over the whole text gives, the special token's string included.
 
     1. Chunks of all texts are counted by hash (8 bytes a chunk are shuffled); those that occur twice or more
@@ -253,9 +255,13 @@ def encode(documents: DataFrame, ranks_path: str | None = None, key: str = "doc_
         ranks = spark.sparkContext.broadcast(file.read())
     documents = documents.select(key, "text")
     bits = spark.sparkContext.broadcast(shared_filter(documents))
-    ids = keyed_schema(documents, key, "ids binary")
-    alone = documents.mapInArrow(lambda b: _alone(b, bits, key), keyed_schema(documents, key, "text string"))
-    alone = alone.mapInArrow(lambda b: _encoded(b, ranks, key, "text"), ids)
+    ids = keyed_schema(documents, key, "ids binary, decoded string" if decoded else "ids binary")
+
+    # Steps that follow each other share one Python worker instead of one each.
+    def finished(encoded: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _decoded(encoded, ranks) if decoded else encoded
+
+    alone = documents.mapInArrow(lambda b: finished(_encoded(_alone(b, bits, key), ranks, key, "text")), ids)
     pieces = documents.select("text").mapInArrow(lambda b: _pieces(b, bits), "digest binary, place int, chunk binary, body binary")
     pieces = stage(pieces, "pieces")
     bodies = pieces.where("body is not null").groupBy("chunk").agg(F.first("body").alias("body"))
@@ -263,7 +269,7 @@ def encode(documents: DataFrame, ranks_path: str | None = None, key: str = "doc_
     places = pieces.select("digest", "place", "chunk").dropDuplicates(["digest", "place"])
     parts = places.join(chunks, "chunk").groupBy("digest").agg(F.collect_list(F.struct("place", "ids")).alias("parts"))
     sharing = documents.mapInArrow(lambda b: _sharing(b, bits, key), keyed_schema(documents, key, "digest binary, size long, body binary"))
-    return alone.union(sharing.join(parts, "digest", "left").mapInArrow(lambda b: _joined(b, ranks, key), ids))
+    return alone.union(sharing.join(parts, "digest", "left").mapInArrow(lambda b: finished(_joined(b, ranks, key)), ids))
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], ranks) -> Iterator[pa.RecordBatch]:
@@ -285,7 +291,7 @@ def decode(encoded: DataFrame, ranks_path: str | None = None) -> DataFrame:
 
 
 def digests(documents: DataFrame) -> DataFrame:
-    both = decode(encode(documents))
+    both = encode(documents, decoded=True)
     return both.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
