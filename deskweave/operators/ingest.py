@@ -178,8 +178,12 @@ def compact_examples(df: DataFrame) -> DataFrame:
 
 
 def redacted(df: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """Values of the listed fields masked, at any struct depth; e-mail addresses masked everywhere else."""
-    from pyspark.sql.types import ArrayType, DataType, StringType, StructType
+    """Values of the listed fields masked, at any depth of structs, lists and maps; e-mail addresses masked everywhere else.
+
+    A listed map key keeps its place; a value that is no text becomes null there. A variant hides its fields from the
+    plan, so it is refused unless its own name is listed.
+    """
+    from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType, VariantType
 
     listed = {f.strip().lower() for f in fields if f.strip()}
 
@@ -193,8 +197,19 @@ def redacted(df: DataFrame, fields: Sequence[str]) -> DataFrame:
             return F.when(value.isNotNull(), inner)
         if isinstance(kind, ArrayType):
             return F.transform(value, lambda x: clean(x, kind.elementType, name))
+        if isinstance(kind, MapType):
+            return F.transform_values(value, lambda k, v: by_key(k, v, kind))
+        if isinstance(kind, VariantType):
+            raise TypeError(f"Give the variant {name} a schema before it is redacted.")
         return value
 
+    def by_key(key: Column, value: Column, kind: MapType) -> Column:
+        kept = clean(value, kind.valueType, "")
+        if not isinstance(kind.keyType, StringType):
+            return kept
+        mask = F.concat(F.lit("[REDACTED_"), F.upper(key), F.lit("]")) if isinstance(kind.valueType, StringType) else F.lit(None)
+        return F.when(F.lower(key).isin(sorted(listed)), mask).otherwise(kept)
+
     return df.select(*[clean(F.col(f.name), f.dataType, f.name).alias(f.name) for f in df.schema.fields])
 
 

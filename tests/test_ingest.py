@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from deskweave.operators import ingest as I
@@ -88,6 +89,22 @@ def test_redaction_at_depth(spark):
     assert got["about"]["tags"] == ["[REDACTED_EMAIL]"] and got["secret"] == "[REDACTED_SECRET]"
 
 
+def test_redaction_of_map_values(spark):
+    df = spark.sql("""SELECT map('caller_id', 'Ann', 'note', 'a@b.example.org', 'none', CAST(NULL AS string)) AS kept, map('Caller_ID', 7, 'n', 8) AS numbers,
+      map('x', named_struct('caller_id', 'Ann', 'n', 1)) AS nested, map(1, 'c@d.example.org') AS by_number, CAST(NULL AS map<string, string>) AS missing""")
+    got = I.redacted(df, ["caller_id"]).first()
+    assert got["kept"] == {"caller_id": "[REDACTED_CALLER_ID]", "note": "[REDACTED_EMAIL]", "none": None}
+    assert got["numbers"] == {"Caller_ID": None, "n": 8} and got["nested"]["x"]["caller_id"] == "[REDACTED_CALLER_ID]"
+    assert got["by_number"] == {1: "[REDACTED_EMAIL]"} and got["missing"] is None
+
+
+def test_variants_are_not_passed_in_clear(spark):
+    df = spark.sql("SELECT parse_json('{\"caller_id\": \"Ann\"}') AS body")
+    assert I.redacted(df, ["body"]).first()["body"] == "[REDACTED_BODY]"
+    with pytest.raises(TypeError):
+        I.redacted(df, ["caller_id"])
+
+
 def test_store_and_cache(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, "b")], "number long, text string")
     store = DatasetStore(str(tmp_path / "store"), df.schema)
