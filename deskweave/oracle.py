@@ -289,9 +289,9 @@ SQL["finding_sources"] = _vuln(_ASSESSED) + """SELECT DISTINCT canonical_finding
 SQL["quarantine_split"] = _ctes("v_findings") + """SELECT CASE WHEN try_cast(observed_at AS TIMESTAMP) IS NULL THEN 'quarantined' ELSE 'accepted' END AS side, scanner_id, count(*) AS findings
   FROM v_findings GROUP BY 1, 2"""
 _ACTIVE = "state IN ('open', 'remediation_in_progress', 'remediation_pending_verification')"
-SQL["portfolio_totals"] = _ctes("v_portfolio") + f"""SELECT count(*) AS total_unique_findings, count(*) FILTER ({_ACTIVE}) AS active_actionable_findings,
-  count(*) FILTER ({_ACTIVE} AND overdue) AS overdue_active_findings, count(*) FILTER (state = 'accepted_risk') AS accepted_risk_findings,
-  count(*) FILTER (state = 'closed_remediated') AS closed_remediated_findings, round(avg(detection_to_ticket_minutes), 6) AS mean_detection_to_ticket_minutes FROM v_portfolio"""
+SQL["portfolio_totals"] = _ctes("v_portfolio") + f"""SELECT count(DISTINCT finding_id) AS total_unique_findings, count(DISTINCT finding_id) FILTER ({_ACTIVE}) AS active_actionable_findings,
+  count(DISTINCT finding_id) FILTER ({_ACTIVE} AND overdue) AS overdue_active_findings, count(DISTINCT finding_id) FILTER (state = 'accepted_risk') AS accepted_risk_findings,
+  count(DISTINCT finding_id) FILTER (state = 'closed_remediated') AS closed_remediated_findings, round(avg(detection_to_ticket_minutes), 6) AS mean_detection_to_ticket_minutes FROM v_portfolio"""
 SQL["portfolio_breakdown"] = _ctes("v_portfolio") + " UNION ALL ".join(
     f"SELECT '{d}' AS dimension, {d} AS value, count(*) AS active FROM v_portfolio WHERE {_ACTIVE} GROUP BY {d}" for d in ("priority", "environment", "region")
 ) + " UNION ALL SELECT 'priority', 'P4', 0"

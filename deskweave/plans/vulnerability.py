@@ -303,13 +303,26 @@ def _active() -> Column:
 
 
 def portfolio_totals(findings: DataFrame) -> DataFrame:
-    return findings.agg(
-        F.count(F.lit(1)).alias("total_unique_findings"),
-        F.count_if(_active()).alias("active_actionable_findings"),
-        F.count_if(_active() & F.col("overdue")).alias("overdue_active_findings"),
-        F.count_if(F.col("state") == "accepted_risk").alias("accepted_risk_findings"),
-        F.count_if(F.col("state") == "closed_remediated").alias("closed_remediated_findings"),
-        F.round(F.avg("detection_to_ticket_minutes"), 6).alias("mean_detection_to_ticket_minutes"),
+    """Findings by id, however often a row repeats one: an id counts in every state that a row of it has.
+
+    The mean is over all rows with a ticket. Rows without an id are in the mean only.
+    """
+    each = findings.groupBy("finding_id").agg(
+        F.bool_or(_active()).alias("active"),
+        F.bool_or(_active() & F.col("overdue")).alias("late"),
+        F.bool_or(F.col("state") == "accepted_risk").alias("accepted"),
+        F.bool_or(F.col("state") == "closed_remediated").alias("closed"),
+        F.sum("detection_to_ticket_minutes").alias("minutes"),
+        F.count("detection_to_ticket_minutes").alias("tickets"),
+    )
+    named = F.col("finding_id").isNotNull()
+    return each.agg(
+        F.count("finding_id").alias("total_unique_findings"),
+        F.count_if(named & F.col("active")).alias("active_actionable_findings"),
+        F.count_if(named & F.col("late")).alias("overdue_active_findings"),
+        F.count_if(named & F.col("accepted")).alias("accepted_risk_findings"),
+        F.count_if(named & F.col("closed")).alias("closed_remediated_findings"),
+        F.round(F.try_divide(F.sum("minutes").cast("double"), F.sum("tickets")), 6).alias("mean_detection_to_ticket_minutes"),
     )
 
 

@@ -110,6 +110,9 @@ def test_portfolio(spark):
     df = spark.createDataFrame(rows, "finding_id string, state string, priority string, environment string, region string, compliance_scopes array<string>, "
                                      "ticket_id string, exception_id string, overdue boolean, detection_to_ticket_minutes long")
     assert tuple(V.portfolio_totals(df).first()) == (8, 5, 1, 1, 1, 7.0)
+    # Repeated rows leave the counts, and an empty portfolio has none.
+    assert tuple(V.portfolio_totals(df.union(df)).first()) == (8, 5, 1, 1, 1, 7.0)
+    assert tuple(V.portfolio_totals(df.limit(0)).first()) == (0, 0, 0, 0, 0, None)
     got = {(r["dimension"], r["value"]): r["active"] for r in V.portfolio_breakdown(df).collect()}
     assert got == {("priority", "P1"): 2, ("priority", "P2"): 1, ("priority", "P3"): 2, ("priority", "P4"): 0, ("environment", "prod"): 3,
                    ("environment", "uat"): 1, ("environment", "dev"): 1, ("region", "eu-west"): 3, ("region", "us-east"): 1, ("region", "ap-south"): 1}
