@@ -22,6 +22,9 @@ FAMILY_BLOCK = 1024  # sets
 FOLLOWED = 4  # leaders of leaders
 BLOCK = 1 << 16  # pairs looked at together within a list
 MEMBER_BYTES = 6  # of a member's hash in a set that is written or shuffled
+TOKEN_BYTES = 5  # of a prefix member's hash where repeated ones are looked for
+CHUNK = 1 << 18  # prefix members that a task hands on together
+SLICES = 4  # of a shuffle partition, each looked through at once
 
 
 class Shingler:
@@ -134,30 +137,96 @@ def frequency_counters(documents: DataFrame) -> np.ndarray:
     return np.minimum(out, np.iinfo(np.int32).max).astype(np.int32)
 
 
-def _postings(batches: Iterator[pa.RecordBatch], counters) -> Iterator[pa.RecordBatch]:
-    """(token, sig, size, place) of each set's prefix, rarest shingles first; a set once per task."""
+def _prefixes(column: pa.Array, counters: np.ndarray, seen: set[int], make: Shingler) -> Iterator[tuple[np.ndarray, int, int]]:
+    """(prefix, signature, size) of each set that the task has not seen; rarest members first."""
+    for _, at, raw in utf8_steps(column):
+        for members in make.sets(at, raw):
+            n = len(members)
+            sig = signature(members) if n else None
+            if sig is None or sig in seen:
+                continue
+            if len(seen) < 1 << 20:
+                seen.add(sig)
+            order = np.argsort(counters[_bucket(members)], kind="stable")
+            yield members[order[: n - -(-PERCENT * n // 100) + 1]], sig, n
+
+
+def _short(tokens: np.ndarray) -> np.ndarray:
+    return tokens >> np.uint64(64 - 8 * TOKEN_BYTES)
+
+
+def _prefix_tokens(batches: Iterator[pa.RecordBatch], counters, slices: int) -> Iterator[pa.RecordBatch]:
+    """(slice, tokens): leading bytes of the sets' prefix members, by range; what a task meets again comes twice."""
+    make, seen, held, size = Shingler(), set(), [], 0
+
+    def packed_slices() -> pa.RecordBatch:
+        values, n = np.unique(_short(np.concatenate(held)), return_counts=True)
+        values = np.repeat(values, np.minimum(n, 2))
+        own = values * np.uint64(slices) >> np.uint64(8 * TOKEN_BYTES)
+        cuts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1], [True]]))
+        body = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES]
+        parts = [body[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(own[cuts[:-1]].astype(np.int32)), pa.array(parts, pa.binary())], names=["slice", "tokens"])
+
+    for batch in batches:
+        for prefix, _, _ in _prefixes(batch.column("text"), counters.value, seen, make):
+            held.append(prefix)
+            size += len(prefix)
+            if size >= CHUNK:
+                yield packed_slices()
+                held, size = [], 0
+    if held:
+        yield packed_slices()
+
+
+def _repeated_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Mixed leading bytes of the members that come more than once; slices arrive whole and in order."""
+    last, held = None, []
+
+    def again() -> pa.RecordBatch:
+        body = np.frombuffer(b"".join(held), np.uint8).reshape(-1, TOKEN_BYTES)
+        values = np.zeros((len(body), 8), np.uint8)
+        values[:, :TOKEN_BYTES] = body
+        values, n = np.unique(values.view("<u8").ravel(), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(signed(mixed(values[n > 1])))], names=["token"])
+
+    for batch in batches:
+        for own, tokens in zip(batch.column("slice").to_pylist(), batch.column("tokens").to_pylist()):
+            if own != last and held:
+                yield again()
+                held = []
+            last = own
+            held.append(tokens)
+    if held:
+        yield again()
+
+
+def repeated_filter(documents: DataFrame, counters) -> np.ndarray:
+    """Filter of the prefix members that more than one set may hold; a member of one set only makes no list.
+
+    Only leading bytes are shuffled for it. Members that agree in them, and copies of a set in several tasks, let more
+    members through; none that two sets hold is left out.
+    """
+    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tokens = documents.select("text").mapInArrow(lambda b: _prefix_tokens(b, counters, parts * SLICES), "slice int, tokens binary")
+    repeated = tokens.repartition(parts, "slice").sortWithinPartitions("slice").mapInArrow(_repeated_tokens, "token long")
+    return bit_filter(stage(repeated, "repeated"), "token", FILTER_BITS)
+
+
+def _postings(batches: Iterator[pa.RecordBatch], counters, repeated) -> Iterator[pa.RecordBatch]:
+    """(token, sig, size, place) of the members of each set's prefix that may be repeated; a set once per task."""
     make, seen = Shingler(), set()
     for batch in batches:
-        for _, at, raw in utf8_steps(batch.column("text")):
-            tokens, sigs, sizes, places = [], [], [], []
-            for members in make.sets(at, raw):
-                n = len(members)
-                if not n:
-                    continue
-                sig = signature(members)
-                if sig in seen:
-                    continue
-                if len(seen) < 1 << 20:
-                    seen.add(sig)
-                keep = n - -(-PERCENT * n // 100) + 1
-                order = np.argsort(counters.value[_bucket(members)], kind="stable")[:keep]
-                tokens.append(members[order])
-                sigs.append(np.full(keep, sig))
-                sizes.append(np.full(keep, n))
-                places.append(np.arange(keep))
-            if tokens:
-                columns = [signed(np.concatenate(tokens)), np.concatenate(sigs), np.concatenate(sizes).astype(np.int32), np.concatenate(places).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "sig", "size", "place"])
+        tokens, sigs, sizes, places = [], [], [], []
+        for prefix, sig, n in _prefixes(batch.column("text"), counters.value, seen, make):
+            place = np.flatnonzero(in_filter(mixed(_short(prefix)), repeated.value))
+            tokens.append(prefix[place])
+            sigs.append(np.full(len(place), sig))
+            sizes.append(np.full(len(place), n))
+            places.append(place)
+        if tokens:
+            columns = [signed(np.concatenate(tokens)), np.concatenate(sigs), np.concatenate(sizes).astype(np.int32), np.concatenate(places).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "sig", "size", "place"])
 
 
 def _possible(size_a, place_a, size_b, place_b):
@@ -185,42 +254,54 @@ def _runs(batches: Iterator[pa.RecordBatch], columns: list[str], flush: int) ->
         yield [np.concatenate(c) for c in zip(*held)]
 
 
+def _size_class(size: np.ndarray) -> np.ndarray:
+    """Sets of one class are not too different in size to be linked."""
+    return np.floor(np.log(size) / np.log(100 / PERCENT)).astype(np.int32)
+
+
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted postings to list entries with the list's leader, its set of the smallest signature.
+    """Postings sorted by token, size and signature to list entries with their leader.
 
-    Only the leader is carried from batch to batch, so a list of any length needs no memory. Repeated
-    sets (equal token and sig) and lists of a single set are left out.
+    A list falls into classes of size; the first set of a class leads it. Only the last entry and its leader are
+    carried from batch to batch, so a list of any length needs no memory. Repeated sets (equal token and
+    sig) are left out, and so are sets whose neighbours by size in the list are both too
+    small or large to be linked with them: then all are.
     """
-    last_token = last_sig = lead = None
-    for batch in batches:
-        token, sig, size, place = (batch.column(c).to_numpy() for c in ("token", "sig", "size", "place"))
-        if last_token is not None:
-            token, sig = np.append(last_token, token), np.append(last_sig, sig)
-            size, place = np.append(np.int32(0), size), np.append(np.int32(0), place)
+    names = ["token", "sig", "size", "place"]
+    carried: list[np.ndarray] = []  # the last entry, not handed on yet
+    lead: list[np.ndarray] = []  # its leader's sig, size and place
+    before = False  # whether the entry before it is near in size
+
+    def entries(columns: list[np.ndarray], last: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal carried, lead, before
+        token, sig, size, place = columns
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (sig[1:] != sig[:-1])
-        if last_token is not None:
-            new[0] = False
+        token, sig, size, place = (c[new] for c in columns)
+        kind = _size_class(size)
         begins = np.ones(len(token), bool)
-        begins[1:] = token[1:] != token[:-1]
-        if last_token is not None:
-            begins[0] = False
-        at = np.where(begins, np.arange(len(token)), -1)
-        at = np.maximum.accumulate(at)
-        old = at < 0  # belongs to the list that the last batch left open
-        lead_sig = np.where(old, lead[0] if lead else 0, sig[at])
-        lead_size = np.where(old, lead[1] if lead else 0, size[at])
-        lead_place = np.where(old, lead[2] if lead else 0, place[at])
-        rows = np.flatnonzero(new & ~begins)
-        parts = [token[rows], sig[rows], size[rows], place[rows], lead_sig[rows], lead_size[rows], lead_place[rows]]
-        if len(rows):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(parts[0]), pa.array(parts[1]), pa.array(parts[2].astype(np.int32)), pa.array(parts[3].astype(np.int32)), pa.array(parts[4]), pa.array(parts[5].astype(np.int32)), pa.array(parts[6].astype(np.int32)), pa.array(_possible(parts[2].astype(np.int64), parts[3], parts[5].astype(np.int64), parts[6]))],
-                names=["token", "sig", "size", "place", "lead", "lead_size", "lead_place", "possible"],
-            )
-        if len(token):
-            last_token, last_sig = token[-1], sig[-1]
-            lead = (lead_sig[-1], lead_size[-1], lead_place[-1])
+        begins[1:] = (token[1:] != token[:-1]) | (kind[1:] != kind[:-1])
+        at = np.maximum.accumulate(np.where(begins, np.arange(len(token)), 0))
+        leads = [c[at] for c in (sig, size, place)]
+        if lead:
+            own = at == 0
+            leads = [np.where(own, x, c) for x, c in zip(lead, leads)]
+        near = (token[1:] == token[:-1]) & (100 * size[:-1] >= PERCENT * size[1:])
+        keep = np.concatenate([[before], near]) | np.concatenate([near, [False]])
+        if not last:
+            keep[-1] = False
+            carried, lead, before = [c[-1:] for c in (token, sig, size, place)], [c[-1:] for c in leads], bool(near[-1]) if len(near) else before
+        possible = _possible(size, place, leads[1], leads[2]) & (sig != leads[0])
+        out = [token, sig, size.astype(np.int32), place.astype(np.int32), leads[0], possible]
+        if keep.any():
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in out], names=[*names, "lead", "possible"])
+
+    for batch in batches:
+        if batch.num_rows:
+            columns = [batch.column(c).to_numpy().astype(np.int64) for c in names]
+            yield from entries([np.concatenate(c) for c in zip(carried, columns)] if carried else columns, False)
+    if carried:
+        yield from entries(carried, True)
 
 
 def _wanted_sets(batches: Iterator[pa.RecordBatch], bits) -> Iterator[pa.RecordBatch]:
@@ -289,12 +370,12 @@ def _linked(pairs: DataFrame) -> DataFrame:
 def _other_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Within each list, pairs of sets of different components that sizes, places and the leader leave open.
 
-    If both sets' distances to the leader were measured, by the triangle inequality
+    If both sets' distances to a common leader were measured, by the triangle inequality
     of the Jaccard distance a pair whose distances differ by more than the limit cannot be linked.
     """
     limit = 1 - PERCENT / 100 + 1e-9
-    columns = ["token", "root", "sig", "size", "place", "family", "distance"]
-    for token, root, sig, size, place, family, distance in _runs(batches, columns, BLOCK):
+    columns = ["token", "root", "sig", "size", "place", "lead", "family", "distance"]
+    for token, root, sig, size, place, lead, family, distance in _runs(batches, columns, BLOCK):
         size = size.astype(np.int64)
         border = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
         found: list[np.ndarray] = []
@@ -303,7 +384,9 @@ def _other_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for start, end in zip(groups[:-2], groups[1:-1]):  # against all later components
                 for i in range(start, end):
                     later = slice(end, b)
-                    open_ = _possible(size[i], place[i], size[later], place[later]) & ~(np.abs(distance[i] - distance[later]) > limit) & (family[later] != family[i])
+                    far = (lead[later] == lead[i]) & (np.abs(distance[i] - distance[later]) > limit)
+                    told = far | (family[later] == family[i]) | (lead[later] == sig[i]) | (sig[later] == lead[i])
+                    open_ = _possible(size[i], place[i], size[later], place[later]) & ~told
                     other = sig[later][open_]
                     if len(other):
                         found.append(np.stack([np.minimum(other, sig[i]), np.maximum(other, sig[i])]))
@@ -316,9 +399,9 @@ def link_sets(documents: DataFrame) -> DataFrame:
     """(sig, root) of all different sets that are linked with another, directly or through others.
 
     Sets are linked from ``PERCENT`` of their union on. Members are ordered by the frequency counters, rarest
-    first; linked sets share a member of their prefixes. Per member a list of its sets is made:
+    first; linked sets share a member of their prefixes. Per member that several sets hold a list of its sets is made:
 
-    1. Each list's leader is compared with the list's other sets. Sizes and places in the prefixes skip pairs
+    1. In each list the leader of a class of size is compared with the other sets of the class. Sizes and places in the prefixes skip pairs
        without reading a set; the others are measured exactly, each pair once.
     2. Sets that are often listed with the same central set are its family. Each is compared with it once and kept
        as what it drops and adds; all answers within the family follow from these differences, without
@@ -329,25 +412,23 @@ def link_sets(documents: DataFrame) -> DataFrame:
     So the pairs of a large group of copies, near or not so near, are never listed.
     """
     counters = documents.sparkSession.sparkContext.broadcast(frequency_counters(documents))
-    postings = documents.select("text").mapInArrow(lambda b: _postings(b, counters), "token long, sig long, size int, place int")
+    repeated = documents.sparkSession.sparkContext.broadcast(repeated_filter(documents, counters))
+    postings = documents.select("text").mapInArrow(lambda b: _postings(b, counters, repeated), "token long, sig long, size int, place int")
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = postings.repartition(parts, "token").sortWithinPartitions("token", "sig")
-    lists = stage(ordered.mapInArrow(_lists, "token long, sig long, size int, place int, lead long, lead_size int, lead_place int, possible boolean"), "lists")
-    leads = lists.select("token", F.col("lead").alias("sig"), F.col("lead_size").alias("size"), F.col("lead_place").alias("place")).distinct()
-    every = lists.select("token", "sig", "size", "place").union(leads)
-    sets = listed_sets(documents, every.select("sig").distinct())
+    ordered = postings.repartition(parts, "token").sortWithinPartitions("token", "size", "sig")
+    lists = stage(ordered.mapInArrow(_lists, "token long, sig long, size int, place int, lead long, possible boolean"), "lists")
+    sets = listed_sets(documents, lists.select("sig").distinct())
     done = stage(lists.where("possible").select(F.col("lead").alias("a"), F.col("sig").alias("b")).distinct(), "pairs")
     first = measured(sets, done)
     links = _linked(first)
-    families = stage(family_differences(sets, _open_entries(every, components(links))), "families")
+    families = stage(family_differences(sets, _open_entries(lists, components(links))), "families")
     links = stage(links.union(family_links(families)), "links")
     kin = families.select("sig", F.col("lead").alias("family"))
-    # Lists in which two sets besides the first leader are of different components.
     known = first.select(F.col("a").alias("lead"), F.col("b").alias("sig"), (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("distance"))
-    entries = _open_entries(lists.select("token", "sig", "size", "place", "lead"), components(links)).join(known, ["lead", "sig"], "left")
+    entries = _open_entries(lists, components(links)).join(known, ["lead", "sig"], "left").join(kin, "sig", "left")
     # No number stands for a distance that was not measured; it closes nothing.
-    entries = entries.join(kin, "sig", "left").withColumn("family", F.coalesce("family", "sig"))
-    entries = entries.select("token", "root", "sig", "size", "place", "family", F.coalesce("distance", F.lit(float("nan"))).alias("distance"))
+    distance = F.when(F.col("sig") == F.col("lead"), 0.0).otherwise(F.coalesce("distance", F.lit(float("nan"))))
+    entries = entries.select("token", "root", "sig", "size", "place", "lead", F.coalesce("family", "sig").alias("family"), distance.alias("distance"))
     open_pairs = entries.repartition(parts, "token").sortWithinPartitions("token", "root", "sig").mapInArrow(_other_pairs, "a long, b long")
     open_pairs = stage(open_pairs.distinct().join(done, ["a", "b"], "left_anti"), "pairs")
     return components(links.union(_linked(measured(sets, open_pairs))))
