@@ -19,6 +19,9 @@ BUCKETS = 1 << 21  # counters of shingle frequency, whatever the corpus' size
 SAMPLE = 1 << 22  # shingles that are counted together within a task
 FILTER_BITS = 1 << 27  # bound of the filter of sets to be read again
 FAMILY_BLOCK = 1024  # sets
+FAMILY_BYTES = 1 << 24  # of their differences
+COLUMNS = 4096  # members that are multiplied out together
+PAIRS = 1 << 18  # handed on together
 FOLLOWED = 4  # leaders of leaders
 BLOCK = 1 << 16  # pairs looked at together within a list
 MEMBER_BYTES = 6  # of a member's hash in a set that is written or shuffled
@@ -375,10 +378,16 @@ def _other_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     limit = 1 - PERCENT / 100 + 1e-9
     columns = ["token", "root", "sig", "size", "place", "lead", "family", "distance"]
+
+    def pair_batch(found: list[np.ndarray]) -> pa.RecordBatch:
+        pairs = np.unique(np.concatenate(found, 1), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+
     for token, root, sig, size, place, lead, family, distance in _runs(batches, columns, BLOCK):
         size = size.astype(np.int64)
         border = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
         found: list[np.ndarray] = []
+        n = 0
         for a, b in zip(border[:-1], border[1:]):
             groups = np.flatnonzero(np.concatenate([[True], root[a + 1 : b] != root[a : b - 1], [True]])) + a
             for start, end in zip(groups[:-2], groups[1:-1]):  # against all later components
@@ -390,9 +399,12 @@ def _other_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     other = sig[later][open_]
                     if len(other):
                         found.append(np.stack([np.minimum(other, sig[i]), np.maximum(other, sig[i])]))
+                        n += len(other)
+                        if n >= PAIRS:
+                            yield pair_batch(found)
+                            found, n = [], 0
         if found:
-            pairs = np.unique(np.concatenate(found, 1), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+            yield pair_batch(found)
 
 
 def link_sets(documents: DataFrame) -> DataFrame:
@@ -480,7 +492,8 @@ def family_links(families: DataFrame) -> DataFrame:
     """(a, b): links within families that connect as much as all of them. A large family is dealt into blocks of members
     that are compared two by two, so no task holds more than two blocks."""
     families = families.dropDuplicates(["lead", "sig"])
-    blocks = families.groupBy("lead").agg(F.ceil(F.count("*") / FAMILY_BLOCK).cast("int").alias("blocks"))
+    size = F.sum(F.length("dropped") + F.length("added")) / FAMILY_BYTES
+    blocks = families.groupBy("lead").agg(F.ceil(F.greatest(F.count("*") / FAMILY_BLOCK, size)).cast("int").alias("blocks"))
     members = families.join(blocks, "lead").withColumn("own", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pair = F.xxhash64("lead", F.least("own", "other"), F.greatest("own", "other")).alias("pair")
@@ -489,14 +502,20 @@ def family_links(families: DataFrame) -> DataFrame:
     return members.repartition(parts, "pair").sortWithinPartitions("pair", "lead", "sig").mapInArrow(_family_links, "a long, b long")
 
 
-def _incidence(rows: list[np.ndarray]) -> np.ndarray:
-    """Rows x members that at least two rows hold, as ones."""
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    values, inverse, n = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
-    column = np.cumsum(n > 1) - 1
+def _common_counts(rows: list[np.ndarray]) -> np.ndarray:
+    """For each two rows the number of common members, from a bounded number of members at a time."""
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+    _, inverse, n = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
     keep = n[inverse] > 1
-    out = np.zeros((len(rows), int((n > 1).sum())), np.float32)
-    out[owner[keep], column[inverse[keep]]] = 1
+    column, owner = (np.cumsum(n > 1) - 1)[inverse[keep]], owner[keep]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    out = np.zeros((len(rows), len(rows)))
+    for first in range(0, int((n > 1).sum()), COLUMNS):
+        here = slice(*np.searchsorted(column, [first, first + COLUMNS]))
+        part = np.zeros((len(rows), COLUMNS), np.float32)
+        part[owner[here], column[here] - first] = 1
+        out += part @ part.T
     return out
 
 
@@ -511,10 +530,10 @@ def _family_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             more = [np.frombuffer(x, np.uint64) for x in added[a:b]]
             n_less, n_more = np.array([len(x) for x in less]), np.array([len(x) for x in more])
             own = size[a:b] - n_less + n_more
-            both_less, both_more = _incidence(less), _incidence(more)
+            both = _common_counts(less) + _common_counts(more)
             up = np.arange(b - a)
             for i in range(b - a):
-                common = size[a] - n_less[i] - n_less[i + 1 :] + both_less[i + 1 :] @ both_less[i] + both_more[i + 1 :] @ both_more[i]
+                common = size[a] - n_less[i] - n_less[i + 1 :] + both[i, i + 1 :]
                 hits = np.flatnonzero(100 * common >= PERCENT * (own[i] + own[i + 1 :] - common)) + i + 1
                 # One link into every part that is not connected to this set yet.
                 hits = hits[up[hits] != up[i]]
