@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -280,3 +281,26 @@ def test_pipeline(spark, documents, odd):
             docs = out.persist()
     assert out.count() == docs.count() > 0
     assert pipeline.run(spark, SF).count() > 0
+
+
+def test_list_entries_do_not_depend_on_batches():
+    rng = np.random.default_rng(5)
+    rows = sorted({(int(t), int(n), int(sig)) for t, n, sig in zip(rng.integers(0, 6, 80), rng.integers(5, 60, 80), rng.integers(0, 10**6, 80))})
+    rows = sorted(rows + rows[::3])  # repeated sets
+    columns = [np.array(c, np.int64) for c in zip(*rows)]
+    whole = pa.table({"token": columns[0], "sig": columns[2], "size": columns[1], "place": np.zeros(len(rows), np.int64)})
+    results = []
+    for size in (1, 3, 7, len(rows)):
+        results.append([r for b in jaccard._lists(iter(whole.to_batches(max_chunksize=size))) for r in b.to_pylist()])
+    assert all(r == results[0] for r in results)
+    # Whoever has a partner near in size is kept, once; nobody else is.
+    sets = sorted(set(rows))
+    near = [r for r in sets if any(o != r and o[0] == r[0] and 100 * min(o[1], r[1]) >= jaccard.PERCENT * max(o[1], r[1]) for o in sets)]
+    assert [(r["token"], r["size"], r["sig"]) for r in results[0]] == near
+
+
+def test_common_counts():
+    rng = np.random.default_rng(0)
+    rows = [np.unique(rng.integers(0, 60, rng.integers(0, 25)).astype(np.uint64)) for _ in range(30)]
+    counts = jaccard._common_counts(rows)
+    assert all(counts[a, b] == len(np.intersect1d(rows[a], rows[b])) for a in range(30) for b in range(30) if a != b)
