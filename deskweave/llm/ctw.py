@@ -7,16 +7,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deskweave.llm.common import SpanHasher, fold, keyed_schema, lowered, read, signed, unsigned, utf8_steps, word_spans
+from deskweave.llm.common import BASE, SpanHasher, fold, keyed_schema, lowered, read, signed, unsigned, utf8_steps, word_spans
 from deskweave.operators.staging import stage
 
-DEPTH = 6  # bytes of the longest context
-HALF = 4  # contexts up to this length are counted first; longer ones only where they extend a node
+DEPTH = 6  # bytes of the longest context, 7 at most: a context and the byte after it are one 64-bit number
+TOP = 2  # contexts up to this length are weighted by the driver, 2**16 of them at most; longer ones in tasks, by their last TOP + 1 bytes
 FLUSH = 1 << 20  # distinct values that a task counts before it passes them on
-SHARE_BITS = 15  # a context is a node of its own from 2**-15 of all training bytes, so a depth has 2**15 nodes at most
+RUN_PAIRS = 1 << 17  # counts of whole subtrees that a task merges and weights at a time
+HEAD_PAIRS = 1 << 22  # bound of the pairs whose logarithms are sent to the tasks; all others are joined
 HEAD_WORDS = 1 << 18  # bound of the word counts that are sent to the tasks; all others are joined
 
 
@@ -70,20 +71,10 @@ def _before(stream: np.ndarray, place: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-def _contexts(known: np.ndarray | None) -> object:
-    """Contexts of HALF bytes, or of DEPTH bytes at the places whose context of HALF bytes is ``known``."""
-
-    def of(at: np.ndarray, raw: np.ndarray) -> np.ndarray:
-        stream, place = _stream(at, raw)
-        short = _before(stream, place, HALF)
-        if known is None:
-            return short
-        if not len(known):
-            return short[:0]
-        spot = np.minimum(np.searchsorted(known, short), len(known) - 1)
-        return _before(stream, place[known[spot] == short], DEPTH)
-
-    return of
+def _pairs(at: np.ndarray, raw: np.ndarray) -> np.ndarray:
+    """Every byte in the lowest byte, its context of DEPTH bytes above it."""
+    stream, place = _stream(at, raw)
+    return _before(stream, place, DEPTH) << np.uint64(8) | raw
 
 
 def _log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
@@ -193,7 +184,8 @@ def tree_shape(depth: np.ndarray, context: np.ndarray) -> Shape:
 
 
 def build_tree(shape: Shape, ended: np.ndarray) -> ContextTree:
-    """The weighted tree from the byte counts (nodes x 256) at the places whose path ends in each node.
+    """The weighted tree from the byte counts (nodes x 256) at the places whose path ends in each node; the dense form
+    of small trees, which tests hold ``pair_logs`` against.
 
     Every context and binary decision has a KT estimate of its own counts. A context's weighted probability is
     half its KT probability and half the product of those of the contexts one byte longer; training text
@@ -233,54 +225,214 @@ def build_tree(shape: Shape, ended: np.ndarray) -> ContextTree:
     return ContextTree(shape.walker().child, logs)
 
 
-def _ended(batches: Iterator[pa.RecordBatch], child: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(row, byte, n): bytes at the places whose path ends in a row."""
-    tree = ContextTree(child, np.empty(0))
+def _decisions(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pairs x 8) of each pair: its context and the number of the binary decision in the lowest byte, and the bit decided."""
+    byte, level = (value & np.uint64(255)).astype(np.int64)[:, None], np.arange(8)
+    number = (1 << level) - 1 + (byte >> 8 - level)
+    return (value & ~np.uint64(255))[:, None] | number.astype(np.uint64), (byte >> 7 - level & 1).astype(bool)
 
-    def of(at: np.ndarray, raw: np.ndarray) -> np.ndarray:
-        stream, place = _stream(at, raw)
-        return tree.ends(stream, place).astype(np.uint64) << np.uint64(8) | stream[place]
 
-    return _counts(batches, of, "value")
+def _above(key: np.ndarray, depth: int) -> np.ndarray:
+    """The keys (context, decision) with the last ``depth`` bytes of their contexts."""
+    return key & np.uint64((1 << 8 * (depth + 1)) - 1)
+
+
+@dataclass
+class Level:
+    """Decisions in the contexts of one length: keys, weight of ending there, KT prediction of a one, place in the level above."""
+
+    key: np.ndarray
+    stop: np.ndarray
+    predict: np.ndarray
+    up: np.ndarray | None = None
+
+    def mixed(self, said: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What the path has said up to here, and the weight left to longer contexts."""
+        return said + left * self.stop * self.predict, left * (1 - self.stop)
+
 
+def _climb(depth: int, top: int, key: np.ndarray, zeros: np.ndarray, ones: np.ndarray, product: np.ndarray) -> tuple[list[Level], np.ndarray, np.ndarray, np.ndarray]:
+    """Levels from ``depth`` to ``top``, and zeros, ones and log weighted probability of those of ``top``.
 
-def _nodes(counts: DataFrame, lengths: range, least: float) -> DataFrame:
-    """(depth, context) of the contexts of these lengths that occur often enough, from counts of longer ones."""
-    every = counts.select(F.explode(F.array(*map(F.lit, lengths))).alias("depth"), "context", "n")
-    mask = F.expr("shiftleft(1L, 8 * depth) - 1")
-    sums = every.groupBy("depth", F.col("context").bitwiseAND(mask).alias("context")).agg(F.sum("n").alias("n"))
-    return sums.where(F.col("n") >= least).select("depth", "context")
+    ``product`` is the sum of the log weighted probabilities of the contexts one byte longer. A decision without
+    counts, as of a context that training never saw, weighs 1 and predicts a half.
+    """
+    levels = []
+    for d in range(depth, top - 1, -1):
+        log_kt = _log_kt(zeros, ones)
+        weighted = log_kt if d == DEPTH else np.logaddexp(log_kt, product) - np.log(2)
+        stop = np.ones(len(key)) if d == DEPTH else np.exp(log_kt - np.log(2) - weighted)
+        levels.append(Level(key, stop, (ones + 0.5) / (zeros + ones + 1)))
+        if d > top:
+            key, up = np.unique(_above(key, d - 1), return_inverse=True)
+            levels[-1].up = up
+            zeros, ones, product = (np.bincount(up, x, len(key)) for x in (zeros, ones, weighted))
+    return levels, zeros, ones, weighted
+
+
+def _subtree(value: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[Level], np.ndarray, np.ndarray, np.ndarray]:
+    """The levels below TOP of whole subtrees, with each pair's decisions as (places in the lowest level, bits)."""
+    key, bit = _decisions(value)
+    key, place = np.unique(key.ravel(), return_inverse=True)
+    place, count = place.ravel(), np.repeat(n, 8)
+    ones = np.bincount(place, count * bit.ravel(), len(key))
+    zeros = np.bincount(place, count, len(key)) - ones
+    return place.reshape(bit.shape), bit, *_climb(DEPTH, TOP + 1, key, zeros, ones, np.zeros(len(key)))
+
+
+def _sums(value: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct values and the sums of their counts."""
+    value, place = np.unique(value, return_inverse=True)
+    return value, *(np.bincount(place, c, len(value)).astype(np.int64) for c in counts)
+
+
+def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(value, n, seen) of pairs: how often in learned and in scored texts, merged within the task."""
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def rows(part: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(signed(part[0])), pa.array(part[1]), pa.array(part[2])], names=["value", "n", "seen"])
+
+    for batch in batches:
+        flags = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("learned", "scored")]
+        for first, at, raw in utf8_steps(batch.column("text")):
+            value = _pairs(at, lowered(raw))
+            learned, scored = (np.repeat(f[first : first + len(at) - 1], np.diff(at)) for f in flags)
+            for l, s in ((True, True), (True, False), (False, True)):  # noqa: E741
+                distinct, n = np.unique(value[(learned == l) & (scored == s)], return_counts=True)
+                if len(distinct):
+                    held.append((distinct, n * l, n * s))
+            if len(held) >= 16:
+                held = [_sums(*map(np.concatenate, zip(*held)))]
+                if len(held[0][0]) >= FLUSH:
+                    yield rows(held.pop())
+    if held:
+        yield rows(_sums(*map(np.concatenate, zip(*held))))
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by subtree, in runs of whole subtrees of about RUN_PAIRS rows, or of one larger subtree."""
+    held: list[pa.RecordBatch] = []
+    rows, look = 0, RUN_PAIRS
+    for batch in batches:
+        held.append(batch)
+        rows += len(batch)
+        if rows < look:
+            continue
+        table = pa.Table.from_batches(held)
+        trees = table["tree"].to_numpy()
+        cut = int(np.searchsorted(trees, trees[-1]))
+        if cut:
+            yield table.slice(0, cut)
+        held, rows = table.slice(cut).to_batches(), rows - cut
+        look = max(RUN_PAIRS, 2 * rows)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+SIZES = 8 * 64  # classes of how often a pair is seen, eight to each power of two
 
 
-def fit_tree(documents: DataFrame) -> ContextTree:
-    """Learn from all texts, in three passes of counts that are summed map-side first.
+def _size(seen: np.ndarray) -> np.ndarray:
+    """The class; pairs that no scored text holds are in class -1."""
+    return np.where(seen > 0, np.floor(8 * np.log2(np.maximum(seen, 1))), -1).astype(np.int64)
 
-    Contexts of HALF bytes and, where such a one is a node, of DEPTH bytes are counted; those of all lengths
-    between follow by summing. Contexts with at least 2**-SHARE_BITS of all bytes become nodes, so the tree is
-    at most DEPTH * 2**SHARE_BITS + 1 nodes whatever the corpus. Last, the bytes at every place are counted
-    by the node in which the place's path ends.
+
+RUN = {"value": "long", "n": "long", "seen": "long", "key": "long", "zeros": "double", "ones": "double", "weighted": "double", "sizes": "long"}
+
+
+def _up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a run: the merged pairs, the sums (key, zeros, ones, weighted) of the decisions in the contexts of TOP bytes, and
+    the number of pairs of each size class."""
+    for run in _runs(batches):
+        value, n, seen = _sums(unsigned(run["value"].to_numpy()), run["n"].to_numpy(), run["seen"].to_numpy())
+        _, _, levels, *counts = _subtree(value, n)
+        key, up = np.unique(_above(levels[-1].key, TOP), return_inverse=True)
+        size = _size(seen)
+        columns = [signed(value), n, seen, signed(key), *(np.bincount(up, x, len(key)) for x in counts), np.bincount(size[size >= 0], minlength=SIZES)]
+        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), pa.array(c)) for c in columns], names=list(RUN))
+
+
+def _down(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
+    """(value, near, log) of pairs of scored texts: log10 of the probability of the byte in its context."""
+    keys, top_said, top_left, least = shared.value
+    for batch in batches:
+        for i in range(len(batch)):
+            value, n, seen = (batch.column(c)[i].values.to_numpy() for c in ("value", "n", "seen"))
+            value = unsigned(value)
+            place, bit, levels, *_ = _subtree(value, n)
+            at = np.searchsorted(keys, _above(levels[-1].key, TOP))
+            said, left = levels[-1].mixed(top_said[at], top_left[at])
+            for level in reversed(levels[:-1]):
+                said, left = level.mixed(said[level.up], left[level.up])
+            one = said[place]
+            logs = np.log10(np.where(bit, one, 1 - one)).sum(1).astype(np.float32)
+            some = seen > 0
+            yield pa.RecordBatch.from_arrays([pa.array(signed(value[some])), pa.array(_size(seen[some]) >= least), pa.array(logs[some])], names=["value", "near", "log"])
+
+
+def pair_logs(texts: DataFrame) -> DataFrame:
+    """(value, near, log) of every distinct pair of a context of DEPTH bytes and the byte after it in the scored texts of
+    ``texts(text, learned, scored)``: whether it is one of the at most HEAD_PAIRS frequent ones, and log10 of the byte's
+    probability under the tree of the learned texts.
+
+    Every context that they hold is a node. Pairs are counted map-side first; subtrees of the last TOP + 1
+    bytes are merged and weighted in tasks, some whole ones at a time, and written so; the shorter contexts are weighted on
+    the driver. A scored pair that was never learned has a count of 0, so it needs no search for its longest known context.
     """
-    texts = documents.select("text")
-    counted = lambda known: texts.mapInArrow(lambda b: _counts(b, _contexts(known), "context"), "context long, n long").groupBy("context").agg(F.sum("n").alias("n"))
-    first = stage(counted(None), "contexts")
-    least = max((first.agg(F.sum("n")).first()[0] or 0) / (1 << SHARE_BITS), 1)
-    short = _nodes(first, range(HALF + 1), least).toArrow()
-    depth, context = short["depth"].to_numpy(), unsigned(short["context"].to_numpy())
-    known = np.sort(context[depth == HALF])
-    long = _nodes(stage(counted(known), "contexts"), range(HALF + 1, DEPTH + 1), least).toArrow()
-    shape = tree_shape(np.concatenate([depth, long["depth"].to_numpy()]), np.concatenate([context, unsigned(long["context"].to_numpy())]))
-    child = shape.walker().child
-    rows = texts.mapInArrow(lambda b: _ended(b, child), "value long, n long").groupBy("value").agg(F.sum("n").alias("n")).toArrow()
-    ended = np.zeros((len(shape.depth), 256))
-    value = rows["value"].to_numpy()
-    ended[value >> 8, value & 255] = rows["n"].to_numpy()
-    return build_tree(shape, ended)
+    counted = texts.mapInArrow(_pair_counts, "value long, n long, seen long")
+    tree = F.expr(f"shiftrightunsigned(value, 8) & {(1 << 8 * (TOP + 1)) - 1}L")
+    trees = counted.withColumn("tree", tree).repartition("tree").sortWithinPartitions("tree")
+    runs = stage(trees.mapInArrow(_up, ", ".join(f"{c} array<{t}>" for c, t in RUN.items())), "context-trees")
+    sums = ("zeros", "ones", "weighted")
+    top = runs.select(F.explode(F.arrays_zip("key", *sums)).alias("r")).select("r.*").groupBy("key").agg(*[F.sum(c).alias(c) for c in sums]).toArrow()
+    key = unsigned(top["key"].to_numpy())
+    order = np.argsort(key)
+    levels, *_ = _climb(TOP, 0, key[order], *(top[c].to_numpy()[order] for c in sums))
+    said, left = levels[-1].mixed(np.zeros(len(levels[-1].key)), np.ones(len(levels[-1].key)))
+    for level in reversed(levels[:-1]):
+        said, left = level.mixed(said[level.up], left[level.up])
+    held = np.zeros(SIZES, np.int64)
+    for r in runs.select(F.posexplode("sizes")).groupBy("pos").agg(F.sum("col").alias("n")).collect():
+        held[r["pos"]] = r["n"]
+    least = SIZES - int((np.cumsum(held[::-1]) <= HEAD_PAIRS).sum())
+    shared = texts.sparkSession.sparkContext.broadcast((levels[0].key, said, left, least))
+    return stage(runs.select("value", "n", "seen").mapInArrow(lambda b: _down(b, shared), "value long, near boolean, log float"), "pair-logs")
+
+
+class PairTable:
+    """Logarithms of pairs, found by the first bits of a mixed number."""
+
+    def __init__(self, value: np.ndarray, log: np.ndarray) -> None:
+        self.bits = max(len(value), 2).bit_length()
+        slot = self._slot(value)
+        order = np.argsort(slot, kind="stable")
+        self.value, self.log = value[order], log[order]
+        self.first = np.searchsorted(slot[order], np.arange((1 << self.bits) + 1)).astype(np.int32)
+
+    def _slot(self, value: np.ndarray) -> np.ndarray:
+        return ((value ^ value >> np.uint64(29)) * np.uint64(BASE) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Logarithms, 0 for those not in the table, and which are in it."""
+        logs, found = np.zeros(len(value)), np.zeros(len(value), bool)
+        slot = self._slot(value)
+        at, end = self.first[slot], self.first[slot + 1]
+        todo = np.flatnonzero(at < end)
+        at, end = at[todo], end[todo]
+        while len(todo):
+            hit = self.value[at] == value[todo]
+            logs[todo[hit]], found[todo[hit]] = self.log[at[hit]], True
+            at += 1
+            more = ~hit & (at < end)
+            todo, at, end = todo[more], at[more], end[more]
+        return logs, found
 
 
 def _scored(batches: Iterator[pa.RecordBatch], shared, key: str) -> Iterator[pa.RecordBatch]:
-    """Per text: tree score, and of its words the tokens, known tokens and log sum of head words; the others as lists."""
-    hashes, counts, child, logs = shared.value
-    tree, hasher = ContextTree(child, logs), SpanHasher()
+    """Per text: log sum of head pairs, and of its words the tokens, known tokens and log sum of head words; the others as lists."""
+    hashes, counts, value, log = shared.value
+    table, hasher = PairTable(value, log), SpanHasher()
     seen = np.zeros(1 << 22, bool)
     seen[hashes & np.uint64((1 << 22) - 1)] = True
     log_count = np.log10(counts + 0.5)
@@ -297,18 +449,23 @@ def _scored(batches: Iterator[pa.RecordBatch], shared, key: str) -> Iterator[pa.
             tail = np.ones(len(words), bool)
             tail[head] = False
             cut = np.searchsorted(text[tail], np.arange(texts + 1)).astype(np.int32)
+            pairs = _pairs(at, raw)
+            logs, found = table.find(pairs)
+            sums = np.concatenate([[0.0], np.cumsum(logs)])
+            far = np.flatnonzero(~found)
             columns = [
                 pa.array(np.bincount(text, minlength=texts) + 1),
                 pa.array(np.bincount(text[head], minlength=texts)),
                 pa.array(np.bincount(text[head], log_count[spot], texts).astype(np.float64)),
                 pa.ListArray.from_arrays(pa.array(cut), pa.array(signed(words[tail]))),
-                pa.array(tree.text_scores(at, raw)),
+                pa.array(sums[at[1:]] - sums[at[:-1]]),
+                pa.ListArray.from_arrays(pa.array(np.searchsorted(far, at).astype(np.int32)), pa.array(signed(pairs[far]))),
                 pa.array(np.diff(at)),
             ]
-            yield pa.RecordBatch.from_arrays([batch.column("_row").slice(first, texts), batch.column(key).slice(first, texts), *columns], names=["_row", key, "n_tokens", "head_known", "head_log", "tail", "score", "n_bytes"])
+            yield pa.RecordBatch.from_arrays([batch.column("_row").slice(first, texts), batch.column(key).slice(first, texts), *columns], names=["_row", key, "n_tokens", "head_known", "head_log", "tail", "near", "far", "n_bytes"])
 
 
-def score_documents(documents: DataFrame, training: DataFrame, key: str = "doc_id") -> DataFrame:
+def score_documents(documents: DataFrame, training: DataFrame, key: str = "doc_id", learned: Column | None = None) -> DataFrame:
     """(key, n_tokens, n_known, train_tokens, base_score, score, n_bytes) for every row of ``documents(key, text)``.
 
     ``score`` is log10 of the text's probability under the context tree of ``training(text)``, over the UTF-8
@@ -316,7 +473,9 @@ def score_documents(documents: DataFrame, training: DataFrame, key: str = "doc_i
     word unigram's: the words and one end, each (c + 0.5) / (N + 0.5 * (V + 1)).
 
     Word counts: the HEAD_WORDS most frequent are sent to the tasks, all rarer words are joined by hash (64
-    bits), so every count is exact whatever the vocabulary. A null text is an empty one: one token, score
+    bits), so every count is exact whatever the vocabulary. So it is with the logarithms of the tree: those of
+    at most HEAD_PAIRS frequent pairs of a context and a byte are sent, all others are joined. If ``training`` is
+    the rows of ``documents`` where ``learned`` holds, both are counted in one pass. A null text is an empty one: one token, score
     0. A null key stays null, repeated rows are scored each, an empty table gives no rows, other columns are
     not read. Without training rows every byte has the probability of an untrained tree, 1/256.
     """
@@ -331,25 +490,33 @@ def score_documents(documents: DataFrame, training: DataFrame, key: str = "doc_i
     head = top.toArrow()
     hashes = unsigned(head["word"].to_numpy())
     order = np.argsort(hashes)
-    tree = fit_tree(texts)
-    shared = spark.sparkContext.broadcast((hashes[order], head["n"].to_numpy()[order], tree.child, tree.logs))
+    if learned is None:
+        both = texts.select("text", F.lit(True).alias("learned"), F.lit(False).alias("scored")).union(documents.select("text", F.lit(False), F.lit(True)))
+    else:
+        both = documents.select("text", F.coalesce(learned, F.lit(False)).alias("learned"), F.lit(True).alias("scored"))
+    pairs = pair_logs(both)
+    near = pairs.where("near").select("value", "log").toArrow()
+    shared = spark.sparkContext.broadcast((hashes[order], head["n"].to_numpy()[order], unsigned(near["value"].to_numpy()), near["log"].to_numpy()))
     numbered = documents.select(F.monotonically_increasing_id().alias("_row"), key, "text")
-    schema = keyed_schema(documents, key, "n_tokens long, head_known long, head_log double, tail array<long>, score double, n_bytes long")
+    schema = keyed_schema(documents, key, "n_tokens long, head_known long, head_log double, tail array<long>, near double, far array<long>, n_bytes long")
     schema.fields.insert(0, numbered.schema["_row"])
     schema.names.insert(0, "_row")
     # Written once, so a row keeps its number.
     rows = stage(numbered.mapInArrow(lambda b: _scored(b, shared, key), schema), "scored")
     tail = rows.select("_row", F.explode("tail").alias("word")).join(counts, "word", "left")
     sums = tail.groupBy("_row").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.5))).alias("tail_log"), F.count("n").alias("tail_known"))
-    out = rows.drop("tail").join(sums, "_row", "left")
+    rest = pairs.where("not near").select("value", "log")
+    far = rows.select("_row", F.explode("far").alias("value")).join(rest, "value").groupBy("_row").agg(F.sum("log").alias("far_log"))
+    out = rows.drop("tail", "far").join(sums, "_row", "left").join(far, "_row", "left")
+    score = F.col("near") + F.coalesce("far_log", F.lit(0.0))
     space = float(np.log10(n + 0.5 * (distinct + 1)))
     base = F.col("head_log") + F.coalesce("tail_log", F.lit(0.0)) + F.lit(float(np.log10(lines + 0.5))) - F.col("n_tokens") * F.lit(space)
     known = F.col("head_known") + F.coalesce("tail_known", F.lit(0)) + F.lit(int(lines > 0))
-    return out.select(key, "n_tokens", known.alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score", "n_bytes")
+    return out.select(key, "n_tokens", known.alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"), "n_bytes")
 
 
 def op4_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents")
-    scored = score_documents(documents, documents.where(fold(F.col("doc_id"), 5) != 1))
     held_out = fold(F.col("doc_id"), 5) == 1
+    scored = score_documents(documents, documents.where(~held_out), learned=~held_out)
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes")

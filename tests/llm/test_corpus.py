@@ -304,3 +304,27 @@ def test_common_counts():
     rows = [np.unique(rng.integers(0, 60, rng.integers(0, 25)).astype(np.uint64)) for _ in range(30)]
     counts = jaccard._common_counts(rows)
     assert all(counts[a, b] == len(np.intersect1d(rows[a], rows[b])) for a in range(30) for b in range(30) if a != b)
+
+
+@pytest.mark.parametrize("head", [1 << 21, 50])
+def test_every_context_is_a_node(spark, monkeypatch, head):
+    """Against the dense tree of all contexts of the training texts, most of them seen once, with few pairs sent and with all."""
+    monkeypatch.setattr(ctw, "HEAD_PAIRS", head)
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 6))) for _ in range(40)]
+    texts = [" ".join(rng.choices(words, k=25)) for _ in range(8)] + ["the common words " * 2000, "é 日本", ""]
+    learned, every = [x.encode() for x in texts], [x.encode() for x in [*texts, "xyz the abc unseen", words[0]]]
+    seen = {(d, t[max(i - d, 0) : i].rjust(d, b"\0")) for t in learned for i in range(len(t)) for d in range(ctw.DEPTH + 1)}
+    depth, context = zip(*[(d, int.from_bytes(c, "big")) for d, c in seen])
+    shape = ctw.tree_shape(np.array(depth), np.array(context, np.uint64))
+    at = lambda ts: np.cumsum([0, *map(len, ts)])
+    raw = lambda ts: np.frombuffer(b"".join(ts), np.uint8)
+    stream, place = ctw._stream(at(learned), raw(learned))
+    ended = np.zeros((len(shape.depth), 256))
+    np.add.at(ended, (shape.walker().ends(stream, place), stream[place]), 1)
+    plain = ctw.build_tree(shape, ended).text_scores(at(every), raw(every))
+    table = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(every)], "doc_id long, text string")
+    known = F.col("doc_id") < len(texts)
+    for learned in (None, known):
+        got = {r["doc_id"]: r["score"] for r in ctw.score_documents(table, table.where(known), learned=learned).collect()}
+        assert [got[i] for i in range(len(every))] == pytest.approx(plain.tolist(), rel=1e-5)
