@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from deskweave.llm.common import BASE, SpanHasher, fold, keyed_schema, lowered, read, signed, unsigned, utf8_steps, word_spans
 from deskweave.operators.staging import stage
 
-DEPTH = 6  # bytes of the longest context, 7 at most: a context and the byte after it are one 64-bit number
+DEPTH = 7  # bytes of the longest context, no more: a context and the byte after it are one 64-bit number
 TOP = 2  # contexts up to this length are weighted by the driver, 2**16 of them at most; longer ones in tasks, by their last TOP + 1 bytes
 FLUSH = 1 << 20  # distinct values that a task counts before it passes them on
 RUN_PAIRS = 1 << 17  # counts of whole subtrees that a task merges and weights at a time

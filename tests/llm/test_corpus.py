@@ -328,3 +328,11 @@ def test_every_context_is_a_node(spark, monkeypatch, head):
     for learned in (None, known):
         got = {r["doc_id"]: r["score"] for r in ctw.score_documents(table, table.where(known), learned=learned).collect()}
         assert [got[i] for i in range(len(every))] == pytest.approx(plain.tolist(), rel=1e-5)
+
+
+def test_context_tree_sees_seven_bytes(spark):
+    """The byte after seven is told by the seventh before it only."""
+    learned = ["x234567a" * 50 + "\n", "y234567b" * 50 + "\n"]
+    table = spark.createDataFrame([*enumerate(learned), (2, "x234567a"), (3, "x234567b")], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in ctw.score_documents(table, table.where("doc_id < 2")).collect()}
+    assert ctw.DEPTH == 7 and got[2] > got[3] + 1
