@@ -17,7 +17,10 @@ from deskweave.llm.common import read
 from deskweave.llm.url_rules import url_parts
 from deskweave.operators.staging import stage
 
-EXAMPLES = 4  # pages of a host that its wrapper is learned from, those with the smallest hashes
+LEAST = 3  # different pages that a layout's template is learned from, at least
+CONSTANT = 0.9  # a text is template if this share of a layout's different pages have it at the same node
+REPEATED = 0.1  # so it is under a word of APART_WORDS inside an article if this share have it
+FRAME = 4  # levels of a page's tree, without the inside of its article, that make its layout
 BROADCAST_BYTES = 32 << 20  # wrappers of all hosts together; more are joined by shuffle
 RESIDENT_WRAPPERS = 256  # parsed ones a task keeps
 
@@ -45,7 +48,7 @@ ATTRIBUTE = re.compile(r"(class|id|role|itemprop|hidden|style)(?:\s*=\s*(?:\"([^
 class Node:
     """An element; ``parts`` are its texts and children in page order."""
 
-    __slots__ = ("tag", "name", "apart", "main", "parts")
+    __slots__ = ("tag", "name", "apart", "named", "main", "parts")
 
     def __init__(self, tag: str, attributes: str = "") -> None:
         self.tag, self.parts = tag, []
@@ -56,6 +59,7 @@ class Node:
         unseen = "hidden" in found or "display:none" in found.get("style", "").replace(" ", "")
         named = bool(words.strip()) and tag not in ("html", "body") and bool(APART_WORDS.search(words))
         self.apart = tag in APART or unseen or named
+        self.named = named and tag not in APART and not unseen  # set apart by a word only
 
     def children(self) -> list[Node]:
         return [p for p in self.parts if isinstance(p, Node)]
@@ -108,8 +112,8 @@ def parse(text: str) -> Node:
     return root
 
 
-def blocks(node: Node, drop: set[int]) -> list[str]:
-    """Texts between block borders in page order, white space made one space; without nodes set apart."""
+def blocks(node: Node, drop: set[int], keep: set[int] = frozenset()) -> list[str]:
+    """Texts between block borders in page order, white space made one space; without nodes set apart, unless in ``keep``."""
     out: list[str] = []
     line: list[str] = []
 
@@ -129,7 +133,7 @@ def blocks(node: Node, drop: set[int]) -> list[str]:
             line.append(part)
         elif part.tag == "br":
             line.append(" ")
-        elif part.apart or id(part) in drop:
+        elif part.apart and id(part) not in keep or id(part) in drop:
             if part.tag not in INLINE:
                 close()
         elif part.tag in INLINE:
@@ -145,7 +149,7 @@ def blocks(node: Node, drop: set[int]) -> list[str]:
 class Group:
     """A run of siblings of one name, the unit of alignment: repeated items count once."""
 
-    __slots__ = ("name", "nodes", "groups", "mark", "length", "shape")
+    __slots__ = ("name", "nodes", "groups", "marks", "shape")
 
     def __init__(self, nodes: list[Node], deep: int = 0) -> None:
         self.name, self.nodes = nodes[0].name, nodes
@@ -159,26 +163,38 @@ class Group:
             run.append(child)
         if run:
             self.groups.append(Group(run, deep + 1))
-        texts = [t for n in nodes for t in blocks(n, set())]
-        self.mark = hashlib.blake2b("\n".join(texts).encode("utf-8", "replace"), digest_size=8).hexdigest()
-        self.length = sum(map(len, texts))
+        self.marks = [mark(n) for n in nodes]
         self.shape = f"{self.name}({','.join(g.shape for g in self.groups)})"
 
     def record(self) -> list:
-        return [self.name, [self.mark], [g.record() for g in self.groups]]
+        return [self.name, [g.record() for g in self.groups]]
+
+    def walk(self) -> Iterator[tuple[str, Group]]:
+        """All groups with their paths, places among siblings joined by dots."""
+        todo = [("", self)]
+        while todo:
+            path, group = todo.pop()
+            yield path, group
+            todo.extend((f"{path}.{i}", g) for i, g in enumerate(group.groups))
+
+
+def mark(node: Node) -> int:
+    """A hash of the node's text, 0 without any."""
+    texts = blocks(node, set())
+    return int.from_bytes(hashlib.blake2b("\n".join(texts).encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True) if texts else 0
 
 
 def matching(a: list, b: list, memo: dict) -> int:
-    """Simple tree matching of records [name, marks, groups]: the most pairs that keep names, order and ancestry."""
+    """Simple tree matching of records [name, groups]: the most pairs that keep names, order and ancestry."""
     key = (id(a), id(b))
     if key not in memo:
         if a[0] != b[0]:
             memo[key] = 0
         else:
-            row = [0] * (len(b[2]) + 1)
-            for x in a[2]:
+            row = [0] * (len(b[1]) + 1)
+            for x in a[1]:
                 last, row = row, [0]
-                for j, y in enumerate(b[2]):
+                for j, y in enumerate(b[1]):
                     row.append(max(row[j], last[j + 1], last[j] + matching(x, y, memo)))
             memo[key] = row[-1] + 1
     return memo[key]
@@ -189,11 +205,11 @@ def aligned(a: list, b: list, memo: dict | None = None) -> list[tuple[list, list
     memo = {} if memo is None else memo
     if not matching(a, b, memo):
         return []
-    n, m = len(a[2]), len(b[2])
+    n, m = len(a[1]), len(b[1])
     table = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n):
         for j in range(m):
-            table[i + 1][j + 1] = max(table[i][j + 1], table[i + 1][j], table[i][j] + matching(a[2][i], b[2][j], memo))
+            table[i + 1][j + 1] = max(table[i][j + 1], table[i + 1][j], table[i][j] + matching(a[1][i], b[1][j], memo))
     pairs: list[tuple[list, list]] = []
     i, j = n, m
     while i and j:
@@ -202,53 +218,79 @@ def aligned(a: list, b: list, memo: dict | None = None) -> list[tuple[list, list
         elif table[i][j] == table[i][j - 1]:
             j -= 1
         else:
-            pairs += aligned(a[2][i - 1], b[2][j - 1], memo)
+            pairs += aligned(a[1][i - 1], b[1][j - 1], memo)
             i, j = i - 1, j - 1
     return [(a, b), *pairs]
 
 
-def induce(pages: list[str]) -> str:
-    """The wrapper of a host's example pages: the first page's record, each node with its marks in all examples.
+def article(page: Group) -> Node | None:
+    """The element with the most text of those that a page calls its article; of nested ones of equal text the outer one."""
+    found: list[tuple[int, Node]] = []
+    todo = [page]
+    while todo:
+        group = todo.pop()
+        for node in group.nodes:
+            if node.main and not node.apart:
+                found.append((sum(map(len, blocks(node, set()))), node))
+        if not group.nodes[0].apart:
+            todo.extend(reversed(group.groups))
+    return max(found, key=lambda f: f[0])[1] if found else None
 
-    A node whose marks are equal in all examples is template; the others are slots.
-    """
-    records = [Group([parse(p)]).record() for p in pages]
-    base = records[0]
-    for other in records[1:]:
-        for mine, theirs in aligned(base, other):
-            mine[1].append(theirs[1][0])
-    return json.dumps([len(records), base], separators=(",", ":"))
+
+def layout(page: Group, main: Node | None) -> str:
+    """A hash of the first levels of the page's shape, without the inside of its article."""
+
+    def frame(group: Group, levels: int) -> str:
+        inside = levels and not any(n is main for n in group.nodes)
+        return f"{group.name}({','.join(frame(g, levels - 1) for g in group.groups) if inside else ''})"
+
+    return hashlib.blake2b(frame(page, FRAME).encode("utf-8", "replace"), digest_size=8).hexdigest()
+
+
+def places(record: list, base: list) -> dict[str, str]:
+    """Paths of the record's groups to the paths of those of ``base`` that a best matching pairs them with."""
+
+    def paths(top: list) -> dict[int, str]:
+        out, todo = {}, [("", top)]
+        while todo:
+            path, r = todo.pop()
+            out[id(r)] = path
+            todo.extend((f"{path}.{i}", g) for i, g in enumerate(r[1]))
+        return out
+
+    mine, theirs = paths(record), paths(base)
+    return {mine[id(x)]: theirs[id(y)] for x, y in aligned(record, base)}
 
 
 class Wrapper:
-    def __init__(self, text: str | None) -> None:
-        self.examples, self.base = json.loads(text) if text else (0, ["", [], []])
-        self.pairs: dict[str, list[tuple[tuple[int, ...], list]]] = {}
-
-    def template(self, page: Group) -> set[int]:
-        """Page nodes that are matched with a constant node of the same text."""
-        if self.examples < 3:
-            return set()
-        if page.shape not in self.pairs:
-            # Pages of one shape align alike, so the matching is made once for each shape.
-            paths: dict[int, tuple[int, ...]] = {}
+    """Of a host, by layout: the record that pages are aligned with, and the texts that repeat at its nodes."""
 
-            def copy(group: Group, path: tuple[int, ...]) -> list:
-                record = [group.name, [], [copy(g, (*path, i)) for i, g in enumerate(group.groups)]]
-                paths[id(record)] = path
-                return record
+    def __init__(self, text: str | None) -> None:
+        self.layouts = {w["layout"]: (json.loads(w["base"]), {(r["path"], int(r["mark"])): r["constant"] for r in w["repeated"] if r["mark"] != "0"}, {r["path"] for r in w["repeated"]}) for w in json.loads(text or "[]")}
+        self.pairs: dict[tuple[str, str], dict[str, str]] = {}
 
-            mine = copy(page, ())
-            self.pairs[page.shape] = [(paths[id(x)], y) for x, y in aligned(mine, self.base)]
+    def template(self, page: Group, main: Node | None) -> tuple[set[int], set[int]]:
+        """Page nodes that are template, and those set apart by a word only whose text does not repeat."""
         drop: set[int] = set()
-        for path, known in self.pairs[page.shape]:
-            if len(known[1]) == self.examples and len(set(known[1])) == 1:
-                group = page
-                for i in path:
-                    group = group.groups[i]
-                if group.length and group.mark == known[1][0]:
-                    drop.update(map(id, group.nodes))
-        return drop
+        keep: set[int] = set()
+        name = layout(page, main)
+        if name not in self.layouts:
+            return drop, keep
+        base, repeated, learned = self.layouts[name]
+        if (name, page.shape) not in self.pairs:
+            # Pages of one shape align alike, so the matching is made once for each shape.
+            self.pairs[name, page.shape] = places(page.record(), base)
+        known = self.pairs[name, page.shape]
+        for path, group in page.walk():
+            if known.get(path) not in learned:
+                continue
+            for node, text in zip(group.nodes, group.marks):
+                constant = repeated.get((known[path], text))
+                if constant or constant is not None and node.named:
+                    drop.add(id(node))
+                elif node.named and text:
+                    keep.add(id(node))
+        return drop, keep
 
 
 def main_text(text: str, wrapper: Wrapper) -> str:
@@ -259,19 +301,10 @@ def main_text(text: str, wrapper: Wrapper) -> str:
     the last node that holds four fifths of all text in slots, without template nodes.
     """
     page = Group([parse(text)])
-    drop = wrapper.template(page)
-    found: list[tuple[int, Node]] = []
-    todo = [page]
-    while todo:
-        group = todo.pop()
-        for node in group.nodes:
-            if node.main and not node.apart:
-                found.append((sum(map(len, blocks(node, set()))), node))
-        if not group.nodes[0].apart:
-            todo.extend(reversed(group.groups))
-    if found:
-        most = max(found, key=lambda f: f[0])  # of nested ones of equal text the outer one
-        return "\n\n".join(blocks(most[1], set()))
+    main = article(page)
+    drop, keep = wrapper.template(page, main)
+    if main:
+        return "\n\n".join(blocks(main, set()))
 
     def varying(group: Group) -> int:
         return sum(len(t) for n in group.nodes if not n.apart and id(n) not in drop for t in blocks(n, drop))
@@ -285,10 +318,39 @@ def main_text(text: str, wrapper: Wrapper) -> str:
     return "\n\n".join(t for n in region.nodes for t in blocks(Node("#region") if n.apart else n, drop))
 
 
-def _induced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+TRAITS = "host string, layout string, identity long, size int, record string, paths array<string>, marks array<long>"
+
+
+def _traits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per page its layout, what tells copies (the text of its article, or else of the page), and the texts at its nodes."""
+    schema = pa.schema([("host", pa.string()), ("layout", pa.string()), ("identity", pa.int64()), ("size", pa.int32()), ("record", pa.string()), ("paths", pa.list_(pa.string())), ("marks", pa.list_(pa.int64()))])
+    for batch in batches:
+        rows = []
+        for host, text in zip(batch.column("host").to_pylist(), batch.column("html")):
+            page = Group([parse(text.as_py())])
+            main, groups = article(page), list(page.walk())
+            seen = dict.fromkeys((path, m) for path, g in groups for m in g.marks)
+            record = json.dumps(page.record(), separators=(",", ":"))
+            rows.append((host, layout(page, main), mark(main) if main else page.marks[0], len(groups), record, [p for p, _ in seen], [m for _, m in seen]))
+        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows) if rows else [()] * len(schema), schema)], schema=schema)
+
+
+def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, layout, path, mark) in the paths of the layout's base, for each page once; one with mark 0 for each path."""
+    known: dict[tuple[str, str], dict[str, str]] = {}
     for batch in batches:
-        out = [induce(list(dict.fromkeys(p for p in pages if p is not None)) or [""]) for pages in batch.column("pages").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(out, pa.string())], names=["host", "wrapper"])
+        rows = []
+        for r in batch.to_pylist():
+            key = (r["record"], r["base"])
+            if key not in known:
+                if len(known) >= 16 * RESIDENT_WRAPPERS:
+                    known.clear()
+                known[key] = places(*map(json.loads, key))
+            at = known[key]
+            found = [(at[p], m) for p, m in zip(r["paths"], r["marks"]) if p in at]
+            rows += [(r["host"], r["layout"], *x) for x in {*found, *((p, 0) for p, _ in found)}]
+        names = ["host", "layout", "path", "mark"]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 4, [pa.string()] * 3 + [pa.int64()])], names=names)
 
 
 def _extracted(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
@@ -305,25 +367,47 @@ def _extracted(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[p
         yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(texts, pa.string())], names=[*keys, "text"])
 
 
-def extract(pages: DataFrame, examples: int = EXAMPLES) -> DataFrame:
+def _small(df: DataFrame, *columns: str) -> DataFrame:
+    """A hint to broadcast a written table that is small enough."""
+    size = df.agg(F.sum(sum((F.length(c) for c in columns), F.lit(0)))).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
+def learn(hosted: DataFrame) -> DataFrame:
+    """(host, wrapper) from all of ``hosted(host, html)``.
+
+    Pages of one host and layout whose articles (without one: whole texts) are equal count once. The layout's
+    largest tree is its base; every page is aligned with it by simple tree matching, and for each node the
+    different pages that have it, and each text there, are counted map-side first. So no group is held by one task.
+    """
+    traits = hosted.where("trim(html) <> ''").select("host", "html").mapInArrow(_traits, TRAITS)
+    one = traits.groupBy("host", "layout", "identity").agg(F.max(F.struct("size", "record", "paths", "marks")).alias("r"))
+    pages = stage(one.select("host", "layout", "r.*"), "page-traits")
+    bases = pages.groupBy("host", "layout").agg(F.count("*").alias("n"), F.max(F.struct("size", "record")).alias("b"))
+    bases = stage(bases.where(F.col("n") >= LEAST).select("host", "layout", F.col("b.record").alias("base")), "layouts")
+    pages = pages.join(_small(bases, "host", "base"), ["host", "layout"])
+    counts = pages.mapInArrow(_aligned, "host string, layout string, path string, mark long").groupBy("host", "layout", "path", "mark").agg(F.count("*").alias("n"))
+    counts = stage(counts, "node-texts")
+    every = counts.where((F.col("mark") == 0) & (F.col("n") >= LEAST)).select("host", "layout", "path", F.col("n").alias("all"))
+    texts = counts.where("n > 1 or mark = 0").join(every, ["host", "layout", "path"]).where((F.col("n") >= F.col("all") * REPEATED) & (F.col("n") > 1))
+    one = F.struct("path", F.col("mark").cast("string").alias("mark"), ((F.col("mark") != 0) & (F.col("n") >= F.col("all") * CONSTANT)).alias("constant"))
+    found = texts.groupBy("host", "layout").agg(F.sort_array(F.collect_list(one)).alias("repeated"))
+    return found.join(bases, ["host", "layout"]).groupBy("host").agg(F.to_json(F.sort_array(F.collect_list(F.struct("layout", "base", "repeated")))).alias("wrapper"))
+
+
+def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) for every row of ``pages(page_id, url, html)``.
 
-    Per host the ``examples`` pages with the smallest hashes (folded map-side, so a hot host moves as many pages per
-    task as any other) are aligned into a wrapper. Every page is then aligned with its host's
-    wrapper. Wrappers are broadcast while all together are below BROADCAST_BYTES and joined by
-    host beyond; either way pages are processed one by one, whole.
+    Every page is aligned with the wrapper that ``learn`` makes of all pages of its host. Wrappers are broadcast while
+    all together are below BROADCAST_BYTES and joined by host beyond; either way pages are processed one by one, whole.
 
     A null or empty html has an empty text; a null url belongs to the empty host. Repeated rows are
     extracted each; an empty table gives no rows; other columns are not read.
     """
     pages = pages.select("page_id", "url", "html")
     hosted = pages.withColumn("host", url_parts(F.col("url"))[0])
-    chosen = [F.min_by("html", F.xxhash64("page_id", F.lit(i))).alias(f"p{i}") for i in range(examples)]
-    wrappers = hosted.where("trim(html) <> ''").groupBy("host").agg(*chosen)
-    wrappers = wrappers.select("host", F.array(*[f"p{i}" for i in range(examples)]).alias("pages"))
-    wrappers = stage(wrappers.mapInArrow(_induced, "host string, wrapper string"), "wrappers")
-    size = wrappers.agg(F.sum(F.length("host") + F.length("wrapper"))).first()[0] or 0
-    joined = hosted.join(F.broadcast(wrappers) if size <= BROADCAST_BYTES else wrappers, "host", "left").select(*pages.columns, "wrapper")
+    wrappers = stage(learn(hosted), "wrappers")
+    joined = hosted.join(_small(wrappers, "host", "wrapper"), "host", "left").select(*pages.columns, "wrapper")
     schema = StructType([*pages.select("page_id", "url").schema.fields, StructField("text", StringType())])
     return joined.mapInArrow(lambda b: _extracted(b, ["page_id", "url"]), schema)
 

@@ -336,3 +336,20 @@ def test_context_tree_sees_seven_bytes(spark):
     table = spark.createDataFrame([*enumerate(learned), (2, "x234567a"), (3, "x234567b")], "doc_id long, text string")
     got = {r["doc_id"]: r["score"] for r in ctw.score_documents(table, table.where("doc_id < 2")).collect()}
     assert ctw.DEPTH == 7 and got[2] > got[3] + 1
+
+
+def extracted(spark, htmls):
+    rows = [(i, f"http://h.test/{i}", h) for i, h in enumerate(htmls)]
+    got = {r["page_id"]: r["text"] for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    return [got[i] for i in range(len(rows))]
+
+
+def test_template_of_every_layout(spark):
+    """Two layouts a host, three different pages each, most rows copies: constants of both go on all hosts."""
+    one = lambda i: f"<body><div>Welcome to our site, have a look around</div><div class=x><h1>Title {i}</h1><p>Text {i}</p></div>"
+    two = lambda i: f"<body><section>Another greeting that all pages repeat</section><section class=y><p>Story {i}</p></section>"
+    picks = [0, 1, 2, 2, 2, 2, 2, 2]
+    rows = [(h, f"http://h{h}.test/{k}", page(i)) for h in range(5) for page in (one, two) for k, i in enumerate(picks)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = Counter(r["text"] for r in wrappers.extract(table).collect())
+    assert got == Counter({f(i): 5 * n for i, n in Counter(picks).items() for f in (lambda i: f"Title {i}\n\nText {i}", lambda i: f"Story {i}")})
