@@ -296,15 +296,15 @@ class Wrapper:
 def main_text(text: str, wrapper: Wrapper) -> str:
     """Blocks of the page's content joined by an empty line.
 
-    What the page calls its article is content whole, parts set apart excepted, also if other pages of the
-    host repeat it. Without such an element the content is what varies: from the body down to
-    the last node that holds four fifths of all text in slots, without template nodes.
+    Content is what the page calls its article, without template nodes; parts that only a word sets apart stay
+    in it where the host shows that their texts do not repeat. Without such an element the content is what
+    varies: from the body down to the last node that holds four fifths of all text in slots, without template nodes.
     """
     page = Group([parse(text)])
     main = article(page)
     drop, keep = wrapper.template(page, main)
     if main:
-        return "\n\n".join(blocks(main, set()))
+        return "\n\n".join(blocks(main, drop, keep))
 
     def varying(group: Group) -> int:
         return sum(len(t) for n in group.nodes if not n.apart and id(n) not in drop for t in blocks(n, drop))

@@ -353,3 +353,11 @@ def test_template_of_every_layout(spark):
     table = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = Counter(r["text"] for r in wrappers.extract(table).collect())
     assert got == Counter({f(i): 5 * n for i, n in Counter(picks).items() for f in (lambda i: f"Title {i}\n\nText {i}", lambda i: f"Story {i}")})
+
+
+def test_template_inside_articles(spark):
+    """A constant line goes, a varying part under a listed word and a copied article stay."""
+    body = lambda i, k: f"<body><nav>N {k}</nav><article><h1>T {i}</h1><p>Text {i}</p><p>Read our letter</p><div class=alert>Storm {i}</div></article>"
+    # Half of the pages are copies of one article in different frames.
+    got = extracted(spark, [body(0, k) for k in range(12)] + [body(i, i) for i in range(1, 12)])
+    assert got == ["T 0\n\nText 0\n\nStorm 0"] * 12 + [f"T {i}\n\nText {i}\n\nStorm {i}" for i in range(1, 12)]
