@@ -137,6 +137,7 @@ def phrase_hits(
     the document too: documents that lack one are out, by the index alone. Shorter phrases may begin
     or end inside a longer word, so for them the document's words are cut into pieces of the lengths
     in question. Only candidates are searched, and the texts are read again only if there are any.
+    A ``phrase`` whose question has no words (stop words only, other alphabets) is searched in every document.
     """
     terms, has_short = profile or question_profile(questions, question)
     small = terms <= BROADCAST_ROWS
@@ -151,12 +152,20 @@ def phrase_hits(
         candidates = candidates.unionByName(_short_candidates(docs, doc_id, text, short, question_id, small))
     candidates = stage(candidates, "candidates")
     number = candidates.limit(BROADCAST_ROWS + 1).count()
+    texts = docs.select(doc_id, F.lower(text).alias("_text"))
+    if phrase is not None:
+        wordless = questions.where(F.size(words) == 0).select(question_id, needle.alias("_phrase"))
+        some = wordless.limit(BROADCAST_ROWS + 1).count()
+        if some:
+            everywhere = texts.join(_hint(wordless, some <= BROADCAST_ROWS), F.contains("_text", "_phrase")).select(question_id, doc_id)
+    else:
+        some = 0
     if number == 0:
-        return candidates
+        return everywhere if some else candidates
     searched = candidates.join(_hint(asked.select(question_id, "_phrase"), small), question_id)
     few = number <= BROADCAST_ROWS // 10
-    texts = docs.select(doc_id, F.lower(text).alias("_text"))
-    return texts.join(_hint(searched, few), doc_id).where(F.contains("_text", "_phrase")).select(question_id, doc_id)
+    found = texts.join(_hint(searched, few), doc_id).where(F.contains("_text", "_phrase")).select(question_id, doc_id)
+    return found.unionByName(everywhere) if some else found
 
 
 def scored_pairs(

@@ -104,3 +104,14 @@ def test_history_keeps_the_end_and_drops_blanks(spark):
     turns = spark.createDataFrame([("s", i, "AI" if i % 2 else "human", " " if i == 9 else f"m  {i}") for i in range(10)], "conv_id string, turn int, role string, text string")
     got = [(r["turn"], r["role"], r["content"]) for r in T.recent_history(turns, 3).orderBy("turn").collect()]
     assert got == [(7, "assistant", "m 7"), (8, "user", "m 8")] and T.recent_history(turns, 0).count() == 0
+
+
+def test_explicit_phrases_without_words(spark):
+    texts = {0: "It is of the kind", 1: "Привет, мир", 2: "of a kind", 3: "router reset", 4: None}
+    queries = {1: "of the", 2: "Мир", 3: "router", 4: "the of", 5: None}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    asked = spark.createDataFrame(list(queries.items()), "item_id long, text string")
+    expected = sorted((q, d) for q, p in queries.items() for d, t in texts.items() if p and t and p.lower() in t.lower())
+    for some in (asked, asked.where("item_id <> 3")):
+        got = T.phrase_hits(docs, "doc_id", F.col("text"), some, "item_id", "text", phrase=F.lower("text")).collect()
+        assert sorted(map(tuple, got)) == [e for e in expected if some is asked or e[0] != 3]
