@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from deskweave.llm import bpe, ctw, hilbert, jaccard, language, mixing, near_vectors, toxicity, url_rules, wrappers
+from deskweave.llm import bpe, ctw, hilbert, jaccard, language, mixing, near_vectors, pieces, toxicity, url_rules, wrappers
 
 QUERIES = {
     fn.__name__: fn
@@ -17,6 +17,7 @@ QUERIES = {
         mixing.op8_hash_threshold_mix,
         url_rules.op9_reversed_host_sweep,
         jaccard.op10_set_relation_jaccard,
+        pieces.op12_piece_agenda,
     )
 }
 
