@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import importlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +22,9 @@ LEAST_CHUNK = 64
 MOST_FILTER_BITS = 1 << 27  # bound of the filter of shared chunks: 16 MB in each task
 SEEN = 1 << 17  # digests that a task remembers
 SPECIAL = ("<|endoftext|>", 50256)
+LONG_BLANK = 100_000  # characters of white space that the pattern is not asked to match
+# Characters of the Unicode property White_Space, which the pattern's \\s means.
+LONG_BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_BLANK)
 
 
 def vocabulary_path() -> str:
@@ -56,7 +60,28 @@ class Codec:
         return held[name]
 
     def encode(self, text: str) -> np.ndarray:
-        return self.encoding.encode_to_numpy(text, allowed_special="all").astype("<u4") if text else np.empty(0, "<u4")
+        return self._encoded(text, "all")
+
+    def plain(self, text: str) -> np.ndarray:
+        """Ids of a text in which the special token's string is ordinary text."""
+        return self._encoded(text, set())
+
+    def _encoded(self, text: str, special) -> np.ndarray:
+        """White space before its last character is a token stretch of its own; very long ones are taken out before the
+        pattern, which would try them character by character on a stack."""
+        out, done = [np.empty(0, "<u4")], 0
+
+        def add(part: str) -> None:
+            if part:
+                out.append(self.encoding.encode_to_numpy(part, allowed_special=special, disallowed_special=()).astype("<u4"))
+
+        for run in LONG_BLANKS.finditer(text) if len(text) >= LONG_BLANK else ():
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            add(text[done : run.start()])
+            out.append(np.array(self.encoding._encode_single_piece(text[run.start() : end]), "<u4"))
+            done = end
+        add(text[done:])
+        return np.concatenate(out) if len(out) > 2 else out[-1]
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")

@@ -13,7 +13,7 @@ import hashlib
 import heapq
 import importlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -244,32 +244,33 @@ class Pieces:
         through = np.concatenate([[0], np.cumsum(n[word])])
         return np.split(flat, through[np.searchsorted(starts, at[1:-1])])
 
+    def parts(self, parts: Iterable[bytes]) -> list[np.ndarray]:
+        """``step`` of any number of parts, in runs of bounded size."""
+        out: list[np.ndarray] = []
+        run: list[bytes] = []
+        size = 0
+        for part in parts:
+            if run and size + len(part) > STEP:
+                out += self.step(run)
+                run, size = [], 0
+            run.append(part)
+            size += len(part)
+        return out + self.step(run) if run else out
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text as the library's ``encode`` gives them; null and empty texts have none."""
-        out: list[list[np.ndarray]] = [[] for _ in texts]
-        parts: list[bytes] = []
         owners: list[int] = []
-        size = 0
 
-        def flush() -> None:
-            nonlocal size
-            if parts:
-                for i, ids in zip(owners, self.step(parts)):
-                    out[i].append(ids)
-            parts.clear()
-            owners.clear()
-            size = 0
-
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            for part in self.spans(f" {text}".replace(SPACE, " ").encode()):
-                if size + len(part) > STEP:
-                    flush()
-                parts.append(part)
-                owners.append(i)
-                size += len(part)
-        flush()
+        def cut() -> Iterator[bytes]:
+            for i, text in enumerate(texts):
+                if text:
+                    for part in self.spans(f" {text}".replace(SPACE, " ").encode()):
+                        owners.append(i)
+                        yield part
+
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        for i, ids in zip(owners, self.parts(cut())):
+            out[i].append(ids)
         return [np.concatenate(x) if x else np.empty(0, np.int32) for x in out]
 
     def decode(self, ids: np.ndarray) -> str:

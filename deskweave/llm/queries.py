@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from deskweave.llm import bpe, ctw, hilbert, jaccard, language, mixing, near_vectors, pieces, toxicity, url_rules, wrappers
+from deskweave.llm import alignment, bpe, ctw, hilbert, jaccard, language, lexical, mixing, near_vectors, pieces, toxicity, url_rules, wrappers
 
 QUERIES = {
     fn.__name__: fn
@@ -17,11 +17,14 @@ QUERIES = {
         mixing.op8_hash_threshold_mix,
         url_rules.op9_reversed_host_sweep,
         jaccard.op10_set_relation_jaccard,
+        lexical.op11_geometric_blocks,
         pieces.op12_piece_agenda,
+        alignment.op13_fragment_alignment,
     )
 }
 
 SQL = {
     "op8_hash_threshold_mix": mixing.OP8_SQL,
     "op9_reversed_host_sweep": url_rules.OP9_SQL,
+    "op11_geometric_blocks": lexical.OP11_SQL,
 }
