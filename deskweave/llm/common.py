@@ -19,11 +19,13 @@ WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 
 # Rows of a batch of whole texts between Spark and Python; Spark's own default of 10,000 is meant for short rows.
 BATCH_ROWS = 1024
+BATCH_BYTES = 1 << 24  # of rows that are large themselves, as those of an index
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Session setting of the registered queries and the pipeline; operators themselves leave the session alone."""
+    """Session settings of the registered queries and the pipeline; operators themselves leave the session alone."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def texts_of(batch: pa.RecordBatch) -> pa.Array:

@@ -24,8 +24,8 @@ from deskweave.llm.common import SpanHasher, lowered, read, utf8_steps, word_spa
 from deskweave.llm.pieces import Table, ragged
 from deskweave.operators.staging import stage
 
-SEGMENT = 4096  # documents of a segment at most
-CELLS = 1 << 24  # documents x terms of a segment at most, for one document's worth of slack
+SEGMENT = 2048  # documents of a segment at most
+CELLS = 1 << 23  # documents x terms of a segment at most, for one document's worth of slack
 POSTINGS = 1 << 21  # entries of a segment at most, beyond its last document
 BLOCK = 96  # documents of a block at most; a list that is not longer has no summaries
 SKETCH = 32  # dimensions in which documents are compared to make blocks
