@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import html as html_entities
+import json
 import re
+from collections.abc import Mapping
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -11,41 +14,71 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# Patterns of the entities resolved natively (the last character may be missing in old
-# pages); a text holding any other one is left to the exact form.
-NATIVE_ENTITIES = (("&quot;?", '"'), ("&lt;?", "<"), ("&gt;?", ">"), ("&nbsp;?", " "), ("&copy;?", "©"),
-                   ("&middot;?", "·"), ("&#39;?", "'"), ("&amp;?", "&"))
-# Script and style bodies are text nodes of their own, comments and tags are not text.
+# References: by number, by hexadecimal number, or by name. A name may lack its semicolon.
+REFERENCE_PATTERN = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[a-zA-Z][a-zA-Z0-9]*;?)|&|[^&]+"
+# Script and style bodies are text nodes of their own, comments and tags are not text. A '>' inside a quoted
+# attribute does not end a tag.
+TAG_REST = r"""(?:[^>"']|"[^"]*"|'[^']*')*"""
 MARKUP_PATTERN = (
-    r"(?is)<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<!--.*?-->|<[a-z/!?][^>]*>|[^<]+|<"
+    rf"(?is)<script\b{TAG_REST}>.*?</script\s*>|<style\b{TAG_REST}>.*?</style\s*>|<!--.*?-->|<[a-z/!?]{TAG_REST}>|[^<]+|<"
 )
+WESTERN = bytes(range(0x80, 0xA0)).decode("cp1252", "replace")
+LONGEST_BARE_NAME = max(len(name) for name in html5 if not name.endswith(";"))
 
 
-def _resolved(text: Column) -> Column:
-    for pattern, plain in NATIVE_ENTITIES:
-        text = F.regexp_replace(text, pattern, plain)
-    return text
+def _code_point(number: Column) -> Column:
+    """The character of a numeric reference: some numbers stand for the characters that the western single-byte set has
+    there, some for none, and what is no character for the replacement character."""
+    western = F.substring(F.lit(WESTERN), (number - 0x7F).cast('int'), F.lit(1))
+    in_western = number.between(0x80, 0x9F) & ~number.isin(0x81, 0x8D, 0x8F, 0x90, 0x9D)
+    none = (
+        number.between(0x1, 0x8) | (number == 0xB) | number.between(0xE, 0x1F) | (number == 0x7F) | number.between(0xFDD0, 0xFDEF)
+        | ((number % 0x10000) >= 0xFFFE)
+    )
+    plain = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+    wrong = number.isNull() | (number == 0) | number.between(0xD800, 0xDFFF) | (number > 0x10FFFF)
+    return F.when(wrong, "\ufffd").when(in_western, western).when(none, "").otherwise(plain)
+
+
+def _named(names: Mapping[str, str]) -> Column:
+    """The standard table of names as one literal."""
+    return F.from_json(F.lit(json.dumps(names)), "map<string,string>")
+
+
+def resolved(text: Column) -> Column:
+    """Text with its character references resolved, as a page parser does it."""
+    full = _named(html5)
+    bare = _named({name: value for name, value in html5.items() if not name.endswith(";")})
+
+    def of(piece: Column) -> Column:
+        name = F.substring(piece, 2, 2**15)
+        digits = F.regexp_extract(piece, "^&#[xX]?([0-9a-fA-F]+)", 1)
+        # More digits than a character's number can have are cut to as many as still tell that it is none.
+        short = F.regexp_replace(digits, "^0+(?=.)", "")
+        number = F.when(F.length(short) > 8, F.lit(0x110000)).otherwise(
+            F.when(piece.rlike("^&#[xX]"), F.conv(short, 16, 10)).otherwise(short).cast("long")).cast("long")
+        begins = [F.concat(F.try_element_at(bare, F.substring(name, 1, n)), F.substring(name, n + 1, 2**15)) for n in range(LONGEST_BARE_NAME, 1, -1)]
+        by_name = F.coalesce(F.try_element_at(full, name), *begins, piece)
+        return F.when(F.length(piece) == 1, piece).when(~piece.startswith("&"), piece).when(piece.startswith("&#"), _code_point(number)).otherwise(by_name)
+
+    pieces = F.regexp_extract_all(text, F.lit(REFERENCE_PATTERN), F.lit(0))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(pieces, of), "")).otherwise(text)
 
 
 def html_text(value: str | Column) -> Column:
-    """JVM-only form; equals the exact one for well-formed pages with the entities listed above.
+    """JVM-only form; equals the exact one for well-formed pages.
 
-    Entities are resolved in the page, and once more in its text nodes, as a page parser does.
+    References are resolved in the page, and once more in its text nodes, as a page parser does.
     """
     text = F.col(value) if isinstance(value, str) else value
-    pieces = F.regexp_extract_all(_resolved(text), F.lit(MARKUP_PATTERN), F.lit(0))
+    pieces = F.regexp_extract_all(resolved(text), F.lit(MARKUP_PATTERN), F.lit(0))
 
     def text_of(piece: Column) -> Column:
         lowered = F.lower(F.substring(piece, 1, 8))
-        raw = lowered.startswith("<script") | lowered.startswith("<style")
-        body = F.regexp_replace(piece, r"(?is)^<(?:script|style)\b[^>]*>|</(?:script|style)\s*>$", "")
+        raw = lowered.rlike("^<(script|style)")
+        body = F.regexp_replace(piece, rf"(?is)^<(?:script|style)\b{TAG_REST}>|</(?:script|style)\s*>$", "")
         markup = piece.startswith("<") & (F.length(piece) > 1)
-        return (
-            F.when(raw, F.concat(F.lit(" "), body, F.lit(" ")))
-            .when(markup, " ")
-            .when(F.contains(piece, F.lit("&")), _resolved(piece))
-            .otherwise(piece)
-        )
+        return F.when(raw, F.concat(F.lit(" "), body, F.lit(" "))).when(markup, " ").otherwise(resolved(piece))
 
     return F.trim(F.regexp_replace(F.array_join(F.transform(pieces, text_of), ""), r"(?U)\s+", " "))
 

@@ -3,27 +3,37 @@
 The documents are tokenised once. In that pass each word is looked up in the questions' vocabulary
 (a broadcast of checked size) and only matched words leave the task. What is written is a small
 inverted index: one row per document and matched word. Corpus statistics, document frequencies,
-phrase candidates and scores all come from it. The index is then partitioned by document, so that
-scores are summed without moving (question, document) pairs, and the top-k window cuts every task to
-k rows per question before the last, tiny shuffle.
+phrase candidates and scores all come from it.
+
+The best k need no score for every (question, document) pair. Documents lie in blocks; per block and
+word the index keeps the highest frequency and the shortest document, from which an upper bound of any
+score in the block follows. Scores of the rarest words alone give a lower bound of a question's k-th
+score. Blocks whose bound is below it are skipped; the result is exact.
+
+Where documents have an access scope, a question sees a corpus of its own: number and length of documents
+and frequencies of words are summed over the scopes that its asker may read, before anything is scored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from deskweave.functions import text as X
+from deskweave.operators.joins import broadcast_if_small
 from deskweave.operators.staging import stage
 
 # Fixed values of the ranking formula.
 K1, B, PHRASE_BONUS = 1.2, 0.75, 2.0
 # Largest number of question terms that is broadcast; more questions are worked off in groups.
 BROADCAST_ROWS = 200_000
-# Marks in the term column that no token can equal.
-DOCUMENT_MARK, PHRASE_MARK = "\u0001", "\u0002"
+# Mark in the term column that no token can equal.
+DOCUMENT_MARK = "\u0001"
+# Documents of a block, postings that a question's first bound is drawn from (times k), and what rounding may add.
+BLOCK, SEED, MARGIN = 64, 4, 0.001
 
 
 def document_text(title: str = "title", content: str = "content") -> Column:
@@ -55,10 +65,10 @@ def corpus_statistics(docs: DataFrame, text: Column) -> DataFrame:
     )
 
 
-def question_terms(questions: DataFrame, question_id: str, text: str) -> DataFrame:
-    """(question, term, weight)."""
-    words = questions.select(question_id, _each(X.tokens(text))).where(F.col("term").isNotNull())
-    return words.groupBy(question_id, "term").agg(F.count(F.lit(1)).alias("weight"))
+def question_terms(questions: DataFrame, question_id: str, text: str, keep: Sequence[str] = ()) -> DataFrame:
+    """(question, columns to keep, term, weight)."""
+    words = questions.select(question_id, *keep, _each(X.tokens(text))).where(F.col("term").isNotNull())
+    return words.groupBy(question_id, *keep, "term").agg(F.count(F.lit(1)).alias("weight"))
 
 
 def question_profile(questions: DataFrame, question: str) -> tuple[int, bool]:
@@ -77,20 +87,20 @@ def _longest(words: Column) -> Column:
 
 
 def matched_index(
-    docs: DataFrame, doc_id: str, text: Column, questions: DataFrame, question_id: str, question: str, small: bool
+    docs: DataFrame, doc_id: str, text: Column, questions: DataFrame, question_id: str, question: str, small: bool, keep: Sequence[str] = ()
 ) -> DataFrame:
-    """(document, length, term, frequency) for words that occur in some question, written once.
+    """(document, columns to keep, length, term, frequency) for words that occur in some question, written once.
 
     Each document also has one row with the document mark. Text and token list stay behind when the
     words are spread into rows: a row that kept them would copy a long text once per word.
     """
     marks = docs.sparkSession.createDataFrame([(DOCUMENT_MARK,)], "term string")
     vocabulary = question_terms(questions, question_id, question).select("term").distinct().unionByName(marks)
-    read = docs.select(doc_id, X.tokens(text).alias("_tokens"))
-    sized = read.select(doc_id, F.size("_tokens").alias("length"), F.concat(F.array(F.lit(DOCUMENT_MARK)), "_tokens").alias("_tokens"))
-    words = sized.select(doc_id, "length", _each(F.col("_tokens")))
+    read = docs.select(doc_id, *keep, X.tokens(text).alias("_tokens"))
+    sized = read.select(doc_id, *keep, F.size("_tokens").alias("length"), F.concat(F.array(F.lit(DOCUMENT_MARK)), "_tokens").alias("_tokens"))
+    words = sized.select(doc_id, *keep, "length", _each(F.col("_tokens")))
     found = words.join(_hint(vocabulary, small), "term")
-    return stage(found.groupBy(doc_id, "length", "term").agg(F.count(F.lit(1)).alias("frequency")), "index")
+    return stage(found.groupBy(doc_id, *keep, "length", "term").agg(F.count(F.lit(1)).alias("frequency")), "index")
 
 
 def _tasks(df: DataFrame) -> int:
@@ -119,6 +129,17 @@ def _short_candidates(docs: DataFrame, doc_id: str, text: Column, short: DataFra
     return pieces.join(_hint(anchors, small), "_anchor").select(question_id, doc_id).distinct()
 
 
+def _anchored(docs: DataFrame, doc_id: str, text: Column, asked: DataFrame, question_id: str, small: bool) -> DataFrame:
+    """(question, document, phrase) where some three characters of a phrase without words occur in the text."""
+    n = F.least(F.length(F.trim("_phrase")), F.lit(3))
+    anchors = asked.select(question_id, "_phrase", F.substring(F.trim("_phrase"), F.lit(1), n).alias("_anchor"))
+    lengths = anchors.agg(F.collect_set(F.length("_anchor"))).scalar()
+    sized = docs.select(doc_id, F.lower(text).alias("_text")).withColumn("_n", F.explode(lengths)).where(F.length("_text") >= F.col("_n"))
+    pieces = sized.select(doc_id, _each(F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.length("_text") - F.col("_n") + 1), lambda i: F.substring(F.col("_text"), i, F.col("_n")))), "_anchor"))
+    return pieces.join(_hint(anchors, small), "_anchor").select(question_id, doc_id, "_phrase")
+
+
 def phrase_hits(
     docs: DataFrame,
     doc_id: str,
@@ -137,7 +158,8 @@ def phrase_hits(
     the document too: documents that lack one are out, by the index alone. Shorter phrases may begin
     or end inside a longer word, so for them the document's words are cut into pieces of the lengths
     in question. Only candidates are searched, and the texts are read again only if there are any.
-    A ``phrase`` whose question has no words (stop words only, other alphabets) is searched in every document.
+    A ``phrase`` whose question has no words (stop words only, other alphabets) is looked for where its first three
+    characters occur; a blank one is found nowhere.
     """
     terms, has_short = profile or question_profile(questions, question)
     small = terms <= BROADCAST_ROWS
@@ -150,22 +172,121 @@ def phrase_hits(
     if has_short:
         short = asked.where(F.size("_q") < 3)
         candidates = candidates.unionByName(_short_candidates(docs, doc_id, text, short, question_id, small))
-    candidates = stage(candidates, "candidates")
-    number = candidates.limit(BROADCAST_ROWS + 1).count()
-    texts = docs.select(doc_id, F.lower(text).alias("_text"))
+    candidates = candidates.join(_hint(asked.select(question_id, "_phrase"), small), question_id)
     if phrase is not None:
-        wordless = questions.where(F.size(words) == 0).select(question_id, needle.alias("_phrase"))
+        wordless = questions.where(F.size(words) == 0).select(question_id, needle.alias("_phrase")).where(F.trim("_phrase") != "")
         some = wordless.limit(BROADCAST_ROWS + 1).count()
         if some:
-            everywhere = texts.join(_hint(wordless, some <= BROADCAST_ROWS), F.contains("_text", "_phrase")).select(question_id, doc_id)
-    else:
-        some = 0
+            candidates = candidates.unionByName(_anchored(docs, doc_id, text, wordless, question_id, some <= BROADCAST_ROWS).select(*candidates.columns))
+    candidates = stage(candidates, "candidates")
+    number = candidates.limit(BROADCAST_ROWS + 1).count()
     if number == 0:
-        return everywhere if some else candidates
-    searched = candidates.join(_hint(asked.select(question_id, "_phrase"), small), question_id)
+        return candidates.drop("_phrase")
     few = number <= BROADCAST_ROWS // 10
-    found = texts.join(_hint(searched, few), doc_id).where(F.contains("_text", "_phrase")).select(question_id, doc_id)
-    return found.unionByName(everywhere) if some else found
+    texts = docs.select(doc_id, F.lower(text).alias("_text"))
+    return texts.join(_hint(candidates, few), doc_id).where(F.contains("_text", "_phrase")).select(question_id, doc_id)
+
+
+def _saturation(frequency: Column, length: Column, mean: Column) -> Column:
+    return frequency * F.lit(K1 + 1) / (frequency + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * length / mean))
+
+
+def _set_key(values: Column) -> Column:
+    """One text for equal sets of names."""
+    return F.array_join(F.array_sort(F.array_distinct(values)), "\u0001")
+
+
+class Ranking:
+    """What scoring a group of questions reads: the index, the weights of the questions' words, phrase hits.
+
+    ``scope`` names the documents' array of groups that may read them, ``groups`` the questions' array of groups of the
+    asker; without them there is one corpus for all. Columns ``_scope`` and ``_audience`` stand for equal sets of each.
+    """
+
+    def __init__(self, docs: DataFrame, questions: DataFrame, doc_id: str, question_id: str, text: Column, question: str, scope: str | None, groups: str | None) -> None:
+        self.doc_id, self.question_id = doc_id, question_id
+        scoped = docs.withColumn("_scope", _set_key(F.col(scope)) if scope else F.lit(""))
+        asked = questions.withColumn("_audience", _set_key(F.col(groups)) if groups else F.lit(""))
+        profile = question_profile(questions, question)
+        small = profile[0] <= BROADCAST_ROWS
+        self.index = matched_index(scoped, doc_id, text, asked, question_id, question, small, ["_scope"])
+        marks = self.index.where(F.col("term") == DOCUMENT_MARK)
+        scopes = stage(marks.groupBy("_scope").agg(F.count(F.lit(1)).alias("_documents"), F.sum("length").alias("_tokens")), "scopes")
+
+        def members(rows: DataFrame, key: str) -> DataFrame:
+            # Nobody may read what names no group; without scopes all have the same empty name.
+            named = rows.where(F.col(key) != "") if scope else rows
+            return named.select(key, F.explode(F.split(key, "\u0001")).alias("_group")).distinct()
+
+        audiences = asked.select("_audience").distinct()
+        visible = members(scopes, "_scope").join(members(audiences, "_audience"), "_group").select("_audience", "_scope").distinct()
+        self.visible = stage(visible, "visible")
+        corpus = self.visible.join(scopes, "_scope").groupBy("_audience").agg(
+            F.sum("_documents").alias("_total"), F.greatest(F.sum("_tokens") / F.sum("_documents"), F.lit(1.0)).alias("_mean"))
+        parts = scopes.select("_scope", F.ceil(F.col("_documents") / BLOCK).alias("_parts"))
+        block = F.pmod(F.xxhash64(doc_id), F.col("_parts")).alias("_block")
+        words = self.index.where(F.col("term") != DOCUMENT_MARK).join(broadcast_if_small(parts), "_scope")
+        self.postings = words.select(doc_id, "_scope", block, "term", "length", "frequency")
+        self.blocks = stage(
+            self.postings.groupBy("_scope", "_block", "term").agg(F.count(F.lit(1)).alias("_df"), F.max("frequency").alias("_most"), F.min("length").alias("_least")), "blocks")
+        found = self.blocks.groupBy("_scope", "term").agg(F.sum("_df").alias("_df")).join(broadcast_if_small(self.visible), "_scope")
+        frequencies = found.groupBy("_audience", "term").agg(F.sum("_df").alias("_df"))
+        terms = question_terms(asked, question_id, question, ["_audience"])
+        idf = F.log(F.lit(1.0) + (F.col("_total") - F.col("_df") + F.lit(0.5)) / (F.col("_df") + F.lit(0.5)))
+        weighted = terms.join(frequencies, ["_audience", "term"]).join(broadcast_if_small(corpus), "_audience")
+        weighted = weighted.select(question_id, "_audience", "term", (F.col("weight") * idf).alias("_w"), "_df", "_mean")
+        # One row per question, word and scope that the question may see: a join with it is all the authorisation there is.
+        self.asked = stage(weighted.join(broadcast_if_small(self.visible), "_audience").drop("_audience"), "asked")
+        self.small = self.asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        hits = phrase_hits(docs, doc_id, text, questions, question_id, question, index=self.index, profile=profile)
+        seen = asked.select(question_id, "_audience").join(broadcast_if_small(self.visible), "_audience").select(question_id, "_scope")
+        placed = hits.join(marks.select(doc_id, "_scope"), doc_id).join(seen, [question_id, "_scope"]).join(broadcast_if_small(parts), "_scope")
+        self.hits = stage(placed.select(question_id, doc_id, "_scope", block).distinct(), "hits")
+
+    def parts(self, asked: DataFrame, postings: DataFrame, on: Sequence[str]) -> DataFrame:
+        """(question, document, part of its score) of every posting that a question asks for."""
+        part = F.col("_w") * _saturation(F.col("frequency"), F.col("length"), F.col("_mean"))
+        return postings.join(asked, list(on)).select(self.question_id, self.doc_id, part.alias("_part"))
+
+    def summed(self, parts: DataFrame) -> DataFrame:
+        bonus = self.hits.select(self.question_id, self.doc_id, F.lit(PHRASE_BONUS).alias("_part"))
+        sums = parts.unionByName(bonus).groupBy(self.doc_id, self.question_id).agg(F.sum("_part").alias("_sum"))
+        return sums.where(F.col("_sum") > 0).select(self.question_id, self.doc_id, F.round("_sum", 4).alias("score"))
+
+    def all_pairs(self) -> DataFrame:
+        postings = self.postings.repartition(_tasks(self.postings), self.doc_id)
+        return self.summed(self.parts(_hint(self.asked, self.small), postings, ["_scope", "term"]))
+
+    def least_scores(self, k: int) -> DataFrame:
+        """(question, lower bound of its k-th score): parts of the words of the greatest weight, of ``SEED`` times k postings."""
+        once = self.asked.dropDuplicates([self.question_id, "term"])
+        before = Window.partitionBy(self.question_id).orderBy(F.desc("_w"), "term").rowsBetween(Window.unboundedPreceding, -1)
+        first = once.withColumn("_before", F.coalesce(F.sum("_df").over(before), F.lit(0))).where(F.col("_before") < SEED * k)
+        seeds = self.asked.join(first.select(self.question_id, "term"), [self.question_id, "term"], "left_semi")
+        some = self.parts(_hint(seeds, self.small), self.postings, ["_scope", "term"])
+        sums = some.groupBy(self.question_id, self.doc_id).agg(F.sum("_part").alias("_sum"))
+        order = Window.partitionBy(self.question_id).orderBy(F.desc("_sum"), self.doc_id)
+        return sums.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= k).groupBy(self.question_id).agg(
+            F.when(F.count(F.lit(1)) >= k, F.min("_sum")).otherwise(0.0).alias("_least_score"))
+
+    def open_blocks(self, k: int) -> DataFrame:
+        """(question, scope, block) that may hold one of the question's best k."""
+        most = F.sum(F.col("_w") * _saturation(F.col("_most"), F.col("_least"), F.col("_mean")))
+        bounds = self.blocks.join(_hint(self.asked, self.small), ["_scope", "term"]).groupBy(self.question_id, "_scope", "_block").agg(most.alias("_bound"))
+        least = stage(self.least_scores(k), "least-scores")
+        kept = bounds.join(broadcast_if_small(least), self.question_id, "left").where(F.col("_bound") + MARGIN >= F.coalesce("_least_score", F.lit(0.0)))
+        # A phrase's bonus is not in the bounds; its documents are few and scored anyway.
+        return kept.select(self.question_id, "_scope", "_block").unionByName(self.hits.select(self.question_id, "_scope", "_block")).distinct()
+
+    def best(self, k: int) -> DataFrame:
+        open_ = self.open_blocks(k).join(_hint(self.asked, self.small), [self.question_id, "_scope"])
+        return self.summed(self.parts(open_, self.postings, ["_scope", "_block", "term"]))
+
+
+def _in_groups(questions: DataFrame, question_id: str, question: str) -> list[DataFrame]:
+    """Questions with more terms than may be broadcast are worked off in groups, one text pass each."""
+    groups = question_profile(questions, question)[0] // BROADCAST_ROWS + 1
+    return [questions] if groups == 1 else [questions.where(F.pmod(F.xxhash64(question_id), F.lit(groups)) == i) for i in range(groups)]
 
 
 def scored_pairs(
@@ -175,45 +296,33 @@ def scored_pairs(
     question_id: str = "item_id",
     text: Column | None = None,
     question: str = "text",
+    scope: str | None = None,
+    groups: str | None = None,
 ) -> DataFrame:
-    """(question, document, score) for every document with a positive score, rounded to four digits.
-
-    Questions with more terms than may be broadcast are worked off in groups, one text pass each.
-    """
+    """(question, document, score) for every visible document with a positive score, rounded to four digits."""
     text = document_text() if text is None else text
-    profile = question_profile(questions, question)
-    groups = profile[0] // BROADCAST_ROWS + 1
-    if groups == 1:
-        return _scored_group(docs, questions, doc_id, question_id, text, question, profile)
-    parts = [questions.where(F.pmod(F.xxhash64(question_id), F.lit(groups)) == i) for i in range(groups)]
     return reduce(DataFrame.unionByName, [
-        _scored_group(docs, part, doc_id, question_id, text, question, question_profile(part, question)) for part in parts
+        Ranking(docs, part, doc_id, question_id, text, question, scope, groups).all_pairs() for part in _in_groups(questions, question_id, question)
     ])
 
 
-def _scored_group(docs: DataFrame, questions: DataFrame, doc_id: str, question_id: str, text: Column, question: str, profile: tuple[int, bool]) -> DataFrame:
-    terms = question_terms(questions, question_id, question)
-    small = profile[0] <= BROADCAST_ROWS
-    index = matched_index(docs, doc_id, text, questions, question_id, question, small)
-    mark = F.concat(F.lit(PHRASE_MARK), F.col(question_id).cast("string")).alias("term")
-    hits = phrase_hits(docs, doc_id, text, questions, question_id, question, index=index, profile=profile)
-
-    stats = index.where(F.col("term") == DOCUMENT_MARK).agg(
-        F.count(F.lit(1)).alias("documents"), F.greatest(F.avg("length"), F.lit(1.0)).alias("mean_length"))
-    total, mean = stats.select("documents").scalar(), stats.select("mean_length").scalar()
-    frequencies = index.groupBy("term").agg(F.count(F.lit(1)).alias("_df"))
-    idf = F.log(F.lit(1.0) + (total - F.col("_df") + F.lit(0.5)) / (F.col("_df") + F.lit(0.5)))
-    weighted = terms.join(frequencies, "term").select(question_id, "term", (F.col("weight") * idf).alias("_w"))
-    bonus = questions.select(question_id, mark, F.lit(PHRASE_BONUS).alias("_w"))
-
-    tf = F.col("frequency")
-    saturation = tf * F.lit(K1 + 1) / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * F.col("length") / mean))
-    part = F.when(F.col("term").startswith(PHRASE_MARK), F.col("_w")).otherwise(F.col("_w") * saturation)
-    marked = hits.select(doc_id, F.lit(0).alias("length"), mark, F.lit(1).cast("bigint").alias("frequency"))
-    postings = index.where(F.col("term") != DOCUMENT_MARK).unionByName(marked).repartition(_tasks(docs), doc_id)
-    parts = postings.join(_hint(weighted.unionByName(bonus), small), "term").select(doc_id, question_id, part.alias("_part"))
-    summed = parts.groupBy(doc_id, question_id).agg(F.sum("_part").alias("_sum"))
-    return summed.where(F.col("_sum") > 0).select(question_id, doc_id, F.round("_sum", 4).alias("score"))
+def best(
+    docs: DataFrame,
+    questions: DataFrame,
+    k: int,
+    doc_id: str = "doc_id",
+    question_id: str = "item_id",
+    text: Column | None = None,
+    question: str = "text",
+    scope: str | None = None,
+    groups: str | None = None,
+) -> DataFrame:
+    """``top_k`` of ``scored_pairs``, the same rows, without scoring blocks of documents that cannot be among them."""
+    text = document_text() if text is None else text
+    k = max(1, min(k, 20))
+    return top_k(reduce(DataFrame.unionByName, [
+        Ranking(docs, part, doc_id, question_id, text, question, scope, groups).best(k) for part in _in_groups(questions, question_id, question)
+    ]), k, question_id, doc_id)
 
 
 def top_k(pairs: DataFrame, k: int, question_id: str = "item_id", doc_id: str = "doc_id") -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,21 +35,41 @@ def new_stage_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once and return the written table."""
+def stage(df: DataFrame, label: str, by: Sequence[str] = ()) -> DataFrame:
+    """Write ``df`` once, in a folder per value of the columns ``by``, and return the written table."""
     spark = df.sparkSession
     path = new_stage_path(spark, label)
-    df.write.mode("errorifexists").parquet(path)
+    df.write.mode("errorifexists").partitionBy(*by).parquet(path)
     _staged.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    """The store of a path, as Spark's own readers see it."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """Folders right below a folder; none if it does not exist."""
+    store, target = _file_system(spark, path)
+    return [f.getPath().toString() for f in store.listStatus(target) if f.isDirectory()] if store.exists(target) else []
+
+
+def is_committed(spark: SparkSession, path: str) -> bool:
+    """Whether a writing job has finished the folder."""
+    store, target = _file_system(spark, f"{path}/_SUCCESS")
+    return bool(store.exists(target))
+
+
+def delete_folder(spark: SparkSession, path: str) -> bool:
+    store, target = _file_system(spark, path)
+    return bool(store.delete(target, True))
+
+
 def release_staged(spark: SparkSession) -> int:
     """Delete the tables staged by this driver, once their readers are done."""
-    jvm = spark._jvm
-    hadoop = spark._jsc.hadoopConfiguration()
     released = 0
     while _staged:
-        target = jvm.org.apache.hadoop.fs.Path(_staged.pop())
-        released += bool(target.getFileSystem(hadoop).delete(target, True))
+        released += delete_folder(spark, _staged.pop())
     return released

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from deskweave.sources.tables import VIEWS, predictions_view
 
 SQL: dict[str, str] = {}
@@ -94,7 +96,6 @@ SQL["last_prediction_wins"] = _ctes("v_truth", "v_pred") + "SELECT * FROM v_pred
 # --- Text and retrieval -----------------------------------------------------------------------
 
 from deskweave.functions import text as X  # noqa: E402
-from deskweave.functions.html import MARKUP_PATTERN, NATIVE_ENTITIES  # noqa: E402
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in X.STOP_WORDS) + "]"
 
@@ -147,18 +148,29 @@ SQL["literal_passages"] = f"""SELECT item_id, doc_id FROM (SELECT item_id, array
   JOIN documents d ON phrase <> '' AND contains(lower(d.text), phrase)"""
 
 
+_NAMES = "MAP {" + ", ".join("'{}': '{}'".format(name, value.replace("'", "''")) for name, value in html5.items()) + "}"
+
+
 def _entities(text: str) -> str:
-    for pattern, plain in NATIVE_ENTITIES:
-        text = f"regexp_replace({text}, '{pattern}', '{plain.replace(chr(39), chr(39) * 2)}', 'g')"
-    return text
+    """Character references by number, hexadecimal number or whole name."""
+    name = "substr(r, 2)"
+    number = "CASE WHEN r[3] IN ('x', 'X') THEN CAST(concat('0x', rtrim(substr(r, 4), ';')) AS BIGINT) ELSE CAST(rtrim(substr(r, 3), ';') AS BIGINT) END"
+    each = f"CASE WHEN r LIKE '&#%' THEN chr(CAST({number} AS INTEGER)) WHEN r LIKE '&_%' THEN coalesce({_NAMES}[{name}], r) ELSE r END"
+    pattern = "&#[0-9]+;?|&#[xX][0-9a-fA-F]+;?|&[a-zA-Z][a-zA-Z0-9]*;?|&|[^&]+"
+    return f"CASE WHEN contains({text}, '&') THEN array_to_string(list_transform(regexp_extract_all({text}, '{pattern}'), lambda r: {each}), '') ELSE {text} END"
+
+
+# A tag ends at the first '>' outside quotes.
+_TAG_REST = """(?:[^>"'']|"[^"]*"|''[^'']*'')*"""
+_MARKUP = f"(?is)<script\\b{_TAG_REST}>.*?</script\\s*>|<style\\b{_TAG_REST}>.*?</style\\s*>|<!--.*?-->|<[a-z/!?]{_TAG_REST}>|[^<]+|<"
 
 
 def _html(text: str) -> str:
     piece = (
-        "CASE WHEN regexp_matches(p, '(?is)^<(script|style)') THEN concat(' ', regexp_replace(p, '(?is)^<(?:script|style)\\b[^>]*>|</(?:script|style)\\s*>$', '', 'g'), ' ') "
+        f"CASE WHEN regexp_matches(p, '(?is)^<(script|style)') THEN concat(' ', regexp_replace(p, '(?is)^<(?:script|style)\\b{_TAG_REST}>|</(?:script|style)\\s*>$', '', 'g'), ' ') "
         f"WHEN p LIKE '<_%' THEN ' ' ELSE {_entities('p')} END"
     )
-    return f"trim(regexp_replace(array_to_string(list_transform(regexp_extract_all({_entities(text)}, '{MARKUP_PATTERN}'), lambda p: {piece}), ''), '\\s+', ' ', 'g'))"
+    return f"trim(regexp_replace(array_to_string(list_transform(regexp_extract_all({_entities(text)}, '{_MARKUP}'), lambda p: {piece}), ''), '\\s+', ' ', 'g'))"
 
 
 SQL["html_text"] = f"SELECT page_id, {_html('html')} AS content FROM pages"
@@ -349,18 +361,27 @@ SQL["unapproved_grants"] = _ctes("v_memberships") + "SELECT safe_id, principal F
 
 _PUBLISHED = "status = 'published' AND effective_from <= TIMESTAMP '2024-01-31 00:00:00'"
 SQL["published_documents"] = _ctes("v_knowledge") + f"SELECT doc_id, status, scopes FROM v_knowledge WHERE {_PUBLISHED}"
-_KB_RANKED = _RANKED.replace(_DOC, "concat(title, ' ', content)").replace(" FROM documents)", " FROM kb)")
-_KB_RANKED = _KB_RANKED.replace("FROM pairs WHERE score > 0", """FROM (SELECT p.* FROM pairs p JOIN kb USING (doc_id)
-  WHERE list_contains(string_split(scopes, ','), 'all-authenticated') OR list_contains(string_split(scopes, ','), CASE WHEN item_id % 2 = 0 THEN 'en' ELSE 'src2' END)) v WHERE score > 0""")
-SQL["authorised_retrieval"] = _ctes("v_knowledge").rstrip() + f", kb AS (SELECT * FROM v_knowledge WHERE {_PUBLISHED}), {_KB_RANKED} SELECT item_id, doc_id, score, rank FROM ranked WHERE rank <= 5"
-_VERBATIM = "SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(b.text))"
+# Written from the rule: who asks sees only the documents of their groups, and all statistics are taken over these.
+SQL["authorised_retrieval"] = _ctes("v_knowledge").rstrip() + f""",
+docs AS (SELECT doc_id, lower(concat(title, ' ', content)) AS body, {_tokens("concat(title, ' ', content)")} AS toks, string_split(scopes, ',') AS scope FROM v_knowledge WHERE {_PUBLISHED}),
+askers AS (SELECT item_id, text, ['all-authenticated', CASE WHEN item_id % 2 = 0 THEN 'en' ELSE 'src2' END] AS groups FROM benchmark),
+seen AS (SELECT item_id, doc_id, len(toks) AS length_ FROM askers JOIN docs ON list_has_any(groups, scope)),
+stats AS (SELECT item_id, count(*) AS n, greatest(avg(length_), 1.0) AS mean FROM seen GROUP BY item_id),
+tf AS (SELECT doc_id, term, count(*) AS f FROM (SELECT doc_id, unnest(toks) AS term FROM docs) x GROUP BY ALL),
+q AS (SELECT item_id, term, count(*) AS w FROM (SELECT item_id, unnest({_tokens('text')}) AS term FROM askers) x GROUP BY ALL),
+met AS (SELECT item_id, doc_id, term, w, f, length_, count(*) OVER (PARTITION BY item_id, term) AS df FROM q JOIN tf USING (term) JOIN seen USING (item_id, doc_id)),
+parts AS (SELECT item_id, doc_id, w * ln(1.0 + (n - df + 0.5) / (df + 0.5)) * (f * 2.2 / (f + 1.2 * (0.25 + 0.75 * length_ / mean))) AS part FROM met JOIN stats USING (item_id)
+  UNION ALL SELECT item_id, doc_id, 2.0 FROM (SELECT item_id, array_to_string({_tokens('text')}, ' ') AS phrase FROM askers) p JOIN seen USING (item_id) JOIN docs USING (doc_id) WHERE phrase <> '' AND contains(body, phrase)),
+pairs AS (SELECT item_id, doc_id, round(sum(part), 4) AS score FROM parts GROUP BY ALL)
+SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM pairs WHERE score > 0 QUALIFY rank <= 5"""
+_VERBATIM = "SELECT item_id, doc_id FROM benchmark b JOIN documents d ON trim(b.text) <> '' AND contains(lower(d.text), lower(b.text))"
 SQL["verbatim_passages"] = _VERBATIM
 SQL["citation_quality"] = f"""WITH {_RANKED}, returned AS (SELECT item_id, doc_id FROM ranked WHERE rank <= 5), expected AS ({_VERBATIM})
 SELECT item_id, returned, expected, hits, round(CASE WHEN returned > 0 THEN hits / returned END, 6) AS precision, round(CASE WHEN expected > 0 THEN hits / expected END, 6) AS recall
 FROM (SELECT coalesce(r.item_id, e.item_id) AS item_id, count(r.doc_id) AS returned, count(e.doc_id) AS expected, count(*) FILTER (r.doc_id IS NOT NULL AND e.doc_id IS NOT NULL) AS hits
   FROM returned r FULL JOIN expected e ON r.item_id = e.item_id AND r.doc_id = e.doc_id GROUP BY 1) c"""
 SQL["recurring_incidents"] = _ctes("v_incidents") + """SELECT c.service_id, CAST(c.opened_at AS string) AS opened_at, c.in_window, n.n_name AS problem_id, n.n_name IS NULL AS create_new_problem
-  FROM (SELECT DISTINCT service_id, opened_at, count(*) OVER (PARTITION BY service_id, symptom ORDER BY opened_at RANGE BETWEEN INTERVAL 3 DAY PRECEDING AND CURRENT ROW) AS in_window FROM v_incidents) c
+  FROM (SELECT DISTINCT service_id, opened_at, count(*) OVER (PARTITION BY service_id, symptom ORDER BY opened_at RANGE BETWEEN INTERVAL 30 DAY PRECEDING AND CURRENT ROW) AS in_window FROM v_incidents) c
   LEFT JOIN nation n ON c.service_id = n.n_nationkey * 2 WHERE c.in_window >= 3"""
 SQL["request_lifecycle"] = _ctes("v_requests") + """SELECT request_id, seq, state, CAST(next_at AS string) AS next_at, date_sub('microsecond', "at", next_at) // 1000000 AS seconds_in_state
   FROM (SELECT *, lead("at") OVER (PARTITION BY request_id ORDER BY "at", seq) AS next_at FROM v_requests) t"""
@@ -381,31 +402,25 @@ SQL["incident_links"] = _ctes("v_incidents") + """SELECT number, q.n_name AS req
 
 # --- Job graphs -------------------------------------------------------------------------------
 
-_PARENTS = {1: (), 2: (1,), 3: (1,), 4: (2, 3), 5: (4,), 6: (5,), 7: (5,)}
-
-
-def _best(ps: tuple, of: str) -> str:
-    text = f"p{ps[0]}.{of}"
-    return f"CASE WHEN p{ps[1]}.elapsed > p{ps[0]}.elapsed THEN p{ps[1]}.{of} ELSE {text} END" if len(ps) > 1 else text
-
-
-def _job_cte(job: int) -> str:
-    ps = _PARENTS[job]
-    joins = " ".join(f"JOIN j{p} p{p} ON r.region_run_id = p{p}.region_run_id" for p in ps)
-    blocked = "concat_ws(','" + "".join(f", CASE WHEN p{p}.status <> 'SUCCESS' THEN '{p}' END" for p in ps) + ", NULL)" if ps else "''"
-    eligible = f"greatest(0, {', '.join(f'p{p}.end_' for p in ps)})" if ps else "0"
-    elapsed = f"greatest({', '.join(f'p{p}.elapsed' for p in ps)}, 0)" if ps else "0"
-    path = f"concat({_best(ps, 'path')}, '>{job}')" if ps else f"'{job}'"
-    return f"""j{job} AS (SELECT *, CASE WHEN blocked_by <> '' THEN 'BLOCKED' ELSE own_status END AS status,
-      CASE WHEN blocked_by = '' THEN e END AS eligible, CASE WHEN blocked_by = '' THEN e + queue_wait_seconds + duration_seconds END AS end_,
-      CASE WHEN blocked_by = '' THEN l + queue_wait_seconds + duration_seconds ELSE 0 END AS elapsed, CASE WHEN blocked_by = '' THEN w ELSE '{job}' END AS path
-      FROM (SELECT r.*, {blocked} AS blocked_by, {eligible} AS e, {elapsed} AS l, {path} AS w FROM v_runs r {joins} WHERE r.job_no = {job}) x)"""
-
-
-_COMMANDS = _ctes("v_runs", "v_edges").rstrip() + ",\n" + ",\n".join(_job_cte(j) for j in _PARENTS) + ",\ncmds AS (" + " UNION ALL ".join(
-    f"SELECT region_run_id, job_no, region, scheduled_start, dataset_split, status, blocked_by, eligible, eligible + queue_wait_seconds AS start_, end_, "
-    f"CASE WHEN eligible IS NOT NULL THEN duration_seconds END AS dur, CASE WHEN eligible IS NOT NULL THEN retry_count ELSE 0 END AS retry, elapsed, path FROM j{j}" for j in _PARENTS
-) + ")\n"
+# Written from the rules, not along the operators' frontiers: a run is blocked where a failed one can be reached
+# backwards, and an end is the longest of all walks from a job without predecessors.
+_COMMANDS = _ctes("v_runs", "v_edges").replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + """,
+arcs AS (SELECT r.region_run_id, e.job_no AS child, e.parent_no AS parent FROM v_runs r JOIN v_edges e ON r.job_no = e.job_no
+  JOIN v_runs p ON p.region_run_id = r.region_run_id AND p.job_no = e.parent_no),
+hit AS (SELECT region_run_id, job_no FROM v_runs WHERE own_status <> 'SUCCESS'
+  UNION SELECT a.region_run_id, a.child FROM hit h JOIN arcs a ON a.region_run_id = h.region_run_id AND a.parent = h.job_no),
+culprits AS (SELECT a.region_run_id, a.child AS job_no, string_agg(CAST(a.parent AS string), ',' ORDER BY a.parent) AS blocked_by
+  FROM arcs a JOIN hit h ON a.region_run_id = h.region_run_id AND a.parent = h.job_no GROUP BY a.region_run_id, a.child),
+ran AS (SELECT region_run_id, job_no, queue_wait_seconds + duration_seconds AS work FROM v_runs r ANTI JOIN culprits c ON r.region_run_id = c.region_run_id AND r.job_no = c.job_no),
+walks AS (SELECT r.region_run_id, r.job_no, r.work AS seconds, [r.job_no] AS back FROM ran r ANTI JOIN arcs a ON r.region_run_id = a.region_run_id AND r.job_no = a.child
+  UNION ALL SELECT w.region_run_id, a.child, w.seconds + r.work, list_prepend(a.child, w.back) FROM walks w JOIN arcs a ON a.region_run_id = w.region_run_id AND a.parent = w.job_no
+  JOIN ran r ON r.region_run_id = a.region_run_id AND r.job_no = a.child),
+longest AS (SELECT region_run_id, job_no, max(seconds) AS end_, first(back ORDER BY seconds DESC, back) AS back FROM walks GROUP BY region_run_id, job_no),
+cmds AS (SELECT r.region_run_id, r.job_no, region, scheduled_start, dataset_split, CASE WHEN c.job_no IS NOT NULL THEN 'BLOCKED' ELSE own_status END AS status, coalesce(c.blocked_by, '') AS blocked_by,
+  end_ - queue_wait_seconds - duration_seconds AS eligible, end_ - duration_seconds AS start_, end_, CASE WHEN c.job_no IS NULL THEN duration_seconds END AS dur,
+  CASE WHEN c.job_no IS NULL THEN retry_count ELSE 0 END AS retry, coalesce(end_, 0) AS elapsed, coalesce(array_to_string(list_reverse(back), '>'), CAST(r.job_no AS string)) AS path
+  FROM v_runs r LEFT JOIN culprits c ON r.region_run_id = c.region_run_id AND r.job_no = c.job_no LEFT JOIN longest l ON r.region_run_id = l.region_run_id AND r.job_no = l.job_no)
+"""
 _BOXES = _COMMANDS.rstrip() + """,
 boxes0 AS (SELECT region_run_id, min(region) AS region, min(scheduled_start) AS scheduled_start, min(dataset_split) AS dataset_split,
   CASE WHEN count(*) FILTER (job_no IN (6, 7) AND status = 'SUCCESS') = 2 THEN 'SUCCESS' ELSE 'FAILED' END AS status,
@@ -415,19 +430,28 @@ ends AS (SELECT c.region_run_id, c.path FROM cmds c JOIN boxes0 b ON c.region_ru
   WHERE CASE WHEN b.status = 'SUCCESS' THEN c.job_no IN (6, 7) ELSE c.status = 'FAILED' END QUALIFY row_number() OVER (PARTITION BY c.region_run_id ORDER BY c.elapsed DESC, c.job_no) = 1),
 boxes AS (SELECT b.*, coalesce(delivery <= 6000, false) AS met, e.path FROM boxes0 b LEFT JOIN ends e ON b.region_run_id = e.region_run_id)
 """
-_STAGES = (("INIT", ""), ("EXTRACT_TRANSACTIONS", "INIT"), ("EXTRACT_REFERENCE", "INIT"), ("EXTRACT_CUSTOMERS", "INIT"), ("VALIDATE_TRANSACTIONS", "EXTRACT_TRANSACTIONS"),
-           ("ENRICH_DATA", "VALIDATE_TRANSACTIONS,EXTRACT_REFERENCE,EXTRACT_CUSTOMERS"), ("BUILD_REPORT", "ENRICH_DATA"), ("PUBLISH_REPORT", "BUILD_REPORT"),
-           ("ARCHIVE", "PUBLISH_REPORT"), ("SEND_STATUS", "PUBLISH_REPORT"))
-_MINUTES = (4, 36, 12, 20, 16, 25, 32, 8, 10, 3)
-_STAGE_ROWS = ", ".join(f"('{n}', '{d}', {m}, {str(m in (36, 20, 16, 25, 32, 10)).lower()})" for (n, d), m in zip(_STAGES, _MINUTES))
+# Name, predecessors, base minutes and volume sensitivity of the jobs of the regional report box.
+_REPORT_JOBS = """
+  ('INIT', '', 4, false),
+  ('EXTRACT_TRANSACTIONS', 'INIT', 36, true),
+  ('EXTRACT_REFERENCE', 'INIT', 12, false),
+  ('EXTRACT_CUSTOMERS', 'INIT', 20, true),
+  ('VALIDATE_TRANSACTIONS', 'EXTRACT_TRANSACTIONS', 16, true),
+  ('ENRICH_DATA', 'VALIDATE_TRANSACTIONS,EXTRACT_REFERENCE,EXTRACT_CUSTOMERS', 25, true),
+  ('BUILD_REPORT', 'ENRICH_DATA', 32, true),
+  ('PUBLISH_REPORT', 'BUILD_REPORT', 8, false),
+  ('ARCHIVE', 'PUBLISH_REPORT', 10, true),
+  ('SEND_STATUS', 'PUBLISH_REPORT', 3, false)"""
 SQL["job_catalogue"] = f"""SELECT concat('CMD_', s_suppkey, '_', name) AS job_name, 'CMD' AS job_type, concat('BOX_SOD_', s_suppkey, '_REPORTS') AS box_name, CAST(s_suppkey AS string) AS region,
   array_to_string(list_transform(list_filter(string_split(needs, ','), lambda n: n <> ''), lambda n: concat('CMD_', s_suppkey, '_', n)), ',') AS dependencies, minutes AS base_duration_minutes,
   sensitive AS volume_sensitive, name = 'PUBLISH_REPORT' AS delivery_milestone, name IN ('ARCHIVE', 'SEND_STATUS') AS terminal_for_box
-  FROM supplier CROSS JOIN (VALUES {_STAGE_ROWS}) t(name, needs, minutes, sensitive)
+  FROM supplier CROSS JOIN (VALUES {_REPORT_JOBS}) t(name, needs, minutes, sensitive)
   UNION ALL SELECT concat('BOX_SOD_', s_suppkey, '_REPORTS'), 'BOX', NULL, CAST(s_suppkey AS string), '', NULL, NULL, NULL, NULL FROM supplier"""
 SQL["referential_integrity"] = _ctes("v_assets") + """SELECT child, parent FROM (SELECT DISTINCT l_suppkey AS child, l_partkey % 100 + 1 AS parent FROM lineitem) e
   WHERE child NOT IN (SELECT asset_id FROM v_assets) OR parent NOT IN (SELECT asset_id FROM v_assets)"""
-SQL["topo_levels"] = _ctes("v_runs") + """SELECT concat(CAST(region_run_id AS string), ':', CAST(job_no AS string)) AS node, CASE job_no WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 3 THEN 1 WHEN 4 THEN 2 WHEN 5 THEN 3 ELSE 4 END AS level FROM v_runs"""
+SQL["topo_levels"] = _COMMANDS.rstrip() + """,
+steps AS (SELECT job_no, 0 AS level FROM v_edges WHERE parent_no = 0 UNION SELECT e.job_no, s.level + 1 FROM steps s JOIN v_edges e ON e.parent_no = s.job_no)
+SELECT concat(CAST(region_run_id AS string), ':', CAST(r.job_no AS string)) AS node, l.level FROM v_runs r JOIN (SELECT job_no, max(level) AS level FROM steps GROUP BY job_no) l ON r.job_no = l.job_no"""
 SQL["run_timeline"] = _COMMANDS + "SELECT region_run_id, job_no, status, blocked_by, eligible AS eligible_seconds, start_ AS start_seconds, end_ AS end_seconds, dur AS duration_seconds, elapsed AS elapsed_seconds, path FROM cmds"
 SQL["blocked_jobs"] = _COMMANDS + "SELECT region_run_id, job_no, blocked_by FROM cmds WHERE status = 'BLOCKED'"
 SQL["predecessor_outcomes"] = _COMMANDS + """SELECT c.job_no, e.parent_no, c.status, p.status AS parent_status, count(*) AS runs FROM cmds c JOIN v_edges e ON c.job_no = e.job_no
@@ -458,31 +482,26 @@ rest AS (SELECT s.region, s.job_no, s.spent AS elapsed_seconds, coalesce(quantil
 SQL["remaining_time"] = _SNAP + "SELECT * FROM rest"
 
 
-def _eta_cte(job: int) -> str:
-    ps = _PARENTS[job]
-    joins = " ".join(f"JOIN t{p} p{p} ON g.region = p{p}.region" for p in ps)
-    halted = " OR ".join(["coalesce(s.status IN ('FAILED', 'BLOCKED'), false)"] + [f"p{p}.halted" for p in ps])
-    start = {q: f"greatest(4000, {', '.join(f'p{p}.{q}' for p in ps)})" if ps else "4000" for q in ("a", "b")}
-    ends = ", ".join(
-        f"CASE WHEN NOT ({halted}) THEN CASE s.status WHEN 'SUCCESS' THEN s.end_ WHEN 'RUNNING' THEN 4000 + r.remaining_{p} ELSE {start[q]} + q.{p} END END AS {q}"
-        for q, p in (("a", "p50"), ("b", "p90"))
-    )
-    return f"""t{job} AS (SELECT g.region, s.status, ({halted}) AS halted, {ends} FROM (SELECT DISTINCT region FROM q) g {joins}
-      LEFT JOIN snap s ON g.region = s.region AND s.job_no = {job} LEFT JOIN rest r ON g.region = r.region AND r.job_no = {job} LEFT JOIN q ON g.region = q.region AND q.job_no = {job})"""
-
-
-_ANY = " OR ".join("coalesce(t{0}.status = '{{0}}', false)".format(j) for j in _PARENTS)
-_FIRST = "CASE " + " ".join("WHEN t{0}.status = '{{0}}' THEN '{0}'".format(j) for j in _PARENTS) + " END"
-SQL["live_eta"] = _SNAP.rstrip() + ",\n" + ",\n".join(_eta_cte(j) for j in _PARENTS) + f"""
-SELECT *, CASE WHEN delivery_p50_seconds IS NULL OR delivery_p50_seconds > 6000 THEN 'breach' WHEN delivery_p90_seconds > 6000 THEN 'at_risk' ELSE 'on_track' END AS sla_risk FROM (
-SELECT t1.region, CASE WHEN coalesce(t6.status = 'SUCCESS' AND t7.status = 'SUCCESS', false) THEN 'complete' WHEN {_ANY.format('FAILED')} THEN 'failed' WHEN {_ANY.format('BLOCKED')} THEN 'blocked'
-    WHEN {_ANY.format('RUNNING')} THEN 'running' WHEN {_ANY.format('SUCCESS')} THEN 'waiting' ELSE 'not_started' END AS status,
-  CASE WHEN NOT coalesce(t6.status = 'SUCCESS' AND t7.status = 'SUCCESS', false) THEN coalesce({_FIRST.format('FAILED')},
-    (SELECT CAST(job AS string) FROM (VALUES {', '.join(f"({j}, t{j}.status, t{j}.a)" for j in _PARENTS)}) w(job, st, a) WHERE st = 'RUNNING' ORDER BY a DESC, job LIMIT 1),
-    {_FIRST.format('WAITING')}) END AS blocking_job,
-  t5.a AS delivery_p50_seconds, t5.b AS delivery_p90_seconds, CASE WHEN t6.a IS NOT NULL AND t7.a IS NOT NULL THEN greatest(t6.a, t7.a) END AS box_p50_seconds,
-  CASE WHEN t6.b IS NOT NULL AND t7.b IS NOT NULL THEN greatest(t6.b, t7.b) END AS box_p90_seconds
-FROM t1 {' '.join(f'JOIN t{j} ON t1.region = t{j}.region' for j in list(_PARENTS)[1:])}) z"""
+SQL["live_eta"] = _SNAP.rstrip() + """,
+states AS (SELECT q.region, q.job_no, s.status, q.p50, q.p90, CASE s.status WHEN 'SUCCESS' THEN s.end_ WHEN 'RUNNING' THEN 4000 + r.remaining_p50 END AS a,
+  CASE s.status WHEN 'SUCCESS' THEN s.end_ WHEN 'RUNNING' THEN 4000 + r.remaining_p90 END AS b
+  FROM q LEFT JOIN snap s ON q.region = s.region AND q.job_no = s.job_no LEFT JOIN rest r ON q.region = r.region AND q.job_no = r.job_no),
+lines AS (SELECT c.region, c.job_no AS child, p.job_no AS parent FROM states c JOIN v_edges e ON c.job_no = e.job_no JOIN states p ON c.region = p.region AND p.job_no = e.parent_no),
+halted AS (SELECT region, job_no FROM states WHERE status IN ('FAILED', 'BLOCKED') UNION SELECT l.region, l.child FROM halted h JOIN lines l ON l.region = h.region AND l.parent = h.job_no),
+alive AS (SELECT s.* FROM states s ANTI JOIN halted h ON s.region = h.region AND s.job_no = h.job_no),
+ways AS (SELECT region, job_no, CAST(coalesce(a, 4000 + p50) AS DOUBLE) AS a, CAST(coalesce(b, 4000 + p90) AS DOUBLE) AS b FROM alive
+  UNION SELECT w.region, l.child, w.a + s.p50, w.b + s.p90 FROM ways w JOIN lines l ON l.region = w.region AND l.parent = w.job_no
+  JOIN alive s ON s.region = l.region AND s.job_no = l.child AND s.a IS NULL),
+etas AS (SELECT s.region, s.job_no, any_value(s.status) AS status, max(w.a) AS a, max(w.b) AS b FROM states s LEFT JOIN ways w ON s.region = w.region AND s.job_no = w.job_no GROUP BY s.region, s.job_no),
+found AS (SELECT region, count(*) FILTER (job_no IN (6, 7) AND status = 'SUCCESS') = 2 AS complete,
+  CASE WHEN count(*) FILTER (job_no IN (6, 7) AND status = 'SUCCESS') = 2 THEN 'complete' WHEN count(*) FILTER (status = 'FAILED') > 0 THEN 'failed' WHEN count(*) FILTER (status = 'BLOCKED') > 0 THEN 'blocked'
+    WHEN count(*) FILTER (status = 'RUNNING') > 0 THEN 'running' WHEN count(*) FILTER (status = 'SUCCESS') > 0 THEN 'waiting' ELSE 'not_started' END AS status,
+  coalesce(min(job_no) FILTER (status = 'FAILED'), first(job_no ORDER BY a DESC, job_no) FILTER (status = 'RUNNING' AND a IS NOT NULL), min(job_no) FILTER (status = 'WAITING')) AS blocking,
+  max(a) FILTER (job_no = 5) AS delivery_p50_seconds, max(b) FILTER (job_no = 5) AS delivery_p90_seconds,
+  CASE WHEN count(a) FILTER (job_no IN (6, 7)) = 2 THEN max(a) FILTER (job_no IN (6, 7)) END AS box_p50_seconds,
+  CASE WHEN count(b) FILTER (job_no IN (6, 7)) = 2 THEN max(b) FILTER (job_no IN (6, 7)) END AS box_p90_seconds FROM etas GROUP BY region)
+SELECT region, status, CASE WHEN NOT complete THEN CAST(blocking AS string) END AS blocking_job, delivery_p50_seconds, delivery_p90_seconds, box_p50_seconds, box_p90_seconds,
+  CASE WHEN delivery_p50_seconds IS NULL OR delivery_p50_seconds > 6000 THEN 'breach' WHEN delivery_p90_seconds > 6000 THEN 'at_risk' ELSE 'on_track' END AS sla_risk FROM found"""
 SQL["business_days"] = """SELECT CAST(CAST(d AS DATE) AS string) AS day, dayname(d) AS weekday, dayofweek(d) = 1 AS is_monday, dayofweek(d) = 5 AS is_friday
   FROM (SELECT unnest(generate_series(CAST(min(o_orderdate) AS DATE), CAST(max(o_orderdate) AS DATE), INTERVAL 1 DAY)) AS d FROM orders) t WHERE dayofweek(d) BETWEEN 1 AND 5"""
 SQL["holiday_runs"] = """WITH days AS (SELECT o_orderpriority AS region, CAST(o_orderdate AS DATE) AS d, o_totalprice FROM orders WHERE dayofweek(o_orderdate) BETWEEN 1 AND 5),
@@ -505,10 +524,12 @@ SQL["stream_first_events"] = "SELECT DISTINCT concat(CAST(user_id AS string), ':
 SQL["stream_finding_sources"] = SQL["finding_sources"]
 SQL["stream_stale_observations"] = SQL["newest_evidence"].replace("version AS evidence_version, coalesce(at_ > opened_at, false) AS newer_evidence", "CASE WHEN at_ > opened_at THEN 'verify' ELSE 'open' END AS side")
 SQL["stream_recurring_windows"] = """SELECT CAST(w AS string) AS window_start, service_id, count(*) AS incidents
-  FROM (SELECT user_id % 10 AS service_id, date_trunc('day', ts) - INTERVAL 1 DAY * unnest([0, 1, 2]) AS w FROM events WHERE event_type = 'error') t GROUP BY ALL HAVING count(*) >= 3"""
+  FROM (SELECT user_id % 10 AS service_id, date_trunc('day', ts) - INTERVAL 1 DAY * unnest(range(30)) AS w FROM events WHERE event_type = 'error') t GROUP BY ALL HAVING count(*) >= 3"""
 SQL["stream_latest_state"] = """SELECT user_id, CAST(ts AS string) AS ts, event_type, event_id FROM events
   QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"""
 SQL["stream_quarantine"] = SQL["quarantine_split"]
+SQL["stream_restart"] = SQL["stream_latest_state"]
+SQL["resumable_store"] = "SELECT o_orderkey AS number, CASE WHEN o_orderkey % 3 = 0 THEN 'changed' ELSE o_orderstatus END AS state FROM orders"
 
 # --- Value forms ------------------------------------------------------------------------------
 
@@ -519,3 +540,38 @@ SQL["active_catalogue"] = "SELECT p_partkey AS platform_id, p_name AS display_na
 SQL["actionable_findings"] = _ctes("v_portfolio") + f"SELECT state, priority, count(*) AS findings FROM v_portfolio WHERE {_ACTIVE} GROUP BY ALL"
 SQL["prompt_rows"] = "SELECT doc_id, CAST(to_json({'doc_id': doc_id, 'lang': lang, 'source': source}) AS string) AS prompt FROM documents"
 SQL["compact_examples"] = "SELECT doc_id, substring(text, 1, 500) AS text FROM documents"
+
+# --- Files, and forms that other queries do not reach ------------------------------------------
+
+SQL["record_files"] = "SELECT c_custkey, c_name, c_mktsegment FROM customer"
+SQL["table_group"] = """SELECT 'nations' AS kind, CAST(n_nationkey AS BIGINT) AS id, n_name AS value FROM nation UNION ALL SELECT 'regions', r_regionkey, r_name FROM region
+  UNION ALL SELECT 'suppliers', s_suppkey, CAST(s_nationkey AS string) FROM supplier"""
+SQL["csv_snapshot"] = "SELECT CAST(p_partkey AS string) AS p_partkey, p_name, p_brand, CAST(p_size AS string) AS p_size FROM part"
+SQL["reference_examples"] = """SELECT concat('team-', s_nationkey) AS example_group, CAST(s_suppkey AS string) AS number,
+  CASE WHEN s_suppkey % 3 = 0 THEN 'own' ELSE concat('team-', s_nationkey) END AS assignment_group FROM supplier"""
+SQL["align_predictions"] = _ctes("v_truth") + """SELECT batch, CAST(number AS string) AS number, CAST(number % 2 AS string) AS quality
+  FROM (SELECT number, number // 5 AS batch, row_number() OVER (PARTITION BY number // 5 ORDER BY number) AS place, count(*) OVER (PARTITION BY number // 5) AS n FROM v_truth) t
+  WHERE batch % 4 <> 0 OR (place < n AND number % 3 <> 0)"""
+SQL["present_column_wins"] = f"""WITH v_truth AS ({VIEWS['v_truth']}), v_pred AS ({predictions_view()}), answer AS ({_RAW_ANSWER})
+SELECT number, seq, CASE WHEN number % 2 = 0 THEN 'given' END AS quality, toxic FROM answer"""
+SQL["second_source"] = f"""WITH {_RANKED}, every AS (
+  SELECT item_id, doc_id, 0 AS source_priority, score FROM ranked WHERE rank <= 3
+  UNION ALL SELECT b.item_id, p.page_id, 1, NULL FROM pages p JOIN benchmark b ON p.page_id % 40 = b.item_id)
+SELECT item_id, doc_id, source_priority, concat('S', row_number() OVER (PARTITION BY item_id ORDER BY source_priority, score DESC NULLS LAST, doc_id)) AS citation FROM every"""
+SQL["current_approvers"] = """SELECT l_orderkey, CASE WHEN n IS NOT NULL THEN concat('role-', n) END AS approver
+  FROM (SELECT l_orderkey, min(l_linenumber) FILTER (l_returnflag <> 'R') AS n FROM lineitem GROUP BY l_orderkey) t"""
+SQL["fact_coverage"] = """SELECT doc_id, count(*) AS facts, count(*) FILTER (found) AS found, round(avg(CASE WHEN found THEN 1.0 ELSE 0.0 END), 6) AS coverage
+  FROM (SELECT l.doc_id, contains(lower(coalesce(d.text, '')), fact) AS found FROM labels l LEFT JOIN documents d ON l.doc_id = d.doc_id CROSS JOIN (VALUES ('the'), ('tion'), ('no such fact')) f(fact)) t GROUP BY doc_id"""
+SQL["ordered_actions"] = f"""WITH decided AS ({SQL['provision_decision']}),
+names AS (SELECT pool_id, intent_no, port, concat('INT-', intent_no, '-', port) AS id FROM ({VIEWS['v_intents']}) v)
+SELECT pool_id, CASE WHEN any_value(decision) = 'DEFER' THEN 'RETRY_AFTER_VEN_ONLINE' ELSE coalesce(string_agg(CASE decision
+    WHEN 'CREATE_BOTH' THEN concat('CREATE_ILLUMIO_RULE:', id, ',CREATE_FIREWALL_RULE:', id) WHEN 'CREATE_ILLUMIO_ONLY' THEN concat('CREATE_ILLUMIO_RULE:', id)
+    WHEN 'CREATE_FIREWALL_ONLY' THEN concat('CREATE_FIREWALL_RULE:', id) WHEN 'MANUAL_REVIEW' THEN concat('OPEN_SECURITY_REVIEW:', id) END, ',' ORDER BY intent_no, port, id), '') END AS actions
+FROM names JOIN decided USING (pool_id) GROUP BY pool_id"""
+SQL["rule_differences"] = """WITH rules AS (SELECT lower(concat('RULE-', l_partkey % 50)) AS name, array_to_string(list_sort([lower(l_returnflag), lower(l_linestatus)]), ',') AS labels, l_linenumber FROM lineitem)
+SELECT name, labels, count(*) FILTER (l_linenumber % 2 = 1) AS in_left, count(*) FILTER (l_linenumber % 2 = 0) AS in_right FROM rules GROUP BY name, labels HAVING in_left <> in_right"""
+SQL["clock_texts"] = """SELECT event_id, strftime(CAST(ts AS TIMESTAMP), '%Y-%m-%dT%H:%M:%SZ') AS iso,
+  CASE WHEN user_id % 7 <> 0 THEN CAST(CAST(CAST(ts AS DATE) AS TIMESTAMP) + INTERVAL 1 HOUR * (user_id % 24) + INTERVAL 30 MINUTE AS string) END AS scheduled FROM events"""
+SQL["canonical_json"] = """SELECT o_orderkey, concat('{"a": "', lower(o_orderstatus), '", "tags": ["', least(lower(o_orderpriority), lower(o_orderstatus)), '", "', greatest(lower(o_orderpriority), lower(o_orderstatus)), '"]}') AS plain FROM orders"""
+SQL["missing_values"] = """WITH t AS (SELECT event_id % 3 = 0 OR value IS NULL AS missing, count(*) AS events FROM events GROUP BY 1)
+SELECT missing, events, 'batch' AS mode, (SELECT sum(events)::BIGINT FROM t WHERE NOT missing) AS predictions FROM t"""

@@ -1,21 +1,21 @@
 """Job graphs: run outcomes, critical paths, delivery times and their forecast.
 
-A box holds a small, known graph of jobs; the runs are many. So the graph is unrolled on the driver
-and the runs stay one wide row each: a single shuffle by run (with partial aggregation) brings a
-run's jobs together, and everything along the graph is column arithmetic inside one stage.
+The graph is a table of edges of any shape and size, and so are the runs. Outcomes are evaluated along it frontier by
+frontier (``dag``): one narrow row per run and job, joined with its predecessors once, when the last of them is done.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from functools import cached_property, reduce
+from functools import cached_property
 from graphlib import TopologicalSorter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from deskweave.operators.staging import stage
+from deskweave.operators.joins import broadcast_if_small
+from deskweave.plans import dag
 
 # The regional report box. Suffix, predecessors, base minutes, volume sensitive.
 REPORT_JOBS = (
@@ -91,11 +91,13 @@ def job_catalogue(regions: DataFrame, region: str = "region") -> DataFrame:
 
 
 def dependency_edges(catalogue: DataFrame) -> DataFrame:
-    return catalogue.select(F.col("job_name").alias("child"), F.explode("dependencies").alias("parent"))
+    """(child, parent, place): the place of a predecessor in its job's list."""
+    return catalogue.select(F.col("job_name").alias("child"), F.posexplode("dependencies").alias("place", "parent")).select("child", "parent", "place")
 
 
 def dangling_edges(edges: DataFrame, nodes: DataFrame, node: str = "node") -> DataFrame:
     """Edges with an end that is not a node; empty for a sound graph."""
+    edges = edges.select("child", "parent")
     known = nodes.select(F.col(node).alias("_node"))
     lost_child = edges.join(known, F.col("child") == F.col("_node"), "left_anti")
     lost_parent = edges.join(known, F.col("parent") == F.col("_node"), "left_anti")
@@ -103,138 +105,83 @@ def dangling_edges(edges: DataFrame, nodes: DataFrame, node: str = "node") -> Da
 
 
 def topological_levels(nodes: DataFrame, edges: DataFrame, node: str = "node") -> DataFrame:
-    """Level of each node by peeling ready nodes; raises an error if a cycle is left.
-
-    For graphs kept in tables. One round per level; each round writes what is left, so lineage stays short.
-    """
-    left = stage(nodes.select(node).distinct(), "nodes")
-    open_edges = stage(edges.select("child", "parent"), "edges")
-    done: list[DataFrame] = []
-    while not left.isEmpty():
-        waiting = open_edges.select(F.col("child").alias(node)).distinct()
-        ready = stage(left.join(waiting, node, "left_anti"), "ready")
-        if ready.isEmpty():
-            raise ValueError("The job graph has a cycle.")
-        done.append(ready.withColumn("level", F.lit(len(done))))
-        left = stage(left.join(ready, node, "left_anti"), "nodes")
-        gone = ready.select(F.col(node).alias("parent"))
-        open_edges = stage(open_edges.join(gone, "parent", "left_anti"), "edges")
-    return reduce(DataFrame.unionByName, done)
+    """Level of each node by peeling ready nodes; raises an error if a cycle is left. ``dag.levels`` returns it as rows."""
+    found = dag.levels(nodes, edges, node)
+    stuck = found.where("level IS NULL").limit(5).collect()
+    if stuck:
+        raise ValueError(f"The job graph has a cycle; on or behind it: {[r[0] for r in stuck]}")
+    return found
 
 
 # --- Outcome of finished runs -------------------------------------------------------------------
 
 
-def _longest(elapsed: Sequence[Column], values: Sequence[Column]) -> Column:
-    """Value with the greatest elapsed time, the first one on ties; null if none is present."""
-    best, at = values[0], F.coalesce(elapsed[0], F.lit(-1))
-    for e, v in zip(elapsed[1:], values[1:]):
-        e = F.coalesce(e, F.lit(-1))
-        best, at = F.when(e > at, v).otherwise(best), F.greatest(at, e)
-    return F.when(at >= 0, best)
-
-
-def _greatest(columns: Sequence[Column]) -> Column:
-    return F.greatest(*columns) if len(columns) > 1 else columns[0]
+def command_runs(
+    runs: DataFrame, edges: DataFrame, run: str = "region_run_id", job: str = "job_no", carry: Sequence[str] = (), paths: bool = True
+) -> DataFrame:
+    """One row per job run: status, culprits, times in seconds after the schedule, waits, and the longest path to it.
 
-
-def outcomes(runs: DataFrame, graph: JobGraph, run: str = "region_run_id", job: str = "job_no", carry: Sequence[str] = ()) -> DataFrame:
-    """One row per run with, for job i of the graph order, status ``s``, blocked_by ``b``, eligible ``e``,
-    end ``n`` (seconds after schedule), elapsed ``l`` and path ``p``.
-
-    ``runs`` gives own_status, queue_wait_seconds, duration_seconds and retry_count per job run.
+    ``runs`` gives own_status, queue_wait_seconds, duration_seconds and retry_count per run and job; rows that repeat both
+    are folded into one. ``edges`` (child, parent, place) may be any graph. A job with a predecessor that did not succeed is
+    BLOCKED, one on or behind a cycle has status CYCLE. Predecessors that a run does not hold are no obstacle.
     """
-    sums = []
-    for i, name in enumerate(graph.order):
-        here = F.col(job) == name
-        sums += [
-            F.max(F.when(here, (F.col("own_status") != "SUCCESS").cast("int"))).alias(f"f{i}"),
-            F.max(F.when(here, F.col("queue_wait_seconds"))).alias(f"q{i}"),
-            F.max(F.when(here, F.col("duration_seconds"))).alias(f"d{i}"),
-            F.max(F.when(here, F.col("retry_count"))).alias(f"r{i}"),
-        ]
-    rows = runs.groupBy(run).agg(*[F.min(c).alias(c) for c in carry], *sums)
-    for level in graph.levels:
-        # One projection per level: every column of a job is written in terms of its predecessors'.
-        columns: dict[str, Column] = {}
-        for name in level:
-            columns |= _outcome_columns(graph, name)
-        rows = rows.withColumns(columns)
-    return rows
-
-
-def _outcome_columns(graph: JobGraph, name: object) -> dict[str, Column]:
-    i, needs = graph.place(name), [(graph.place(p), p) for p in graph.parents[name]]
-    kind = f"array<{'string' if isinstance(name, str) else 'int'}>"
-    here, failed = F.col(f"f{i}").isNotNull(), F.col(f"f{i}") == 1
-    late = [F.coalesce(F.col(f"s{k}") != "SUCCESS", F.lit(False)) for k, _ in needs]
-    blocked = reduce(lambda a, b: a | b, late, F.lit(False))
-    ran = here & ~blocked
-    work = F.col(f"q{i}") + F.col(f"d{i}")
-    zero = F.lit(0).cast("bigint")
-    own_path = F.array(F.lit(name)).cast(kind)
-    start = _greatest([zero, *[F.col(f"n{k}") for k, _ in needs]])
-    if needs:
-        before = F.coalesce(_greatest([F.col(f"l{k}") for k, _ in needs]), zero)
-        path = _longest([F.col(f"l{k}") for k, _ in needs], [F.col(f"p{k}") for k, _ in needs])
-        path = F.when(ran, F.concat(F.coalesce(path, F.array().cast(kind)), own_path)).otherwise(own_path)
-    else:
-        before, path = zero, own_path
-    culprits = F.array(*[F.when(bad, F.lit(p)) for bad, (_, p) in zip(late, needs)]).cast(kind)
-    return {
-        f"b{i}": F.filter(culprits, lambda c: c.isNotNull()),
-        f"s{i}": F.when(here, F.when(blocked, "BLOCKED").when(failed, "FAILED").otherwise("SUCCESS")),
-        f"e{i}": F.when(ran, start),
-        f"n{i}": F.when(ran, start + work),
-        f"l{i}": F.when(ran, before + work).when(here, 0),
-        f"p{i}": F.when(here, path),
+    own = ["own_status", "queue_wait_seconds", "duration_seconds", "retry_count"]
+    # The worst status, and the longest of repeated reports.
+    folded = [F.max(F.when(F.col("own_status") == "SUCCESS", "").otherwise("FAILED")).alias("own_status"), *[F.max(c).alias(c) for c in own[1:]]]
+    rows = runs.groupBy(run, job).agg(*[F.min(c).alias(c) for c in carry], *folded)
+    kind = runs.schema[job].dataType.simpleString()
+    reach = "struct<elapsed: bigint, place: int, path: array<%s>>" % kind
+    told = {
+        "_culprits": (F.array_sort(F.collect_list(F.when(F.col("status") != "SUCCESS", F.struct("place", "parent")))), f"array<struct<place: int, parent: {kind}>>"),
+        "_ready": (F.max("end_seconds"), "bigint"),
+        "_best": (F.max(F.struct("elapsed_seconds", -F.col("place"), F.col("_path") if paths else F.array().cast(f"array<{kind}>"))), reach),
     }
 
-
-def command_runs(rows: DataFrame, graph: JobGraph, run: str = "region_run_id", carry: Sequence[str] = ()) -> DataFrame:
-    """One row per job run: status, culprits, times in seconds after the schedule, waits, path."""
-    def one(i: int, name: object) -> Column:
-        return F.struct(
-            F.lit(name).alias("job"), F.col(f"s{i}").alias("status"), F.array_join(F.transform(F.col(f"b{i}"), lambda c: c.cast("string")), ",").alias("blocked_by"),
-            F.col(f"e{i}").alias("eligible_seconds"),
-            (F.col(f"e{i}") + F.col(f"q{i}")).alias("start_seconds"), F.col(f"n{i}").alias("end_seconds"),
-            F.when(F.col(f"e{i}").isNotNull(), F.col(f"d{i}")).alias("duration_seconds"),
-            F.when(F.col(f"e{i}").isNotNull(), F.col(f"r{i}")).otherwise(0).alias("retry_count"),
-            F.col(f"l{i}").alias("elapsed_seconds"), F.array_join(F.transform(F.col(f"p{i}"), lambda c: c.cast("string")), ">").alias("path"),
+    def step(here: DataFrame) -> DataFrame:
+        stuck = F.col("level") == dag.STUCK
+        blocked = F.coalesce(F.size("_culprits") > 0, F.lit(False))
+        ran = ~stuck & ~blocked
+        work = F.col("queue_wait_seconds") + F.col("duration_seconds")
+        start = F.greatest(F.lit(0).cast("bigint"), F.coalesce("_ready", F.lit(0)))
+        path = F.when(ran, F.concat(F.coalesce("_best.path", F.array().cast(f"array<{kind}>")), F.array(job))).otherwise(F.array(job))
+        status = F.when(stuck, "CYCLE").when(blocked, "BLOCKED").when(F.col("own_status") == "FAILED", "FAILED").otherwise("SUCCESS")
+        return here.select(
+            run, job, *carry, "level", status.alias("status"), F.array_join(F.transform(F.coalesce("_culprits", F.array()), lambda c: c["parent"].cast("string")), ",").alias("blocked_by"),
+            F.when(ran, start).alias("eligible_seconds"), F.when(ran, start + F.col("queue_wait_seconds")).alias("start_seconds"), F.when(ran, start + work).alias("end_seconds"),
+            F.when(ran, F.col("duration_seconds")).alias("duration_seconds"), F.when(ran, F.col("retry_count")).otherwise(0).alias("retry_count"),
+            F.when(ran, F.coalesce("_best.elapsed", F.lit(0)) + work).otherwise(0).alias("elapsed_seconds"), *([path.alias("_path")] if paths else []),
         )
 
-    each = F.array(*[one(i, name) for i, name in enumerate(graph.order)])
-    return rows.select(run, *carry, F.inline(each)).where(F.col("status").isNotNull())
+    done = dag.along(rows, edges, job, [run], told, step)
+    if paths:
+        done = done.withColumn("path", F.array_join(F.transform("_path", lambda c: c.cast("string")), ">"))
+    return done.drop("level", "_path")
 
 
-def box_runs(rows: DataFrame, graph: JobGraph, sla_seconds: int, run: str = "region_run_id", carry: Sequence[str] = ()) -> DataFrame:
-    """One row per box run, from the wide outcomes without another shuffle.
+def box_runs(commands: DataFrame, jobs: DataFrame, sla_seconds: int, run: str = "region_run_id", job: str = "job_no", carry: Sequence[str] = ()) -> DataFrame:
+    """One row per box run from its command runs, by one aggregation.
 
-    The box succeeds only if every terminal job did. Its critical path ends at the longest terminal
-    job, or at the longest failed job when the box failed.
+    ``jobs`` tells per job its place in the list and whether it is the delivery milestone or ends the box. The box succeeds
+    only if every job that ends it did. Its critical path ends at the longest of these, or at the longest failed job when
+    the box failed; the first in the list on ties.
     """
-    every = range(len(graph.order))
-    ends = [graph.place(t) for t in graph.terminals]
-    m = graph.place(graph.milestone)
-    succeeded = reduce(lambda a, b: a & b, [F.coalesce(F.col(f"s{i}") == "SUCCESS", F.lit(False)) for i in ends])
-
-    def counted(status: str) -> Column:
-        return reduce(lambda a, b: a + b, [F.when(F.col(f"s{i}") == status, 1).otherwise(0) for i in every])
-
-    retries = reduce(lambda a, b: a + b, [F.when(F.col(f"e{i}").isNotNull(), F.col(f"r{i}")).otherwise(0) for i in every])
-    delivered = F.when(F.col(f"s{m}") == "SUCCESS", F.col(f"n{m}"))
-    on_success = _longest([F.col(f"l{i}") for i in ends], [F.col(f"p{i}") for i in ends])
-    failed_elapsed = [F.when(F.col(f"s{i}") == "FAILED", F.col(f"l{i}")) for i in every]
-    on_failure = _longest(failed_elapsed, [F.col(f"p{i}") for i in every])
-    path = F.when(F.col("status") == "SUCCESS", on_success).otherwise(on_failure)
-    return rows.withColumn("status", F.when(succeeded, "SUCCESS").otherwise("FAILED")).select(
-        run, *carry, "status",
-        counted("SUCCESS").alias("successful_cmd_count"), counted("FAILED").alias("failed_cmd_count"),
-        counted("BLOCKED").alias("blocked_cmd_count"), retries.alias("total_retry_count"),
-        _greatest([F.col(f"n{i}") for i in every]).alias("box_duration_seconds"),
-        delivered.alias("delivery_duration_seconds"),
-        F.coalesce(delivered <= sla_seconds, F.lit(False)).alias("delivery_sla_met"),
-        F.array_join(F.transform(path, lambda c: c.cast("string")), ">").alias("critical_path_jobs"),
+    ends = jobs.where("terminal").count()
+    flags = jobs.select(job, "place", "milestone", "terminal")
+    rows = commands.join(broadcast_if_small(flags), job, "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("milestone", "terminal")})
+    ok = F.col("status") == "SUCCESS"
+    longest = F.struct("elapsed_seconds", -F.coalesce("place", F.lit(0)), "path")
+    boxes = rows.groupBy(run).agg(
+        *[F.min(c).alias(c) for c in carry],
+        F.when(F.count_if(F.col("terminal") & ok) == ends, "SUCCESS").otherwise("FAILED").alias("status"),
+        F.count_if(ok).cast("int").alias("successful_cmd_count"), F.count_if(F.col("status") == "FAILED").cast("int").alias("failed_cmd_count"),
+        F.count_if(F.col("status") == "BLOCKED").cast("int").alias("blocked_cmd_count"), F.sum("retry_count").alias("total_retry_count"),
+        F.max("end_seconds").alias("box_duration_seconds"), F.max(F.when(F.col("milestone") & ok, F.col("end_seconds"))).alias("delivery_duration_seconds"),
+        F.max(F.when(F.col("terminal"), longest)).alias("_end"), F.max(F.when(F.col("status") == "FAILED", longest)).alias("_failed"),
+    )
+    return boxes.select(
+        run, *carry, "status", "successful_cmd_count", "failed_cmd_count", "blocked_cmd_count", "total_retry_count", "box_duration_seconds",
+        "delivery_duration_seconds", F.coalesce(F.col("delivery_duration_seconds") <= sla_seconds, F.lit(False)).alias("delivery_sla_met"),
+        F.when(F.col("status") == "SUCCESS", F.col("_end.path")).otherwise(F.col("_failed.path")).alias("critical_path_jobs"),
     )
 
 
@@ -298,69 +245,53 @@ def remaining_time(running_jobs: DataFrame, counts: DataFrame, keys: Sequence[st
     return grouped.select(*kept, left(0).alias("remaining_p50"), left(1).alias("remaining_p90"))
 
 
-def _forecast_columns(graph: JobGraph, name: object) -> dict[str, Column]:
-    i, needs = graph.place(name), [graph.place(p) for p in graph.parents[name]]
-    halted = reduce(lambda a, b: a | b, [F.col(f"x{k}") for k in needs], F.coalesce(F.col(f"s{i}").isin("FAILED", "BLOCKED"), F.lit(False)))
-    columns = {f"x{i}": halted}
-    for q in ("a", "b"):
-        start = _greatest([F.greatest("now", F.lit(0)).cast("double"), *[F.col(f"t{q}{k}") for k in needs]])
-        end = (
-            F.when(F.col(f"s{i}") == "SUCCESS", F.col(f"n{i}").cast("double"))
-            .when(F.col(f"s{i}") == "RUNNING", F.col("now") + F.col(f"r{q}{i}"))
-            .otherwise(start + F.col(f"d{q}{i}"))
-        )
-        columns[f"t{q}{i}"] = F.when(~halted, end)
-    return columns
-
+def live_eta(states: DataFrame, edges: DataFrame, jobs: DataFrame, region: str = "region", job: str = "job_no") -> DataFrame:
+    """Delivery and box forecast per region from a snapshot, along any graph.
 
-def live_eta(states: DataFrame, graph: JobGraph, region: str = "region", job: str = "job_no") -> DataFrame:
-    """Delivery and box forecast per region from a snapshot.
-
-    ``states`` has, per region and job: status, end_seconds (finished jobs), remaining_p50/p90 (running
-    jobs), p50/p90 (jobs not begun) and per region now_seconds and sla_seconds; times count from the
-    schedule. A failed job stops everything after it.
+    ``states`` has, per region and job: status, end_seconds (finished jobs), remaining_p50/p90 (running jobs), p50/p90 (jobs
+    not begun), now_seconds and sla_seconds; times count from the schedule. A failed job stops everything after it.
+    ``edges`` and ``jobs`` as for the finished runs.
     """
-    sums = [F.max("now_seconds").alias("now"), F.max("sla_seconds").alias("sla")]
-    for i, name in enumerate(graph.order):
-        here = F.col(job) == name
-        sums.append(F.max(F.when(here, F.col("status"))).alias(f"s{i}"))
-        for short, column in (("n", "end_seconds"), ("ra", "remaining_p50"), ("rb", "remaining_p90"), ("da", "p50"), ("db", "p90")):
-            sums.append(F.max(F.when(here, F.col(column))).alias(f"{short}{i}"))
-    rows = states.groupBy(region).agg(*sums)
-    for level in graph.levels:
-        columns: dict[str, Column] = {}
-        for name in level:
-            columns |= _forecast_columns(graph, name)
-        rows = rows.withColumns(columns)
-    every = range(len(graph.order))
-    ends, m = [graph.place(t) for t in graph.terminals], graph.place(graph.milestone)
+    told = {"_halted": (F.max("halted"), "boolean"), "_p50": (F.max("eta_p50"), "double"), "_p90": (F.max("eta_p90"), "double")}
+
+    def step(here: DataFrame) -> DataFrame:
+        halted = F.coalesce("_halted", F.lit(False)) | F.coalesce(F.col("status").isin("FAILED", "BLOCKED"), F.lit(False)) | (F.col("level") == dag.STUCK)
+        etas = []
+        for p in ("p50", "p90"):
+            start = F.greatest(F.greatest("now_seconds", F.lit(0)).cast("double"), F.col(f"_{p}"))
+            end = (
+                F.when(F.col("status") == "SUCCESS", F.col("end_seconds").cast("double"))
+                .when(F.col("status") == "RUNNING", F.col("now_seconds") + F.col(f"remaining_{p}"))
+                .otherwise(start + F.col(p))
+            )
+            etas.append(F.when(~halted, end).alias(f"eta_{p}"))
+        return here.select(region, job, "level", "status", "now_seconds", "sla_seconds", halted.alias("halted"), *etas)
+
+    ends = jobs.where("terminal").count()
+    rows = dag.along(states, edges, job, [region], told, step).join(broadcast_if_small(jobs.select(job, "place", "milestone", "terminal")), job, "left")
 
     def any_status(*names: str) -> Column:
-        return reduce(lambda a, b: a | b, [F.coalesce(F.col(f"s{i}").isin(*names), F.lit(False)) for i in every])
+        return F.coalesce(F.bool_or(F.col("status").isin(*names)), F.lit(False))
 
-    def first_with(*names: str) -> Column:
-        return F.coalesce(*[F.when(F.col(f"s{i}").isin(*names), F.lit(str(n))) for i, n in enumerate(graph.order)])
+    def first_with(name: str) -> Column:
+        return F.min_by(F.when(F.col("status") == name, F.col(job).cast("string")), F.when(F.col("status") == name, F.col("place")))
 
-    complete = reduce(lambda a, b: a & b, [F.coalesce(F.col(f"s{i}") == "SUCCESS", F.lit(False)) for i in ends])
-    begun = any_status("SUCCESS", "RUNNING", "FAILED", "BLOCKED")
-    latest_running = _longest(
-        [F.when(F.col(f"s{i}") == "RUNNING", F.col(f"ta{i}")) for i in every], [F.lit(str(n)) for n in graph.order]
-    )
+    complete = F.count_if(F.col("terminal") & (F.col("status") == "SUCCESS")) == ends
     status = (
         F.when(complete, "complete").when(any_status("FAILED"), "failed").when(any_status("BLOCKED"), "blocked")
-        .when(any_status("RUNNING"), "running").when(begun, "waiting").otherwise("not_started")
+        .when(any_status("RUNNING"), "running").when(any_status("SUCCESS"), "waiting").otherwise("not_started")
     )
-    blocking = F.when(~complete, F.coalesce(first_with("FAILED"), latest_running, first_with("WAITING"), first_with("NOT_STARTED")))
+    latest = F.max(F.when((F.col("status") == "RUNNING") & F.col("eta_p50").isNotNull(), F.struct(F.col("eta_p50"), -F.col("place"), F.col(job).cast("string").alias("job"))))
+    blocking = F.when(~complete, F.coalesce(first_with("FAILED"), latest["job"], first_with("WAITING"), first_with("NOT_STARTED")))
 
-    def all_ends(q: str) -> Column:
-        alive = reduce(lambda a, b: a & b, [F.col(f"t{q}{i}").isNotNull() for i in ends])
-        return F.when(alive, _greatest([F.col(f"t{q}{i}") for i in ends]))
+    def all_ends(p: str) -> Column:
+        return F.when(F.count(F.when(F.col("terminal"), F.col(f"eta_{p}"))) == ends, F.max(F.when(F.col("terminal"), F.col(f"eta_{p}"))))
 
     late = F.col("delivery_p50_seconds")
-    return rows.select(
-        region, status.alias("status"), blocking.alias("blocking_job"), "sla",
-        F.col(f"ta{m}").alias("delivery_p50_seconds"), F.col(f"tb{m}").alias("delivery_p90_seconds"),
-        all_ends("a").alias("box_p50_seconds"), all_ends("b").alias("box_p90_seconds"),
+    return rows.groupBy(region).agg(
+        status.alias("status"), blocking.alias("blocking_job"), F.max("sla_seconds").alias("sla"),
+        *[F.max(F.when(F.col("milestone"), F.col(f"eta_{p}"))).alias(f"delivery_{p}_seconds") for p in ("p50", "p90")],
+        *[all_ends(p).alias(f"box_{p}_seconds") for p in ("p50", "p90")],
     ).select(
         "*",
         F.when(late.isNull() | (late > F.col("sla")), "breach").when(F.col("delivery_p90_seconds") > F.col("sla"), "at_risk").otherwise("on_track").alias("sla_risk"),

@@ -169,14 +169,29 @@ def rendered_rules(flows: DataFrame) -> DataFrame:
     return flows.withColumn("label_rule", label_rule).withColumn("firewall_rule", firewall_rule)
 
 
-def same_rules(left: DataFrame, right: DataFrame) -> bool:
-    """Rule sets are equal after arrays are sorted and text is lower-cased."""
+def rule_differences(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rules that one side holds more often than the other, with both counts; no rows if the rule sets are equal.
+
+    Rules are compared after texts are lower-cased and lists sorted, and counted, so repeated rules are told apart. Each side
+    is summed map-side into one count per rule; the sides are joined by a fingerprint and the rule itself.
+    """
+    names = left.columns
 
     def plain(df: DataFrame) -> DataFrame:
         return df.select(*[
             F.array_sort(F.transform(F.col(c), F.lower)).alias(c) if t == "array<string>" else F.lower(F.col(c)).alias(c) if t == "string" else F.col(c)
-            for c, t in df.dtypes
+            for c, t in df.select(*names).dtypes
         ])
 
-    a, b = plain(left), plain(right.select(*left.columns))
-    return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    sides = [
+        plain(df).select(F.struct(*names).alias("rule"), F.lit(n).alias("_left"), F.lit(1 - n).alias("_right"))
+        for df, n in ((left, 1), (right, 0))
+    ]
+    counts = sides[0].unionByName(sides[1]).groupBy(F.xxhash64("rule").alias("fingerprint"), "rule").agg(
+        F.sum("_left").alias("in_left"), F.sum("_right").alias("in_right"))
+    return counts.where("in_left <> in_right").select("rule.*", "in_left", "in_right")
+
+
+def same_rules(left: DataFrame, right: DataFrame) -> bool:
+    """Rule sets are equal after arrays are sorted and text is lower-cased."""
+    return rule_differences(left, right).isEmpty()

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from deskweave.functions import nested as NV
 from deskweave.functions import text as X
 from deskweave.functions.html import html_text as html_native
 from deskweave.functions.html import html_text_exact as html_exact
@@ -19,15 +20,17 @@ from deskweave.operators import report as P
 from deskweave.operators import retrieve as T
 from deskweave.operators import scoring as N
 from deskweave.operators import timeline as L
+from deskweave.operators.joins import broadcast_if_small
 from deskweave.operators.staging import new_stage_path, stage
 from deskweave.plans import access as A
 from deskweave.plans import jobs as J
 from deskweave.plans import knowledge as K
 from deskweave.plans import provisioning as G
 from deskweave.plans import vulnerability as V
+from deskweave.sources import readers as R
 from deskweave.sources import stores as S
 from deskweave.streaming import streams as M
-from deskweave.sources.tables import KEY_REPAIR_INPUT, predictions_view, relation, table, view
+from deskweave.sources.tables import KEY_REPAIR_INPUT, VIEWS, predictions_view, relation, table, view
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -198,7 +201,7 @@ def _documents(spark, sf):
 
 
 def _ranked(spark, sf, k=5):
-    return T.top_k(T.scored_pairs(_documents(spark, sf), table(spark, sf, "benchmark")), k)
+    return T.best(_documents(spark, sf), table(spark, sf, "benchmark"), k)
 
 
 @query
@@ -590,11 +593,9 @@ def published_documents(spark, sf):
 
 
 def _authorised_ranking(spark, sf, k):
-    """Ranks only what the asker may read: questions of even items come from group en, others from src2."""
-    docs = _knowledge(spark, sf)
-    asked = table(spark, sf, "benchmark").withColumn("groups", F.array(F.when(F.col("item_id") % 2 == 0, "en").otherwise("src2")))
-    pairs = T.scored_pairs(docs, asked).join(docs.select("doc_id", "access_scope"), "doc_id").join(asked.select("item_id", "groups"), "item_id")
-    return T.top_k(pairs.where(K.in_scope()), k)
+    """Questions of even items come from group en, others from src2; each sees only the corpus its asker may read."""
+    asked = table(spark, sf, "benchmark").withColumn("groups", F.array(F.when(F.col("item_id") % 2 == 0, "en").otherwise("src2"), F.lit(K.ANYONE)))
+    return T.best(_knowledge(spark, sf), asked, k, scope="access_scope", groups="groups")
 
 
 @query
@@ -616,7 +617,7 @@ def citation_quality(spark, sf):
 
 @query
 def recurring_incidents(spark, sf):
-    counts = L.trailing_counts(view(spark, sf, "v_incidents"), ["service_id", "symptom"], "opened_at", 3)
+    counts = L.trailing_counts(view(spark, sf, "v_incidents"), ["service_id", "symptom"], "opened_at", K.RECURRENCE_DAYS)
     problems = table(spark, sf, "nation").select((F.col("n_nationkey") * 2).cast("bigint").alias("service_id"), F.lit("error").alias("symptom"), F.col("n_name").alias("number"))
     found = K.recurring(counts, problems, ["service_id", "symptom"])
     return found.select("service_id", F.col("opened_at").cast("string").alias("opened_at"), "in_window", "problem_id", "create_new_problem")
@@ -669,26 +670,30 @@ def incident_links(spark, sf):
 
 # --- Job graphs -------------------------------------------------------------------------------
 
-RUN_GRAPH = J.JobGraph({1: (), 2: (1,), 3: (1,), 4: (2, 3), 5: (4,), 6: (5,), 7: (5,)}, milestone=5, terminals=(6, 7))
+MILESTONE, TERMINALS = 5, (6, 7)
 RUN_COLUMNS = ("region", "scheduled_start", "dataset_split")
 SLA_SECONDS = 6000
 
 
-def _outcomes(spark, sf):
-    return J.outcomes(view(spark, sf, "v_runs"), RUN_GRAPH, carry=RUN_COLUMNS)
+def _run_graph(spark, sf):
+    """All job runs, written once, with the edges and the jobs of their graph; the graph is as deep as the runs are long."""
+    runs = stage(view(spark, sf, "v_runs"), "runs")
+    jobs = stage(runs.select("job_no").distinct().select(
+        "job_no", F.col("job_no").cast("int").alias("place"), (F.col("job_no") == MILESTONE).alias("milestone"), F.col("job_no").isin(*TERMINALS).alias("terminal")), "jobs")
+    # All that the edges take from the runs is which jobs there are.
+    jobs.createOrReplaceTempView("v_runs")
+    edges = spark.sql(VIEWS["v_edges"]).where("parent_no > 0").select(F.col("job_no").alias("child"), F.col("parent_no").alias("parent"), F.col("parent_no").cast("int").alias("place"))
+    return runs, edges, jobs
 
 
-def _commands(spark, sf):
-    return J.command_runs(_outcomes(spark, sf), RUN_GRAPH, carry=RUN_COLUMNS).withColumnRenamed("job", "job_no")
-
-
-def _written_commands(spark, sf):
-    """For queries that read the command runs more than once."""
-    return stage(_commands(spark, sf), "commands")
+def _commands(spark, sf, paths=False):
+    runs, edges, jobs = _run_graph(spark, sf)
+    return J.command_runs(runs, edges, carry=RUN_COLUMNS, paths=paths), edges, jobs
 
 
 def _boxes(spark, sf):
-    return J.box_runs(_outcomes(spark, sf), RUN_GRAPH, SLA_SECONDS, carry=RUN_COLUMNS)
+    commands, _, jobs = _commands(spark, sf, paths=True)
+    return commands, J.box_runs(commands, jobs, SLA_SECONDS, carry=RUN_COLUMNS)
 
 
 @query
@@ -706,57 +711,58 @@ def referential_integrity(spark, sf):
 @query
 def topo_levels(spark, sf):
     """Levels of all job runs: nodes and edges are rows, whatever the number of runs."""
-    runs = view(spark, sf, "v_runs").select("region_run_id", "job_no")
-    name = F.concat_ws(":", F.col("region_run_id").cast("string"), F.col("job_no").cast("string"))
-    edges = runs.join(view(spark, sf, "v_edges").where("parent_no > 0"), "job_no").select(
-        name.alias("child"), F.concat_ws(":", F.col("region_run_id").cast("string"), F.col("parent_no").cast("string")).alias("parent")
-    )
-    return J.topological_levels(runs.select(name.alias("node")), edges)
+    runs, edges, _ = _run_graph(spark, sf)
+
+    def name(job):
+        return F.concat_ws(":", F.col("region_run_id").cast("string"), F.col(job).cast("string"))
+
+    arcs = runs.select("region_run_id", F.col("job_no").alias("child")).join(broadcast_if_small(edges), "child").select(name("child").alias("child"), name("parent").alias("parent"))
+    return J.topological_levels(runs.select(name("job_no").alias("node")), arcs)
 
 
 @query
 def run_timeline(spark, sf):
-    return _commands(spark, sf).select(
+    return _commands(spark, sf, paths=True)[0].select(
         "region_run_id", "job_no", "status", "blocked_by", "eligible_seconds", "start_seconds", "end_seconds", "duration_seconds", "elapsed_seconds", "path")
 
 
 @query
 def blocked_jobs(spark, sf):
-    return _commands(spark, sf).where("status = 'BLOCKED'").select("region_run_id", "job_no", "blocked_by")
+    return _commands(spark, sf)[0].where("status = 'BLOCKED'").select("region_run_id", "job_no", "blocked_by")
 
 
 @query
 def predecessor_outcomes(spark, sf):
     """Each job run with the outcome of every predecessor: one equi-join on (run, job)."""
-    runs = _written_commands(spark, sf).select("region_run_id", "job_no", "status")
-    edges = view(spark, sf, "v_edges").where("parent_no > 0")
+    commands, edges, _ = _commands(spark, sf)
+    runs = commands.select("region_run_id", "job_no", "status")
     parents = runs.select("region_run_id", F.col("job_no").alias("parent_no"), F.col("status").alias("parent_status"))
-    return runs.join(F.broadcast(edges), "job_no").join(parents, ["region_run_id", "parent_no"]).groupBy("job_no", "parent_no", "status", "parent_status").agg(F.count(F.lit(1)).alias("runs"))
+    arcs = broadcast_if_small(edges.select(F.col("child").alias("job_no"), F.col("parent").alias("parent_no")))
+    return runs.join(arcs, "job_no").join(parents, ["region_run_id", "parent_no"]).groupBy("job_no", "parent_no", "status", "parent_status").agg(F.count(F.lit(1)).alias("runs"))
 
 
 @query
 def critical_path(spark, sf):
-    return _boxes(spark, sf).select("region_run_id", "status", "critical_path_jobs")
+    return _boxes(spark, sf)[1].select("region_run_id", "status", "critical_path_jobs")
 
 
 @query
 def box_rollup(spark, sf):
-    return _boxes(spark, sf).select(
+    return _boxes(spark, sf)[1].select(
         "region_run_id", "status", "successful_cmd_count", "failed_cmd_count", "blocked_cmd_count", "total_retry_count", "box_duration_seconds", "delivery_duration_seconds", "delivery_sla_met")
 
 
 @query
 def runs_with_box(spark, sf):
     """Command runs beside their box: statuses by job."""
-    rows = stage(_outcomes(spark, sf), "outcomes")
-    box = J.box_runs(rows, RUN_GRAPH, SLA_SECONDS).select("region_run_id", F.col("status").alias("box_status"))
-    joined = J.command_runs(rows, RUN_GRAPH).withColumnRenamed("job", "job_no").join(box, "region_run_id")
+    commands, boxes = _boxes(spark, sf)
+    joined = commands.select("region_run_id", "job_no", "status").join(boxes.select("region_run_id", F.col("status").alias("box_status")), "region_run_id")
     return joined.groupBy("job_no", "status", "box_status").agg(F.count(F.lit(1)).alias("runs"))
 
 
 @query
 def sla_report(spark, sf):
-    boxes = J.with_times(_boxes(spark, sf), "scheduled_start", {"delivery_at": "delivery_duration_seconds"})
+    boxes = J.with_times(_boxes(spark, sf)[1], "scheduled_start", {"delivery_at": "delivery_duration_seconds"})
     return boxes.groupBy("region", "dataset_split").agg(
         F.count(F.lit(1)).alias("boxes"), F.count_if("delivery_sla_met").alias("met"), F.count("delivery_at").alias("delivered"),
         F.max("delivery_at").cast("string").alias("last_delivery"), F.round(F.avg("delivery_duration_seconds"), 4).alias("mean_seconds"),
@@ -772,17 +778,17 @@ def _counts(commands):
 
 @query
 def duration_quantiles(spark, sf):
-    return J.duration_quantiles(_counts(_commands(spark, sf)), KEYS)
+    return J.duration_quantiles(_counts(_commands(spark, sf)[0]), KEYS)
 
 
 @query
 def failure_rate(spark, sf):
-    return J.failure_rates(_commands(spark, sf).where("dataset_split = 'train'"), KEYS)
+    return J.failure_rates(_commands(spark, sf)[0].where("dataset_split = 'train'"), KEYS)
 
 
 @query
 def eta_backtest(spark, sf):
-    commands = _written_commands(spark, sf)
+    commands = _commands(spark, sf)[0]
     quantiles = J.duration_quantiles(_counts(commands), KEYS)
     return J.backtest(commands.where("dataset_split = 'evaluation'"), quantiles, KEYS)
 
@@ -813,18 +819,18 @@ def _snapshot(commands):
 
 @query
 def remaining_time(spark, sf):
-    commands = _written_commands(spark, sf)
+    commands = _commands(spark, sf)[0]
     running = _snapshot(commands).where("status = 'RUNNING'").select(*KEYS, "elapsed_seconds")
     return J.remaining_time(running, _counts(commands), KEYS)
 
 
 @query
 def live_eta(spark, sf):
-    commands = _written_commands(spark, sf)
+    commands, edges, jobs = _commands(spark, sf)
     counts, snapshot = stage(_counts(commands), "counts"), _snapshot(commands)
     running = J.remaining_time(snapshot.where("status = 'RUNNING'").select(*KEYS, "elapsed_seconds"), counts, KEYS).drop("elapsed_seconds")
     states = J.duration_quantiles(counts, KEYS).join(snapshot.drop("elapsed_seconds"), KEYS, "left").join(running, KEYS, "left")
-    return J.live_eta(states.withColumn("now_seconds", F.lit(NOW_SECONDS)).withColumn("sla_seconds", F.lit(SLA_SECONDS)), RUN_GRAPH)
+    return J.live_eta(states.withColumn("now_seconds", F.lit(NOW_SECONDS)).withColumn("sla_seconds", F.lit(SLA_SECONDS)), edges, jobs)
 
 
 @query
@@ -926,6 +932,150 @@ def dry_run_predictions(spark, sf):
     return N.dry_run(view(spark, sf, "v_truth"), ["quality", "toxic"])
 
 
+# --- Files, and forms that other queries do not reach ------------------------------------------
+
+
+def _write_texts(texts, place):
+    """One file per row of ``value``."""
+    texts.write.option("maxRecordsPerFile", 1).text(place)
+    return place
+
+
+@query
+def record_files(spark, sf):
+    """Customers written as JSON files of a thousand, some as arrays and some inside an object, and read back."""
+    rows = table(spark, sf, "customer").select(F.expr("c_custkey div 1000").alias("part"), F.struct("c_custkey", "c_name", "c_mktsegment").alias("r"))
+    lists = rows.groupBy("part").agg(F.collect_list("r").alias("records"))
+    texts = lists.select(F.when(F.col("part") % 2 == 0, F.to_json("records")).otherwise(F.to_json(F.struct("records"))).alias("value"))
+    found = R.read_record_files(spark, _write_texts(texts, new_stage_path(spark, "json")))
+    return R.records_as(found, "c_custkey long, c_name string, c_mktsegment string").select("c_custkey", "c_name", "c_mktsegment")
+
+
+@query
+def table_group(spark, sf):
+    """Three tables from files of JSON objects, parsed once; the files hold a thousand suppliers each, the first one all three."""
+    def lists(name, key, *columns):
+        rows = table(spark, sf, name).select(F.expr(key).alias("part"), F.struct(*columns).alias("r"))
+        return rows.groupBy("part").agg(F.collect_list("r").alias(f"{name}s"))
+
+    parts = lists("supplier", "s_suppkey div 1000", "s_suppkey", "s_nationkey").join(lists("nation", "0L", "n_nationkey", "n_name"), "part", "left").join(lists("region", "0L", "r_regionkey", "r_name"), "part", "left")
+    texts = parts.select(F.to_json(F.struct("nations", "regions", "suppliers")).alias("value"))
+    got = R.read_table_group(spark, _write_texts(texts, new_stage_path(spark, "group")), {
+        "nations": "n_nationkey int, n_name string", "regions": "r_regionkey int, r_name string", "suppliers": "s_suppkey int, s_nationkey int"})
+    found = [got[k].select(F.lit(k).alias("kind"), F.col(i).cast("long").alias("id"), F.col(v).cast("string").alias("value")) for k, i, v in (
+        ("nations", "n_nationkey", "n_name"), ("regions", "r_regionkey", "r_name"), ("suppliers", "s_suppkey", "s_nationkey"))]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@query
+def csv_snapshot(spark, sf):
+    """A snapshot written as CSV and read back: every column as text."""
+    place = new_stage_path(spark, "csv")
+    R.write_snapshot(table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_size"), place, "csv")
+    return R.read_csv_records(spark, place)
+
+
+@query
+def reference_examples(spark, sf):
+    """Example records by group: a group's name fills the group field where a record has none."""
+    rows = table(spark, sf, "supplier").select(
+        F.concat(F.lit("team-"), F.col("s_nationkey").cast("string")).alias("team"), F.col("s_suppkey"),
+        F.to_json(F.struct(F.col("s_suppkey").cast("string").alias("number"), F.when(F.col("s_suppkey") % 3 == 0, "own").alias("assignment_group"))).alias("record"))
+    lists = rows.groupBy("team").agg(F.concat(F.lit("["), F.array_join(F.collect_list("record"), ","), F.lit("]")).alias("items"))
+    texts = lists.select(F.concat(F.lit('{"'), "team", F.lit('":'), "items", F.lit("}")).alias("value"))
+    return R.reference_examples(texts).select("example_group", F.col("record")["number"].alias("number"), F.col("record")["assignment_group"].alias("assignment_group"))
+
+
+@query
+def align_predictions(spark, sf):
+    """Responses to batches of five ids: some name unknown ids, some batches lack their last answer."""
+    truth = view(spark, sf, "v_truth").select("number", F.expr("number div 5").alias("batch"))
+    item = F.struct(F.col("number"), F.concat(
+        F.lit('{"number":"'), F.when(F.col("number") % 3 == 0, F.lit("X-")).otherwise(""), F.col("number").cast("string"), F.lit('","quality":"'), (F.col("number") % 2).cast("string"), F.lit('"}')).alias("text"))
+    batches = truth.groupBy("batch").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    kept = F.when(F.col("batch") % 4 == 0, F.slice("items", F.lit(1), F.size("items") - 1)).otherwise(F.col("items"))
+    response = F.concat(F.lit('{"predictions":['), F.array_join(F.transform(kept, lambda i: i["text"]), ","), F.lit("]}"))
+    rows = batches.select("batch", F.transform("items", lambda i: i["number"]).alias("ids"), response.alias("response"))
+    return E.aligned_predictions(rows, ["quality"]).select("batch", "number", "quality")
+
+
+@query
+def present_column_wins(spark, sf):
+    """A prediction column that is there already is kept, null or not; others come from the response."""
+    given = view(spark, sf, "v_pred").withColumn("quality", F.when(F.col("number") % 2 == 0, "given"))
+    return E.parsed_predictions(given, ["quality", "toxic"]).select("number", "seq", "quality", "toxic")
+
+
+@query
+def second_source(spark, sf):
+    """Ranked documents and then pages of a second source, numbered through per question."""
+    local = _ranked(spark, sf, 3).select("item_id", "doc_id", "score")
+    pages = table(spark, sf, "pages").select((F.col("page_id") % 40).alias("item_id"), F.col("page_id").alias("doc_id"))
+    asked = table(spark, sf, "benchmark").select("item_id")
+    second = pages.join(asked, "item_id").select("item_id", "doc_id")
+    return T.cited_sources(local, second).select("item_id", "doc_id", "source_priority", "citation")
+
+
+@query
+def current_approvers(spark, sf):
+    """Who has to approve next: the first line of an order that is not approved."""
+    lines = table(spark, sf, "lineitem").select(
+        "l_orderkey", F.struct("l_linenumber", F.concat(F.lit("role-"), F.col("l_linenumber").cast("string")).alias("approver_role"), F.when(F.col("l_returnflag") == "R", "Approved").otherwise("Pending").alias("state")).alias("a"))
+    orders = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("a")).alias("approval_summary"))
+    return orders.select("l_orderkey", K.current_approver().alias("approver"))
+
+
+@query
+def fact_coverage(spark, sf):
+    """Share of expected words that a labelled document's text contains."""
+    labels = table(spark, sf, "labels").select("doc_id")
+    facts = labels.select("doc_id", F.explode(F.array(F.lit("THE"), F.lit("tion"), F.lit("no such fact"))).alias("fact"))
+    answers = table(spark, sf, "documents").select("doc_id", F.col("text").alias("answer"))
+    return K.fact_coverage(answers, facts, "doc_id")
+
+
+@query
+def ordered_actions(spark, sf):
+    """Actions of each pool in the order of its intents, label platform before firewall."""
+    intents = view(spark, sf, "v_intents")
+    decided = G.decided(G.event_flags(intents, "pool_id")).select("pool_id", "decision")
+    name = F.concat_ws("-", F.lit("INT"), F.col("intent_no").cast("string"), F.col("port").cast("string"))
+    lists = intents.groupBy("pool_id").agg(F.array_sort(F.collect_list(F.struct("intent_no", "port", name.alias("intent_id")))).alias("approved_connectivity_intents"))
+    return lists.join(decided, "pool_id").select("pool_id", F.array_join(G.ordered_actions(), ",").alias("actions"))
+
+
+@query
+def rule_differences(spark, sf):
+    """Rules of the odd lines that the even ones lack or hold less often, and the other way round."""
+    rules = table(spark, sf, "lineitem").select("l_linenumber", F.concat(F.lit("RULE-"), (F.col("l_partkey") % 50).cast("string")).alias("name"), F.array("l_returnflag", "l_linestatus").alias("labels"))
+    left, right = rules.where("l_linenumber % 2 = 1").drop("l_linenumber"), rules.where("l_linenumber % 2 = 0").drop("l_linenumber")
+    found = G.rule_differences(left, right.select(F.lower("name").alias("name"), F.reverse("labels").alias("labels")))
+    return found.withColumn("labels", F.array_join("labels", ","))
+
+
+@query
+def clock_texts(spark, sf):
+    """ISO text of an event's time, and a schedule from a date and a clock text, null where the clock is none."""
+    clock = F.when(F.col("user_id") % 7 == 0, "25:99").otherwise(F.concat(F.lpad((F.col("user_id") % 24).cast("string"), 2, "0"), F.lit(":30")))
+    at = F.col("ts").cast("timestamp")
+    return table(spark, sf, "events").select("event_id", J.iso_text(at).alias("iso"), J.scheduled_at(F.to_date(at), clock).cast("string").alias("scheduled"))
+
+
+@query
+def canonical_json(spark, sf):
+    """Comparison form of nested values: keys and lists sorted, texts folded."""
+    nested = F.struct(F.array(F.upper("o_orderpriority"), "o_orderstatus").alias("tags"), F.concat(F.lit("  "), "o_orderstatus", F.lit(" ")).alias("a"))
+    return table(spark, sf, "orders").select("o_orderkey", NV.normalised_nested(nested).alias("plain"))
+
+
+@query
+def missing_values(spark, sf):
+    """Not-a-number becomes null; the number of predictions of a run."""
+    rows = table(spark, sf, "events").select("event_id", X.nan_to_null(F.when(F.col("event_id") % 3 == 0, float("nan")).otherwise(F.col("value"))).alias("value"))
+    total = P.run_summary(rows.where("value IS NOT NULL"), "batch")
+    return rows.groupBy(F.col("value").isNull().alias("missing")).agg(F.count(F.lit(1)).alias("events")).join(F.broadcast(total))
+
+
 # --- Streams ----------------------------------------------------------------------------------
 
 
@@ -961,7 +1111,7 @@ def stream_finding_sources(spark, sf):
     )
     matched = V.matched_assets(findings, view(spark, sf, "v_assets"))
     named = matched.withColumn("canonical_finding_id", F.when(~V.malformed(matched.columns), V.canonical_id()))
-    return M.drain_appends(M.merged_sources(named), _place(spark, "finding-sources"))
+    return M.drain_sources(named, _place(spark, "finding-sources"))
 
 
 @query
@@ -976,14 +1126,41 @@ def stream_stale_observations(spark, sf):
 @query
 def stream_recurring_windows(spark, sf):
     incidents = _event_stream(spark, sf).where("event_type = 'error'").select("ts", (F.col("user_id") % 10).alias("service_id"))
-    log = M.drain_changes(M.recurring_windows(incidents, ["service_id"], "ts", "3 days"), _place(spark, "recurring"))["table"]
-    return M.newest_changes(log, ["window_start", "service_id"]).withColumn("window_start", F.col("window_start").cast("string"))
+    keys = ["window_start", "service_id"]
+    windows = M.recurring_windows(incidents, ["service_id"], "ts", f"{K.RECURRENCE_DAYS} days")
+    found = M.drain_current(windows, _place(spark, "recurring"), keys, M.newest_of(keys), "update")
+    return found.withColumn("window_start", F.col("window_start").cast("string"))
 
 
 @query
 def stream_latest_state(spark, sf):
-    log = M.drain_changes(M.running_latest(_event_stream(spark, sf), ["user_id"], "ts", "event_id", ["event_type"]), _place(spark, "latest"))["table"]
-    return M.newest_changes(log, ["user_id"]).withColumn("ts", F.col("ts").cast("string"))
+    found = M.drain_latest(_event_stream(spark, sf), _place(spark, "latest"), ["user_id"], "ts", "event_id", ["event_type"])
+    return found.withColumn("ts", F.col("ts").cast("string"))
+
+
+@query
+def stream_restart(spark, sf):
+    """The newest event per user from a stream that stops half-way and is started again; the events lie in several files."""
+    events = table(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "event_type")
+    inbox, place = _place(spark, "inbox"), _place(spark, "restart")
+    found = None
+    for half in (0, 1):
+        events.where(F.pmod(F.xxhash64("event_id"), F.lit(2)) == half).repartition(3).write.mode("append").parquet(inbox)
+        stream = M.file_stream(spark, inbox, events.schema, files_per_batch=2)
+        found = M.drain_latest(stream, place, ["user_id"], "ts", "event_id", ["event_type"])
+    return found.withColumn("ts", F.col("ts").cast("string"))
+
+
+@query
+def resumable_store(spark, sf):
+    """Records written by two jobs, one of them twice, and a third that replaces records by key."""
+    rows = table(spark, sf, "orders").select(F.col("o_orderkey").alias("number"), F.col("o_orderstatus").alias("state"))
+    store = S.DatasetStore(_place(spark, "store"), rows.schema)
+    for job, part in (("a", 0), ("b", 1), ("a", 0)):
+        store.append(rows.where(F.col("number") % 2 == part), "one", job)
+    changed = rows.where(F.col("number") % 3 == 0).withColumn("state", F.lit("changed"))
+    store.replace(changed, "one", ["number"], "c")
+    return store.load(spark, "one")
 
 
 @query

@@ -14,6 +14,7 @@ from pyspark.sql.types import StructType
 
 from deskweave.functions.responses import is_array, is_object
 from deskweave.operators.documents import section_documents
+from deskweave.operators.staging import stage
 
 # Keys under which a JSON object may hold its records, and known text files.
 RECORD_KEYS = ("records", "incidents", "tickets", "items", "data")
@@ -72,24 +73,18 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
 
 
-def read_table_group(spark: SparkSession, path: str, schemas: dict[str, str]) -> dict[str, DataFrame]:
-    """Several tables from one JSON object of arrays: one schema per key."""
-    whole = spark.read.schema(", ".join(f"{key} array<struct<{_colons(s)}>>" for key, s in schemas.items()))
-    root = whole.option("multiLine", True).json(path)
-    return {key: root.select(F.inline(key)) for key in schemas}
-
-
-def _colons(schema: str) -> str:
-    """``a string, b int`` as ``a:string,b:int``; nested parts are written with colons already."""
-    parts, depth, current = [], 0, ""
-    for ch in " ".join(schema.split()):
-        depth += (ch == "<") - (ch == ">")
-        if ch == "," and depth == 0:
-            parts.append(current)
-            current = ""
-        else:
-            current += ch
-    return ",".join(p.strip().replace(" ", ":", 1) for p in [*parts, current])
+def read_table_group(spark: SparkSession, path: str | Sequence[str], schemas: dict[str, str]) -> dict[str, DataFrame]:
+    """Several tables from JSON objects of arrays: one schema per key.
+
+    The files, one task each, are parsed once for all tables; what is written has a folder per key, so reading one table
+    touches no other. Keys without a schema are left out; a key that a file lacks has no rows from it.
+    """
+    root = _whole_files(spark, path).select("file", F.explode(F.try_variant_get(F.try_parse_json("value"), "$", "map<string,variant>")).alias("key", "_items"))
+    wanted = root.where(F.col("key").isin(*schemas) & is_array(F.col("_items")))
+    rows = wanted.select("key", "file", F.posexplode(F.try_variant_get("_items", "$", "array<variant>")).alias("place", "_record"))
+    # As text, so that any store and any later reader can hold it.
+    parsed = stage(rows.select("key", "file", "place", F.to_json("_record").alias("record")), "tables", by=("key",))
+    return {key: parsed.where(F.col("key") == key).select(F.from_json("record", F.lit(schema)).alias("_r")).where(F.col("_r").isNotNull()).select("_r.*") for key, schema in schemas.items()}
 
 
 def reference_examples(texts: DataFrame, group_field: str = "assignment_group", text: str = "value") -> DataFrame:

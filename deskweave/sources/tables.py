@@ -15,12 +15,14 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 
 VIEWS: dict[str, str] = {
     "v_truth": """
-        SELECT d.doc_id AS number, d.doc_id AS seq, substring(d.text, 1, 80) AS short_description, d.text AS description,
+        SELECT d.doc_id AS number, d.doc_id AS seq, d.text AS short_description, d.text AS description,
           d.source AS _test_scenario, d.lang AS priority, d.source AS category,
           CAST(l.quality AS string) AS _expected_quality, CAST(l.toxic AS string) AS _expected_toxic
         FROM labels l JOIN documents d ON l.doc_id = d.doc_id""",
     "v_edges": """
-        SELECT * FROM (VALUES (1, 0), (2, 1), (3, 1), (4, 2), (4, 3), (5, 4), (6, 5), (7, 5)) AS e(job_no, parent_no)""",
+        SELECT * FROM (VALUES (1, 0), (2, 1), (3, 1), (4, 2), (4, 3), (5, 4), (6, 5), (7, 5)) AS e(job_no, parent_no)
+        UNION ALL SELECT job_no, job_no - 2 FROM (SELECT DISTINCT job_no FROM v_runs WHERE job_no > 7) a
+        UNION ALL SELECT job_no, job_no - 3 FROM (SELECT DISTINCT job_no FROM v_runs WHERE job_no > 7 AND job_no % 3 = 0) b""",
     "v_runs": """
         SELECT l.l_orderkey AS region_run_id, l.job_no, o.o_orderpriority AS region, o.o_orderdate AS scheduled_start,
           CASE WHEN o.o_orderdate < TIMESTAMP '1997-01-01 00:00:00' THEN 'train' ELSE 'evaluation' END AS dataset_split,
@@ -28,7 +30,7 @@ VIEWS: dict[str, str] = {
           CAST(l.l_quantity AS bigint) * 60 AS duration_seconds, CAST(round(l.l_discount * 1000) AS bigint) AS queue_wait_seconds,
           CASE WHEN l.l_tax >= 0.07 THEN 1 ELSE 0 END AS retry_count
         FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS job_no FROM lineitem) l
-        JOIN orders o ON l.l_orderkey = o.o_orderkey WHERE l.job_no <= 7""",
+        JOIN orders o ON l.l_orderkey = o.o_orderkey""",
     "v_assets": """
         SELECT s_suppkey AS asset_id, concat('host-', CAST(s_suppkey AS string)) AS hostname, concat('ip-', CAST(s_suppkey AS string)) AS ip_address,
           CASE WHEN s_suppkey % 3 = 0 THEN 'dev' ELSE 'prod' END AS environment, r_name AS region, s_acctbal > 0 AS internet_facing,
@@ -65,7 +67,7 @@ VIEWS: dict[str, str] = {
     "v_memberships": """
         SELECT n_nationkey AS safe_id, concat('group-', CAST(n_regionkey AS string)) AS principal, 'list_accounts' AS permission FROM nation
         UNION ALL SELECT n_nationkey, concat('group-', CAST(n_regionkey AS string)), 'use_accounts' FROM nation WHERE n_nationkey % 2 = 0
-        UNION ALL SELECT c_nationkey, concat('user-', CAST(c_custkey AS string)), 'manage_safe' FROM customer WHERE c_custkey % 10 = 0""",
+        UNION ALL SELECT c_nationkey, concat('user-', CAST(c_custkey AS string)), 'manage_safe' FROM customer""",
     "v_access_requests": """
         SELECT o_orderkey AS request_id, o_custkey AS user_id, l_suppkey AS account_id,
           CASE o_orderpriority WHEN '1-URGENT' THEN 'GET_SECRET' WHEN '2-HIGH' THEN 'GET_CREDENTIAL_METADATA' ELSE 'SEARCH_ACCOUNTS' END AS intent

@@ -10,6 +10,6 @@ from deskweave.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(8, 8, "8g")
+    session = local_session(int(os.environ.get("TEST_CPUS", "8")), 8, "8g")
     yield session
     session.stop()

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from deskweave.plans import dag
 from deskweave.plans import jobs as J
 
 
@@ -27,6 +28,46 @@ def test_cycle_is_an_error(spark):
     assert J.dangling_edges(spark.createDataFrame([("a", "z")], "child string, parent string"), nodes).count() == 1
 
 
+def test_cycles_are_rows(spark):
+    """Nodes on a cycle and behind it have no level; the others have theirs."""
+    nodes = spark.createDataFrame([(x,) for x in "abcdefg"], "node string")
+    edges = spark.createDataFrame([("b", "a"), ("c", "b"), ("d", "c"), ("c", "d"), ("e", "d"), ("e", "a"), ("f", "a"), ("f", "b"), ("f", "b"), ("f", "unknown")], "child string, parent string")
+    assert {r["node"]: r["level"] for r in dag.levels(nodes, edges).collect()} == {"a": 0, "b": 1, "c": None, "d": None, "e": None, "f": 2, "g": 0}
+    assert dag.levels(nodes.limit(0), edges.limit(0)).count() == 0
+    loop = spark.createDataFrame([("a", "a")], "child string, parent string")
+    assert {r["node"]: r["level"] for r in dag.levels(nodes.where("node < 'c'"), loop).collect()} == {"a": None, "b": 0}
+
+
+def test_any_graph(spark):
+    """Random graphs with a cycle in one corner: every run row comes back, evaluated as by hand; jobs without edges too."""
+    rng = random.Random(5)
+    parents = {j: tuple(sorted(rng.sample(range(1, j), min(j - 1, rng.randrange(0, 4))))) for j in range(1, 26)}
+    graph = J.JobGraph(parents, milestone=20, terminals=(23, 24))
+    runs = {i: one_run(rng, graph) for i in range(20)}
+    rows = [(i, n, "FAILED" if f else "SUCCESS", q, d, r) for i, run in runs.items() for n, (f, q, d, r) in run.items()]
+    rows += [(i, n, "SUCCESS", 1, 2, 0) for i in runs for n in (30, 31, 32, 99)]
+    rows.append(rows[0])
+    edges = [(j, p, k) for j, ps in parents.items() for k, p in enumerate(ps)] + [(30, 31, 0), (31, 30, 0), (32, 31, 0), (31, 3, 1), (77, 78, 0)]
+    df = spark.createDataFrame(rows, "region_run_id int, job_no int, own_status string, queue_wait_seconds long, duration_seconds long, retry_count int")
+    got = {(r["region_run_id"], r["job_no"]): r for r in J.command_runs(df, spark.createDataFrame(edges, "child int, parent int, place int")).collect()}
+    assert len(got) == len(set((r[0], r[1]) for r in rows))
+    for i, run in runs.items():
+        want = by_hand(run, graph)
+        for n, w in want.items():
+            g = got[(i, n)]
+            blocked = ",".join(str(p) for p in w["blocked_by"])
+            assert (g["status"], g["blocked_by"], g["end_seconds"], g["elapsed_seconds"], g["path"]) == (w["status"], blocked, w["end"], w["elapsed"], ">".join(map(str, w["path"])))
+        assert [got[(i, n)]["status"] for n in (30, 31, 32, 99)] == ["CYCLE"] * 3 + ["SUCCESS"] and got[(i, 30)]["end_seconds"] is None
+    assert J.command_runs(df.limit(0), spark.createDataFrame(edges, "child int, parent int, place int")).count() == 0
+
+
+def graph_tables(spark, graph):
+    """The graph as the operators take it: edges, and jobs with their flags."""
+    edges = [(job, parent, place) for job in graph.order for place, parent in enumerate(graph.parents[job])]
+    jobs = [(job, graph.place(job), job == graph.milestone, job in graph.terminals) for job in graph.order]
+    return spark.createDataFrame(edges, "child string, parent string, place int"), spark.createDataFrame(jobs, "job_no string, place int, milestone boolean, terminal boolean")
+
+
 def one_run(rng, graph):
     return {name: (rng.random() < 0.12, rng.randrange(0, 100), rng.randrange(60, 3000), rng.randrange(2)) for name in graph.order}
 
@@ -37,7 +78,7 @@ def by_hand(run, graph):
         failed, queue, duration, retry = run[name]
         bad = [p for p in graph.parents[name] if out[p]["status"] != "SUCCESS"]
         if bad:
-            out[name] = {"status": "BLOCKED", "blocked_by": ",".join(bad), "end": None, "elapsed": 0, "path": [name]}
+            out[name] = {"status": "BLOCKED", "blocked_by": bad, "end": None, "elapsed": 0, "path": [name]}
             continue
         best = None
         for p in graph.parents[name]:
@@ -45,7 +86,7 @@ def by_hand(run, graph):
                 best = p
         start = max([0, *[out[p]["end"] for p in graph.parents[name]]]) + queue
         elapsed = (out[best]["elapsed"] if best else 0) + queue + duration
-        out[name] = {"status": "FAILED" if failed else "SUCCESS", "blocked_by": "", "end": start + duration, "elapsed": elapsed,
+        out[name] = {"status": "FAILED" if failed else "SUCCESS", "blocked_by": [], "end": start + duration, "elapsed": elapsed,
                      "path": [*(out[best]["path"] if best else []), name]}
     return out
 
@@ -55,14 +96,16 @@ def test_outcomes_and_boxes_against_plain_python(spark):
     runs = {i: one_run(rng, graph) for i in range(60)}
     rows = [(i, n, "FAILED" if f else "SUCCESS", q, d, r) for i, run in runs.items() for n, (f, q, d, r) in run.items()]
     df = spark.createDataFrame(rows, "region_run_id int, job_no string, own_status string, queue_wait_seconds long, duration_seconds long, retry_count int")
-    wide = J.outcomes(df, graph)
-    got = {(r["region_run_id"], r["job"]): r for r in J.command_runs(wide, graph).collect()}
-    boxes = {r["region_run_id"]: r for r in J.box_runs(wide, graph, 9000).collect()}
+    edges, jobs = graph_tables(spark, graph)
+    commands = J.command_runs(df, edges)
+    got = {(r["region_run_id"], r["job_no"]): r for r in commands.collect()}
+    assert len(got) == commands.count() == len(rows)
+    boxes = {r["region_run_id"]: r for r in J.box_runs(commands, jobs, 9000).collect()}
     for i, run in runs.items():
         want = by_hand(run, graph)
         for name, w in want.items():
             g = got[(i, name)]
-            assert (g["status"], g["blocked_by"], g["end_seconds"], g["elapsed_seconds"], g["path"]) == (w["status"], w["blocked_by"], w["end"], w["elapsed"], ">".join(w["path"]))
+            assert (g["status"], g["blocked_by"], g["end_seconds"], g["elapsed_seconds"], g["path"]) == (w["status"], ",".join(w["blocked_by"]), w["end"], w["elapsed"], ">".join(w["path"]))
         good = all(want[t]["status"] == "SUCCESS" for t in graph.terminals)
         ends = list(graph.terminals) if good else [n for n in graph.order if want[n]["status"] == "FAILED"]
         longest = max(ends, key=lambda n: want[n]["elapsed"])
@@ -87,7 +130,8 @@ def test_live_eta_of_a_morning(spark):
         rows.append(("AMER", n, "NOT_STARTED", None, None, None, p50, p90, -18900, 12000))
         rows.append(("FAIL", n, "FAILED" if n == "VALIDATE_TRANSACTIONS" else "SUCCESS" if graph.place(n) < graph.place("VALIDATE_TRANSACTIONS") else "BLOCKED", 100, None, None, p50, p90, 6300, 10800))
     df = spark.createDataFrame(rows, "region string, job_no string, status string, end_seconds int, remaining_p50 double, remaining_p90 double, p50 double, p90 double, now_seconds int, sla_seconds int")
-    got = {r["region"]: r for r in J.live_eta(df, graph).collect()}
+    edges, jobs = graph_tables(spark, graph)
+    got = {r["region"]: r for r in J.live_eta(df, edges, jobs).collect()}
     assert got["APAC"]["status"] == "complete" and got["APAC"]["blocking_job"] is None and got["APAC"]["delivery_p50_seconds"] == 7680
     emea = got["EMEA"]
     assert emea["status"] == "running" and emea["blocking_job"] == "EXTRACT_TRANSACTIONS"

@@ -71,3 +71,13 @@ def test_nested_values(spark):
     row = df.select((normalised_nested("s") == normalised_nested("t")).alias("st"), (normalised_nested("v") == normalised_nested("w")).alias("vw"),
                     X.equal_after_normalising("v", "w", "variant").alias("eq"), X.equal_after_normalising("v", F.lit(None).cast("variant"), "variant").alias("none")).first()
     assert tuple(row) == (True, True, True, False)
+
+
+def test_native_page_text_equals_the_parser(spark):
+    from deskweave.functions.html import html_text, html_text_exact
+
+    pages = ["Caf&eacute; &#8217; x", "<a title=\"a>b\">c</a>", "<p>a<p>b &amp;lt; c", "&notit; &ampx &unknown; &Aacutexx &#x2019 &#128; &#129; &#1; &#xFFFFFFFFFFFFF; &#0; &NotEqualTilde;",
+             "<script a='>'>var x='</p>';</script>z", "<div class='x>y'>q</div><!-- > -->r", "a &lt;b&gt;c&lt;/b&gt; d", "", None]
+    rows = spark.createDataFrame(list(enumerate(pages)), "i int, t string")
+    for r in rows.select("t", html_text("t").alias("native"), html_text_exact("t").alias("exact")).collect():
+        assert (r["native"] or "") == r["exact"], r["t"]
