@@ -32,8 +32,8 @@ K1, B, PHRASE_BONUS = 1.2, 0.75, 2.0
 BROADCAST_ROWS = 200_000
 # Mark in the term column that no token can equal.
 DOCUMENT_MARK = "\u0001"
-# Documents of a block, postings that a question's first bound is drawn from (times k), and what rounding may add.
-BLOCK, SEED, MARGIN = 64, 4, 0.001
+# Documents of a block; postings and documents (times k) that a question's first bound is drawn from; what rounding may add.
+BLOCK, SEED_POSTINGS, SEED_DOCUMENTS, MARGIN = 64, 16, 4, 0.001
 
 
 def document_text(title: str = "title", content: str = "content") -> Column:
@@ -258,16 +258,22 @@ class Ranking:
         return self.summed(self.parts(_hint(self.asked, self.small), postings, ["_scope", "term"]))
 
     def least_scores(self, k: int) -> DataFrame:
-        """(question, lower bound of its k-th score): parts of the words of the greatest weight, of ``SEED`` times k postings."""
+        """(question, lower bound of its k-th score): the k-th best full score among some documents, those best by the words of
+        the greatest weight alone. Phrases count nothing here, so it is a lower bound whatever they add."""
         once = self.asked.dropDuplicates([self.question_id, "term"])
         before = Window.partitionBy(self.question_id).orderBy(F.desc("_w"), "term").rowsBetween(Window.unboundedPreceding, -1)
-        first = once.withColumn("_before", F.coalesce(F.sum("_df").over(before), F.lit(0))).where(F.col("_before") < SEED * k)
+        first = once.withColumn("_before", F.coalesce(F.sum("_df").over(before), F.lit(0))).where(F.col("_before") < SEED_POSTINGS * k)
         seeds = self.asked.join(first.select(self.question_id, "term"), [self.question_id, "term"], "left_semi")
-        some = self.parts(_hint(seeds, self.small), self.postings, ["_scope", "term"])
-        sums = some.groupBy(self.question_id, self.doc_id).agg(F.sum("_part").alias("_sum"))
         order = Window.partitionBy(self.question_id).orderBy(F.desc("_sum"), self.doc_id)
-        return sums.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= k).groupBy(self.question_id).agg(
-            F.when(F.count(F.lit(1)) >= k, F.min("_sum")).otherwise(0.0).alias("_least_score"))
+
+        def top(parts: DataFrame, n: int) -> DataFrame:
+            sums = parts.groupBy(self.question_id, self.doc_id).agg(F.sum("_part").alias("_sum"))
+            return sums.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= n)
+
+        some = top(self.parts(_hint(seeds, self.small), self.postings, ["_scope", "term"]), SEED_DOCUMENTS * k)
+        wanted = stage(some.select(self.question_id, self.doc_id), "seeds").join(_hint(self.asked, self.small), self.question_id)
+        found = top(self.parts(broadcast_if_small(wanted), self.postings, [self.doc_id, "_scope", "term"]), k)
+        return found.groupBy(self.question_id).agg(F.when(F.count(F.lit(1)) >= k, F.min("_sum")).otherwise(0.0).alias("_least_score"))
 
     def open_blocks(self, k: int) -> DataFrame:
         """(question, scope, block) that may hold one of the question's best k."""

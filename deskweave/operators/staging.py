@@ -44,6 +44,18 @@ def stage(df: DataFrame, label: str, by: Sequence[str] = ()) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_bucketed(df: DataFrame, label: str, key: str) -> DataFrame:
+    """Write ``df`` once in as many buckets of ``key`` as shuffles have partitions: joins on the key, as many as there
+    are, move only the other side. The table is known to this session only; its files lie in the shared folder."""
+    spark = df.sparkSession
+    path = new_stage_path(spark, label)
+    name = f"stage_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, key).option("path", path).format("parquet").saveAsTable(name)
+    _staged.append(path)
+    return spark.table(name)
+
+
 def _file_system(spark: SparkSession, path: str):
     """The store of a path, as Spark's own readers see it."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -115,3 +115,43 @@ def test_explicit_phrases_without_words(spark):
     for some in (asked, asked.where("item_id <> 3")):
         got = T.phrase_hits(docs, "doc_id", F.col("text"), some, "item_id", "text", phrase=F.lower("text")).collect()
         assert sorted(map(tuple, got)) == [e for e in expected if some is asked or e[0] != 3]
+
+
+def _corpus(spark, hidden=()):
+    """Documents of five scopes; a question's asker reads two of them and what is open to all."""
+    import random
+
+    rng = random.Random(12)
+    words = [f"word{i}" for i in range(300)]
+    rows = [(i, f"t{i}", " ".join(rng.choices(words, weights=[1 / (k + 1) for k in range(300)], k=rng.randrange(1, 60))), [f"g{i % 5}"] if i % 7 else ["all"]) for i in range(900)]
+    docs = spark.createDataFrame(rows + list(hidden), "doc_id long, title string, content string, scope array<string>")
+    asked = [(q, " ".join(rng.choices(words, k=6)), [f"g{q % 5}", f"g{(q + 1) % 5}", "all"]) for q in range(12)]
+    return docs, spark.createDataFrame([*asked, (50, "word1 word2", ["nobody"]), (51, "", ["g1"]), (52, "word3", [])], "item_id long, text string, groups array<string>")
+
+
+def test_best_is_the_top_of_all_pairs_with_fewer_scored(spark, monkeypatch):
+    docs, asked = _corpus(spark)
+    monkeypatch.setattr(T, "BLOCK", 4)
+    ranking = T.Ranking(docs, asked, "doc_id", "item_id", T.document_text(), "text", None, None)
+    every = ranking.all_pairs()
+    for k in (1, 3):
+        want = sorted(tuple(r) for r in T.top_k(every, k).select("item_id", "doc_id", "score", "rank").collect())
+        assert sorted(tuple(r) for r in T.best(docs, asked, k).select("item_id", "doc_id", "score", "rank").collect()) == want
+    assert ranking.best(1).count() < 0.6 * every.count()
+
+
+def test_hidden_documents_change_no_score(spark):
+    docs, asked = _corpus(spark)
+    secret = [(5000 + i, "secret", "word1 word2 word50 " * 40, ["nobody-else"]) for i in range(50)] + [(6000, "x", "word1", None), (6001, "x", "word1", [])]
+    more, _ = _corpus(spark, secret)
+
+    def ranked(d):
+        return sorted(tuple(r) for r in T.best(d, asked, 5, scope="scope", groups="groups").select("item_id", "doc_id", "score", "rank").collect())
+
+    got = ranked(docs)
+    assert got and got == ranked(more) and not [r for r in got if r[0] in (50, 52)]
+    # The scores are those of the visible documents taken as a corpus of their own.
+    for q in asked.collect()[:3]:
+        own = docs.where(F.arrays_overlap("scope", F.array(*map(F.lit, q["groups"]))))
+        alone = T.best(own, asked.where(F.col("item_id") == q["item_id"]), 5)
+        assert sorted(tuple(r) for r in alone.select("item_id", "doc_id", "score", "rank").collect()) == [r for r in got if r[0] == q["item_id"]]
