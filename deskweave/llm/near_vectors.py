@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from deskweave.llm.common import read
 from deskweave.llm.components import components
-from deskweave.llm.vectors import matrix, packed, unpacked, usable, usual_length
+from deskweave.llm.vectors import lengths, matrix, packed, scaled, units, unpacked, usable
 from deskweave.operators.staging import stage
 
 THRESHOLD = 0.98
@@ -26,8 +27,7 @@ def _moments(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Recor
     total = np.zeros((width, width))
     for batch in batches:
         for first in range(0, batch.num_rows, 4096):
-            rows = matrix(batch.column("embedding").slice(first, 4096), width)
-            rows = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+            rows = units(matrix(batch.column("embedding").slice(first, 4096), width))
             total += rows.T @ rows
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(width * width)), pa.array(total.ravel())], names=["place", "value"])
 
@@ -43,8 +43,7 @@ def principal_axes(vectors: DataFrame, width: int) -> np.ndarray:
 
 def _keyed(batches: Iterator[pa.RecordBatch], axes: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = matrix(batch.column("embedding"), len(axes))
-        lead = (rows / np.linalg.norm(rows, axis=1, keepdims=True)) @ axes[:, 0]
+        lead = units(matrix(batch.column("embedding"), len(axes))) @ axes[:, 0]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lead)], names=[*batch.schema.names, "lead"])
 
 
@@ -58,7 +57,7 @@ def _tiles(batches: Iterator[pa.RecordBatch], axes: np.ndarray, tile: int) -> It
             for first in range(int(a), int(b), tile):
                 part = batch.slice(first, min(tile, int(b) - first))
                 rows = matrix(part.column("embedding"), len(axes))
-                turned = (rows / np.linalg.norm(rows, axis=1, keepdims=True)) @ axes[:, :BOX]
+                turned = units(rows) @ axes[:, :BOX]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("label").slice(0, 1), pa.array([number]), part.column("part").slice(0, 1), pa.array([part.column("_row").to_pylist()], pa.list_(pa.int64())), pa.array([packed(rows)], pa.binary()),
                      pa.array([turned.min(0).tolist()], pa.list_(pa.float64())), pa.array([turned.max(0).tolist()], pa.list_(pa.float64()))],
@@ -73,6 +72,7 @@ def close_pairs(a: np.ndarray, b: np.ndarray, axes: np.ndarray, threshold: float
     Products are summed in PCA order. What the dimensions to come can add is at most the product of both
     suffix norms; rows and columns without a pair that can still reach the threshold are dropped.
     """
+    a, b = scaled(a), scaled(b)
     na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
     ta, tb = (a / na[:, None]) @ axes, (b / nb[:, None]) @ axes
     rest_a = np.sqrt(np.maximum(np.cumsum(ta[:, ::-1] ** 2, 1)[:, ::-1], 0))
@@ -144,25 +144,36 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
     products stop at the suffix bound. A compared pair gives link counts per vector and a spanning forest,
     never the list of its links.
 
-    Vectors that are null, empty, zero, hold null or non-finite components, or differ in length from most
-    link with nothing, as do rows with a null label. Repeated rows are vectors of their own. A null vec_id is
+    Vectors that are null, empty, zero, or hold null or non-finite components link with nothing, as do rows with a null
+    label. Vectors of different lengths are compared among their like, one run per length. Very small and very large
+    components are scaled exactly before they are squared. Repeated rows are vectors of their own. A null vec_id is
     ignored for component_id unless nothing else is there; ``kept`` is then false. An empty table gives
     no rows; other columns are not read.
     """
-    spark = vectors.sparkSession
     rows = vectors.select(F.monotonically_increasing_id().alias("_row"), "vec_id", "embedding", "label", (usable("embedding") & F.col("label").isNotNull()).alias("good"))
     rows = stage(rows, "vectors")
-    width = usual_length(rows.where("good"), "embedding")
-    if not width:
+    good = rows.where("good").select("_row", "embedding", "label")
+    every = [_links(good.where(F.size("embedding") == width), width, threshold, tile) for width in lengths(good, "embedding")]
+    if not every:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    good = rows.where(F.col("good") & (F.size("embedding") == width)).select("_row", "embedding", "label")
+    found = reduce(DataFrame.unionByName, every)
+    counts = found.where("n > 0").groupBy(F.col("a").alias("_row")).agg(F.sum("n").alias("n_links"))
+    roots = components(found.where("n = 0")).select(F.col("node").alias("_row"), "root")
+    named = rows.select("_row", "vec_id").join(counts, "_row", "left").join(roots, "_row", "left").withColumn("root", F.coalesce("root", "_row"))
+    least = named.groupBy("root").agg(F.min("vec_id").alias("component_id"))
+    out = named.join(least, "root")
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def _links(good: DataFrame, width: int, threshold: float, tile: int) -> DataFrame:
+    """(a, b, n) of equally long vectors, as ``_compared`` gives them; written."""
     axes = principal_axes(good, width)
     schema = StructType([*good.schema.fields, StructField("lead", DoubleType())])
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(good.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["label", "lead", "_row"]
     sorted_rows = good.mapInArrow(lambda b: _keyed(b, axes), schema).repartitionByRange(parts, *order).sortWithinPartitions(*order)
     sorted_rows = sorted_rows.withColumn("part", F.spark_partition_id())
-    label = rows.schema["label"].dataType.simpleString()
+    label = good.schema["label"].dataType.simpleString()
     tiles = sorted_rows.mapInArrow(lambda b: _tiles(b, axes, tile), f"label {label}, number long, part int, rows array<long>, body binary, low array<double>, high array<double>")
     tiles = stage(tiles, "tiles")
     names = tiles.select("label", F.struct("part", "number").alias("tile"), "low", "high")
@@ -173,13 +184,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
     bodies = tiles.select(F.struct("part", "number").alias("tile"), "rows", "body")
     pairs = near.join(bodies, "tile").join(bodies.select(F.col("tile").alias("other"), F.col("rows").alias("other_rows"), F.col("body").alias("other_body")), "other")
     pairs = pairs.select("rows", "body", "other_rows", "other_body", (F.col("tile") == F.col("other")).alias("same"))
-    found = stage(pairs.mapInArrow(lambda b: _compared(b, axes, threshold), "a long, b long, n long"), "links")
-    counts = found.where("n > 0").groupBy(F.col("a").alias("_row")).agg(F.sum("n").alias("n_links"))
-    roots = components(found.where("n = 0")).select(F.col("node").alias("_row"), "root")
-    named = rows.select("_row", "vec_id").join(counts, "_row", "left").join(roots, "_row", "left").withColumn("root", F.coalesce("root", "_row"))
-    least = named.groupBy("root").agg(F.min("vec_id").alias("component_id"))
-    out = named.join(least, "root")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    return stage(pairs.mapInArrow(lambda b: _compared(b, axes, threshold), "a long, b long, n long"), "links")
 
 
 def op3_pca_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:

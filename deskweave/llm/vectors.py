@@ -16,10 +16,29 @@ def usable(column: str) -> Column:
     return F.coalesce(vector.isNotNull() & (F.size(vector) > 0) & good, F.lit(False))
 
 
-def usual_length(vectors: DataFrame, column: str) -> int:
-    """The length that most vectors have (the smaller of equals), 0 without vectors."""
-    most = vectors.groupBy(F.size(column).alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return most["d"] if most else 0
+def lengths(vectors: DataFrame, column: str) -> list[int]:
+    """The different lengths of vectors, smallest first; only equally long ones can be compared."""
+    return sorted(r["d"] for r in vectors.groupBy(F.size(column).alias("d")).count().collect())
+
+
+def length_of(column: str) -> Column:
+    """Euclidean length, by way of the largest component so that no square overflows or vanishes."""
+    vector = F.col(column).cast("array<double>")
+    most = F.array_max(F.transform(vector, F.abs))
+    return most * F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + (x / most) * (x / most)))
+
+
+def scaled(rows: np.ndarray) -> np.ndarray:
+    """Each row times the power of two that brings its largest component to one half or more: exact, and safe to square."""
+    exponent = np.frexp(np.abs(rows).max(axis=1, initial=0))[1]
+    # In two steps, as one factor could itself be too large.
+    half = -exponent // 2
+    return np.ldexp(np.ldexp(rows, half[:, None]), (-exponent - half)[:, None])
+
+
+def units(rows: np.ndarray) -> np.ndarray:
+    rows = scaled(rows)
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
 def matrix(column: pa.Array, width: int) -> np.ndarray:
