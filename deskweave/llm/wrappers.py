@@ -20,6 +20,7 @@ from deskweave.operators.staging import stage
 LEAST = 3  # different pages that a layout's template is learned from, at least
 CONSTANT = 0.9  # a text is template if this share of a layout's different pages have it at the same node
 REPEATED = 0.1  # so it is under a word of APART_WORDS inside an article if this share have it
+DEPTH = 400  # levels of a page's tree that are aligned; what is nested deeper stays content of what holds it
 FRAME = 4  # levels of a page's tree, without the inside of its article, that make its layout
 BROADCAST_BYTES = 32 << 20  # wrappers of all hosts together; more are joined by shuffle
 RESIDENT_WRAPPERS = 256  # parsed ones a task keeps
@@ -48,7 +49,7 @@ ATTRIBUTE = re.compile(r"(class|id|role|itemprop|hidden|style)(?:\s*=\s*(?:\"([^
 class Node:
     """An element; ``parts`` are its texts and children in page order."""
 
-    __slots__ = ("tag", "name", "apart", "named", "main", "parts")
+    __slots__ = ("tag", "name", "apart", "named", "main", "parts", "digest", "texts", "chars")
 
     def __init__(self, tag: str, attributes: str = "") -> None:
         self.tag, self.parts = tag, []
@@ -112,6 +113,61 @@ def parse(text: str) -> Node:
     return root
 
 
+MODULUS, BASE = (1 << 61) - 1, 0x1F3D5B79A2C4E687
+
+
+def summarise(root: Node, drop: set[int] = frozenset()) -> None:
+    """For every block node the number of its ``blocks``, their characters, and a hash of them in order; in one pass, from the
+    leaves up: a parent's hash follows from its children's, as digits of a number follow from those of its parts."""
+    frames: list[list] = [[root, iter(root.parts), 0, 0, 0, []]]  # node, parts, hash, texts, characters, open line
+
+    def close(frame: list) -> None:
+        if frame[5]:
+            text = " ".join(html.unescape("".join(frame[5])).split())
+            frame[5].clear()
+            if text:
+                digest = int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=7).digest(), "big") + 1
+                frame[2], frame[3], frame[4] = (frame[2] * BASE + digest) % MODULUS, frame[3] + 1, frame[4] + len(text)
+
+    def inside(node: Node, apart: bool) -> Iterator:
+        """Parts of a node, those of inline elements in their place; texts of inline nodes set apart are left out."""
+        for part in node.parts:
+            if isinstance(part, Node) and part.tag in INLINE and part.tag != "br":
+                hidden = apart or part.apart or id(part) in drop
+                nested = [(p, hidden) for p in part.parts]
+                todo = list(reversed(nested))
+                while todo:
+                    item, off = todo.pop()
+                    if isinstance(item, Node) and item.tag in INLINE and item.tag != "br":
+                        off_here = off or item.apart or id(item) in drop
+                        todo.extend((q, off_here) for q in reversed(item.parts))
+                    elif not off:
+                        yield item
+            else:
+                yield part
+
+    frames[0][1] = inside(root, False)
+    while frames:
+        frame = frames[-1]
+        part = next(frame[1], None)
+        if part is None:
+            close(frame)
+            node = frame[0]
+            node.digest, node.texts, node.chars = frame[2], frame[3], frame[4]
+            frames.pop()
+            if frames and not node.apart and id(node) not in drop and node.texts:
+                up = frames[-1]
+                up[2] = (up[2] * pow(BASE, node.texts, MODULUS) + node.digest) % MODULUS
+                up[3], up[4] = up[3] + node.texts, up[4] + node.chars
+        elif isinstance(part, str):
+            frame[5].append(part)
+        elif part.tag == "br":
+            frame[5].append(" ")
+        else:
+            close(frame)
+            frames.append([part, inside(part, False), 0, 0, 0, []])
+
+
 def blocks(node: Node, drop: set[int], keep: set[int] = frozenset()) -> list[str]:
     """Texts between block borders in page order, white space made one space; without nodes set apart, unless in ``keep``."""
     out: list[str] = []
@@ -153,7 +209,7 @@ class Group:
 
     def __init__(self, nodes: list[Node], deep: int = 0) -> None:
         self.name, self.nodes = nodes[0].name, nodes
-        children = [c for n in nodes for c in n.children() if c.tag not in INLINE] if deep < 40 else []
+        children = [c for n in nodes for c in n.children() if c.tag not in INLINE] if deep < DEPTH else []
         self.groups: list[Group] = []
         run: list[Node] = []
         for child in children:
@@ -164,7 +220,7 @@ class Group:
         if run:
             self.groups.append(Group(run, deep + 1))
         self.marks = [mark(n) for n in nodes]
-        self.shape = f"{self.name}({','.join(g.shape for g in self.groups)})"
+        self.shape = hashlib.blake2b("\n".join([self.name, *[g.shape for g in self.groups]]).encode("utf-8", "replace"), digest_size=8).hexdigest()
 
     def record(self) -> list:
         return [self.name, [g.record() for g in self.groups]]
@@ -179,9 +235,14 @@ class Group:
 
 
 def mark(node: Node) -> int:
-    """A hash of the node's text, 0 without any."""
-    texts = blocks(node, set())
-    return int.from_bytes(hashlib.blake2b("\n".join(texts).encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True) if texts else 0
+    """A hash of the texts of a summarised node, 0 without any."""
+    return node.digest if node.texts else 0
+
+
+def tree(text: str) -> Group:
+    root = parse(text)
+    summarise(root)
+    return Group([root])
 
 
 def matching(a: list, b: list, memo: dict) -> int:
@@ -231,7 +292,7 @@ def article(page: Group) -> Node | None:
         group = todo.pop()
         for node in group.nodes:
             if node.main and not node.apart:
-                found.append((sum(map(len, blocks(node, set()))), node))
+                found.append((node.chars, node))
         if not group.nodes[0].apart:
             todo.extend(reversed(group.groups))
     return max(found, key=lambda f: f[0])[1] if found else None
@@ -275,6 +336,8 @@ class Wrapper:
         keep: set[int] = set()
         name = layout(page, main)
         if name not in self.layouts:
+            # Nothing was learned: words alone take nothing out of an article.
+            keep.update(id(n) for _, group in page.walk() for n in group.nodes if n.named)
             return drop, keep
         base, repeated, learned = self.layouts[name]
         if (name, page.shape) not in self.pairs:
@@ -297,17 +360,20 @@ def main_text(text: str, wrapper: Wrapper) -> str:
     """Blocks of the page's content joined by an empty line.
 
     Content is what the page calls its article, without template nodes; parts that only a word sets apart stay
-    in it where the host shows that their texts do not repeat. Without such an element the content is what
+    in it where the host shows that their texts do not repeat, or shows nothing. Without such an element the content is what
     varies: from the body down to the last node that holds four fifths of all text in slots, without template nodes.
     """
-    page = Group([parse(text)])
+    page = tree(text)
     main = article(page)
     drop, keep = wrapper.template(page, main)
     if main:
         return "\n\n".join(blocks(main, drop, keep))
 
+    root = page.nodes[0]
+    summarise(root, drop)
+
     def varying(group: Group) -> int:
-        return sum(len(t) for n in group.nodes if not n.apart and id(n) not in drop for t in blocks(n, drop))
+        return sum(n.chars for n in group.nodes if not n.apart and id(n) not in drop)
 
     region, total = page, varying(page)
     while total:
@@ -315,7 +381,9 @@ def main_text(text: str, wrapper: Wrapper) -> str:
         if inner is None or inner.nodes[0].apart or id(inner.nodes[0]) in drop:
             break
         region = inner
-    return "\n\n".join(t for n in region.nodes for t in blocks(Node("#region") if n.apart else n, drop))
+    found = [t for n in region.nodes for t in blocks(Node("#region") if n.apart else n, drop)]
+    # A page all of whose text only a word sets apart has that text.
+    return "\n\n".join(found or blocks(root, drop, keep))
 
 
 TRAITS = "host string, layout string, identity long, size int, record string, paths array<string>, marks array<long>"
@@ -327,7 +395,7 @@ def _traits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for host, text in zip(batch.column("host").to_pylist(), batch.column("html")):
-            page = Group([parse(text.as_py())])
+            page = tree(text.as_py())
             main, groups = article(page), list(page.walk())
             seen = dict.fromkeys((path, m) for path, g in groups for m in g.marks)
             record = json.dumps(page.record(), separators=(",", ":"))
