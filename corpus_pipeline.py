@@ -35,13 +35,13 @@ def no_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     small_batches(spark)
-    return mixing.repeated_documents(docs, mixing.mix_sources(docs))
+    return mixing.repeated_documents(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids): ids as little-endian unsigned 32-bit integers; a repeated document repeats."""
     small_batches(spark)
-    return bpe.encode(docs).select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids")
+    return bpe.encode_repeated(docs).select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids")
 
 
 STAGES = [

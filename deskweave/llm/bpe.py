@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from deskweave.llm.common import SpanHasher, bit_filter, in_filter, keyed_schema, read, signed, utf8_steps
 from deskweave.operators.staging import stage
@@ -297,6 +297,34 @@ def encode(documents: DataFrame, ranks_path: str | None = None, key: str = "doc_
     return alone.union(sharing.join(parts, "digest", "left").mapInArrow(lambda b: finished(_joined(b, ranks, key)), ids))
 
 
+def _folded(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    """Rows that repeat the one before them are counted instead."""
+    for batch in batches:
+        keys, texts = batch.column(key), batch.column("text")
+        same = np.zeros(batch.num_rows, bool)
+        if batch.num_rows > 1:
+            for column in (keys, texts):
+                null = column.is_null().to_numpy(zero_copy_only=False)
+                equal = pa.compute.equal(column.slice(1), column.slice(0, batch.num_rows - 1)).fill_null(False).to_numpy(zero_copy_only=False)
+                equal |= null[1:] & null[:-1]
+                same[1:] = equal if column is keys else same[1:] & equal
+        first = np.flatnonzero(~same)
+        times = np.diff(np.append(first, batch.num_rows))
+        index = pa.array(first)
+        row = pa.StructArray.from_arrays([keys.take(index), pa.array(times, pa.int64())], names=["key", "times"])
+        yield pa.RecordBatch.from_arrays([row, texts.take(index)], names=["_key", "text"])
+
+
+def encode_repeated(documents: DataFrame, ranks_path: str | None = None, key: str = "doc_id") -> DataFrame:
+    """``encode`` for tables in which a row is followed by its copies, as a mix writes them: the copies are encoded once, do
+    not count as shared chunks, and come back as often as they were."""
+    rows = documents.select(key, "text")
+    struct = StructType([StructField("key", rows.schema[key].dataType), StructField("times", LongType())])
+    folded = rows.mapInArrow(lambda b: _folded(b, key), StructType([StructField("_key", struct), StructField("text", StringType())]))
+    out = encode(folded, ranks_path, "_key")
+    return out.select(F.col("_key.key").alias(key), "ids", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_key.times")))).drop("col")
+
+
 def _decoded(batches: Iterator[pa.RecordBatch], ranks) -> Iterator[pa.RecordBatch]:
     codec = Codec.of(ranks.value)
     for batch in batches:

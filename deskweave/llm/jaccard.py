@@ -11,16 +11,16 @@ from pyspark.sql import functions as F
 
 from deskweave.llm.common import SpanHasher, bit_filter, in_filter, keyed_schema, lowered, mixed, read, signed, texts_of, utf8_steps, word_spans
 from deskweave.llm.components import components
-from deskweave.operators.staging import stage
+from deskweave.operators.staging import stage, stage_bucketed
 
 WORDS = 5
 PERCENT = 80
 BUCKETS = 1 << 21  # counters of shingle frequency, whatever the corpus' size
 SAMPLE = 1 << 22  # shingles that are counted together within a task
 FILTER_BITS = 1 << 27  # bound of the filter of sets to be read again
-FAMILY_BLOCK = 1024  # sets
-FAMILY_BYTES = 1 << 24  # of their differences
-COLUMNS = 4096  # members that are multiplied out together
+FAMILY_BLOCK = 512  # sets
+FAMILY_BYTES = 1 << 22  # of their differences
+COLUMNS = 2048  # members that are multiplied out together
 PAIRS = 1 << 18  # handed on together
 FOLLOWED = 4  # leaders of leaders
 BLOCK = 1 << 16  # pairs looked at together within a list
@@ -335,19 +335,14 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def listed_sets(documents: DataFrame, sigs: DataFrame) -> DataFrame:
-    """(sig, members) of the sets with one of the distinct ``sigs(sig)``, written once.
+    """(sig, members) of the sets with one of the distinct ``sigs(sig)``, written once in buckets of ``sig``.
 
     A filter of bounded size tells the tasks which sets are wanted, so texts are read again but only wanted
-    sets are shuffled; a fuller filter lets more through, the join decides.
+    sets are shuffled; a fuller filter lets more through, the join decides. Later joins move no set to find it.
     """
     shared = documents.sparkSession.sparkContext.broadcast(bit_filter(sigs, "sig", FILTER_BITS))
     sets = documents.select("text").mapInArrow(lambda b: _wanted_sets(b, shared), "sig long, members binary")
-    return stage(sets.join(sigs, "sig", "left_semi").groupBy("sig").agg(F.first("members").alias("members")), "sets")
-
-
-def _filtered(batches: Iterator[pa.RecordBatch], bits) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield batch.filter(pa.array(in_filter(batch.column("sig").to_numpy().view(np.uint64), bits.value)))
+    return stage_bucketed(sets.join(sigs, "sig", "left_semi").groupBy("sig").agg(F.first("members").alias("members")), "sets", "sig")
 
 
 def measured(sets: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -356,14 +351,11 @@ def measured(sets: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _with_members(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b, x, y): pairs with the members of both sets; sets of no pair are left out before the shuffle."""
-    spark = sets.sparkSession
-    sides = []
-    for side, members in (("a", "x"), ("b", "y")):
-        bits = spark.sparkContext.broadcast(bit_filter(pairs.select(side).distinct(), side, FILTER_BITS))
-        wanted = sets.mapInArrow(lambda batches, bits=bits: _filtered(batches, bits), sets.schema)
-        sides.append(wanted.select(F.col("sig").alias(side), F.col("members").alias(members)))
-    return pairs.join(sides[1], "b").join(sides[0], "a").select("a", "b", "x", "y")
+    """(a, b, x, y): pairs with the members of both sets. The sets lie in buckets of their signature, so of them only those
+    of side b move, to the bucket of their a."""
+    x = sets.select(F.col("sig").alias("a"), F.col("members").alias("x"))
+    y = sets.select(F.col("sig").alias("b"), F.col("members").alias("y"))
+    return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y")
 
 
 def _linked(pairs: DataFrame) -> DataFrame:
@@ -489,17 +481,38 @@ def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def family_links(families: DataFrame) -> DataFrame:
-    """(a, b): links within families that connect as much as all of them. A large family is dealt into blocks of members
-    that are compared two by two, so no task holds more than two blocks."""
+    """(a, b): links within families that connect as much as all of them.
+
+    Members linked with the central set are one part by that, which their differences tell without another comparison.
+    Only members outside this part are compared, with each other and with it, in blocks of bounded size: pairs of blocks
+    within the part are never formed, so a family of copies costs a row a member.
+    """
     families = families.dropDuplicates(["lead", "sig"])
-    size = F.sum(F.length("dropped") + F.length("added")) / FAMILY_BYTES
-    blocks = families.groupBy("lead").agg(F.ceil(F.greatest(F.count("*") / FAMILY_BLOCK, size)).cast("int").alias("blocks"))
-    members = families.join(blocks, "lead").withColumn("own", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int"))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pair = F.xxhash64("lead", F.least("own", "other"), F.greatest("own", "other")).alias("pair")
-    members = members.select(pair, "lead", "sig", "size", "dropped", "added")
+    dropped, added = F.length("dropped") / 8, F.length("added") / 8
+    inside = 100 * (F.col("size") - dropped) >= PERCENT * (F.col("size") + added)
+    families = stage(families.withColumn("inside", inside), "family-parts")
+    told = families.where("inside AND sig <> lead").select(F.least("lead", "sig").alias("a"), F.greatest("lead", "sig").alias("b"))
+    weight = F.length("dropped") + F.length("added")
+
+    def blocks(side: Column) -> Column:
+        n = F.greatest(F.count_if(side) / FAMILY_BLOCK, F.sum(F.when(side, weight).otherwise(0)) / FAMILY_BYTES)
+        return F.when(F.count_if(side) > 0, F.greatest(F.ceil(n), F.lit(1))).otherwise(0).cast("int")
+
+    counts = families.groupBy("lead").agg(blocks(F.col("inside")).alias("linked"), blocks(~F.col("inside")).alias("apart")).where("apart > 0")
+    members = families.join(counts, "lead")
+    n = F.when(F.col("inside"), F.col("linked")).otherwise(F.col("apart"))
+    members = members.withColumn("own", F.pmod(F.xxhash64("sig"), n).cast("int"))
+
+    def numbers(upto: str) -> Column:
+        return F.when(F.col(upto) > 0, F.sequence(F.lit(0), F.col(upto) - 1)).otherwise(F.array().cast("array<int>"))
+
+    cross_inside = F.transform(numbers("apart"), lambda o: F.xxhash64("lead", F.lit(0), F.col("own"), o))
+    cross_apart = F.transform(numbers("linked"), lambda o: F.xxhash64("lead", F.lit(0), o, F.col("own")))
+    among = F.transform(numbers("apart"), lambda o: F.xxhash64("lead", F.lit(1), F.least(F.col("own"), o), F.greatest(F.col("own"), o)))
+    pair = F.explode(F.when(F.col("inside"), cross_inside).otherwise(F.concat(cross_apart, among))).alias("pair")
+    dealt = members.select(pair, "lead", "sig", "size", "dropped", "added", "inside")
     parts = int(families.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return members.repartition(parts, "pair").sortWithinPartitions("pair", "lead", "sig").mapInArrow(_family_links, "a long, b long")
+    return told.union(dealt.repartition(parts, "pair").sortWithinPartitions("pair", "lead", "sig").mapInArrow(_family_links, "a long, b long"))
 
 
 def _common_counts(rows: list[np.ndarray]) -> np.ndarray:
@@ -521,8 +534,8 @@ def _common_counts(rows: list[np.ndarray]) -> np.ndarray:
 
 def _family_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of sets x and y with differences from c: |x & y| = |c| - |dropped by x or y| + |added by both|."""
-    columns = ["pair", "lead", "sig", "size", "dropped", "added"]
-    for pair, lead, sig, size, dropped, added in _runs(batches, columns, FAMILY_BLOCK):
+    columns = ["pair", "lead", "sig", "size", "dropped", "added", "inside"]
+    for pair, lead, sig, size, dropped, added, inside in _runs(batches, columns, FAMILY_BLOCK):
         edges = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (lead[1:] != lead[:-1]), [True]]))
         found: list[np.ndarray] = []
         for a, b in zip(edges[:-1], edges[1:]):
@@ -532,6 +545,8 @@ def _family_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             own = size[a:b] - n_less + n_more
             both = _common_counts(less) + _common_counts(more)
             up = np.arange(b - a)
+            part = np.flatnonzero(inside[a:b].astype(bool))
+            up[part] = part[:1] if len(part) else part
             for i in range(b - a):
                 common = size[a] - n_less[i] - n_less[i + 1 :] + both[i, i + 1 :]
                 hits = np.flatnonzero(100 * common >= PERCENT * (own[i] + own[i + 1 :] - common)) + i + 1
@@ -577,20 +592,34 @@ def jaccard_components(documents: DataFrame, key: str = "doc_id") -> DataFrame:
 def one_per_component(documents: DataFrame, key: str = "doc_id") -> DataFrame:
     """The rows, with all columns, that stay: of each component the one with the smallest key (null last).
 
-    Rows without words all stay; of rows that repeat a key and text one stays.
+    Rows without words all stay; of rows that repeat a key and text one stays. Nearly all rows stay: only rows whose key is
+    in a filter of the keys that lose or repeat a row are shuffled, and the exact join decides on these.
     """
-    schema = keyed_schema(documents.select(F.struct(*documents.columns).alias("_row")), "_row", "n_shingles long, sig long")
-    rows = documents.select(F.struct(*documents.columns).alias("_row")).mapInArrow(lambda b: _signed_sets(b, "_row"), schema)
-    rows = rows.withColumn("_key", F.col(f"_row.{key}"))
-    signed_rows = stage(documents.select(key, "text").mapInArrow(lambda b: _signed_sets(b, key), keyed_schema(documents, key, "n_shingles long, sig long")), "signed")
+    narrow = documents.select(key, "text").mapInArrow(lambda b: _signed_sets(b, key), keyed_schema(documents, key, "n_shingles long, sig long"))
+    pairs = stage(narrow, "signed").where("sig is not null").groupBy("sig", key).agg(F.count("*").alias("n"))
+    pairs = stage(pairs, "pairs-of-key")
     roots = link_sets(documents).withColumnRenamed("node", "sig")
     first = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "sig")).alias("first")
-    classes = signed_rows.where("sig is not null").groupBy("sig").agg(first)
-    classes = classes.join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    classes = pairs.groupBy("sig").agg(first).join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     winners = classes.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.sig").alias("_sig"), F.col("first.key").alias("_first"))
-    kept = rows.join(winners, (F.col("sig") == F.col("_sig")) & F.col("_key").eqNullSafe(F.col("_first")))
-    kept = kept.dropDuplicates(["sig", "_key"])
-    return kept.select("_row.*").union(rows.where("sig is null").select("_row.*"))
+    winners = stage(winners, "winners")
+    stays = (F.col("sig") == F.col("_sig")) & F.col(key).eqNullSafe(F.col("_first"))
+    doubtful = pairs.where("n > 1").select("sig", key).union(pairs.select("sig", key).join(winners, stays, "left_anti"))
+    hashed = F.xxhash64(F.col(key)).alias("_h")
+    bits = documents.sparkSession.sparkContext.broadcast(bit_filter(stage(doubtful.select(hashed).distinct(), "doubtful"), "_h", FILTER_BITS))
+    whole = documents.select(F.struct(*documents.columns).alias("_row"), hashed)
+    sure = whole.mapInArrow(lambda b: _by_filter(b, bits, False), whole.schema).select("_row")
+    rest = whole.mapInArrow(lambda b: _by_filter(b, bits, True), whole.schema).select("_row")
+    signed_rows = rest.mapInArrow(lambda b: _signed_sets(b, "_row"), keyed_schema(rest, "_row", "n_shingles long, sig long"))
+    signed_rows = signed_rows.withColumn("_key", F.col(f"_row.{key}"))
+    kept = signed_rows.join(winners, (F.col("sig") == F.col("_sig")) & F.col("_key").eqNullSafe(F.col("_first"))).dropDuplicates(["sig", "_key"])
+    return sure.select("_row.*").union(kept.select("_row.*")).union(signed_rows.where("sig is null").select("_row.*"))
+
+
+def _by_filter(batches: Iterator[pa.RecordBatch], bits, inside: bool) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        hit = in_filter(batch.column("_h").to_numpy().view(np.uint64), bits.value)
+        yield batch.filter(pa.array(hit == inside))
 
 
 def op10_set_relation_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,6 +73,24 @@ def hash_thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     return found.select("source", (F.col("prefix") + nearer).alias("cut"))
 
 
+def mix_plan(rows: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), limit: float = 3.0) -> DataFrame:
+    """(of, source_size, target, passes, cut), one row per source, from written ``rows(source, size, hash)``."""
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    targets = stage(source_targets(sizes, weights, limit), "targets")
+    passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    targets = targets.withColumn("passes", passes)
+    budget = F.round(F.col("target") - F.col("passes") * F.col("source_size")).cast("long")
+    cuts = hash_thresholds(rows, targets.select("source", budget.alias("budget")))
+    plan = targets.alias("t").join(cuts.alias("c"), F.col("t.source").eqNullSafe(F.col("c.source")), "left")
+    return plan.select(F.col("t.source").alias("of"), "source_size", "target", "passes", F.coalesce("cut", F.lit(0)).alias("cut"))
+
+
+def sized_documents(documents: DataFrame) -> DataFrame:
+    """(doc_id, source, size, hash) of every document, written: what the plan is made from."""
+    columns = ("doc_id", "source", text_size(F.col("text")).alias("size"), document_hash(F.col("doc_id")).alias("hash"))
+    return stage(documents.select(*columns), "sizes")
+
+
 def mix_sources(documents: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), limit: float = 3.0) -> DataFrame:
     """How often each document is taken, so that every source's words come near its target.
 
@@ -88,32 +106,26 @@ def mix_sources(documents: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0)
     that of a catalogue (it is broadcast after the documents are summed, a row each); documents are
     never broadcast. Hot sources need no care: they are summed map-side.
     """
-    rows = documents.select("doc_id", "source", text_size(F.col("text")).alias("size"), document_hash(F.col("doc_id")).alias("hash"))
-    rows = stage(rows, "sizes")
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = stage(source_targets(sizes, weights, limit), "targets")
-    passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    targets = targets.withColumn("passes", passes)
-    budget = F.round(F.col("target") - F.col("passes") * F.col("source_size")).cast("long")
-    cuts = hash_thresholds(rows, targets.select("source", budget.alias("budget")))
-    plan = targets.alias("t").join(cuts.alias("c"), F.col("t.source").eqNullSafe(F.col("c.source")), "left")
-    plan = plan.select(F.col("t.source").alias("of"), "source_size", "target", "passes", F.coalesce("cut", F.lit(0)).alias("cut"))
+    rows = sized_documents(documents)
+    plan = mix_plan(rows, weights, limit)
     out = rows.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("of")))
     copies = F.col("passes") + (F.col("hash") < F.col("cut")).cast("long")
     return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
 
 
-def repeated_documents(documents: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The documents of the mix, each as often as it is taken, with the columns of ``documents``.
+def repeated_documents(documents: DataFrame, weights: Sequence[float] = (5.0, 2.0, 1.0), limit: float = 3.0) -> DataFrame:
+    """The documents of the mix, each as often as ``mix_sources`` takes it, with the columns of ``documents``.
 
-    The decision is a function of source and doc_id alone, so one row per pair is joined.
+    The decision is a function of source and doc_id alone: the plan, a row per source, is sent to the scan, and no text is
+    shuffled. The copies of a document follow each other. Null sources, keys and texts as in ``mix_sources``; whole
+    rows go through in one column, so no name of theirs can clash.
     """
-    chosen = mixed.groupBy("doc_id", "source").agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    chosen = chosen.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), "_copies")
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s"))
-    kept = documents.join(chosen, same)
-    kept = kept.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-    return kept.select(*documents.columns)
+    plan = mix_plan(sized_documents(documents), weights, limit).select(F.struct("of", "passes", "cut").alias("_plan"))
+    rows = documents.select(F.struct(*documents.columns).alias("_row")).withColumn("_hash", document_hash(F.col("_row.doc_id")))
+    taken = rows.join(F.broadcast(plan), F.col("_row.source").eqNullSafe(F.col("_plan.of")))
+    copies = F.col("_plan.passes") + (F.col("_hash") < F.col("_plan.cut")).cast("long")
+    kept = taken.select("_row", copies.alias("_copies")).where("_copies > 0")
+    return kept.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select("_row.*")
 
 
 def op8_hash_threshold_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -162,7 +162,7 @@ def test_mixing(spark, documents, odd):
     assert sum(target.values()) == pytest.approx(sum(r["size"] for r in mixed))
     rows = mixing.mix_sources(odd)
     assert rows.count() == len(ODD) and mixing.mix_sources(empty(spark)).count() == 0
-    copies = mixing.repeated_documents(documents, mixing.mix_sources(documents))
+    copies = mixing.repeated_documents(documents)
     assert copies.columns == documents.columns and copies.count() == sum(r["copies"] for r in mixed)
 
 
@@ -361,3 +361,55 @@ def test_template_inside_articles(spark):
     # Half of the pages are copies of one article in different frames.
     got = extracted(spark, [body(0, k) for k in range(12)] + [body(i, i) for i in range(1, 12)])
     assert got == ["T 0\n\nText 0\n\nStorm 0"] * 12 + [f"T {i}\n\nText {i}\n\nStorm {i}" for i in range(1, 12)]
+
+
+def test_words_take_nothing_where_nothing_was_learned(spark):
+    related = "<article><p>One</p><div class='related'>A related study found this</div></article>"
+    got = extracted(spark, [related, "<div class='search results'><p>Only this</p></div>"])
+    assert got == ["One\n\nA related study found this", "Only this"]
+
+
+def test_constants_below_many_levels(spark):
+    nested = lambda i: "<section>" * 60 + f"<p>Greeting of all pages</p><div><p>Text {i}</p></div>"
+    assert extracted(spark, [nested(i) for i in range(20)]) == [f"Text {i}" for i in range(20)]
+
+
+def test_matching_is_the_best_of_all():
+    """Simple tree matching against trying every order-keeping choice of pairs."""
+    def plain(a, b):
+        if a[0] != b[0]:
+            return 0
+
+        def best(x, y):
+            if not x or not y:
+                return 0
+            return max(best(x[1:], y), best(x, y[1:]), best(x[1:], y[1:]) + plain(x[0], y[0]))
+
+        return 1 + best(a[1], b[1])
+
+    def grown(depth):
+        return [random.choice("ab"), [grown(depth - 1) for _ in range(random.randrange(4))] if depth else []]
+
+    random.seed(6)
+    for _ in range(200):
+        a, b = grown(3), grown(3)
+        a[0] = b[0]
+        pairs = wrappers.aligned(a, b)
+        assert wrappers.matching(a, b, {}) == plain(a, b) == len(pairs) and all(x[0] == y[0] for x, y in pairs)
+
+
+def test_summaries_equal_blocks():
+    """One pass from the leaves up finds the same texts at every node as reading each node by itself."""
+    random.seed(7)
+    tags = ["div", "p", "b", "span class=ad", "div class=menu", "br", "article", "section", "a", "nav", "i hidden"]
+    for _ in range(60):
+        text = "".join(random.choice([f"<{random.choice(tags)}>", f"</{random.choice(tags).split()[0]}>", f" w{random.randrange(9)} ", "&amp;x", "  "]) for _ in range(80))
+        root = wrappers.parse(text)
+        wrappers.summarise(root)
+        todo, seen = [root], {}
+        while todo:
+            node = todo.pop()
+            todo += [c for c in node.children() if c.tag not in wrappers.INLINE]
+            found = wrappers.blocks(node, set())
+            assert (node.texts, node.chars) == (len(found), sum(map(len, found)))
+            assert seen.setdefault(node.digest, found) == found
