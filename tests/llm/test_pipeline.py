@@ -56,7 +56,7 @@ def docs(spark):
 def test_language_keeps_what_the_filters_know(spark, docs):
     kept = pipeline.known_language(spark, docs, SF).collect()
     judged = language.identify(docs, language.fit_filters(language.training_rows(docs))).collect()
-    assert ids(kept) == ids([r for r in judged if r["lang_pred"] != "und"])
+    assert ids(kept) == ids([r for r in judged if r["lang_pred"] != "und" and r["score"] >= language.LEAST_SCORE])
     letters = [r for r in docs.collect() if re.search(r"[^\W\d_]", r["text"] or "")]
     assert set(ids(kept)) <= set(ids(letters)) and len(kept) >= 0.98 * len(letters)
 
