@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from deskweave.operators.joins import BROADCAST_ROWS, broadcast_if_small
+from deskweave.operators.joins import BROADCAST_ROWS
 from deskweave.operators.staging import stage
 
 STUCK = -1  # stands for the level of what a cycle holds back
@@ -48,20 +48,30 @@ def levels(nodes: DataFrame, edges: DataFrame, node: str = "node") -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
-def catalogue_levels(edges: DataFrame) -> DataFrame:
-    """``levels`` of all jobs that have an edge. A catalogue of checked size, as is otherwise broadcast, is peeled by the
-    driver without a job per level; a larger one by ``levels``."""
-    rows = edges.select("child", "parent").distinct().limit(BROADCAST_ROWS + 1).collect()
+def _catalogue(edges: DataFrame) -> tuple[DataFrame, DataFrame, list[tuple], bool]:
+    """(node, level) of all jobs with an edge, edges with the levels of both ends, the pairs of levels that edges lead
+    between, and whether the edges may be broadcast.
+
+    A catalogue of checked size, as is otherwise broadcast, is peeled by the driver without a job per level; a larger one by
+    ``levels``.
+    """
+    spark = edges.sparkSession
+    rows = edges.limit(BROADCAST_ROWS + 1).collect()
+    kind, place = edges.schema["child"].dataType, edges.schema["place"].dataType
+    ends = [StructField("child_level", IntegerType()), StructField("parent_level", IntegerType())]
     if len(rows) > BROADCAST_ROWS:
         jobs = edges.select(F.col("child").alias("node")).union(edges.select("parent")).distinct()
-        return stage(levels(jobs, edges), "job-levels")
+        known = stage(levels(jobs, edges), "job-levels")
+        sides = [known.select(F.col("node").alias(end), F.col("level").alias(f"{end}_level")) for end in ("child", "parent")]
+        placed = stage(edges.join(sides[0], "child").join(sides[1], "parent"), "job-edges")
+        return known, placed, [tuple(r) for r in placed.select("child_level", "parent_level").distinct().collect()], False
     waits: dict[object, int] = {}
     children: dict[object, list] = {}
-    for child, parent in rows:
+    for child, parent in {(r["child"], r["parent"]) for r in rows}:
         waits[child] = waits.get(child, 0) + 1
         waits.setdefault(parent, 0)
         children.setdefault(parent, []).append(child)
-    found: dict[object, int] = {}
+    found: dict[object, int | None] = dict.fromkeys(waits)
     ready = [job for job, n in waits.items() if not n]
     level = 0
     while ready:
@@ -70,8 +80,10 @@ def catalogue_levels(edges: DataFrame) -> DataFrame:
         for c in told:
             waits[c] -= 1
         ready, level = [c for c in dict.fromkeys(told) if not waits[c]], level + 1
-    schema = StructType([StructField("node", edges.schema["child"].dataType), StructField("level", IntegerType())])
-    return edges.sparkSession.createDataFrame([(job, found.get(job)) for job in waits], schema)
+    known = spark.createDataFrame(list(found.items()), StructType([StructField("node", kind), StructField("level", IntegerType())]))
+    placed = [(r["child"], r["parent"], r["place"], found[r["child"]], found[r["parent"]]) for r in rows]
+    schema = StructType([StructField("child", kind), StructField("parent", edges.schema["parent"].dataType), StructField("place", place), *ends])
+    return known, spark.createDataFrame(placed, schema), list({p[3:] for p in placed}), True
 
 
 def along(
@@ -91,21 +103,19 @@ def along(
     decides what that means.
     """
     edges = edges.select("child", "parent", "place")
-    known = catalogue_levels(edges)
+    known, placed, pairs, small = _catalogue(edges)
     # Jobs without edges are ready at once.
     of_job = known.select(F.col("node").alias(job), F.coalesce("level", F.lit(STUCK)).alias("level"))
-    work = rows.join(broadcast_if_small(of_job), job, "left").withColumn("level", F.coalesce("level", F.lit(0)))
+    work = rows.join(F.broadcast(of_job) if small else of_job, job, "left").withColumn("level", F.coalesce("level", F.lit(0)))
     work = stage(work, "job-rows", by=("level",))
-    ends = [known.select(F.col("node").alias(end), F.col("level").alias(f"{end}_level")) for end in ("child", "parent")]
-    placed = stage(edges.join(broadcast_if_small(ends[0]), "child").join(broadcast_if_small(ends[1]), "parent"), "job-edges")
-    pairs = [tuple(r) for r in placed.select("child_level", "parent_level").distinct().collect()]
     done: dict[int, DataFrame] = {}
     for (level,) in sorted(work.select("level").distinct().collect()):
         here = work.where(F.col("level") == level)
         sources = [done[p] for c, p in sorted(pairs, key=str) if c == level and p in done]
         if sources:
             news = reduce(DataFrame.unionByName, sources).drop("level")
-            news = news.join(broadcast_if_small(placed.where(F.col("child_level") == level)), F.col(job) == F.col("parent"))
+            arcs = placed.where(F.col("child_level") == level)
+            news = news.join(F.broadcast(arcs) if small else arcs, F.col(job) == F.col("parent"))
             news = news.groupBy(*by, F.col("child").alias(job)).agg(*[c.cast(kind).alias(k) for k, (c, kind) in told.items()])
             here = here.join(news, [*by, job], "left")
         else:
