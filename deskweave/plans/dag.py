@@ -26,11 +26,13 @@ def levels(nodes: DataFrame, edges: DataFrame, node: str = "node") -> DataFrame:
     ``edges`` has child and parent; edges whose parent is not among ``nodes`` are left out. One table is written per level.
     """
     known = stage(nodes.select(node).distinct(), "nodes")
-    open_ = edges.select("child", "parent").distinct().join(known.select(F.col(node).alias("parent")), "parent", "left_semi")
-    # ``gone`` marks edges whose parent has its level; a child all of whose edges are gone is ready.
-    rounds = stage(open_.join(known.select(F.col(node).alias("child")), "child", "left_semi").withColumn("gone", F.lit(False)), "edges")
+    open_ = edges.select("child", "parent").join(known.select(F.col(node).alias("parent")), "parent", "left_semi")
+    # Repeated edges go where the rows already lie by child. ``gone`` marks edges whose parent has its level; a child all of whose
+    # edges are gone is ready.
+    inner = open_.join(known.select(F.col(node).alias("child")), "child", "left_semi").distinct()
+    rounds = stage(inner.withColumn("gone", F.lit(False)), "edges")
     waiting = rounds.select(F.col("child").alias(node)).distinct()
-    ready = known.join(waiting, node, "left_anti")
+    ready = stage(known.join(waiting, node, "left_anti"), "ready")
     found = [ready.withColumn("level", F.lit(0))]
     while True:
         marked = rounds.where(~F.col("gone")).drop("gone").join(ready.select(F.col(node).alias("parent"), F.lit(True).alias("gone")), "parent", "left")
@@ -39,6 +41,8 @@ def levels(nodes: DataFrame, edges: DataFrame, node: str = "node") -> DataFrame:
         if not gone:
             break
         ready = rounds.groupBy(F.col("child").alias(node)).agg(F.bool_and("gone").alias("_all")).where("_all").drop("_all")
+        # Written, as the next round and the result both read it.
+        ready = stage(ready, "ready")
         found.append(ready.withColumn("level", F.lit(len(found))))
         if not left:
             break
