@@ -19,7 +19,7 @@ WORD_PATTERN = "[^\\x20\\x09-\\x0D]+"
 
 # Rows of a batch of whole texts between Spark and Python; Spark's own default of 10,000 is meant for short rows.
 BATCH_ROWS = 1024
-BATCH_BYTES = 1 << 24  # of rows that are large themselves, as those of an index
+BATCH_BYTES = 1 << 22  # of rows that are large themselves, as those of an index
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -29,6 +29,7 @@ CELLS = 1 << 23  # documents x terms of a segment at most, for one document's wo
 POSTINGS = 1 << 21  # entries of a segment at most, beyond its last document
 BLOCK = 96  # documents of a block at most; a list that is not longer has no summaries
 SKETCH = 32  # dimensions in which documents are compared to make blocks
+SKETCHED = 256  # documents whose vectors are laid out at once
 GROUP_BYTES = 1 << 20  # questions are sent to the tasks in groups of about this size
 TERM_PATTERN = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -131,15 +132,16 @@ def _posted(batches: Iterator[pa.RecordBatch], terms, key: str) -> Iterator[pa.R
 
 
 def _squeezed(values: np.ndarray) -> bytes:
-    data = values.tobytes() if values.dtype == np.uint8 else values.astype("<i4").tobytes()
-    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
+    data = pa.py_buffer(np.ascontiguousarray(values if values.dtype == np.uint8 else values.astype("<i4")))
+    return data.size.to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
 
 
-def _bytes(data: bytes) -> bytes:
-    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+def _bytes(data: pa.Buffer | bytes) -> bytes:
+    data = pa.py_buffer(data)
+    return pa.decompress(data.slice(8), int.from_bytes(data.slice(0, 8).to_pybytes(), "little"), "zstd", asbytes=True)
 
 
-def _ints(data: bytes) -> np.ndarray:
+def _ints(data: pa.Buffer | bytes) -> np.ndarray:
     return np.frombuffer(_bytes(data), "<i4").astype(np.int64)
 
 
@@ -199,26 +201,37 @@ class Segment:
         # Documents as vectors of what they can add to a question; in a few random directions, at length one.
         value = (impacts * known.weight[terms]).astype(np.float32)
         signs = np.random.default_rng(1).choice(np.array([-1, 1], np.float32), (self.size, SKETCH))
-        dense = np.zeros((len(entries), self.size), np.float32)
-        dense[doc, terms] = value
-        sketch = dense @ signs
+        sketch = np.empty((len(entries), SKETCH), np.float32)
+        ends = self.starts + entries
+        for low in range(0, len(entries), SKETCHED):
+            high = min(low + SKETCHED, len(entries))
+            own = slice(self.starts[low], ends[high - 1])
+            dense = np.zeros((high - low, self.size), np.float32)
+            dense[doc[own] - low, terms[own]] = value[own]
+            sketch[low:high] = dense @ signs
         sketch /= np.linalg.norm(sketch, axis=1, keepdims=True) + 1e-9
         # Impacts in steps of a 255th of the term's greatest, rounded up, so that summaries stay upper bounds.
         steps = np.zeros((len(entries), self.size), np.uint8)
         steps[doc, terms] = -(-255 * impacts // np.maximum(self.tops[terms], 1))
+        del value, doc
         sizes: list[np.ndarray] = []
-        summaries: list[np.ndarray] = [np.empty((0, self.size), np.uint8)]
         self.blocks = np.zeros(self.size, np.int64)
-        for t in np.flatnonzero(self.lists > BLOCK).tolist():
+        long = np.flatnonzero(self.lists > BLOCK).tolist()
+        for t in long:
             some = members[begin[t] : begin[t] + self.lists[t]]
-            ordered, size = blocked(some, sketch, t)
-            members[begin[t] : begin[t] + self.lists[t]] = ordered
-            summaries.append(np.maximum.reduceat(steps[ordered], np.cumsum(size) - size, axis=0))
+            some[:], size = blocked(some, sketch, t)
             sizes.append(size)
             self.blocks[t] = len(size)
+        # All summaries have their place before the first is made: no second copy of them is held.
+        self.summaries = np.empty((int(self.blocks.sum()), self.size), np.uint8)
+        first = 0
+        for t, size in zip(long, sizes):
+            at = begin[t]
+            for n in size.tolist():
+                np.max(steps[members[at : at + n]], axis=0, out=self.summaries[first])
+                at, first = at + n, first + 1
         self.members = members
         self.sizes = np.concatenate([*sizes, np.empty(0, np.int64)]).astype(np.int64)
-        self.summaries = np.concatenate(summaries)
         return self.placed()
 
     def placed(self) -> Segment:
@@ -325,8 +338,11 @@ def _indexed(batches: Iterator[pa.RecordBatch], known) -> Iterator[pa.RecordBatc
         for i in range(batch.num_rows):
             if not len(batch.column("docs")[i]):
                 continue
-            segment = Segment.built(*(_ints(batch.column(c)[i].as_py()) for c in ("lengths", "entries", "terms", "counts")), known.value)
-            yield pa.RecordBatch.from_arrays([batch.column("docs").slice(i, 1), *(pa.array([x], pa.binary()) for x in segment.packed())], names=["docs", *INDEX_NAMES])
+            segment = Segment.built(*(_ints(batch.column(c)[i].as_buffer()) for c in ("lengths", "entries", "terms", "counts")), known.value)
+            packed = segment.packed()
+            del segment
+            yield pa.RecordBatch.from_arrays([batch.column("docs").slice(i, 1), *(pa.array([x], pa.binary()) for x in packed)], names=["docs", *INDEX_NAMES])
+            pa.default_memory_pool().release_unused()
 
 
 def _answered(batches: Iterator[pa.RecordBatch], asked, known, k: int) -> Iterator[pa.RecordBatch]:
@@ -338,7 +354,7 @@ def _answered(batches: Iterator[pa.RecordBatch], asked, known, k: int) -> Iterat
         questions.append((number, Question(terms[good], (weight[terms] * often)[good], k)))
     for batch in batches:
         for i in range(batch.num_rows):
-            segment = Segment.unpacked([batch.column(c)[i].as_py() for c in INDEX_NAMES], len(weight))
+            segment = Segment.unpacked([batch.column(c)[i].as_buffer() for c in INDEX_NAMES], len(weight))
             keys = batch.column("docs")[i].values
             missing = keys.is_null().to_numpy(zero_copy_only=False)
             values = keys.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)

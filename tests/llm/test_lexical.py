@@ -109,3 +109,17 @@ def test_bounds_are_upper_bounds_and_blocks_are_skipped():
         assert q.keys.tolist() == best.tolist() and q.scores.tolist() == scores[best].tolist()
         visited, skipped = visited + q.visited, skipped + q.skipped
     assert skipped > visited
+
+
+def test_a_segment_is_built_without_a_second_copy_of_its_summaries():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    n, size, each = 1024, 4000, 60
+    terms = np.concatenate([np.sort(rng.choice(400, each, replace=False)) for _ in range(n)])
+    known = lexical.Statistics(n, n * each, np.full(size, 3000, np.int64))
+    tracemalloc.start()
+    segment = lexical.Segment.built(np.full(n, each), np.full(n, each), terms, np.ones(n * each, np.int64), known)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(segment.summaries) == segment.blocks.sum() and peak < segment.summaries.nbytes + 4 * n * size
