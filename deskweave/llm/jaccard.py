@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from deskweave.llm.common import SpanHasher, bit_filter, in_filter, keyed_schema, lowered, mixed, read, signed, texts_of, utf8_steps, word_spans
@@ -23,6 +23,7 @@ FAMILY_BYTES = 1 << 22  # of their differences
 COLUMNS = 2048  # members that are multiplied out together
 PAIRS = 1 << 18  # handed on together
 FOLLOWED = 4  # leaders of leaders
+LENIENT = 4  # a leader that is met in this part of the lists that a link needs is compared at once
 BLOCK = 1 << 16  # pairs looked at together within a list
 MEMBER_BYTES = 6  # of a member's hash in a set that is written or shuffled
 TOKEN_BYTES = 5  # of a prefix member's hash where repeated ones are looked for
@@ -84,6 +85,17 @@ def shared_least(a, b, percent: int = PERCENT):
     return -(-percent * (a + b) // (100 + percent))
 
 
+def least_prefix(a, b, percent: int = PERCENT):
+    """Least number of common prefix members of linked sets of sizes a and b.
+
+    Prefixes follow one order of all members. Take the set whose prefix ends first: its prefix members that the other set
+    holds are in the other's prefix too, so what is common is at most the common prefix members and what follows
+    this prefix. The larger set has more behind its prefix, and is taken here whichever ends first.
+    """
+    larger = (a + b + abs(a - b)) // 2
+    return shared_least(a, b, percent) + 1 + -percent * larger // 100
+
+
 def _signed_sets(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
     make = Shingler()
     for batch in batches:
@@ -295,9 +307,9 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keep[-1] = False
             carried, lead, before = [c[-1:] for c in (token, sig, size, place)], [c[-1:] for c in leads], bool(near[-1]) if len(near) else before
         possible = _possible(size, place, leads[1], leads[2]) & (sig != leads[0])
-        out = [token, sig, size.astype(np.int32), place.astype(np.int32), leads[0], possible]
+        out = [token, sig, size.astype(np.int32), place.astype(np.int32), leads[0], leads[1].astype(np.int32), possible]
         if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in out], names=[*names, "lead", "possible"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in out], names=[*names, "lead", "lead_size", "possible"])
 
     for batch in batches:
         if batch.num_rows:
@@ -363,20 +375,25 @@ def _linked(pairs: DataFrame) -> DataFrame:
 
 
 def _other_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Within each list, pairs of sets of different components that sizes, places and the leader leave open.
+    """Within each list, pairs of sets of different components that sizes, places and the leader leave open, with the number
+    of lists that hold them and the least number that linked sets are in together. A list may drop a pair that cannot be linked.
 
     If both sets' distances to a common leader were measured, by the triangle inequality
     of the Jaccard distance a pair whose distances differ by more than the limit cannot be linked.
     """
     limit = 1 - PERCENT / 100 + 1e-9
-    columns = ["token", "root", "sig", "size", "place", "lead", "family", "distance"]
+    columns = ["token", "root", "sig", "size", "place", "weight", "lead", "family", "distance"]
 
     def pair_batch(found: list[np.ndarray]) -> pa.RecordBatch:
-        pairs = np.unique(np.concatenate(found, 1), axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+        a, b, n, need = np.concatenate(found, 1)
+        order = np.lexsort((b, a))
+        a, b, n, need = a[order], b[order], n[order], need[order]
+        first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (a[first], b[first], np.add.reduceat(n, first), need[first])], names=["a", "b", "n", "need"])
 
-    for token, root, sig, size, place, lead, family, distance in _runs(batches, columns, BLOCK):
+    for token, root, sig, size, place, weight, lead, family, distance in _runs(batches, columns, BLOCK):
         size = size.astype(np.int64)
+        measured_lead = ~np.isnan(distance)
         border = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
         found: list[np.ndarray] = []
         n = 0
@@ -386,11 +403,12 @@ def _other_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for i in range(start, end):
                     later = slice(end, b)
                     far = (lead[later] == lead[i]) & (np.abs(distance[i] - distance[later]) > limit)
-                    told = far | (family[later] == family[i]) | (lead[later] == sig[i]) | (sig[later] == lead[i])
+                    told = far | (family[later] == family[i]) | (lead[later] == sig[i]) & measured_lead[later] | (sig[later] == lead[i]) & measured_lead[i]
                     open_ = _possible(size[i], place[i], size[later], place[later]) & ~told
                     other = sig[later][open_]
                     if len(other):
-                        found.append(np.stack([np.minimum(other, sig[i]), np.maximum(other, sig[i])]))
+                        need = least_prefix(size[later][open_], size[i])
+                        found.append(np.stack([np.minimum(other, sig[i]), np.maximum(other, sig[i]), np.full(len(other), weight[i]), need]))
                         n += len(other)
                         if n >= PAIRS:
                             yield pair_batch(found)
@@ -405,13 +423,15 @@ def link_sets(documents: DataFrame) -> DataFrame:
     Sets are linked from ``PERCENT`` of their union on. Members are ordered by the frequency counters, rarest
     first; linked sets share a member of their prefixes. Per member that several sets hold a list of its sets is made:
 
-    1. In each list the leader of a class of size is compared with the other sets of the class. Sizes and places in the prefixes skip pairs
-       without reading a set; the others are measured exactly, each pair once.
+    Lists of the same sets are one list that counts as many, and sets that are in too few lists to be linked go (``linkable_entries``).
+
+    1. In each list the leader of a class of size is compared with the other sets of the class that it often leads. Sizes and places in
+       the prefixes skip pairs without reading a set; the others are measured exactly, each pair once.
     2. Sets that are often listed with the same central set are its family. Each is compared with it once and kept
        as what it drops and adds; all answers within the family follow from these differences, without
        the sets and without listing pairs.
-    3. Only pairs of different components and families are still open; by the distances to the first leader many
-       are answered without a comparison, the rest is measured exactly.
+    3. Only pairs of different components and families are still open; by the distances to the first leader and by the number of
+       lists that hold both (``least_prefix``) many are answered without a comparison, the rest is measured exactly.
 
     So the pairs of a large group of copies, near or not so near, are never listed.
     """
@@ -420,9 +440,12 @@ def link_sets(documents: DataFrame) -> DataFrame:
     postings = documents.select("text").mapInArrow(lambda b: _postings(b, counters, repeated), "token long, sig long, size int, place int")
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = postings.repartition(parts, "token").sortWithinPartitions("token", "size", "sig")
-    lists = stage(ordered.mapInArrow(_lists, "token long, sig long, size int, place int, lead long, possible boolean"), "lists")
+    every = "token long, sig long, size int, place int, lead long, lead_size int, possible boolean"
+    lists = linkable_entries(stage_bucketed(ordered.mapInArrow(_lists, every), "all-lists", "token"))
     sets = listed_sets(documents, lists.select("sig").distinct())
-    done = stage(lists.where("possible").select(F.col("lead").alias("a"), F.col("sig").alias("b")).distinct(), "pairs")
+    # A leader that is met in few lists is left to the open pairs, where all lists count.
+    met = lists.where("possible").groupBy(F.col("lead").alias("a"), F.col("sig").alias("b")).agg(F.sum("weight").alias("n"), F.min(_least_prefix("lead_size", "size")).alias("need"))
+    done = stage(met.where(F.col("n") * LENIENT >= F.col("need")).select("a", "b"), "pairs")
     first = measured(sets, done)
     links = _linked(first)
     families = stage(family_differences(sets, _open_entries(lists, components(links))), "families")
@@ -432,12 +455,39 @@ def link_sets(documents: DataFrame) -> DataFrame:
     entries = _open_entries(lists, components(links)).join(known, ["lead", "sig"], "left").join(kin, "sig", "left")
     # No number stands for a distance that was not measured; it closes nothing.
     distance = F.when(F.col("sig") == F.col("lead"), 0.0).otherwise(F.coalesce("distance", F.lit(float("nan"))))
-    entries = entries.select("token", "root", "sig", "size", "place", "lead", F.coalesce("family", "sig").alias("family"), distance.alias("distance"))
-    open_pairs = entries.repartition(parts, "token").sortWithinPartitions("token", "root", "sig").mapInArrow(_other_pairs, "a long, b long")
-    open_pairs = stage(open_pairs.distinct().join(done, ["a", "b"], "left_anti"), "pairs")
+    entries = entries.select("token", "root", "sig", "size", "place", "weight", "lead", F.coalesce("family", "sig").alias("family"), distance.alias("distance"))
+    open_pairs = entries.repartition(parts, "token").sortWithinPartitions("token", "root", "sig").mapInArrow(_other_pairs, "a long, b long, n long, need long")
+    open_pairs = open_pairs.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need")).where("n >= need").select("a", "b")
+    open_pairs = stage(open_pairs.join(done, ["a", "b"], "left_anti"), "pairs")
     return components(links.union(_linked(measured(sets, open_pairs))))
 
 
+def _least_prefix(a: str, b: str) -> Column:
+    """``least_prefix`` of two columns of sizes."""
+    larger = F.greatest(a, b).cast("long")
+    least = F.ceil((F.col(a).cast("long") + F.col(b)) * PERCENT / F.lit(float(100 + PERCENT)))
+    return least + 1 - F.ceil(larger * PERCENT / F.lit(100.0))
+
+
+def linkable_entries(lists: DataFrame) -> DataFrame:
+    """Entries of ``lists``, in buckets of their token, that may link two sets, with the ``weight`` of their list.
+
+    Neighbouring shingles are mostly held by the same sets. Of lists of the same sets that with the smallest token stays, and
+    weighs as many as they are: its places hold for all its pairs. Linked sets share ``least_prefix`` lists at least, so a set
+    that is in fewer lists than its linked sets of the sizes met there would need, can be linked with none and goes.
+    """
+    marks = [F.bit_xor(F.xxhash64("sig", F.lit(k))).alias(f"h{k}") for k in range(2)]
+    content = lists.groupBy("token").agg(*marks, F.count("*").alias("n"), F.min("size").alias("low"), F.max("size").alias("high"))
+    chosen = content.groupBy("h0", "h1", "n").agg(F.min("token").alias("token"), F.count("*").alias("weight"), F.min("low").alias("low"), F.max("high").alias("high"))
+    entries = stage(lists.join(chosen.drop("h0", "h1", "n"), "token"), "lists")
+    # What is needed is least for the sizes that differ most, but for what rounding adds, 1 at most.
+    low = F.greatest("low", F.ceil(F.col("size") * PERCENT / F.lit(100.0)).cast("int")).alias("low")
+    high = F.least("high", F.floor(F.col("size") * 100 / F.lit(float(PERCENT))).cast("int")).alias("high")
+    needed = entries.select("sig", "weight", "size", low, high).select("sig", "weight", (F.least(_least_prefix("size", "low"), _least_prefix("size", "high")) - 1).alias("need"))
+    some = needed.groupBy("sig").agg(F.sum("weight").alias("n"), F.min("need").alias("need")).where("n >= need").select("sig")
+    return stage(entries.drop("low", "high").join(some, "sig"), "linkable")
+
+
 def family_differences(sets: DataFrame, entries: DataFrame) -> DataFrame:
     """(lead, sig, size, dropped, added): each set of a family as its difference from the family's central set.
 
@@ -446,11 +496,11 @@ def family_differences(sets: DataFrame, entries: DataFrame) -> DataFrame:
     half of it. The central set is one of its family, without differences.
     """
     lengths = entries.groupBy("token").agg(F.count("*").alias("length"))
-    central = entries.join(lengths, "token").groupBy("sig").agg((F.sum("length") / F.max("size")).alias("central"))
+    central = entries.join(lengths, "token").groupBy("sig").agg((F.sum(F.col("length") * F.col("weight")) / F.max("size")).alias("central"))
     rank = F.struct(-F.col("central"), F.col("sig").alias("lead"))
-    entries = entries.select("token", "sig").join(central, "sig")
+    entries = entries.select("token", "sig", "weight").join(central, "sig")
     chosen = entries.groupBy("token").agg(F.min(rank)["lead"].alias("lead"))
-    votes = entries.join(chosen, "token").where("sig <> lead").groupBy("sig", "lead").agg(F.count("*").alias("n"))
+    votes = entries.join(chosen, "token").where("sig <> lead").groupBy("sig", "lead").agg(F.sum("weight").alias("n"))
     pairs = votes.groupBy("sig").agg(F.max(F.struct("n", "lead"))["lead"].alias("lead"))
     pairs = stage(pairs, "kin")
     # A leader may follow a more central one; its family goes with it.

@@ -299,6 +299,47 @@ def test_list_entries_do_not_depend_on_batches():
     assert [(r["token"], r["size"], r["sig"]) for r in results[0]] == near
 
 
+def test_sets_that_share_too_few_prefix_members_are_not_read(spark, monkeypatch):
+    def text(start: int, n: int = 300) -> str:
+        return " ".join(f"w{i}" for i in range(start, start + n))
+
+    words = [f"w{i}" for i in range(5000, 5300)]
+    near = words[:150] + ["x"] + words[151:]
+    texts = [text(0), text(295), text(1000, 297) + " a b c", text(2000), " ".join(words), " ".join(near)]
+    read = []
+
+    def listed(documents, sigs):
+        read.append(sigs.count())
+        return whole(documents, sigs)
+
+    whole = jaccard.listed_sets
+    monkeypatch.setattr(jaccard, "listed_sets", listed)
+    # Each text but the near copies shares six words, two shingles, with the one before or with a fifth text.
+    texts[3] = texts[3] + " " + " ".join(f"w{i}" for i in range(1000, 1006))
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = {r[0]: (r[1], r[2]) for r in jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain_components(rows) and got[5][1] == 4
+    assert read == [2]
+
+
+def test_least_prefix_and_lists_of_the_same_sets(spark):
+    rng = np.random.default_rng(1)
+    for a, b in rng.integers(1, 400, (300, 2)).tolist():
+        low, high = min(a, b), max(a, b)
+        if 100 * low >= 80 * high:
+            # Whichever prefix ends first, fewer common prefix members leave too few common members.
+            assert jaccard.least_prefix(a, b) - 1 + high - (high - -(-80 * high // 100) + 1) < jaccard.shared_least(a, b)
+            assert jaccard.least_prefix(np.array([a]), np.array([b]))[0] == plain_least(a, b)
+    rows = [(t, s, 10, t, 1, 10, False) for t in (7, 8, 9) for s in (1, 2)] + [(t, s, 10, 0, 1, 10, False) for t in (3, 4) for s in (1, 2, 3)]
+    lists = spark.createDataFrame(rows, "token long, sig long, size int, place int, lead long, lead_size int, possible boolean")
+    got = {(r["token"], r["sig"], r["place"], r["weight"]) for r in jaccard.linkable_entries(lists).collect()}
+    assert got == {(7, 1, 7, 3), (7, 2, 7, 3), (3, 1, 0, 2), (3, 2, 0, 2), (3, 3, 0, 2)}
+
+
+def plain_least(a: int, b: int) -> int:
+    return -(-80 * (a + b) // 180) - -(-80 * max(a, b) // 100) + 1
+
+
 def test_common_counts():
     rng = np.random.default_rng(0)
     rows = [np.unique(rng.integers(0, 60, rng.integers(0, 25)).astype(np.uint64)) for _ in range(30)]
