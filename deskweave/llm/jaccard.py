@@ -68,15 +68,28 @@ def signature(members: np.ndarray) -> int:
 
 def packed(members: np.ndarray) -> bytes:
     """A sorted set by the leading bytes of its hashes. Two sets of a thousand members take a wrong member for a
-    common one once in 280 million pairs; place, size and signature are from the whole hashes."""
-    lead = members >> np.uint64(64 - 8 * MEMBER_BYTES)
-    return lead.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :MEMBER_BYTES].tobytes()
+    common one once in 280 million pairs; place, size and signature are from the whole hashes.
+
+    The first byte does not fall from member to member, so it takes a bit or two: a one for each member, a zero for each step.
+    """
+    lead, n = members >> np.uint64(64 - 8 * MEMBER_BYTES), len(members)
+    steps = np.zeros(n + 256, bool)
+    steps[(members >> np.uint64(56)).astype(np.int64) + np.arange(n)] = True
+    body = lead.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : MEMBER_BYTES - 1]
+    return body.tobytes() + np.packbits(steps).tobytes()
+
+
+def members_of(size: int) -> int:
+    """Members of a packed set of so many bytes."""
+    return (8 * size - 256) // (8 * MEMBER_BYTES - 7)
 
 
 def unpacked(value: pa.BinaryScalar) -> np.ndarray:
-    body = np.frombuffer(value.as_buffer(), np.uint8).reshape(-1, MEMBER_BYTES)
-    out = np.zeros((len(body), 8), np.uint8)
-    out[:, :MEMBER_BYTES] = body
+    raw = np.frombuffer(value.as_buffer(), np.uint8)
+    n = members_of(len(raw))
+    out = np.zeros((n, 8), np.uint8)
+    out[:, : MEMBER_BYTES - 1] = raw[: n * (MEMBER_BYTES - 1)].reshape(n, MEMBER_BYTES - 1)
+    out[:, MEMBER_BYTES - 1] = np.flatnonzero(np.unpackbits(raw[n * (MEMBER_BYTES - 1) :])) - np.arange(n)
     return out.view("<u8").ravel()
 
 
@@ -342,7 +355,7 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = []
         for a, b in zip(batch.column("x"), batch.column("y")):
             n.append(len(np.intersect1d(unpacked(a), unpacked(b), assume_unique=True)))
-        sizes = [pa.array([len(v.as_buffer()) // MEMBER_BYTES for v in batch.column(c)], pa.int64()) for c in ("x", "y")]
+        sizes = [pa.array([members_of(len(v.as_buffer())) for v in batch.column(c)], pa.int64()) for c in ("x", "y")]
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *sizes, pa.array(n, pa.int64())], names=["a", "b", "na", "nb", "common"])
 
 

@@ -336,6 +336,16 @@ def test_least_prefix_and_lists_of_the_same_sets(spark):
     assert got == {(7, 1, 7, 3), (7, 2, 7, 3), (3, 1, 0, 2), (3, 2, 0, 2), (3, 3, 0, 2)}
 
 
+def test_packed_sets():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 2, 37, 800, 5000):
+        members = np.unique(rng.integers(0, 1 << 64, n, np.uint64))
+        members = np.unique(np.concatenate([members, np.array([0, (1 << 64) - 1], np.uint64)])) if n == 800 else members
+        body = jaccard.packed(members)
+        assert (jaccard.unpacked(pa.scalar(body, pa.binary())) == members >> np.uint64(16)).all() and jaccard.members_of(len(body)) == len(members)
+        assert n < 800 or len(body) < 5.4 * len(members)
+
+
 def plain_least(a: int, b: int) -> int:
     return -(-80 * (a + b) // 180) - -(-80 * max(a, b) // 100) + 1
 
