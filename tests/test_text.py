@@ -1,7 +1,10 @@
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from deskweave.functions import responses as R
 from deskweave.functions import text as X
+from deskweave.functions import words as W
 from deskweave.functions.html import html_text, html_text_exact
 from deskweave.functions.nested import normalised_nested
 from deskweave.sources.tables import table
@@ -81,3 +84,19 @@ def test_native_page_text_equals_the_parser(spark):
     rows = spark.createDataFrame(list(enumerate(pages)), "i int, t string")
     for r in rows.select("t", html_text("t").alias("native"), html_text_exact("t").alias("exact")).collect():
         assert (r["native"] or "") == r["exact"], r["t"]
+
+
+def test_vocabulary_counts_are_those_of_the_tokens(spark, monkeypatch):
+    texts = ["", "a", "..a", "..ab c. -x_y the the", "é1a b İX-9 K9", "x" * 40 + " ab", "-._", "ab", "ab", "9_ 9_ ß9.z\u00009q the", "日本ab語cd"]
+    random = np.random.default_rng(3)
+    texts += ["".join(random.choice(list("aB9._- éthe\n"), 30)) for _ in range(200)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    tokens = {r["i"]: r["w"] for r in rows.select("i", X.tokens("t").alias("w")).collect()}
+    vocabulary = sorted({w for ws in tokens.values() for w in ws})[::2] + ["nowhere"]
+    want = {(i, len(ws), w, ws.count(w)) for i, ws in tokens.items() for w in set(ws) & set(vocabulary)} | {(i, len(ws), "!", 1) for i, ws in tokens.items()}
+    lowered = rows.select("i", F.lower("t").alias("t")).toArrow().combine_chunks()
+    for step in (16, 1 << 20):
+        monkeypatch.setattr(W, "STEP_BYTES", step)
+        got = [tuple(r.values()) for b in W.vocabulary_counts(iter(lowered.to_batches(max_chunksize=50)), "t", ["i"], vocabulary, "!") for r in b.to_pylist()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert not list(W.vocabulary_counts(iter([pa.record_batch({"i": pa.array([], pa.int64()), "t": pa.array([], pa.string())})]), "t", ["i"], vocabulary, "!"))
