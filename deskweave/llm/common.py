@@ -165,3 +165,17 @@ def in_filter(hashes: np.ndarray, words: np.ndarray) -> np.ndarray:
         slot = (hashes >> np.uint64(k) & np.uint64(len(words) * 64 - 1)).astype(np.int64)
         found &= (words[slot >> 6] >> (slot & 63)) & 1 == 1
     return found
+
+
+def by_filter(rows: DataFrame, column: str, words: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose hash in ``column`` is not in the filter, and those whose hash is; no row goes through Python.
+
+    The filter is sent as the one row of a table. Its column is called ``_words``, which ``rows`` must not have.
+    """
+    spark = rows.sparkSession
+    table = spark.createDataFrame(pa.table({"_words": pa.array([words], pa.list_(pa.int64()))}))
+    held = F.lit(True)
+    for k in PROBES:
+        slot = f"(shiftrightunsigned(`{column}`, {k}) & {len(words) * 64 - 1}L)"
+        held &= F.expr(f"(shiftrightunsigned(get(_words, cast(shiftright({slot}, 6) as int)), cast({slot} & 63 as int)) & 1L) = 1L")
+    return tuple(rows.join(F.broadcast(table), held, how) for how in ("left_anti", "left_semi"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deskweave.llm.common import SpanHasher, bit_filter, in_filter, keyed_schema, lowered, mixed, read, signed, texts_of, utf8_steps, word_spans
+from deskweave.llm.common import SpanHasher, bit_filter, by_filter, in_filter, keyed_schema, lowered, mixed, read, signed, texts_of, utf8_steps, word_spans
 from deskweave.llm.components import components
 from deskweave.operators.staging import stage, stage_bucketed
 
@@ -669,21 +669,14 @@ def one_per_component(documents: DataFrame, key: str = "doc_id") -> DataFrame:
     stays = (F.col("sig") == F.col("_sig")) & F.col(key).eqNullSafe(F.col("_first"))
     doubtful = pairs.where("n > 1").select("sig", key).union(pairs.select("sig", key).join(winners, stays, "left_anti"))
     hashed = F.xxhash64(F.col(key)).alias("_h")
-    bits = documents.sparkSession.sparkContext.broadcast(bit_filter(stage(doubtful.select(hashed).distinct(), "doubtful"), "_h", FILTER_BITS))
-    whole = documents.select(F.struct(*documents.columns).alias("_row"), hashed)
-    sure = whole.mapInArrow(lambda b: _by_filter(b, bits, False), whole.schema).select("_row")
-    rest = whole.mapInArrow(lambda b: _by_filter(b, bits, True), whole.schema).select("_row")
+    bits = bit_filter(stage(doubtful.select(hashed).distinct(), "doubtful"), "_h", FILTER_BITS)
+    # Most texts are only read and written here: that takes no memory of a Python worker.
+    sure, rest = (rows.select("_row") for rows in by_filter(documents.select(F.struct(*documents.columns).alias("_row"), hashed), "_h", bits))
     signed_rows = rest.mapInArrow(lambda b: _signed_sets(b, "_row"), keyed_schema(rest, "_row", "n_shingles long, sig long"))
     signed_rows = signed_rows.withColumn("_key", F.col(f"_row.{key}"))
     kept = signed_rows.join(winners, (F.col("sig") == F.col("_sig")) & F.col("_key").eqNullSafe(F.col("_first"))).dropDuplicates(["sig", "_key"])
     return sure.select("_row.*").union(kept.select("_row.*")).union(signed_rows.where("sig is null").select("_row.*"))
 
 
-def _by_filter(batches: Iterator[pa.RecordBatch], bits, inside: bool) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        hit = in_filter(batch.column("_h").to_numpy().view(np.uint64), bits.value)
-        yield batch.filter(pa.array(hit == inside))
-
-
 def op10_set_relation_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read(spark, sf_dir, "documents"))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline as pipeline
-from deskweave.llm import bpe, jaccard, language, mixing, toxicity
+from deskweave.llm import bpe, common, jaccard, language, mixing, toxicity
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -83,6 +83,24 @@ def test_doubtful_keys_with_several_texts(spark):
         [(1, "a b c d e f g", "x"), (2, "q r s t u v w", "z"), (None, "h i j k l m", "m"), (4, None, "o"), (4, None, "o")], key=str)
 
 
+def test_rows_that_stay_do_not_go_through_python(spark):
+    rows = [(i, f"{'a b c d e' if i % 10 == 0 else f'w{i} x{i} y{i} z{i} v{i}'} f", "x") for i in range(60)] + [(None, "", "n"), (7, None, "m")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _words string")
+    kept = jaccard.one_per_component(df)
+    assert sorted(map(str, kept.collect())) == sorted(str(r) for r in df.collect() if r["doc_id"] is None or r["doc_id"] % 10 or r["doc_id"] == 0)
+    # What is left are the doubtful rows: once for those that are joined, once for those without words.
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2
+
+
+def test_filter_agrees_with_its_python_form(spark):
+    hashes = np.random.default_rng(1).integers(-(1 << 63), (1 << 63) - 1, 600)
+    rows = spark.createDataFrame([(int(h),) for h in hashes], "h long")
+    words = common.bit_filter(spark.createDataFrame([(int(h),) for h in hashes[:200]], "h long"), "h", 1 << 10)
+    outside, inside = (sorted(r["h"] for r in part.collect()) for part in common.by_filter(rows, "h", words))
+    hit = common.in_filter(hashes.view(np.uint64), words)
+    assert inside == sorted(hashes[hit]) and outside == sorted(hashes[~hit]) and 200 <= len(inside) < 600
+
+
 def test_mix_repeats_documents(spark, docs):
     named = docs.selectExpr("*", "7 AS _copies", "'d' AS _d", "1 AS _s", "77 AS _copy", "3 AS _row", "2 AS of")
     taken = Counter(tuple(r) for r in mixing.repeated_documents(named).collect())
