@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,8 +44,16 @@ def fold(key: Column, parts: int) -> Column:
     return (F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % parts).cast("int")
 
 
+def give_back() -> None:
+    """Return freed memory to the system. A worker that waits for its next task would keep it beside those that work."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+    if trim is not None:
+        trim(0)
+
+
 def utf8_steps(column: pa.Array, limit: int = STEP_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Runs of rows as (first row, byte offsets from 0, bytes). A null text counts as empty."""
+    """Runs of rows as (first row, byte offsets from 0, bytes). A null text counts as empty. Memory is given back after a batch."""
     column = column.cast(pa.large_string()).fill_null("")
     if not len(column):
         return
@@ -57,6 +66,7 @@ def utf8_steps(column: pa.Array, limit: int = STEP_BYTES) -> Iterator[tuple[int,
         last = min(max(last, first + 1), len(column))
         yield first, at[first : last + 1] - at[first], raw[at[first] : at[last]]
         first = last
+    give_back()
 
 
 def _lower_table() -> np.ndarray:

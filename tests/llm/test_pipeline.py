@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline as pipeline
@@ -101,6 +102,14 @@ def test_filter_agrees_with_its_python_form(spark):
     assert inside == sorted(hashes[hit]) and outside == sorted(hashes[~hit]) and 200 <= len(inside) < 600
 
 
+def test_workers_give_freed_memory_back_after_each_batch(monkeypatch):
+    given = []
+    monkeypatch.setattr(common, "give_back", lambda give=common.give_back: given.append(give()))
+    batches = [pa.record_batch({"doc_id": pa.array([1, 2]), "text": pa.array(["a b c d e f", None])}) for _ in range(3)]
+    rows = [r for b in jaccard._signed_sets(iter(batches), "doc_id") for r in b.to_pylist()]
+    assert [r["n_shingles"] for r in rows] == [2, 0] * 3 and len(given) == 3
+
+
 def test_mix_repeats_documents(spark, docs):
     named = docs.selectExpr("*", "7 AS _copies", "'d' AS _d", "1 AS _s", "77 AS _copy", "3 AS _row", "2 AS of")
     taken = Counter(tuple(r) for r in mixing.repeated_documents(named).collect())
