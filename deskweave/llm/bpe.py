@@ -11,9 +11,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import DataType, LongType, StringType, StructField, StructType
 
-from deskweave.llm.common import SpanHasher, bit_filter, in_filter, keyed_schema, read, signed, utf8_steps
+from deskweave.llm.common import SpanHasher, bit_filter, giving_back, in_filter, read, signed, utf8_steps
 from deskweave.operators.staging import stage
 
 WINDOW = 32  # bytes that decide whether a chunk ends
@@ -129,13 +129,13 @@ def _chunk_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(signed(hashes)), pa.array(n.astype(np.int64))], names=["hash", "n"])
 
 
-def shared_filter(documents: DataFrame) -> np.ndarray:
-    """A filter of the hashes of all chunks that occur more than once in all texts.
+def shared_filter(documents: DataFrame, before=iter) -> np.ndarray:
+    """A filter of the hashes of all chunks that occur more than once in all texts that ``before`` makes of the batches.
 
     A fuller filter marks more chunks as shared: these are encoded once and joined for nothing, the
     result stays the same.
     """
-    counts = documents.select("text").mapInArrow(_chunk_hashes, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    counts = documents.mapInArrow(lambda b: giving_back(_chunk_hashes(before(b))), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
     return bit_filter(stage(counts.where("n > 1").select("hash"), "chunks"), "hash", MOST_FILTER_BITS)
 
 
@@ -275,25 +275,30 @@ def encode(documents: DataFrame, ranks_path: str | None = None, key: str = "doc_
     key stays null; repeated rows are encoded each; an empty table gives no rows; other columns are not read.
     ``ranks_path`` (driver's file, under a megabyte) is sent to the tasks by value.
     """
+    return _encode(documents.select(key, "text"), documents.select("text"), key, documents.schema[key].dataType, ranks_path, decoded)
+
+
+def _encode(documents: DataFrame, texts: DataFrame, key: str, kind: DataType, ranks_path: str | None, decoded: bool = False, before=iter) -> DataFrame:
+    """``encode`` for the rows (key of type ``kind``, text) that ``before`` makes of the batches of ``documents``, and of ``texts``
+    where the key is not needed. Steps that follow each other share one Python worker instead of one each."""
     spark = documents.sparkSession
     with open(ranks_path or vocabulary_path(), "rb") as file:
         ranks = spark.sparkContext.broadcast(file.read())
-    documents = documents.select(key, "text")
-    bits = spark.sparkContext.broadcast(shared_filter(documents))
-    ids = keyed_schema(documents, key, "ids binary, decoded string" if decoded else "ids binary")
+    bits = spark.sparkContext.broadcast(shared_filter(texts, before))
+    keyed = lambda rest: StructType([StructField(key, kind), *StructType.fromDDL(rest).fields])
+    ids = keyed("ids binary, decoded string" if decoded else "ids binary")
 
-    # Steps that follow each other share one Python worker instead of one each.
     def finished(encoded: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _decoded(encoded, ranks) if decoded else encoded
+        return giving_back(_decoded(encoded, ranks) if decoded else encoded)
 
-    alone = documents.mapInArrow(lambda b: finished(_encoded(_alone(b, bits, key), ranks, key, "text")), ids)
-    pieces = documents.select("text").mapInArrow(lambda b: _pieces(b, bits), "digest binary, place int, chunk binary, body binary")
+    alone = documents.mapInArrow(lambda b: finished(_encoded(_alone(before(b), bits, key), ranks, key, "text")), ids)
+    pieces = texts.mapInArrow(lambda b: giving_back(_pieces(before(b), bits)), "digest binary, place int, chunk binary, body binary")
     pieces = stage(pieces, "pieces")
     bodies = pieces.where("body is not null").groupBy("chunk").agg(F.first("body").alias("body"))
-    chunks = stage(bodies.mapInArrow(lambda b: _encoded(b, ranks, "chunk", "body"), "chunk binary, ids binary"), "chunk-ids")
+    chunks = stage(bodies.mapInArrow(lambda b: giving_back(_encoded(b, ranks, "chunk", "body")), "chunk binary, ids binary"), "chunk-ids")
     places = pieces.select("digest", "place", "chunk").dropDuplicates(["digest", "place"])
     parts = places.join(chunks, "chunk").groupBy("digest").agg(F.collect_list(F.struct("place", "ids")).alias("parts"))
-    sharing = documents.mapInArrow(lambda b: _sharing(b, bits, key), keyed_schema(documents, key, "digest binary, size long, body binary"))
+    sharing = documents.mapInArrow(lambda b: giving_back(_sharing(before(b), bits, key)), keyed("digest binary, size long, body binary"))
     return alone.union(sharing.join(parts, "digest", "left").mapInArrow(lambda b: finished(_joined(b, ranks, key)), ids))
 
 
@@ -320,8 +325,7 @@ def encode_repeated(documents: DataFrame, ranks_path: str | None = None, key: st
     not count as shared chunks, and come back as often as they were."""
     rows = documents.select(key, "text")
     struct = StructType([StructField("key", rows.schema[key].dataType), StructField("times", LongType())])
-    folded = rows.mapInArrow(lambda b: _folded(b, key), StructType([StructField("_key", struct), StructField("text", StringType())]))
-    out = encode(folded, ranks_path, "_key")
+    out = _encode(rows, rows, "_key", struct, ranks_path, before=lambda b: _folded(b, key))
     return out.select(F.col("_key.key").alias(key), "ids", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_key.times")))).drop("col")
 
 

@@ -52,6 +52,13 @@ def give_back() -> None:
         trim(0)
 
 
+def giving_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of a task; what its steps held is given back with the last one."""
+    yield from batches
+    del batches
+    give_back()
+
+
 def utf8_steps(column: pa.Array, limit: int = STEP_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Runs of rows as (first row, byte offsets from 0, bytes). A null text counts as empty. Memory is given back after a batch."""
     column = column.cast(pa.large_string()).fill_null("")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deskweave.llm.common import SpanHasher, bit_filter, by_filter, in_filter, keyed_schema, lowered, mixed, read, signed, texts_of, utf8_steps, word_spans
+from deskweave.llm.common import SpanHasher, bit_filter, by_filter, giving_back, in_filter, keyed_schema, lowered, mixed, read, signed, texts_of, utf8_steps, word_spans
 from deskweave.llm.components import components
 from deskweave.operators.staging import stage, stage_bucketed
 
@@ -131,9 +131,12 @@ def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     size = 0
 
     def counted() -> pa.RecordBatch:
-        values, n = np.unique(np.concatenate(held), return_counts=True)
-        buckets, inverse = np.unique(_bucket(values[n > 1]), return_inverse=True)
-        total = np.bincount(inverse, n[n > 1], len(buckets)).astype(np.int64)
+        members = np.concatenate(held)
+        held.clear()
+        members.sort()
+        again = members[1:] == members[:-1]
+        members = members[np.append(again, False) | np.append(False, again)]
+        buckets, total = np.unique(_bucket(members), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(buckets), pa.array(total)], names=["bucket", "n"])
 
     for batch in batches:
@@ -147,7 +150,7 @@ def _bucket_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                     size += len(members)
             if size >= SAMPLE:
                 yield counted()
-                held, size = [], 0
+                size = 0
     if held:
         yield counted()
 
@@ -159,7 +162,7 @@ def frequency_counters(documents: DataFrame) -> np.ndarray:
     empty and what is frequent in the corpus stands out, whatever its size. Only the order of members
     depends on them: any order gives the same links, this one keeps common passages out of the prefixes.
     """
-    rows = documents.select("text").mapInArrow(_bucket_counts, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    rows = documents.select("text").mapInArrow(lambda b: giving_back(_bucket_counts(b)), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(BUCKETS, np.int64)
     out[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
     return np.minimum(out, np.iinfo(np.int32).max).astype(np.int32)
@@ -236,8 +239,8 @@ def repeated_filter(documents: DataFrame, counters) -> np.ndarray:
     members through; none that two sets hold is left out.
     """
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tokens = documents.select("text").mapInArrow(lambda b: _prefix_tokens(b, counters, parts * SLICES), "slice int, tokens binary")
-    repeated = tokens.repartition(parts, "slice").sortWithinPartitions("slice").mapInArrow(_repeated_tokens, "token long")
+    tokens = documents.select("text").mapInArrow(lambda b: giving_back(_prefix_tokens(b, counters, parts * SLICES)), "slice int, tokens binary")
+    repeated = tokens.repartition(parts, "slice").sortWithinPartitions("slice").mapInArrow(lambda b: giving_back(_repeated_tokens(b)), "token long")
     return bit_filter(stage(repeated, "repeated"), "token", FILTER_BITS)
 
 
@@ -366,13 +369,13 @@ def listed_sets(documents: DataFrame, sigs: DataFrame) -> DataFrame:
     sets are shuffled; a fuller filter lets more through, the join decides. Later joins move no set to find it.
     """
     shared = documents.sparkSession.sparkContext.broadcast(bit_filter(sigs, "sig", FILTER_BITS))
-    sets = documents.select("text").mapInArrow(lambda b: _wanted_sets(b, shared), "sig long, members binary")
+    sets = documents.select("text").mapInArrow(lambda b: giving_back(_wanted_sets(b, shared)), "sig long, members binary")
     return stage_bucketed(sets.join(sigs, "sig", "left_semi").groupBy("sig").agg(F.first("members").alias("members")), "sets", "sig")
 
 
 def measured(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b, na, nb, common) for distinct ``pairs(a, b)`` of signatures, from the sets themselves."""
-    return stage(_with_members(sets, pairs).mapInArrow(_common, "a long, b long, na long, nb long, common long"), "measured")
+    return stage(_with_members(sets, pairs).mapInArrow(lambda b: giving_back(_common(b)), "a long, b long, na long, nb long, common long"), "measured")
 
 
 def _with_members(sets: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -450,11 +453,11 @@ def link_sets(documents: DataFrame) -> DataFrame:
     """
     counters = documents.sparkSession.sparkContext.broadcast(frequency_counters(documents))
     repeated = documents.sparkSession.sparkContext.broadcast(repeated_filter(documents, counters))
-    postings = documents.select("text").mapInArrow(lambda b: _postings(b, counters, repeated), "token long, sig long, size int, place int")
+    postings = documents.select("text").mapInArrow(lambda b: giving_back(_postings(b, counters, repeated)), "token long, sig long, size int, place int")
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = postings.repartition(parts, "token").sortWithinPartitions("token", "size", "sig")
     every = "token long, sig long, size int, place int, lead long, lead_size int, possible boolean"
-    lists = linkable_entries(stage_bucketed(ordered.mapInArrow(_lists, every), "all-lists", "token"))
+    lists = linkable_entries(stage_bucketed(ordered.mapInArrow(lambda b: giving_back(_lists(b)), every), "all-lists", "token"))
     sets = listed_sets(documents, lists.select("sig").distinct())
     # A leader that is met in few lists is left to the open pairs, where all lists count.
     met = lists.where("possible").groupBy(F.col("lead").alias("a"), F.col("sig").alias("b")).agg(F.sum("weight").alias("n"), F.min(_least_prefix("lead_size", "size")).alias("need"))
@@ -469,7 +472,7 @@ def link_sets(documents: DataFrame) -> DataFrame:
     # No number stands for a distance that was not measured; it closes nothing.
     distance = F.when(F.col("sig") == F.col("lead"), 0.0).otherwise(F.coalesce("distance", F.lit(float("nan"))))
     entries = entries.select("token", "root", "sig", "size", "place", "weight", "lead", F.coalesce("family", "sig").alias("family"), distance.alias("distance"))
-    open_pairs = entries.repartition(parts, "token").sortWithinPartitions("token", "root", "sig").mapInArrow(_other_pairs, "a long, b long, n long, need long")
+    open_pairs = entries.repartition(parts, "token").sortWithinPartitions("token", "root", "sig").mapInArrow(lambda b: giving_back(_other_pairs(b)), "a long, b long, n long, need long")
     open_pairs = open_pairs.groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need")).where("n >= need").select("a", "b")
     open_pairs = stage(open_pairs.join(done, ["a", "b"], "left_anti"), "pairs")
     return components(links.union(_linked(measured(sets, open_pairs))))
@@ -524,7 +527,7 @@ def family_differences(sets: DataFrame, entries: DataFrame) -> DataFrame:
     leads = pairs.select("lead").distinct()
     pairs = pairs.join(leads.withColumnRenamed("lead", "sig"), "sig", "left_anti").select(F.col("lead").alias("a"), F.col("sig").alias("b"))
     both = _with_members(sets, pairs)
-    return both.mapInArrow(_differences, "lead long, sig long, size long, dropped binary, added binary")
+    return both.mapInArrow(lambda b: giving_back(_differences(b)), "lead long, sig long, size long, dropped binary, added binary")
 
 
 def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -575,7 +578,7 @@ def family_links(families: DataFrame) -> DataFrame:
     pair = F.explode(F.when(F.col("inside"), cross_inside).otherwise(F.concat(cross_apart, among))).alias("pair")
     dealt = members.select(pair, "lead", "sig", "size", "dropped", "added", "inside")
     parts = int(families.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return told.union(dealt.repartition(parts, "pair").sortWithinPartitions("pair", "lead", "sig").mapInArrow(_family_links, "a long, b long"))
+    return told.union(dealt.repartition(parts, "pair").sortWithinPartitions("pair", "lead", "sig").mapInArrow(lambda b: giving_back(_family_links(b)), "a long, b long"))
 
 
 def _common_counts(rows: list[np.ndarray]) -> np.ndarray:

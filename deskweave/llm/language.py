@@ -123,8 +123,10 @@ def fit_filters(documents: DataFrame) -> LanguageFilters:
         if not langs:
             return LanguageFilters([], np.zeros((1, 1), np.int64), 0)
         spark = documents.sparkSession
-        names = [(r["lang"], i // PLANE_BITS, 1 << (i % PLANE_BITS), float(r["words"])) for i, r in enumerate(totals)]
-        rated = counts.join(F.broadcast(spark.createDataFrame(names, "lang string, plane long, mask long, words double")), "lang")
+        # From Arrow: a table of Python rows would go through Python workers of another kind, which stay beside those of the tasks.
+        names = {"lang": langs, "plane": [i // PLANE_BITS for i in range(len(langs))], "mask": [1 << (i % PLANE_BITS) for i in range(len(langs))], "words": [float(r["words"]) for r in totals]}
+        kinds = pa.schema([("lang", pa.string()), ("plane", pa.int64()), ("mask", pa.int64()), ("words", pa.float64())])
+        rated = counts.join(F.broadcast(spark.createDataFrame(pa.table(names, kinds))), "lang")
         rated = rated.withColumn("rate", F.col("n") / F.col("words"))
         rated = rated.withColumn("best", F.max("rate").over(Window.partitionBy("gram")))
         rated = rated.where((F.col("n") >= LEAST) & (F.col("rate") >= SHARE * F.col("best"))).groupBy("gram", "plane").agg(F.bit_or("mask").alias("mask"))

@@ -110,6 +110,45 @@ def test_workers_give_freed_memory_back_after_each_batch(monkeypatch):
     assert [r["n_shingles"] for r in rows] == [2, 0] * 3 and len(given) == 3
 
 
+def test_each_python_step_of_tokens_has_one_worker(spark, docs):
+    plan = bpe.encode_repeated(docs.where("doc_id < 3"))._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    steps = [i for i, line in enumerate(plan) if "MapInArrow" in line]
+    assert len(steps) == 3 and not any(b - a == 1 for a, b in zip(steps, steps[1:]))
+
+
+def test_a_task_gives_back_what_it_held_to_its_end(monkeypatch):
+    given = []
+    monkeypatch.setattr(common, "give_back", lambda: given.append(len(alive)))
+    alive = []
+
+    def steps():
+        alive.append(held := np.zeros(1))
+        yield held
+        alive.clear()
+
+    assert len(list(common.giving_back(steps()))) == 1 and given == [0]
+
+
+def test_languages_are_named_without_python_rows(spark, docs, monkeypatch):
+    monkeypatch.setattr(type(spark), "_createFromLocal", lambda *a: pytest.fail("rows through Python workers"))
+    assert language.fit_filters(language.training_rows(docs)).langs
+
+
+def test_counts_of_shingles_that_several_sets_hold():
+    text = " ".join(f"w{i}" for i in range(40))
+    batch = pa.record_batch({"text": pa.array([text, text + " tail", text, "a b c d e f", None])})
+    got = Counter()
+    for b in jaccard._bucket_counts(iter([batch, batch])):
+        got.update(dict(zip(b["bucket"].to_pylist(), b["n"].to_pylist())))
+    sets = {frozenset(s.tolist()) for at, raw in [(a, r) for _, a, r in common.utf8_steps(batch.column("text"))] for s in jaccard.Shingler().sets(at, raw) if len(s)}
+    counts = Counter(m for s in sets for m in s)
+    want = Counter()
+    for m, n in counts.items():
+        if n > 1:
+            want[int(jaccard._bucket(np.array([m], np.uint64))[0])] += n
+    assert got == want and sum(want.values()) == 72
+
+
 def test_mix_repeats_documents(spark, docs):
     named = docs.selectExpr("*", "7 AS _copies", "'d' AS _d", "1 AS _s", "77 AS _copy", "3 AS _row", "2 AS of")
     taken = Counter(tuple(r) for r in mixing.repeated_documents(named).collect())
