@@ -10,14 +10,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from deskweave.llm.common import BASE, SpanHasher, fold, keyed_schema, lowered, read, signed, unsigned, utf8_steps, word_spans
+from deskweave.llm.common import BASE, SpanHasher, fold, give_back, keyed_schema, lowered, mixed, read, signed, unsigned, utf8_steps, word_spans
 from deskweave.operators.staging import stage
 
 DEPTH = 7  # bytes of the longest context, no more: a context and the byte after it are one 64-bit number
 TOP = 2  # contexts up to this length are weighted by the driver, 2**16 of them at most; longer ones in tasks, by their last TOP + 1 bytes
 FLUSH = 1 << 20  # distinct values that a task counts before it passes them on
-RUN_PAIRS = 1 << 17  # counts of whole subtrees that a task merges and weights at a time
-HEAD_PAIRS = 1 << 22  # bound of the pairs whose logarithms are sent to the tasks; all others are joined
+CHUNK = 1 << 24  # pairs that a task sorts and counts before it passes them on
+BUCKETS = 12  # bits of the groups of subtrees by which counts are packed and dealt out
+RUN_PAIRS = 1 << 17  # pairs of whole subtrees that a task weights at a time
+HEAD_PAIRS = 1 << 23  # bound of the pairs whose logarithms are sent to the tasks; all others are joined
 HEAD_WORDS = 1 << 18  # bound of the word counts that are sent to the tasks; all others are joined
 
 
@@ -63,32 +65,40 @@ def _stream(at: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return stream, place
 
 
-def _before(stream: np.ndarray, place: np.ndarray, length: int) -> np.ndarray:
-    """The bytes before each place as a number, the nearest in its lowest byte."""
-    out = np.zeros(len(place), np.uint64)
-    for k in range(length):
-        out |= stream[place - k - 1].astype(np.uint64) << np.uint64(8 * k)
-    return out
-
-
 def _pairs(at: np.ndarray, raw: np.ndarray) -> np.ndarray:
-    """Every byte in the lowest byte, its context of DEPTH bytes above it."""
+    """Every byte in the lowest byte, its context of DEPTH bytes above it, the nearest in the highest: contexts with the
+    same last bytes follow one another."""
     stream, place = _stream(at, raw)
-    return _before(stream, place, DEPTH) << np.uint64(8) | raw
+    if not len(place):
+        return np.empty(0, np.uint64)
+    ending = np.ndarray(len(stream) - DEPTH, "<u8", stream, strides=(1,)).astype(np.uint64)[place - DEPTH]
+    return ending << np.uint64(8) | ending >> np.uint64(56)
+
+
+def _log_gamma(x: np.ndarray) -> np.ndarray:
+    # Stirling's series at x + 6, brought back by the recurrence.
+    y = x + 6
+    series = (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5)
+    for k in range(6):
+        series -= np.log(x + k)
+    return series
+
+
+SMALL = 1 << 12  # counts whose logarithms are looked up
+LOG_GAMMAS = {add: _log_gamma(np.arange(SMALL) + add) for add in (0.5, 1.0)}
 
 
 def _log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    """Natural logarithm of the Krichevsky-Trofimov probability of a sequence with these counts."""
+    """Natural logarithm of the Krichevsky-Trofimov probability of a sequence with these whole counts."""
 
-    def log_gamma(x: np.ndarray) -> np.ndarray:
-        # Stirling's series at x + 6, brought back by the recurrence.
-        y = x + 6
-        series = (y - 0.5) * np.log(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5)
-        for k in range(6):
-            series -= np.log(x + k)
-        return series
+    def log_gamma(count: np.ndarray, add: float) -> np.ndarray:
+        out = LOG_GAMMAS[add][np.minimum(count, SMALL - 1).astype(np.int64)]
+        large = count >= SMALL
+        if large.any():
+            out[large] = _log_gamma(count[large] + add)
+        return out
 
-    return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1.0) - np.log(np.pi)
+    return log_gamma(zeros, 0.5) + log_gamma(ones, 0.5) - log_gamma(zeros + ones, 1.0) - np.log(np.pi)
 
 
 def _bits(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -234,7 +244,7 @@ def _decisions(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _above(key: np.ndarray, depth: int) -> np.ndarray:
     """The keys (context, decision) with the last ``depth`` bytes of their contexts."""
-    return key & np.uint64((1 << 8 * (depth + 1)) - 1)
+    return key & np.uint64((1 << 64) - (1 << 8 * (8 - depth)) | 255)
 
 
 @dataclass
@@ -286,48 +296,108 @@ def _sums(value: np.ndarray, *counts: np.ndarray) -> tuple[np.ndarray, ...]:
     return value, *(np.bincount(place, c, len(value)).astype(np.int64) for c in counts)
 
 
+def _packed(rows: np.ndarray, value: np.ndarray, *columns: np.ndarray) -> list[bytes]:
+    """Rising values and columns beside them in packs of so many rows: differences of values, all by byte planes, compressed."""
+    end = np.cumsum(rows)
+    first = (end - rows)[rows > 0]
+    step = np.diff(value, prepend=value[:1])
+    step[first] = value[first]
+    planes = np.concatenate([c.view(np.uint8).reshape(len(c), c.itemsize).T for c in (step, *columns)])
+    codec = pa.Codec("zstd", compression_level=1)
+    return [codec.compress(planes[:, e - n : e].tobytes(), asbytes=True) for n, e in zip(rows.tolist(), end.tolist())]
+
+
+def _unpacked(rows: int, pack: bytes, *kinds: type) -> tuple[np.ndarray, ...]:
+    sizes = [8, *(np.dtype(k).itemsize for k in kinds)]
+    body = pa.Codec("zstd").decompress(pack, rows * sum(sizes))
+    planes, out, at = np.frombuffer(body, np.uint8).reshape(-1, rows), [], 0
+    for size, kind in zip(sizes, (np.uint64, *kinds)):
+        out.append(np.ascontiguousarray(planes[at : at + size].T).view(kind).ravel())
+        at += size
+    return np.cumsum(out[0], dtype=np.uint64), *out[1:]
+
+
+def _subtrees(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the subtrees of sorted pairs, the last TOP + 1 bytes of their contexts, and how many pairs each has."""
+    tree = value >> np.uint64(8 * (7 - TOP))
+    first = np.flatnonzero(np.diff(tree, prepend=~tree[:1]))
+    return tree[first], np.diff(first, append=len(tree))
+
+
+PACK = {"bucket": "int", "learned": "boolean", "scored": "boolean", "rows": "int", "pack": "binary"}
+
+
 def _pair_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(value, n, seen) of pairs: how often in learned and in scored texts, merged within the task."""
-    held: list[tuple[np.ndarray, ...]] = []
+    """How often pairs are in learned and in scored texts: a pack of (value, count) per chunk, kind of text and bucket."""
+    held: dict[tuple[bool, bool], list[np.ndarray]] = {}
+    size = 0
 
-    def rows(part: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(signed(part[0])), pa.array(part[1]), pa.array(part[2])], names=["value", "n", "seen"])
+    def packs() -> Iterator[pa.RecordBatch]:
+        for kind in list(held):
+            yield _packs(*kind, held.pop(kind))
+            give_back()
 
     for batch in batches:
         flags = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("learned", "scored")]
         for first, at, raw in utf8_steps(batch.column("text")):
             value = _pairs(at, lowered(raw))
             learned, scored = (np.repeat(f[first : first + len(at) - 1], np.diff(at)) for f in flags)
-            for l, s in ((True, True), (True, False), (False, True)):  # noqa: E741
-                distinct, n = np.unique(value[(learned == l) & (scored == s)], return_counts=True)
-                if len(distinct):
-                    held.append((distinct, n * l, n * s))
-            if len(held) >= 16:
-                held = [_sums(*map(np.concatenate, zip(*held)))]
-                if len(held[0][0]) >= FLUSH:
-                    yield rows(held.pop())
+            for kind in ((True, True), (True, False), (False, True)):
+                part = value[(learned == kind[0]) & (scored == kind[1])]
+                if len(part):
+                    held.setdefault(kind, []).append(part)
+                    size += len(part)
+            if size >= CHUNK:
+                yield from packs()
+                size = 0
+    yield from packs()
+
+
+def _packs(learned: bool, scored: bool, parts: list[np.ndarray]) -> pa.RecordBatch:
+    value, end = np.empty(sum(map(len, parts)), np.uint64), 0
+    while parts:
+        part = parts.pop()
+        value[end : end + len(part)] = part
+        end += len(part)
+    value.sort()
+    first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+    count = np.diff(first, append=len(value)).astype(np.uint32)
+    value = value[first]
+    del first
+    tree, size = _subtrees(value)
+    bucket = (mixed(tree) >> np.uint64(64 - BUCKETS)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    moved = np.repeat((np.cumsum(size) - size)[order] - (np.cumsum(size[order]) - size[order]), size[order]) + np.arange(len(value))
+    bucket, first = np.unique(bucket[order], return_index=True)
+    rows = np.add.reduceat(size[order], first)
+    packs = _packed(rows, value[moved], count[moved])
+    columns = [pa.array(bucket), pa.array([learned] * len(rows)), pa.array([scored] * len(rows)), pa.array(rows, pa.int32()), pa.array(packs, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=list(PACK))
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(value, n, seen) of whole subtrees, merged from packs sorted by bucket: about RUN_PAIRS pairs at a time, or one larger subtree."""
+    held: list[tuple[np.ndarray, ...]] = []
+    rows, last = 0, None
+    for batch in batches:
+        for bucket, learned, scored, size, pack in zip(*(batch.column(c).to_pylist() for c in PACK)):
+            if bucket != last and rows >= RUN_PAIRS:
+                yield from _cut(*_sums(*map(np.concatenate, zip(*held))))
+                held, rows = [], 0
+            value, count = _unpacked(size, pack, np.uint32)
+            held.append((value, count * np.int64(learned), count * np.int64(scored)))
+            rows, last = rows + size, bucket
     if held:
-        yield rows(_sums(*map(np.concatenate, zip(*held))))
+        yield from _cut(*_sums(*map(np.concatenate, zip(*held))))
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Rows sorted by subtree, in runs of whole subtrees of about RUN_PAIRS rows, or of one larger subtree."""
-    held: list[pa.RecordBatch] = []
-    rows, look = 0, RUN_PAIRS
-    for batch in batches:
-        held.append(batch)
-        rows += len(batch)
-        if rows < look:
-            continue
-        table = pa.Table.from_batches(held)
-        trees = table["tree"].to_numpy()
-        cut = int(np.searchsorted(trees, trees[-1]))
-        if cut:
-            yield table.slice(0, cut)
-        held, rows = table.slice(cut).to_batches(), rows - cut
-        look = max(RUN_PAIRS, 2 * rows)
-    if held:
-        yield pa.Table.from_batches(held)
+def _cut(value: np.ndarray, n: np.ndarray, seen: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    end = np.cumsum(_subtrees(value)[1])
+    at = 0
+    while at < len(value):
+        to = max(np.searchsorted(end, at + RUN_PAIRS, "right") - 1, np.searchsorted(end, at, "right"))
+        yield value[at : end[to]], n[at : end[to]], seen[at : end[to]]
+        at = int(end[to])
 
 
 SIZES = 8 * 64  # classes of how often a pair is seen, eight to each power of two
@@ -338,28 +408,34 @@ def _size(seen: np.ndarray) -> np.ndarray:
     return np.where(seen > 0, np.floor(8 * np.log2(np.maximum(seen, 1))), -1).astype(np.int64)
 
 
-RUN = {"value": "long", "n": "long", "seen": "long", "key": "long", "zeros": "double", "ones": "double", "weighted": "double", "sizes": "long"}
+SUMS = {"key": "long", "zeros": "double", "ones": "double", "weighted": "double", "sizes": "long"}
+RUN = "rows int, pack binary, " + ", ".join(f"{c} array<{t}>" for c, t in SUMS.items())
+LOGS = "rows int, pack binary, value array<long>, log array<float>"
+
+
+def _list(column: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), pa.array(column))
 
 
 def _up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row a run: the merged pairs, the sums (key, zeros, ones, weighted) of the decisions in the contexts of TOP bytes, and
     the number of pairs of each size class."""
-    for run in _runs(batches):
-        value, n, seen = _sums(unsigned(run["value"].to_numpy()), run["n"].to_numpy(), run["seen"].to_numpy())
+    for value, n, seen in _runs(batches):
         _, _, levels, *counts = _subtree(value, n)
         key, up = np.unique(_above(levels[-1].key, TOP), return_inverse=True)
         size = _size(seen)
-        columns = [signed(value), n, seen, signed(key), *(np.bincount(up, x, len(key)) for x in counts), np.bincount(size[size >= 0], minlength=SIZES)]
-        yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), pa.array(c)) for c in columns], names=list(RUN))
+        columns = [signed(key), *(np.bincount(up, x, len(key)) for x in counts), np.bincount(size[size >= 0], minlength=SIZES)]
+        pack = pa.array(_packed(np.array([len(value)]), value, n, seen), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([len(value)], pa.int32()), pack, *map(_list, columns)], names=["rows", "pack", *SUMS])
 
 
 def _down(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    """(value, near, log) of pairs of scored texts: log10 of the probability of the byte in its context."""
+    """log10 of the probability of the byte in its context for the pairs of scored texts: a pack (value, log) of the frequent ones,
+    the others as lists."""
     keys, top_said, top_left, least = shared.value
     for batch in batches:
-        for i in range(len(batch)):
-            value, n, seen = (batch.column(c)[i].values.to_numpy() for c in ("value", "n", "seen"))
-            value = unsigned(value)
+        for rows, pack in zip(batch.column("rows").to_pylist(), batch.column("pack").to_pylist()):
+            value, n, seen = _unpacked(rows, pack, np.int64, np.int64)
             place, bit, levels, *_ = _subtree(value, n)
             at = np.searchsorted(keys, _above(levels[-1].key, TOP))
             said, left = levels[-1].mixed(top_said[at], top_left[at])
@@ -367,23 +443,23 @@ def _down(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]
                 said, left = level.mixed(said[level.up], left[level.up])
             one = said[place]
             logs = np.log10(np.where(bit, one, 1 - one)).sum(1).astype(np.float32)
-            some = seen > 0
-            yield pa.RecordBatch.from_arrays([pa.array(signed(value[some])), pa.array(_size(seen[some]) >= least), pa.array(logs[some])], names=["value", "near", "log"])
+            size = _size(seen)
+            near, far = size >= least, (size >= 0) & (size < least)
+            pack = pa.array(_packed(np.array([near.sum()]), value[near], logs[near]), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([near.sum()], pa.int32()), pack, _list(signed(value[far])), _list(logs[far])], names=["rows", "pack", "value", "log"])
 
 
 def pair_logs(texts: DataFrame) -> DataFrame:
-    """(value, near, log) of every distinct pair of a context of DEPTH bytes and the byte after it in the scored texts of
-    ``texts(text, learned, scored)``: whether it is one of the at most HEAD_PAIRS frequent ones, and log10 of the byte's
-    probability under the tree of the learned texts.
+    """Every distinct pair of a context of DEPTH bytes and the byte after it in the scored texts of ``texts(text, learned,
+    scored)``, with log10 of the byte's probability under the tree of the learned texts: at most HEAD_PAIRS frequent ones in
+    packs (rows, pack), the others in lists (value, log).
 
-    Every context that they hold is a node. Pairs are counted map-side first; subtrees of the last TOP + 1
+    Every context that they hold is a node. Pairs are counted map-side first, sorted and packed; subtrees of the last TOP + 1
     bytes are merged and weighted in tasks, some whole ones at a time, and written so; the shorter contexts are weighted on
     the driver. A scored pair that was never learned has a count of 0, so it needs no search for its longest known context.
     """
-    counted = texts.mapInArrow(_pair_counts, "value long, n long, seen long")
-    tree = F.expr(f"shiftrightunsigned(value, 8) & {(1 << 8 * (TOP + 1)) - 1}L")
-    trees = counted.withColumn("tree", tree).repartition("tree").sortWithinPartitions("tree")
-    runs = stage(trees.mapInArrow(_up, ", ".join(f"{c} array<{t}>" for c, t in RUN.items())), "context-trees")
+    counted = texts.mapInArrow(_pair_counts, ", ".join(f"{c} {t}" for c, t in PACK.items()))
+    runs = stage(counted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_up, RUN), "context-trees")
     sums = ("zeros", "ones", "weighted")
     top = runs.select(F.explode(F.arrays_zip("key", *sums)).alias("r")).select("r.*").groupBy("key").agg(*[F.sum(c).alias(c) for c in sums]).toArrow()
     key = unsigned(top["key"].to_numpy())
@@ -397,18 +473,20 @@ def pair_logs(texts: DataFrame) -> DataFrame:
         held[r["pos"]] = r["n"]
     least = SIZES - int((np.cumsum(held[::-1]) <= HEAD_PAIRS).sum())
     shared = texts.sparkSession.sparkContext.broadcast((levels[0].key, said, left, least))
-    return stage(runs.select("value", "n", "seen").mapInArrow(lambda b: _down(b, shared), "value long, near boolean, log float"), "pair-logs")
+    return stage(runs.select("rows", "pack").mapInArrow(lambda b: _down(b, shared), LOGS), "pair-logs")
 
 
 class PairTable:
     """Logarithms of pairs, found by the first bits of a mixed number."""
 
     def __init__(self, value: np.ndarray, log: np.ndarray) -> None:
-        self.bits = max(len(value), 2).bit_length()
+        self.bits = max(len(value), 2).bit_length() - 1
         slot = self._slot(value)
-        order = np.argsort(slot, kind="stable")
+        order = np.argsort(slot)
         self.value, self.log = value[order], log[order]
-        self.first = np.searchsorted(slot[order], np.arange((1 << self.bits) + 1)).astype(np.int32)
+        del order
+        self.first = np.zeros((1 << self.bits) + 1, np.int32)
+        np.cumsum(np.bincount(slot, minlength=1 << self.bits), out=self.first[1:])
 
     def _slot(self, value: np.ndarray) -> np.ndarray:
         return ((value ^ value >> np.uint64(29)) * np.uint64(BASE) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -429,10 +507,22 @@ class PairTable:
         return logs, found
 
 
+def _head_pairs(packs: list[tuple[int, bytes]]) -> PairTable:
+    rows = sum(n for n, _ in packs)
+    value, log, end = np.empty(rows, np.uint64), np.empty(rows, np.float32), 0
+    for n, pack in packs:
+        value[end : end + n], log[end : end + n] = _unpacked(n, pack, np.float32)
+        end += n
+    return PairTable(value, log)
+
+
 def _scored(batches: Iterator[pa.RecordBatch], shared, key: str) -> Iterator[pa.RecordBatch]:
     """Per text: log sum of head pairs, and of its words the tokens, known tokens and log sum of head words; the others as lists."""
-    hashes, counts, value, log = shared.value
-    table, hasher = PairTable(value, log), SpanHasher()
+    hashes, counts, packs, unpacked = shared.value
+    if not unpacked:  # once a worker
+        unpacked.append(_head_pairs(packs))
+        packs.clear()
+    table, hasher = unpacked[0], SpanHasher()
     seen = np.zeros(1 << 22, bool)
     seen[hashes & np.uint64((1 << 22) - 1)] = True
     log_count = np.log10(counts + 0.5)
@@ -495,8 +585,8 @@ def score_documents(documents: DataFrame, training: DataFrame, key: str = "doc_i
     else:
         both = documents.select("text", F.coalesce(learned, F.lit(False)).alias("learned"), F.lit(True).alias("scored"))
     pairs = pair_logs(both)
-    near = pairs.where("near").select("value", "log").toArrow()
-    shared = spark.sparkContext.broadcast((hashes[order], head["n"].to_numpy()[order], unsigned(near["value"].to_numpy()), near["log"].to_numpy()))
+    packs = [(r["rows"], bytes(r["pack"])) for r in pairs.where("rows > 0").select("rows", "pack").collect()]
+    shared = spark.sparkContext.broadcast((hashes[order], head["n"].to_numpy()[order], packs, []))
     numbered = documents.select(F.monotonically_increasing_id().alias("_row"), key, "text")
     schema = keyed_schema(documents, key, "n_tokens long, head_known long, head_log double, tail array<long>, near double, far array<long>, n_bytes long")
     schema.fields.insert(0, numbered.schema["_row"])
@@ -505,7 +595,7 @@ def score_documents(documents: DataFrame, training: DataFrame, key: str = "doc_i
     rows = stage(numbered.mapInArrow(lambda b: _scored(b, shared, key), schema), "scored")
     tail = rows.select("_row", F.explode("tail").alias("word")).join(counts, "word", "left")
     sums = tail.groupBy("_row").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.5))).alias("tail_log"), F.count("n").alias("tail_known"))
-    rest = pairs.where("not near").select("value", "log")
+    rest = pairs.select(F.explode(F.arrays_zip("value", "log")).alias("r")).select("r.*")
     far = rows.select("_row", F.explode("far").alias("value")).join(rest, "value").groupBy("_row").agg(F.sum("log").alias("far_log"))
     out = rows.drop("tail", "far").join(sums, "_row", "left").join(far, "_row", "left")
     score = F.col("near") + F.coalesce("far_log", F.lit(0.0))

@@ -389,6 +389,33 @@ def test_context_tree_sees_seven_bytes(spark):
     assert ctw.DEPTH == 7 and got[2] > got[3] + 1
 
 
+@pytest.mark.parametrize("chunk", [1 << 24, 50_000])
+def test_pair_counts_are_packed(monkeypatch, chunk):
+    """Counts of pairs go to the shuffle in few bytes a pair (24 before), and whole subtrees come out of it with all of them."""
+    monkeypatch.setattr(ctw, "CHUNK", chunk)
+    monkeypatch.setattr(ctw, "RUN_PAIRS", 2000)
+    rng = random.Random(3)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(3000)]
+    texts = [" ".join(rng.choices(words, k=400)) for _ in range(150)] + ["", None, "é 日本", "A", "zz" * 3000]
+    kinds = [(rng.random() < 0.8, rng.random() < 0.8) for _ in texts]
+    columns = [pa.array(texts), *(pa.array(flags) for flags in zip(*kinds))]
+    batch = pa.RecordBatch.from_arrays(columns, names=["text", "learned", "scored"])
+    plain = {"learned": Counter(), "scored": Counter()}
+    for text, kind in zip(texts, kinds):
+        padded = bytes(ctw.DEPTH) + (text or "").encode().lower()
+        seen = Counter(padded[i - ctw.DEPTH : i][::-1] + padded[i : i + 1] for i in range(ctw.DEPTH, len(padded)))
+        for counts, flag in zip(plain.values(), kind):
+            counts.update(seen if flag else {})
+    packs = list(ctw._pair_counts(iter([batch])))
+    assert sum(b.nbytes for b in packs) < 6 * sum(sum(b["rows"].to_pylist()) for b in packs)
+    table = pa.Table.from_batches(packs).sort_by("bucket")
+    runs = list(ctw._runs(iter(table.to_batches(max_chunksize=7))))
+    got = {int(v).to_bytes(8, "big"): (n, seen) for run in runs for v, n, seen in zip(*(c.tolist() for c in run))}
+    assert got == {v: (plain["learned"][v], plain["scored"][v]) for v in plain["learned"] | plain["scored"]}
+    trees = [set((run[0] >> np.uint64(40)).tolist()) for run in runs]
+    assert sum(map(len, trees)) == len(set().union(*trees)) and sum(len(r[0]) for r in runs) == len(got) and len(runs) > 20
+
+
 def extracted(spark, htmls):
     rows = [(i, f"http://h.test/{i}", h) for i, h in enumerate(htmls)]
     got = {r["page_id"]: r["text"] for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
