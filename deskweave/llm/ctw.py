@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from deskweave.llm.common import BASE, SpanHasher, fold, give_back, keyed_schema, lowered, mixed, read, signed, unsigned, utf8_steps, word_spans
 from deskweave.operators.staging import stage
@@ -19,6 +20,8 @@ FLUSH = 1 << 20  # distinct values that a task counts before it passes them on
 CHUNK = 1 << 24  # pairs that a task sorts and counts before it passes them on
 BUCKETS = 12  # bits of the groups of subtrees by which counts are packed and dealt out
 RUN_PAIRS = 1 << 17  # pairs of whole subtrees that a task weights at a time
+FAR = 1 << 20  # pairs beyond the head that a task holds before it packs them
+TEXTS = 10  # bits of the texts whose sums over such pairs are packed together
 HEAD_PAIRS = 1 << 23  # bound of the pairs whose logarithms are sent to the tasks; all others are joined
 HEAD_WORDS = 1 << 18  # bound of the word counts that are sent to the tasks; all others are joined
 
@@ -324,6 +327,18 @@ def _subtrees(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return tree[first], np.diff(first, append=len(tree))
 
 
+def _by_bucket(value: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Buckets of sorted pairs, their numbers of rows and their packs."""
+    tree, size = _subtrees(value)
+    bucket = (mixed(tree) >> np.uint64(64 - BUCKETS)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    start, size = (np.cumsum(size) - size)[order], size[order]
+    moved = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(len(value))
+    bucket, first = np.unique(bucket[order], return_index=True)
+    rows = np.add.reduceat(size, first) if len(first) else size
+    return bucket, rows, _packed(rows, value[moved], *(c[moved] for c in columns))
+
+
 PACK = {"bucket": "int", "learned": "boolean", "scored": "boolean", "rows": "int", "pack": "binary"}
 
 
@@ -364,13 +379,7 @@ def _packs(learned: bool, scored: bool, parts: list[np.ndarray]) -> pa.RecordBat
     count = np.diff(first, append=len(value)).astype(np.uint32)
     value = value[first]
     del first
-    tree, size = _subtrees(value)
-    bucket = (mixed(tree) >> np.uint64(64 - BUCKETS)).astype(np.int32)
-    order = np.argsort(bucket, kind="stable")
-    moved = np.repeat((np.cumsum(size) - size)[order] - (np.cumsum(size[order]) - size[order]), size[order]) + np.arange(len(value))
-    bucket, first = np.unique(bucket[order], return_index=True)
-    rows = np.add.reduceat(size[order], first)
-    packs = _packed(rows, value[moved], count[moved])
+    bucket, rows, packs = _by_bucket(value, count)
     columns = [pa.array(bucket), pa.array([learned] * len(rows)), pa.array([scored] * len(rows)), pa.array(rows, pa.int32()), pa.array(packs, pa.binary())]
     return pa.RecordBatch.from_arrays(columns, names=list(PACK))
 
@@ -410,7 +419,7 @@ def _size(seen: np.ndarray) -> np.ndarray:
 
 SUMS = {"key": "long", "zeros": "double", "ones": "double", "weighted": "double", "sizes": "long"}
 RUN = "rows int, pack binary, " + ", ".join(f"{c} array<{t}>" for c, t in SUMS.items())
-LOGS = "rows int, pack binary, value array<long>, log array<float>"
+LOGS = "bucket int, rows int, pack binary"
 
 
 def _list(column: np.ndarray) -> pa.ListArray:
@@ -430,8 +439,8 @@ def _up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _down(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]:
-    """log10 of the probability of the byte in its context for the pairs of scored texts: a pack (value, log) of the frequent ones,
-    the others as lists."""
+    """log10 of the probability of the byte in its context for the pairs of scored texts: a pack (value, log) of the frequent ones
+    without a bucket, of the others one per bucket."""
     keys, top_said, top_left, least = shared.value
     for batch in batches:
         for rows, pack in zip(batch.column("rows").to_pylist(), batch.column("pack").to_pylist()):
@@ -445,14 +454,16 @@ def _down(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.RecordBatch]
             logs = np.log10(np.where(bit, one, 1 - one)).sum(1).astype(np.float32)
             size = _size(seen)
             near, far = size >= least, (size >= 0) & (size < least)
-            pack = pa.array(_packed(np.array([near.sum()]), value[near], logs[near]), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([near.sum()], pa.int32()), pack, _list(signed(value[far])), _list(logs[far])], names=["rows", "pack", "value", "log"])
+            bucket, rows, packs = _by_bucket(value[far], logs[far])
+            packs += _packed(np.array([near.sum()]), value[near], logs[near])
+            columns = [pa.array([*bucket.tolist(), None], pa.int32()), pa.array([*rows.tolist(), near.sum()], pa.int32()), pa.array(packs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["bucket", "rows", "pack"])
 
 
 def pair_logs(texts: DataFrame) -> DataFrame:
     """Every distinct pair of a context of DEPTH bytes and the byte after it in the scored texts of ``texts(text, learned,
-    scored)``, with log10 of the byte's probability under the tree of the learned texts: at most HEAD_PAIRS frequent ones in
-    packs (rows, pack), the others in lists (value, log).
+    scored)``, with log10 of the byte's probability under the tree of the learned texts: packs (bucket, rows,
+    pack), those without a bucket of at most HEAD_PAIRS frequent ones.
 
     Every context that they hold is a node. Pairs are counted map-side first, sorted and packed; subtrees of the last TOP + 1
     bytes are merged and weighted in tasks, some whole ones at a time, and written so; the shorter contexts are weighted on
@@ -477,51 +488,74 @@ def pair_logs(texts: DataFrame) -> DataFrame:
 
 
 class PairTable:
-    """Logarithms of pairs, found by the first bits of a mixed number."""
+    """Logarithms of pairs in an open hash table, at most half full."""
+
+    FREE = np.uint64(0xFFFFFFFFFFFFFFFF)  # no pair, as no UTF-8 text has such bytes
+
+    def __init__(self, pairs: int) -> None:
+        self.bits = max(2 * pairs - 1, 1).bit_length()
+        self.value, self.log = np.full(1 << self.bits, self.FREE), np.zeros(1 << self.bits, np.float32)
 
-    def __init__(self, value: np.ndarray, log: np.ndarray) -> None:
-        self.bits = max(len(value), 2).bit_length() - 1
+    def add(self, value: np.ndarray, log: np.ndarray) -> None:
         slot = self._slot(value)
-        order = np.argsort(slot)
-        self.value, self.log = value[order], log[order]
-        del order
-        self.first = np.zeros((1 << self.bits) + 1, np.int32)
-        np.cumsum(np.bincount(slot, minlength=1 << self.bits), out=self.first[1:])
+        while len(value):
+            free = self.value[slot] == self.FREE
+            self.value[slot[free]] = value[free]
+            left = self.value[slot] != value
+            self.log[slot[~left]] = log[~left]
+            value, log, slot = value[left], log[left], slot[left] + 1 & len(self.value) - 1
 
     def _slot(self, value: np.ndarray) -> np.ndarray:
-        return ((value ^ value >> np.uint64(29)) * np.uint64(BASE) >> np.uint64(64 - self.bits)).astype(np.int64)
+        return ((value ^ value >> np.uint64(29)) * np.uint64(BASE) >> np.uint64(64 - self.bits)).view(np.int64)
 
     def find(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Logarithms, 0 for those not in the table, and which are in it."""
-        logs, found = np.zeros(len(value)), np.zeros(len(value), bool)
         slot = self._slot(value)
-        at, end = self.first[slot], self.first[slot + 1]
-        todo = np.flatnonzero(at < end)
-        at, end = at[todo], end[todo]
+        held = self.value[slot]
+        found = held == value
+        logs = np.where(found, self.log[slot], np.float32(0)).astype(np.float64)
+        todo = np.flatnonzero(~found & (held != self.FREE))
+        slot, value = slot[todo], value[todo]
         while len(todo):
-            hit = self.value[at] == value[todo]
-            logs[todo[hit]], found[todo[hit]] = self.log[at[hit]], True
-            at += 1
-            more = ~hit & (at < end)
-            todo, at, end = todo[more], at[more], end[more]
+            slot = slot + 1 & len(self.value) - 1
+            held = self.value[slot]
+            hit = held == value
+            logs[todo[hit]], found[todo[hit]] = self.log[slot[hit]], True
+            more = ~hit & (held != self.FREE)
+            todo, slot, value = todo[more], slot[more], value[more]
         return logs, found
 
 
 def _head_pairs(packs: list[tuple[int, bytes]]) -> PairTable:
-    rows = sum(n for n, _ in packs)
-    value, log, end = np.empty(rows, np.uint64), np.empty(rows, np.float32), 0
-    for n, pack in packs:
-        value[end : end + n], log[end : end + n] = _unpacked(n, pack, np.float32)
-        end += n
-    return PairTable(value, log)
+    """The table of packs, which are dropped one by one."""
+    table = PairTable(sum(n for n, _ in packs))
+    while packs:
+        table.add(*_unpacked(*packs.pop(), np.float32))
+    give_back()
+    return table
+
+
+ROW = {"_row": pa.int64(), "key": None, "n_tokens": pa.int64(), "head_known": pa.int64(), "head_log": pa.float64(), "tail": pa.list_(pa.int64()),
+       "near": pa.float64(), "n_bytes": pa.int64(), "bucket": pa.int32(), "rows": pa.int32(), "pack": pa.binary()}
 
 
 def _scored(batches: Iterator[pa.RecordBatch], shared, key: str) -> Iterator[pa.RecordBatch]:
-    """Per text: log sum of head pairs, and of its words the tokens, known tokens and log sum of head words; the others as lists."""
+    """Per text: log sum of head pairs, and of its words the tokens, known tokens and log sum of head words, the others as a list.
+    In rows of their own, packs by bucket of (value, _row) of the pairs beyond the head."""
     hashes, counts, packs, unpacked = shared.value
+    asked: list[tuple[np.ndarray, np.ndarray]] = []
+    names = [key if c == "key" else c for c in ROW]
+
+    def asks(kind: pa.DataType) -> pa.RecordBatch:
+        value, row = map(np.concatenate, zip(*asked))
+        asked.clear()
+        order = np.argsort(value)
+        bucket, rows, packs = _by_bucket(value[order], row[order])
+        nulls = [pa.nulls(len(rows), t or kind) for t in list(ROW.values())[:-3]]
+        return pa.RecordBatch.from_arrays([*nulls, pa.array(bucket), pa.array(rows, pa.int32()), pa.array(packs, pa.binary())], names=names)
+
     if not unpacked:  # once a worker
         unpacked.append(_head_pairs(packs))
-        packs.clear()
     table, hasher = unpacked[0], SpanHasher()
     seen = np.zeros(1 << 22, bool)
     seen[hashes & np.uint64((1 << 22) - 1)] = True
@@ -542,17 +576,79 @@ def _scored(batches: Iterator[pa.RecordBatch], shared, key: str) -> Iterator[pa.
             pairs = _pairs(at, raw)
             logs, found = table.find(pairs)
             sums = np.concatenate([[0.0], np.cumsum(logs)])
-            far = np.flatnonzero(~found)
+            number = batch.column("_row").slice(first, texts)
+            asked.append((pairs[~found], np.repeat(number.to_numpy(), np.diff(at))[~found]))
             columns = [
+                number,
+                batch.column(key).slice(first, texts),
                 pa.array(np.bincount(text, minlength=texts) + 1),
                 pa.array(np.bincount(text[head], minlength=texts)),
                 pa.array(np.bincount(text[head], log_count[spot], texts).astype(np.float64)),
                 pa.ListArray.from_arrays(pa.array(cut), pa.array(signed(words[tail]))),
                 pa.array(sums[at[1:]] - sums[at[:-1]]),
-                pa.ListArray.from_arrays(pa.array(np.searchsorted(far, at).astype(np.int32)), pa.array(signed(pairs[far]))),
                 pa.array(np.diff(at)),
+                *(pa.nulls(texts, t) for t in list(ROW.values())[-3:]),
             ]
-            yield pa.RecordBatch.from_arrays([batch.column("_row").slice(first, texts), batch.column(key).slice(first, texts), *columns], names=["_row", key, "n_tokens", "head_known", "head_log", "tail", "near", "far", "n_bytes"])
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+            if sum(len(a[0]) for a in asked) >= FAR:
+                yield asks(batch.column(key).type)
+    if any(len(a[0]) for a in asked):
+        yield asks(batch.column(key).type)
+
+
+def _row_sums(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    row, place = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+    return row, np.bincount(place, np.concatenate([h[1] for h in held]), len(row))
+
+
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From packs sorted by bucket, first of (value, log), then of asked (value, _row): packs of (_row, sum of logs), some texts each."""
+    known: list[tuple[np.ndarray, np.ndarray]] = []
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    last = table = None
+    size = 0
+
+    def packs() -> pa.RecordBatch:
+        row, log = _row_sums(held)
+        held.clear()
+        texts, rows = np.unique(row >> TEXTS, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(texts), pa.array(rows, pa.int32()), pa.array(_packed(rows, unsigned(row), log), pa.binary())], names=["texts", "rows", "pack"])
+
+    for batch in batches:
+        for bucket, asks, rows, pack in zip(*(batch.column(c).to_pylist() for c in ("bucket", "asks", "rows", "pack"))):
+            if bucket != last:
+                known, last, table = [], bucket, None
+            if not asks:
+                known.append(_unpacked(rows, pack, np.float32))
+                continue
+            if table is None:
+                values, logs = map(np.concatenate, zip(*known))
+                order = np.argsort(values)
+                table = values[order], logs[order]
+            value, row = _unpacked(rows, pack, np.int64)
+            held.append((row, table[1][np.searchsorted(table[0], value)]))
+            size += rows
+            if size >= FAR:
+                yield packs()
+                size = 0
+    if held:
+        yield packs()
+
+
+def _far_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size, look = 0, FAR
+    for batch in batches:
+        for rows, pack in zip(batch.column("rows").to_pylist(), batch.column("pack").to_pylist()):
+            value, log = _unpacked(rows, pack, np.float64)
+            held.append((signed(value), log))
+            size += rows
+            if size >= look:
+                held = [_row_sums(held)]
+                size = len(held[0][0])
+                look = max(FAR, 2 * size)
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in _row_sums(held)], names=["_row", "far_log"])
 
 
 def score_documents(documents: DataFrame, training: DataFrame, key: str = "doc_id", learned: Column | None = None) -> DataFrame:
@@ -564,7 +660,7 @@ def score_documents(documents: DataFrame, training: DataFrame, key: str = "doc_i
 
     Word counts: the HEAD_WORDS most frequent are sent to the tasks, all rarer words are joined by hash (64
     bits), so every count is exact whatever the vocabulary. So it is with the logarithms of the tree: those of
-    at most HEAD_PAIRS frequent pairs of a context and a byte are sent, all others are joined. If ``training`` is
+    at most HEAD_PAIRS frequent pairs of a context and a byte are sent, all others are asked for and answered in packs. If ``training`` is
     the rows of ``documents`` where ``learned`` holds, both are counted in one pass. A null text is an empty one: one token, score
     0. A null key stays null, repeated rows are scored each, an empty table gives no rows, other columns are
     not read. Without training rows every byte has the probability of an untrained tree, 1/256.
@@ -585,19 +681,21 @@ def score_documents(documents: DataFrame, training: DataFrame, key: str = "doc_i
     else:
         both = documents.select("text", F.coalesce(learned, F.lit(False)).alias("learned"), F.lit(True).alias("scored"))
     pairs = pair_logs(both)
-    packs = [(r["rows"], bytes(r["pack"])) for r in pairs.where("rows > 0").select("rows", "pack").collect()]
+    packs = [(r["rows"], bytes(r["pack"])) for r in pairs.where("bucket is null and rows > 0").select("rows", "pack").collect()]
     shared = spark.sparkContext.broadcast((hashes[order], head["n"].to_numpy()[order], packs, []))
     numbered = documents.select(F.monotonically_increasing_id().alias("_row"), key, "text")
-    schema = keyed_schema(documents, key, "n_tokens long, head_known long, head_log double, tail array<long>, near double, far array<long>, n_bytes long")
-    schema.fields.insert(0, numbered.schema["_row"])
-    schema.names.insert(0, "_row")
+    schema = keyed_schema(documents, key, "n_tokens long, head_known long, head_log double, tail array<long>, near double, n_bytes long, bucket int, rows int, pack binary")
+    schema = StructType([*StructType.fromDDL("_row long").fields, *schema.fields])
     # Written once, so a row keeps its number.
-    rows = stage(numbered.mapInArrow(lambda b: _scored(b, shared, key), schema), "scored")
+    written = stage(numbered.mapInArrow(lambda b: _scored(b, shared, key), schema), "scored")
+    rows = written.where("bucket is null").drop("bucket", "rows", "pack")
     tail = rows.select("_row", F.explode("tail").alias("word")).join(counts, "word", "left")
     sums = tail.groupBy("_row").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.5))).alias("tail_log"), F.count("n").alias("tail_known"))
-    rest = pairs.select(F.explode(F.arrays_zip("value", "log")).alias("r")).select("r.*")
-    far = rows.select("_row", F.explode("far").alias("value")).join(rest, "value").groupBy("_row").agg(F.sum("log").alias("far_log"))
-    out = rows.drop("tail", "far").join(sums, "_row", "left").join(far, "_row", "left")
+    asked = written.where("bucket is not null").select("bucket", F.lit(True).alias("asks"), "rows", "pack")
+    asked = pairs.where("bucket is not null").select("bucket", F.lit(False).alias("asks"), "rows", "pack").union(asked)
+    answers = asked.repartition("bucket").sortWithinPartitions("bucket", "asks").mapInArrow(_answers, "texts long, rows int, pack binary")
+    far = answers.repartition("texts").mapInArrow(_far_sums, "_row long, far_log double")
+    out = rows.drop("tail").join(sums, "_row", "left").join(far, "_row", "left")
     score = F.col("near") + F.coalesce("far_log", F.lit(0.0))
     space = float(np.log10(n + 0.5 * (distinct + 1)))
     base = F.col("head_log") + F.coalesce("tail_log", F.lit(0.0)) + F.lit(float(np.log10(lines + 0.5))) - F.col("n_tokens") * F.lit(space)

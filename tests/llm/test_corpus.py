@@ -416,6 +416,34 @@ def test_pair_counts_are_packed(monkeypatch, chunk):
     assert sum(map(len, trees)) == len(set().union(*trees)) and sum(len(r[0]) for r in runs) == len(got) and len(runs) > 20
 
 
+def test_pair_table():
+    rng = np.random.default_rng(2)
+    value = np.unique(rng.integers(0, 1 << 63, 5000, dtype=np.uint64))
+    value[:2] = 0, 1
+    log = rng.random(len(value)).astype(np.float32)
+    table = ctw.PairTable(len(value) - 1000)
+    for some in np.array_split(np.arange(len(value) - 1000), 7):
+        table.add(value[some], log[some])
+    logs, found = table.find(value)
+    assert found[:-1000].all() and not found[-1000:].any() and (logs == np.where(found, log, 0)).all()
+    assert not ctw.PairTable(0).find(value)[1].any()
+
+
+def test_rare_pairs_are_answered(spark, monkeypatch):
+    """The same scores if no pair is sent and packs are small, for repeated rows and keys too."""
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghijkl", k=rng.randint(2, 8))) for _ in range(2000)]
+    rows = [(i % 90, " ".join(rng.choices(words, k=60))) for i in range(100)] + [(None, "no key"), (7, None), (8, ""), (9, "\0\0x"), (10, "A" * 5000)]
+    table = spark.createDataFrame([*rows, rows[3]], "doc_id int, text string").repartition(3)
+    scores = lambda: sorted((str(r["doc_id"]), r["n_bytes"], r["score"]) for r in ctw.score_documents(table, table.where("doc_id < 50")).collect())
+    sent = scores()
+    for name, most in (("HEAD_PAIRS", 0), ("FAR", 700), ("TEXTS", 2)):
+        monkeypatch.setattr(ctw, name, most)
+    got = scores()
+    assert [g[:2] for g in got] == [s[:2] for s in sent] and len(got) == len(rows) + 1
+    assert [g[2] for g in got] == pytest.approx([s[2] for s in sent], rel=1e-9)
+
+
 def extracted(spark, htmls):
     rows = [(i, f"http://h.test/{i}", h) for i, h in enumerate(htmls)]
     got = {r["page_id"]: r["text"] for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
