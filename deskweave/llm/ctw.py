@@ -17,12 +17,12 @@ from deskweave.operators.staging import stage
 DEPTH = 7  # bytes of the longest context, no more: a context and the byte after it are one 64-bit number
 TOP = 2  # contexts up to this length are weighted by the driver, 2**16 of them at most; longer ones in tasks, by their last TOP + 1 bytes
 FLUSH = 1 << 20  # distinct values that a task counts before it passes them on
-CHUNK = 1 << 24  # pairs that a task sorts and counts before it passes them on
+CHUNK = 1 << 23  # pairs that a task sorts and counts before it passes them on
 BUCKETS = 12  # bits of the groups of subtrees by which counts are packed and dealt out
 RUN_PAIRS = 1 << 17  # pairs of whole subtrees that a task weights at a time
-FAR = 1 << 20  # pairs beyond the head that a task holds before it packs them
+FAR = 1 << 19  # pairs beyond the head that a task holds before it packs them
 TEXTS = 10  # bits of the texts whose sums over such pairs are packed together
-HEAD_PAIRS = 1 << 23  # bound of the pairs whose logarithms are sent to the tasks; all others are joined
+HEAD_PAIRS = 1 << 23  # bound of the pairs whose logarithms are sent to the tasks; all others are asked for
 HEAD_WORDS = 1 << 18  # bound of the word counts that are sent to the tasks; all others are joined
 
 
@@ -387,15 +387,19 @@ def _packs(learned: bool, scored: bool, parts: list[np.ndarray]) -> pa.RecordBat
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
     """(value, n, seen) of whole subtrees, merged from packs sorted by bucket: about RUN_PAIRS pairs at a time, or one larger subtree."""
     held: list[tuple[np.ndarray, ...]] = []
-    rows, last = 0, None
+    rows, last, look = 0, None, 8 * RUN_PAIRS
     for batch in batches:
         for bucket, learned, scored, size, pack in zip(*(batch.column(c).to_pylist() for c in PACK)):
             if bucket != last and rows >= RUN_PAIRS:
                 yield from _cut(*_sums(*map(np.concatenate, zip(*held))))
-                held, rows = [], 0
+                held, rows, look = [], 0, 8 * RUN_PAIRS
             value, count = _unpacked(size, pack, np.uint32)
             held.append((value, count * np.int64(learned), count * np.int64(scored)))
             rows, last = rows + size, bucket
+            if rows >= look:  # the same pairs of many chunks
+                held = [_sums(*map(np.concatenate, zip(*held)))]
+                rows = len(held[0][0])
+                look = max(8 * RUN_PAIRS, 2 * rows)
     if held:
         yield from _cut(*_sums(*map(np.concatenate, zip(*held))))
 

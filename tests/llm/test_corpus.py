@@ -416,6 +416,19 @@ def test_pair_counts_are_packed(monkeypatch, chunk):
     assert sum(map(len, trees)) == len(set().union(*trees)) and sum(len(r[0]) for r in runs) == len(got) and len(runs) > 20
 
 
+def test_runs_hold_distinct_pairs(monkeypatch):
+    """Packs of the same pairs from many chunks are merged as they come, so a frequent subtree takes no more memory than its pairs."""
+    monkeypatch.setattr(ctw, "RUN_PAIRS", 100)
+    value = np.arange(1 << 41, (1 << 41) + 300, dtype=np.uint64)
+    packs = ctw._by_bucket(value, np.ones(300, np.uint32))
+    rows = [{"bucket": b, "learned": True, "scored": k % 2 == 0, "rows": n, "pack": p} for k in range(200) for b, n, p in zip(*packs)]
+    longest, sums = [], ctw._sums
+    monkeypatch.setattr(ctw, "_sums", lambda *columns: longest.append(len(columns[0])) or sums(*columns))
+    runs = list(ctw._runs(iter([pa.RecordBatch.from_pylist(rows)])))
+    assert len(rows) == 200 and max(longest) < 2000
+    assert [r.tolist() for r in runs[0]] == [value.tolist(), [200] * 300, [100] * 300] and len(runs) == 1
+
+
 def test_pair_table():
     rng = np.random.default_rng(2)
     value = np.unique(rng.integers(0, 1 << 63, 5000, dtype=np.uint64))
